@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import read_documents
+from corpusloom.llm.encoding import default_path
 from corpusloom.llm.line_dedup import LineIndex, strip_shared_lines
 from corpusloom.llm.sharding import shard_by_bytes
+from corpusloom.llm.token_files import token_files
 
 
 def op1_histogram_sort_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,10 +38,16 @@ FROM marked GROUP BY doc_id
 """
 
 
+def op9_rans_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = token_files(spark, read_documents(spark, sf_dir), default_path("word_bpe_49k.json"), spaced=False, end_id=2)
+    return out.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def queries() -> dict:
     return {
         "op1_histogram_sort_sharding": op1_histogram_sort_sharding,
         "op2_line_dedup": op2_line_dedup,
+        "op9_rans_token_files": op9_rans_token_files,
     }
 
 
