@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import read_documents
 from corpusloom.llm.encoding import default_path
 from corpusloom.llm.line_dedup import LineIndex, strip_shared_lines
+from corpusloom.llm.packing import pack_documents
 from corpusloom.llm.sharding import shard_by_bytes
 from corpusloom.llm.token_files import token_files
 
@@ -38,6 +39,12 @@ FROM marked GROUP BY doc_id
 """
 
 
+def op4_complement_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = pack_documents(spark, read_documents(spark, sf_dir), default_path("byte_bpe_50k.json"), spaced=True, end_id=2, capacity=1024)
+    digest = packed.pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "part", "nth")
+    return packed.assign(digest)
+
+
 def op9_rans_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = token_files(spark, read_documents(spark, sf_dir), default_path("word_bpe_49k.json"), spaced=False, end_id=2)
     return out.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
@@ -47,6 +54,7 @@ def queries() -> dict:
     return {
         "op1_histogram_sort_sharding": op1_histogram_sort_sharding,
         "op2_line_dedup": op2_line_dedup,
+        "op4_complement_packing": op4_complement_packing,
         "op9_rans_token_files": op9_rans_token_files,
     }
 
