@@ -11,6 +11,7 @@ from corpusloom.llm.line_dedup import LineIndex, strip_shared_lines
 from corpusloom.llm.packing import pack_documents
 from corpusloom.llm.sharding import shard_by_bytes
 from corpusloom.llm.token_files import token_files
+from corpusloom.llm.topk import top_k
 
 
 def op1_histogram_sort_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,6 +46,22 @@ def op4_complement_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.assign(digest)
 
 
+def op8_uniform_threshold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(spark, spark.read.parquet(f"{sf_dir}/embeddings.parquet"), every=100, k=10, scale=1024)
+
+
+OP8_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scores AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM scores)
+SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM ranked WHERE n <= 10
+"""
+
+
 def op9_rans_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = token_files(spark, read_documents(spark, sf_dir), default_path("word_bpe_49k.json"), spaced=False, end_id=2)
     return out.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
@@ -55,9 +72,10 @@ def queries() -> dict:
         "op1_histogram_sort_sharding": op1_histogram_sort_sharding,
         "op2_line_dedup": op2_line_dedup,
         "op4_complement_packing": op4_complement_packing,
+        "op8_uniform_threshold_topk": op8_uniform_threshold_topk,
         "op9_rans_token_files": op9_rans_token_files,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": OP2_SQL}
+    return {"op2_line_dedup": OP2_SQL, "op8_uniform_threshold_topk": OP8_SQL}
