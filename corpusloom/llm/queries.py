@@ -10,6 +10,7 @@ from corpusloom.llm.encoding import default_path
 from corpusloom.llm.line_dedup import LineIndex, strip_shared_lines
 from corpusloom.llm.packing import pack_documents
 from corpusloom.llm.sharding import shard_by_bytes
+from corpusloom.llm.simhash import near_duplicates
 from corpusloom.llm.token_files import token_files
 from corpusloom.llm.topk import top_k
 
@@ -46,6 +47,11 @@ def op4_complement_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.assign(digest)
 
 
+def op7_pigeonhole_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = near_duplicates(spark, read_documents(spark, sf_dir), words=4, radius=4)
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op8_uniform_threshold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(spark, spark.read.parquet(f"{sf_dir}/embeddings.parquet"), every=100, k=10, scale=1024)
 
@@ -72,6 +78,7 @@ def queries() -> dict:
         "op1_histogram_sort_sharding": op1_histogram_sort_sharding,
         "op2_line_dedup": op2_line_dedup,
         "op4_complement_packing": op4_complement_packing,
+        "op7_pigeonhole_simhash": op7_pigeonhole_simhash,
         "op8_uniform_threshold_topk": op8_uniform_threshold_topk,
         "op9_rans_token_files": op9_rans_token_files,
     }
