@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.llm.classifiers import crc_of, identify_language, learn_language, learn_quality, score_quality
 from corpusloom.llm.common import read_documents
 from corpusloom.llm.encoding import default_path
 from corpusloom.llm.line_dedup import LineIndex, strip_shared_lines
@@ -41,12 +42,25 @@ FROM marked GROUP BY doc_id
 """
 
 
+def op3_byte_cnn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    fold = crc_of("doc_id") % 3
+    out = score_quality(spark, docs, learn_quality(docs, labels, fold != 1))
+    return out.select("doc_id", F.coalesce(fold == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op4_complement_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = pack_documents(spark, read_documents(spark, sf_dir), default_path("byte_bpe_50k.json"), spaced=True, end_id=2, capacity=1024)
     digest = packed.pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "part", "nth")
     return packed.assign(digest)
 
 
+def op5_byte_cnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, fold = read_documents(spark, sf_dir), crc_of("doc_id") % 4
+    out = identify_language(spark, docs, learn_language(docs, fold != 2))
+    return out.select("doc_id", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), F.col("_lang_pred").alias("lang_pred"), F.col("_score").alias("score"))
+
+
 def op7_pigeonhole_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(spark, read_documents(spark, sf_dir), words=4, radius=4)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -77,7 +91,9 @@ def queries() -> dict:
     return {
         "op1_histogram_sort_sharding": op1_histogram_sort_sharding,
         "op2_line_dedup": op2_line_dedup,
+        "op3_byte_cnn_quality": op3_byte_cnn_quality,
         "op4_complement_packing": op4_complement_packing,
+        "op5_byte_cnn_language": op5_byte_cnn_language,
         "op7_pigeonhole_simhash": op7_pigeonhole_simhash,
         "op8_uniform_threshold_topk": op8_uniform_threshold_topk,
         "op9_rans_token_files": op9_rans_token_files,
