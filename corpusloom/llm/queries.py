@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.classifiers import crc_of, identify_language, learn_language, learn_quality, score_quality
 from corpusloom.llm.common import read_documents
+from corpusloom.llm.decontaminate import contamination
 from corpusloom.llm.encoding import default_path
 from corpusloom.llm.line_dedup import LineIndex, strip_shared_lines
 from corpusloom.llm.packing import pack_documents
@@ -87,6 +88,11 @@ def op9_rans_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op10_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = contamination(spark, read_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return out.select("doc_id", (F.size("items") > 0).alias("contaminated"), F.col("items").alias("item_ids"))
+
+
 def queries() -> dict:
     return {
         "op1_histogram_sort_sharding": op1_histogram_sort_sharding,
@@ -97,6 +103,7 @@ def queries() -> dict:
         "op7_pigeonhole_simhash": op7_pigeonhole_simhash,
         "op8_uniform_threshold_topk": op8_uniform_threshold_topk,
         "op9_rans_token_files": op9_rans_token_files,
+        "op10_spaced_seed_decontamination": op10_spaced_seed_decontamination,
     }
 
 
