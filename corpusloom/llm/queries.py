@@ -11,6 +11,7 @@ from corpusloom.llm.decontaminate import contamination
 from corpusloom.llm.encoding import default_path
 from corpusloom.llm.line_dedup import LineIndex, strip_shared_lines
 from corpusloom.llm.packing import pack_documents
+from corpusloom.llm.pii import BASE, count_of, find_pii, joined
 from corpusloom.llm.sharding import shard_by_bytes
 from corpusloom.llm.simhash import near_duplicates
 from corpusloom.llm.token_files import token_files
@@ -62,6 +63,12 @@ def op5_byte_cnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), F.col("_lang_pred").alias("lang_pred"), F.col("_score").alias("score"))
 
 
+def op6_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = find_pii(spark, read_documents(spark, sf_dir))
+    counts = [count_of(kind).alias(f"n_{kind}") for kind in BASE]
+    return out.select("doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
 def op7_pigeonhole_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(spark, read_documents(spark, sf_dir), words=4, radius=4)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -100,6 +107,7 @@ def queries() -> dict:
         "op3_byte_cnn_quality": op3_byte_cnn_quality,
         "op4_complement_packing": op4_complement_packing,
         "op5_byte_cnn_language": op5_byte_cnn_language,
+        "op6_weak_supervision_pii": op6_weak_supervision_pii,
         "op7_pigeonhole_simhash": op7_pigeonhole_simhash,
         "op8_uniform_threshold_topk": op8_uniform_threshold_topk,
         "op9_rans_token_files": op9_rans_token_files,
