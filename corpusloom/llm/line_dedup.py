@@ -18,8 +18,6 @@ A key is the line's bytes stripped of ASCII white space, ASCII-lower-cased, as a
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -35,7 +33,6 @@ BROADCAST_BYTES = 64 << 20
 LAST = 2**63 - 1
 PAIRS = "k1 long, k2 long, doc_id long"
 PAIRS_ARROW = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("doc_id", pa.int64())])
-RESULT = "doc_id long, n_lines long, n_dropped long, kept binary"
 
 
 def long_enough(key: bytes, least: int) -> bool:
@@ -181,25 +178,24 @@ class LineIndex:
         return lost.groupBy("doc_id").agg(F.collect_set(F.struct("k1", "k2")).alias("keys"))
 
 
-def strip_shared_lines(index: LineIndex, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs (key, text) -> doc_id, n_lines, n_dropped, kept: the text without the lines the index takes from it.
+def strip_shared_lines(index: LineIndex, docs: DataFrame, key: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """docs -> doc_id, the columns ``keep``, n_lines, n_dropped, kept: the text without the lines the index takes from it.
 
     Every row of ``docs`` gives one row; null and empty texts are one empty line. Rows that repeat a doc_id are one
     document: they keep their lines. A document without lines left has an empty text.
     """
-    least = index.least
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), utf8(text).alias("text"), F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("_id"))
-    joined = rows.join(index.drops().withColumnRenamed("doc_id", "_id"), "_id", "left")
-    schema = pa.schema([("doc_id", pa.int64()), ("n_lines", pa.int64()), ("n_dropped", pa.int64()), ("kept", pa.binary())])
+    least, keep = index.least, keep or []
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), utf8(text).alias("_text"), F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("_id"), *keep)
+    joined = rows.join(index.drops().withColumnRenamed("doc_id", "_id"), "_id", "left").select("doc_id", *keep, "_text", "keys")
 
     def strip(batches):
         for batch in batches:
             kept, lines, dropped = [], [], []
-            lists = batch.column(2)
+            lists, texts = batch.column(batch.num_columns - 1), batch.column(batch.num_columns - 2)
             k1, k2 = (lists.values.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             flat = np.ascontiguousarray(np.stack([k1, k2], 1).astype("<i8")).view("V16").ravel()
             ends, valid = lists.offsets.to_numpy(), lists.is_valid().to_numpy(zero_copy_only=False)
-            for i, raw in enumerate(batch.column(1).to_pylist()):
+            for i, raw in enumerate(texts.to_pylist()):
                 n, lost = raw.count(b"\n") + 1, 0
                 if valid[i]:
                     gone = {x.tobytes() for x in flat[ends[i] : ends[i + 1]]}
@@ -208,10 +204,8 @@ def strip_shared_lines(index: LineIndex, docs: DataFrame, key: str = "doc_id", t
                 kept.append(raw)
                 lines.append(n)
                 dropped.append(lost)
-            yield record_batch(schema, [batch.column(0), lines, dropped, kept])
-
-    return joined.select("doc_id", "text", "keys").mapInArrow(strip, RESULT)
-
+            more = [pa.array(lines, pa.int64()), pa.array(dropped, pa.int64()), pa.array(kept, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], *more], names=[*batch.schema.names[:-2], "n_lines", "n_dropped", "kept"])
 
-def sha256_hex(raw: bytes) -> str:
-    return hashlib.sha256(raw).hexdigest()
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields[:-2])
+    return joined.mapInArrow(strip, f"{kinds}, n_lines long, n_dropped long, kept binary")
