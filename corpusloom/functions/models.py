@@ -15,6 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType, StringType
 
 
 class Backend(Protocol):
@@ -26,7 +27,7 @@ class Backend(Protocol):
     def info(self) -> dict: ...
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
 
@@ -47,7 +48,7 @@ def hashed_encoder(dim: int = 64) -> Callable:
             yield pd.Series(out)
 
     encode.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return F.pandas_udf(encode, "array<float>")
+    return F.pandas_udf(encode, ArrayType(FloatType()))
 
 
 def overlap_score(query_tokens: Column, text_tokens: Column) -> Column:
