@@ -90,8 +90,8 @@ def find_splitters(keyed: DataFrame, shards: int, pieces: int, tolerance: float,
         gaps = count_between(keyed, bounds)
         if first is None:
             first, size = True, sum(g[0] for g in gaps)
-        below = np.cumsum([0, *(g[0] for g in gaps)])[1:].tolist()
-        rows = np.cumsum([0, *(g[1] for g in gaps)])[1:].tolist()
+        below = np.cumsum([g[0] for g in gaps])[:-1].tolist()
+        rows = np.cumsum([g[1] for g in gaps])[:-1].tolist()
         known.update({b: (below[i], rows[i]) for i, b in enumerate(bounds)})
         for b in list(wanted):
             goal = size * b / total
