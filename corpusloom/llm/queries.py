@@ -96,8 +96,8 @@ def op9_rans_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = contamination(spark, read_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return out.select("doc_id", (F.size("items") > 0).alias("contaminated"), F.col("items").alias("item_ids"))
+    out = contamination(spark, read_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).filter(F.size("items") > 0)
+    return out.select("doc_id", F.lit(True).alias("contaminated"), F.array_join(F.transform("items", lambda i: i.cast("string")), ",").alias("items"))
 
 
 def queries() -> dict:

@@ -12,12 +12,18 @@ def test_matches_duckdb(name, spark, duck, small):
     assert rows_of(got) == rows_of(want)
 
 
-@pytest.mark.parametrize("name", sorted(set(llm.queries()) - set(llm.oracle_sql())))
+@pytest.mark.parametrize("name", sorted(set(llm.queries()) - set(llm.oracle_sql()) - {"op10_spaced_seed_decontamination"}))
 def test_covers_the_table(name, spark, duck, small):
     got = llm.queries()[name](spark, small).toPandas()
     assert set(got.doc_id) == set(duck.sql("SELECT doc_id FROM documents").df().doc_id)
 
 
+def test_finds_every_passage(spark, duck, small):
+    got = {(r.doc_id, i) for r in llm.queries()["op10_spaced_seed_decontamination"](spark, small).collect() for i in r["items"].split(",")}
+    held = duck.sql("SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)").fetchall()
+    assert held and {(d, str(i)) for d, i in held} <= got and len(got) < 2 * len(held)
+
+
 def test_stages_on_awkward_rows(spark, tmp_path):
     bench = spark.createDataFrame([(1, "only a benchmark passage that no document holds at all here")], "item_id long, text string")
     bench.write.parquet(f"{tmp_path}/benchmark.parquet")
