@@ -6,8 +6,8 @@ white space. So a text is cut at its spaces, each distinct piece goes through th
 a text are its pieces' ids end to end. For byte-level files a piece that is empty or has white space at an end is
 not such a place, and the whole text then goes through the library as it is.
 
-Pieces that are letters only, or letters and one closing mark, make up nearly all of a text. Both files split exactly
-between the letters and the mark, so their letters are encoded many at a time, as one text that the same model reads with
+Pieces that are letters only, or letters and closing marks, make up nearly all of a text. Both files split exactly
+between the letters and the marks, so their letters are encoded many at a time, as one text that the same model reads with
 a plain splitter at zero bytes in place of the file's pattern.
 """
 
@@ -18,9 +18,11 @@ import sys
 import types
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Single characters that are neither letters, numbers nor white space, and begin no contraction.
-CLOSING = frozenset(",.;:!?|")
+#: ASCII marks: neither letters, numbers nor white space; without the apostrophe, which begins contractions.
+CLOSING = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
 
 
 def default_path(name: str) -> str:
@@ -30,9 +32,9 @@ def default_path(name: str) -> str:
 
 
 class WordEncoder:
-    """``spaced``: pieces keep the space before them (byte-level files). ``limit``: letters-only pieces remembered at once."""
+    """``spaced``: pieces keep the space before them (byte-level files). ``limit``: pieces remembered at once."""
 
-    def __init__(self, path: str, spaced: bool, limit: int = 600_000):
+    def __init__(self, path: str, spaced: bool, limit: int = 900_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
@@ -46,9 +48,10 @@ class WordEncoder:
             self.letters.normalizer = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
         self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split("\0", "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False, trim_offsets=False)])
         self.mark = self.letters.encode("\0", add_special_tokens=False).ids[0]
-        self.closing = dict(zip(CLOSING, self.encode_whole(list(CLOSING))))
+        self.closing: dict[str, bytes] = {"": b""}
         self.newline = self.encode_whole(["\n"])[0]
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def encode_whole(self, texts: list[str]) -> list[bytes]:
         """The plain path: every text through the library as it is."""
@@ -66,66 +69,107 @@ class WordEncoder:
                 known[key + w] = raw[i:j]
                 i = j + 4
 
-    def _pieces(self, pieces: set[str]) -> dict[str, bytes]:
-        """The ids of each distinct piece of some texts, but for those with white space at an end."""
-        known, lead = self.known, " " if self.spaced else ""
-        out: dict[str, bytes] = {}
-        stems, marked, lines, rest = [], [], [], []
+    def _learn(self, pieces: list[str]) -> None:
+        """Put the ids of distinct new pieces into ``known``, but for those with white space at an end."""
+        known, lead, closing = self.known, " " if self.spaced else "", self.closing
+        plain = [w for w in pieces if w.isalpha()]
+        marked, lines, rest = [], [], []
         for w in pieces:
-            if w in known:
-                out[w] = known[w]
-            elif w.isalpha():
-                stems.append(w)
-            elif w[-1] in CLOSING and w[:-1].isalpha():
-                marked.append(w)
+            if w.isalpha():
+                continue
+            stem = w.rstrip(CLOSING)
+            if stem.isalpha():
+                marked.append((w, stem, w[len(stem) :]))
             elif not (self.spaced and (w[0].isspace() or w[-1].isspace())):
                 a, _, b = w.partition("\n")
-                if self.spaced and b.isalpha() and a[-1:] in CLOSING and a[:-1].isalpha():
-                    lines.append((w, a[:-1], a[-1], b))
+                first, second = a.rstrip(CLOSING), b.rstrip(CLOSING)
+                if self.spaced and first.isalpha() and second.isalpha():
+                    lines.append((w, first, a[len(first) :], second, b[len(second) :]))
                 else:
                     rest.append(w)
-        need = set(stems)
-        need.update([w[:-1] for w in marked])
+        need = {x[1] for x in marked}
         need.update([x[1] for x in lines])
+        need = [w for w in need if w not in known] + plain
         if not self.spaced:  # a capital whose small form is a letter and a mark is no plain piece
             odd = {w for w in need if not w.isascii() and not w.lower().isalpha()}
-            need -= odd
-            rest += [w for w in [*stems, *marked] if w in odd or w[:-1] in odd]
-            stems, marked = [w for w in stems if w not in odd], [w for w in marked if w[:-1] not in odd]
-        self._letters([w for w in need if w not in known], lead)
+            if odd:
+                need = [w for w in need if w not in odd]
+                rest += [w for w in plain if w in odd] + [x[0] for x in marked if x[1] in odd]
+                marked = [x for x in marked if x[1] not in odd]
+        self._letters(list(set(need)), lead)
         self._letters(list({x[3] for x in lines if "\0" + x[3] not in known}), "")
-        out.update([(w, known[w]) for w in stems])
-        out.update([(w, known[w[:-1]] + self.closing[w[-1]]) for w in marked])
-        out.update([(w, known[a] + self.closing[c] + self.newline + known["\0" + b]) for w, a, c, b in lines])
-        out.update(zip(rest, self.encode_whole([lead + w for w in rest])))
+        ends = {x[2] for x in marked}
+        ends.update([x[2] for x in lines], [x[4] for x in lines])
+        ends = [c for c in ends if c not in closing]
+        closing.update(zip(ends, self.encode_whole(ends)))
+        for w, a, c in marked:
+            known[w] = known[a] + closing[c]
+        for w, a, c, b, d in lines:
+            known[w] = known[a] + closing[c] + self.newline + known["\0" + b] + closing[d]
+        known.update(zip(rest, self.encode_whole([lead + w for w in rest])))
+
+    def _ids(self, pieces: list[str]) -> list[bytes | None]:
+        """Two generations of known pieces: what is still in use moves from the old one to the new one."""
+        if len(self.known) > self.limit // 2:
+            self.old, self.known = self.known, {}
+            self.closing = {"": b""}
+        known = self.known
+        out = list(map(known.get, pieces))
+        lost = [i for i, ids in enumerate(out) if ids is None and pieces[i]]
+        if lost:
+            words = [pieces[i] for i in lost]
+            old = list(map(self.old.get, words))
+            known.update([x for x in zip(words, old) if x[1] is not None])
+            self._learn([w for w, ids in zip(words, old) if ids is None])
+            for i, w in zip(lost, words):
+                out[i] = known.get(w)
         return out
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
+    def _heads(self, heads: list[str]) -> list[bytes]:
+        """Ids of pieces without a space before them."""
+        plain = {h for h in heads if h.isalpha() and "\0" + h not in self.known}
+        self._letters(list(plain), "")
+        rest = [h for h in heads if not h.isalpha()]
+        have = dict(zip(rest, self.encode_whole(rest)))
+        return [have[h] if h in have else self.known["\0" + h] for h in heads]
+
+    def __call__(self, texts: pa.Array) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        if len(self.known) > self.limit:
-            self.known.clear()
-        cut = [t.split(" ") for t in texts]
+        # ASCII white space ends a word of a word-level file; other white space stays inside a piece for the library
+        cut = pc.split_pattern(texts, " ") if self.spaced else pc.ascii_split_whitespace(texts)
+        words, count = cut.flatten(), cut.value_lengths().to_numpy(zero_copy_only=False)
+        ends = np.cumsum(count)
+        coded = words.dictionary_encode()
+        have = self._ids(coded.dictionary.to_pylist())
+        flat = pa.array([b"" if x is None else x for x in have], pa.large_binary()).take(coded.indices)
+        at = np.frombuffer(flat.buffers()[1], np.int64)[flat.offset : flat.offset + len(flat) + 1] if len(flat) else np.zeros(1, np.int64)
+        data = memoryview(flat.buffers()[2] or b"")
         if not self.spaced:
-            # other white space ends a word too, but for four controls that only Python takes for white space
-            cut = [t.split() if not ("\x1c" in t or "\x1d" in t or "\x1e" in t or "\x1f" in t) else words for t, words in zip(texts, cut)]
-            have = self._pieces(set().union(*cut) - {""})
-            have[""] = b""
-            return [b"".join([have[w] for w in words]) for words in cut]
-        have = self._pieces(set().union(*[words[1:] for words in cut]) - {""})
-        heads = [words[0] for words in cut]  # a text's first piece has no space before it
-        out: list = [None if not h or h[-1].isspace() else ids for h, ids in zip(heads, self.encode_whole(heads))]
-        for i, words in enumerate(cut):
-            if out[i] is not None:
-                try:
-                    out[i] = b"".join([out[i], *[have[w] for w in words[1:]]])
-                except KeyError:
-                    out[i] = None
-        rest = [i for i, ids in enumerate(out) if ids is None]
-        for i, ids in zip(rest, self.encode_whole([texts[i] for i in rest])):
+            return [bytes(data[i:j]) for i, j in zip(at[ends - count].tolist(), at[ends].tolist())]
+        # a text's first piece has no space before it
+        heads = words.take(pa.array(ends - count)).to_pylist()
+        unsafe = np.array([x is None for x in have], bool)[coded.indices.to_numpy()]
+        unsafe[ends - count] = [not h or h[-1].isspace() for h in heads]
+        whole = np.add.reduceat(unsafe, ends - count) > 0 if len(ends) else np.empty(0, bool)
+        bodies = zip(self._heads(heads), at[ends - count + 1].tolist(), at[ends].tolist())
+        out = [ids + data[i:j] for ids, i, j in bodies]
+        rest = np.flatnonzero(whole).tolist()
+        for i, ids in zip(rest, self.encode_whole(texts.take(pa.array(rest, pa.int64())).to_pylist())):
             out[i] = ids
         return out
 
 
+def slices(batch: pa.RecordBatch, column: int, size: int = 6 << 20):
+    """A batch in runs of rows with about ``size`` bytes of text; a longer text is a run of its own."""
+    total = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        end = int(np.searchsorted(total, (total[at - 1] if at else 0) + size, side="right"))
+        end = max(end, at + 1)
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def worker_encoder(path: str, spaced: bool) -> WordEncoder:
     """One encoder for all tasks of a Python worker: its words stay known, and the file is parsed once."""
     shelf = sys.modules.setdefault("_corpusloom_worker", types.ModuleType("_corpusloom_worker"))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import record_batch, written
-from corpusloom.llm.encoding import worker_encoder
+from corpusloom.llm.encoding import slices, worker_encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids binary, part long, nth long"
 PIECES_ARROW = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("part", pa.int64()), ("nth", pa.int64())])
@@ -34,9 +34,8 @@ def cut_pieces(docs: DataFrame, tokenizer: str, spaced: bool, end_id: int, capac
         encoder, part = worker_encoder(tokenizer, spaced), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                some = batch.slice(at, 1000)
-                all_ids = [x + end for x in encoder(some.column(1).to_pylist())]
+            for some in slices(batch, 1):
+                all_ids = [x + end for x in encoder(some.column(1))]
                 total = np.array([len(x) // 4 for x in all_ids], np.int64)
                 pieces = -(-total // capacity)
                 row = np.repeat(np.arange(len(total)), pieces)

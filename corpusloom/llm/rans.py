@@ -23,8 +23,8 @@ MAGIC = b"RNS1"
 SCALE = 20
 TOTAL = 1 << SCALE
 LOW = 1 << 31
-LANES = 1024
-BLOCK = 1 << 19
+LANES = 4096
+BLOCK = 1 << 21
 U = np.uint64
 
 
@@ -74,10 +74,10 @@ class Table:
         freq[self.symbols], start[self.symbols] = self.freq, self.start
         return freq, start
 
-    def slots(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Id, frequency and offset within the id of each of the TOTAL slots."""
-        n = self.freq.astype(np.int64)
-        return np.repeat(self.symbols, n), np.repeat(self.freq, n), np.arange(TOTAL, dtype=np.uint64) - np.repeat(self.start, n)
+    def slots(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Which symbol (by number) each of the TOTAL slots has; id, frequency and first slot of each symbol."""
+        kind = np.uint16 if len(self.symbols) < 1 << 16 else np.uint32
+        return np.repeat(np.arange(len(self.symbols), dtype=kind), self.freq.astype(np.int64)), self.symbols, self.freq, self.start
 
 
 def encode_block(ids: np.ndarray, dense: tuple[np.ndarray, np.ndarray]) -> bytes:
@@ -87,16 +87,20 @@ def encode_block(ids: np.ndarray, dense: tuple[np.ndarray, np.ndarray]) -> bytes
     x = np.full(LANES, LOW, np.uint64)
     words: list[np.ndarray] = []
     middle, after = x.copy(), 0
-    most = U(LOW >> SCALE << 32)
+    most, word, scale = U(LOW >> SCALE << 32), U(32), U(SCALE)
     for t in range(steps - 1, -1, -1):
         s = ids[t * LANES : (t + 1) * LANES]
         f, y = freq[s], x[: len(s)]
-        full = y >= f * most
-        if full.any():
-            words.append(y[full].astype(np.uint32))
-            y = np.where(full, y >> U(32), y)
+        full = np.flatnonzero(y >= f * most)
+        if len(full):
+            out = y[full]
+            words.append(out.astype(np.uint32))
+            y[full] = out >> word
         q = y // f
-        x[: len(s)] = (q << U(SCALE)) + (y - q * f) + start[s]
+        y -= q * f
+        q <<= scale
+        y += q
+        y += start[s]
         if t == half:
             middle, after = x.copy(), sum(map(len, words))
     flat = np.concatenate(words[::-1]).astype("<u4") if words else np.empty(0, "<u4")
@@ -110,21 +114,23 @@ def encode_block(ids: np.ndarray, dense: tuple[np.ndarray, np.ndarray]) -> bytes
 
 def decode_steps(x: np.ndarray, words: np.ndarray, at: int, first: int, last: int, n: int, slots) -> np.ndarray:
     """Ids of steps first to last (exclusive) from lane states ``x`` and word position ``at``."""
-    symbol, freq, inside = slots
+    number, symbol, freq, start = slots
     out = np.empty(max(0, min(n, last * LANES) - first * LANES), np.uint32)
-    mask, low, wide = U(TOTAL - 1), U(LOW), words.astype(np.uint64)
+    mask, low, wide, scale, word = U(TOTAL - 1), U(LOW), words.astype(np.uint64), U(SCALE), U(32)
     for t in range(first, last):
         m = min(LANES, n - t * LANES)
         y = x[:m]
-        slot = (y & mask).astype(np.int64)
-        out[(t - first) * LANES : (t - first) * LANES + m] = symbol[slot]
-        y = freq[slot] * (y >> U(SCALE)) + inside[slot]
-        need = y < low
-        k = int(np.count_nonzero(need))
-        if k:
-            y[need] = (y[need] << U(32)) | wide[at : at + k]
-            at += k
-        x[:m] = y
+        slot = y & mask
+        s = number[slot]
+        out[(t - first) * LANES : (t - first) * LANES + m] = symbol[s]
+        y >>= scale
+        y *= freq[s]
+        y += slot
+        y -= start[s]
+        need = np.flatnonzero(y < low)
+        if len(need):
+            y[need] = (y[need] << word) | wide[at : at + len(need)]
+            at += len(need)
     return out
 
 

@@ -14,10 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import new_path, record_batch, shuffle_width
-from corpusloom.llm.encoding import worker_encoder
+from corpusloom.llm.encoding import slices, worker_encoder
 from corpusloom.llm.rans import encode_segment, read_segment
 
-SEGMENT_IDS = 1 << 22
+SEGMENT_IDS = 1 << 21
 FILE_SCHEMA = "file long, segment long, n_ids long, data binary"
 FILE_ARROW = pa.schema([("file", pa.int64()), ("segment", pa.int64()), ("n_ids", pa.int64()), ("data", pa.binary())])
 READ_ARROW = pa.schema([("file", pa.int64()), ("doc_id", pa.int64()), ("place", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
@@ -49,9 +49,8 @@ def write_token_files(spark: SparkSession, docs: DataFrame, tokenizer: str, spac
             return batch
 
         for batch in batches:
-            for i in range(0, batch.num_rows, 1000):
-                some = batch.slice(i, 1000)
-                for k, ids in zip(some.column(0).to_pylist(), encoder(some.column(1).to_pylist())):
+            for some in slices(batch, 1):
+                for k, ids in zip(some.column(0).to_pylist(), encoder(some.column(1))):
                     keys.append(k)
                     parts.append(ids + end)
                     held += len(ids) // 4 + 1
