@@ -123,33 +123,26 @@ class LineIndex:
             self.shards = -(-self.size // KEYS_PER_SHARD)
             filters = build_filters(shared, self.shards)
         else:
-            filters = self._moved(new.unionByName(old))
+            filters = self._moved(new.unionByName(old), shared)
         filters = written(self.spark, filters, "line-filters")
         forget(self.spark, *{id(t): t for t in (self.refs, self.shared, self.filters, touched)}.values())
         self.refs, self.shared, self.filters = refs, shared, filters
 
-    def _moved(self, moves: DataFrame) -> DataFrame:
+    def _moved(self, moves: DataFrame, shared: DataFrame) -> DataFrame:
+        """Filters after deletions (sign -1) and insertions (sign 1); a shard that gets too full is built anew."""
+
         def change(key, pdf, old):
             have = CuckooFilter.from_bytes(old["filter"].iloc[0]) if len(old) else CuckooFilter(1)
             have.delete(pdf["k2"][pdf["sign"] < 0].to_numpy(np.int64))
             add = pdf["k2"][pdf["sign"] > 0].to_numpy(np.int64)
-            while have.count + len(add) > 0.84 * have.table.size or not have.insert(add):
-                raise OverflowError(f"shard {key[0]} is full")
-            return pd.DataFrame({"shard": [key[0]], "filter": [have.to_bytes()]})
-
-        def grown(key, pdf, old):
-            try:
-                return change(key, pdf, old)
-            except OverflowError:
-                return pd.DataFrame({"shard": [key[0]], "filter": [b""]})
+            fits = have.count + len(add) <= 0.84 * have.table.size and have.insert(add)
+            return pd.DataFrame({"shard": [key[0]], "filter": [have.to_bytes() if fits else b""]})
 
         cells = moves.select(shard_of(self.shards), "k2", "sign").groupBy("shard").cogroup(self.filters.groupBy("shard"))
-        # a full shard comes back empty and is built anew from the exact counts
-        changed = written(self.spark, cells.applyInPandas(grown, "shard int, filter binary"), "line-moved")
+        changed = written(self.spark, cells.applyInPandas(change, "shard int, filter binary"), "line-moved")
         full = changed.filter(F.length("filter") == 0).select("shard")
-        shared = self.shared if self.shared is not None else None
-        rebuilt = build_filters(moves.filter("sign > 0").select("k1", "k2").unionByName(shared.select("k1", "k2").join(moves.filter("sign < 0"), ["k1", "k2"], "left_anti")).join(full, shard_of(self.shards) == full["shard"], "left_semi"), self.shards)
-        return changed.filter(F.length("filter") > 0).unionByName(rebuilt)
+        anew = shared.select("k1", "k2", shard_of(self.shards)).join(full, "shard", "left_semi")
+        return changed.filter(F.length("filter") > 0).unionByName(build_filters(anew, self.shards))
 
     def candidates(self) -> DataFrame:
         """refs that may be shared: those that some filter knows, while the filters are small enough to send."""

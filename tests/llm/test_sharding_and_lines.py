@@ -110,6 +110,17 @@ def test_insertions_and_deletions_are_reversible(spark):
     assert result(spark, index, frame(rows)) == brute(rows)
 
 
+def test_full_shards_are_built_anew(spark):
+    frame = lambda some: spark.createDataFrame(some, "doc_id long, text string")
+    first = [(i, "the only shared line") for i in range(3)]
+    second = [(10 + i, "\n".join(f"shared line number {j}" for j in range(80))) for i in range(3)]
+    index = LineIndex(spark)
+    index.insert(frame(first))
+    index.insert(frame(second))
+    assert result(spark, index, frame(first + second)) == brute(first + second)
+    assert sum(CuckooFilter.from_bytes(bytes(r.filter)).count for r in index.filters.collect()) == 81
+
+
 def test_exact_path_without_filters(spark, monkeypatch):
     monkeypatch.setattr("corpusloom.llm.line_dedup.BROADCAST_BYTES", 0)
     test_lines_against_brute_force(spark)
