@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +18,10 @@ class LexicalIndex:
     postings: DataFrame
     lengths: DataFrame
 
+    def kept(self) -> LexicalIndex:
+        """The same with postings kept in memory or on the executors' disks, for the two times a search reads them."""
+        return LexicalIndex(self.postings.persist(StorageLevel.MEMORY_AND_DISK), self.lengths)
+
     def stats(self) -> DataFrame:
         return self.lengths.agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
 
@@ -31,11 +36,16 @@ def idf(n: Column, df: Column) -> Column:
     return F.log(1 + (n - df + 0.5) / (df + 0.5))
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """A table read from fewer splits than there are cores, dealt to all of them; larger tables are left alone."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+
+
 def build_index(docs: DataFrame, key: str, words: Column, only: DataFrame | None = None) -> LexicalIndex:
     """Index ``words`` (an array column) of each row. ``only`` (column term) keeps just the terms that will be asked."""
     cut = docs.select(F.col(key).alias("idx"), words.alias("words"))
     lengths = cut.select("idx", F.size("words").alias("dl"))
-    # a document's own counts need no shuffle: sort its words and group runs after the explode
     rows = cut.select("idx", F.size("words").alias("dl"), F.explode("words").alias("term"))
     if only is not None:
         rows = rows.join(only.select("term").distinct(), "term", "left_semi")

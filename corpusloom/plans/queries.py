@@ -11,7 +11,8 @@ from corpusloom.functions.vectors import unit
 from corpusloom.operators import answers, evaluate, evidence, fusion, ingest, knowledge
 from corpusloom.operators.chunking import chunked
 from corpusloom.operators.dense import dense_topk
-from corpusloom.operators.lexical import bm25_scores, build_index, padded_top, top
+from corpusloom.operators.lexical import bm25_scores, build_index, padded_top, spread, top
+from corpusloom.plans.service import Service
 from corpusloom.streaming.limits import limited
 
 QUERIES: dict = {}
@@ -86,8 +87,12 @@ evid AS (SELECT * FROM (SELECT *, sum(length(text)) OVER (PARTITION BY qid ORDER
   WHERE coalesce(nullif(rr, 0), nullif(dense_score, 0), 0) >= 0.1) WHERE used <= 14000)"""
 
 
+def texts(spark, sf):
+    return spread(table(spark, sf, "documents").select("doc_id", "text"))
+
+
 def words_of_docs(spark, sf):
-    return table(spark, sf, "documents").select(F.col("doc_id").alias("idx"), T.tokens(F.col("text")).alias("words"))
+    return texts(spark, sf).select(F.col("doc_id").alias("idx"), T.tokens(F.col("text")).alias("words"))
 
 
 def asked(spark, sf):
@@ -97,7 +102,7 @@ def asked(spark, sf):
 def lexical(spark, sf):
     """(index of the asked terms, queries, scores)."""
     q = asked(spark, sf)
-    index = build_index(table(spark, sf, "documents"), "doc_id", T.tokens(F.col("text")), only=q.select(F.explode("words").alias("term")))
+    index = build_index(texts(spark, sf), "doc_id", T.tokens(F.col("text")), only=q.select(F.explode("words").alias("term"))).kept()
     return index, q, bm25_scores(index, q)
 
 
@@ -125,12 +130,12 @@ def evidence_rows(spark, sf):
 
 @query("p1_normalize", f"SELECT doc_id, {norm_sql('text')} AS normalized FROM documents")
 def p1_normalize(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", T.normalize(F.col("text")).alias("normalized"))
+    return texts(spark, sf).select("doc_id", T.normalize(F.col("text")).alias("normalized"))
 
 
 @query("p2_normalize_ui", f"SELECT doc_id, {norm_sql('text', 'ui')} AS normalized FROM documents")
 def p2_normalize_ui(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", T.normalize(F.col("text"), "ui").alias("normalized"))
+    return texts(spark, sf).select("doc_id", T.normalize(F.col("text"), "ui").alias("normalized"))
 
 
 @query("p3_token_counts", f"WITH {DOCS} SELECT doc_id, CAST(len(t) AS BIGINT) AS n_tokens, CAST(len(list_distinct(t)) AS BIGINT) AS n_terms FROM docs")
@@ -236,19 +241,19 @@ def g2_window_chunks(spark, sf):
 
 @query("a1_term_freq", f"WITH {DOCS} SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM docs) GROUP BY 1, 2")
 def a1_term_freq(spark, sf):
-    index = build_index(table(spark, sf, "documents"), "doc_id", T.tokens(F.col("text")))
+    index = build_index(texts(spark, sf), "doc_id", T.tokens(F.col("text")))
     return index.postings.select(F.col("idx").alias("doc_id"), "term", "tf")
 
 
 @query("a2_doc_freq", f"WITH {DOCS}, p AS (SELECT DISTINCT doc_id, unnest(t) AS term FROM docs), n AS (SELECT count(*) AS n FROM docs) SELECT term, count(*) AS df, round(ln(1 + (max(n) - count(*) + 0.5) / (count(*) + 0.5)), 6) AS idf FROM p, n GROUP BY 1")
 def a2_doc_freq(spark, sf):
-    index = build_index(table(spark, sf, "documents"), "doc_id", T.tokens(F.col("text")))
+    index = build_index(texts(spark, sf), "doc_id", T.tokens(F.col("text")))
     return index.terms().select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query("a4_corpus_stats", f"WITH {DOCS} SELECT count(*) AS n, round(avg(len(t)), 6) AS avgdl FROM docs")
 def a4_corpus_stats(spark, sf):
-    return build_index(table(spark, sf, "documents"), "doc_id", T.tokens(F.col("text"))).stats().select("n", F.round("avgdl", 6).alias("avgdl"))
+    return build_index(texts(spark, sf), "doc_id", T.tokens(F.col("text"))).stats().select("n", F.round("avgdl", 6).alias("avgdl"))
 
 
 @query("a6_bm25_top10", f"WITH {BM25} SELECT qid, idx, score, rank FROM best")
@@ -413,6 +418,14 @@ def p27_preferred_models(spark, sf):
     return answers.preferred_models(wanted, table(spark, sf, "events").select(F.col("event_type").alias("id")).distinct())
 
 
+@query("service_retrieve")
+def service_retrieve(spark, sf):
+    """The facade end to end: encoder, BM25, dense top-k, union, reranker, fusion."""
+    docs = spread(table(spark, sf, "documents")).select(F.col("doc_id").alias("idx"), F.col("doc_id").cast("string").alias("document_id"), F.col("source").alias("law_name"), F.col("lang").alias("article_id"), "text")
+    asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
+    return Service(docs).retrieve(asked).select("qid", "rank", "document_id", "final_score")
+
+
 @query("answer_extractive")
 def answer_extractive(spark, sf):
     contexts = evidence.grounded_context(evidence_rows(spark, sf))
