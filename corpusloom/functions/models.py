@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType, StringType
 
+from corpusloom.errors import BackendUnavailable
+
 
 class Backend(Protocol):
     """What an answer generator has to offer; ``load`` runs once a task."""
@@ -101,5 +103,5 @@ def pick_backend(name: str, local: Backend | None = None, remote: Backend | None
     if name == "auto":
         return local or remote or known["extractive"]
     if known.get(name) is None:
-        raise ValueError(f"backend {name!r} is not available")
+        raise BackendUnavailable(f"backend {name!r} is not available")
     return known[name]

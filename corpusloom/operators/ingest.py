@@ -5,15 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.errors import InvalidDocument
 from corpusloom.functions.text import digest, strip
 
 REQUIRED = ["document_id", "jurisdiction", "law_id", "law_name", "article_id", "raw_text", "normalized_text", "embedding_text"]
 
 
-class InvalidDocument(ValueError):
-    """A document table that does not meet the schema."""
-
-
 def blank(c: Column) -> Column:
     return c.isNull() | (strip(c) == "")
 

@@ -8,6 +8,7 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.errors import UnknownVersion
 from corpusloom.functions.text import digest
 
 MANIFEST = "version_id string, dataset_hash string, document_count long, embedding_model string, embedding_model_hash string, reranker_model string, index_type string, embedding_cache_path string, created_at double"
@@ -43,7 +44,7 @@ def list_versions(spark: SparkSession, root: str) -> DataFrame:
 def make_current(spark: SparkSession, root: str, version_id: str) -> None:
     """Roll back or forward: the pointer moves, no version is deleted or copied."""
     if list_versions(spark, root).filter(F.col("version_id") == version_id).isEmpty():
-        raise ValueError(f"no version {version_id!r}")
+        raise UnknownVersion(f"no version {version_id!r}")
     spark.createDataFrame([(version_id,)], "version_id string").coalesce(1).write.mode("overwrite").json(f"{root}/current")
 
 

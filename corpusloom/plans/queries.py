@@ -91,6 +91,10 @@ def texts(spark, sf):
     return spread(table(spark, sf, "documents").select("doc_id", "text"))
 
 
+def texts_and_sources(spark, sf):
+    return spread(table(spark, sf, "documents").select("doc_id", "text", "source"))
+
+
 def words_of_docs(spark, sf):
     return texts(spark, sf).select(F.col("doc_id").alias("idx"), T.tokens(F.col("text")).alias("words"))
 
@@ -149,6 +153,37 @@ def p5_lexical_text(spark, sf):
     return table(spark, sf, "documents").select("doc_id", T.lexical_text(F.col("source"), F.col("text")).alias("lexical_text"))
 
 
+@query("p7_record_fields", "SELECT doc_id, CAST(doc_id AS VARCHAR) AS document_id, coalesce(nullif(text, ''), '') AS text, coalesce(nullif(CASE WHEN doc_id % 2 = 0 THEN '' ELSE lang END, ''), nullif(source, ''), '') AS title, CASE WHEN doc_id % 3 = 0 THEN 'غير محدد' ELSE source END AS law_name, CASE WHEN doc_id % 5 = 0 THEN 'N/A' ELSE lang END AS article_id FROM documents")
+def p7_record_fields(spark, sf):
+    none, ident = F.lit(None).cast("string"), F.col("doc_id")
+    title = F.when(ident % 2 == 0, "").otherwise(F.col("lang"))
+    fields = T.record_fields(none, F.lit(""), ident, F.lit(""), F.col("text"), none, title, F.col("source"), F.when(ident % 3 != 0, F.col("source")), F.when(ident % 5 == 0, "").otherwise(F.col("lang")))
+    return table(spark, sf, "documents").select("doc_id", *fields)
+
+
+@query("p8_harness_text", f"SELECT doc_id, {norm_sql('CASE WHEN doc_id % 2 = 0 THEN source ELSE text END')} AS harness_text FROM documents")
+def p8_harness_text(spark, sf):
+    cleaned = F.when(F.col("doc_id") % 2 == 0, F.col("source")).otherwise("")
+    return texts_and_sources(spark, sf).select("doc_id", T.normalize(T.harness_text(cleaned, F.col("text"))).alias("harness_text"))
+
+
+@query("p16_prompt", "SELECT item_id, e'SYSTEM:\\nBe brief.\\n\\nLEGAL_CONTEXT:\\nnone\\n\\nUSER_QUERY:\\n' || text || e'\\n\\nINSTRUCTIONS:\\nCite.' AS prompt FROM benchmark")
+def p16_prompt(spark, sf):
+    return table(spark, sf, "benchmark").select("item_id", T.prompt("Be brief.", F.col("text"), F.lit("none"), "Cite.").alias("prompt"))
+
+
+@query("p17_messages", "SELECT item_id, CAST(position AS INTEGER) AS position, CASE position WHEN 0 THEN 'system' ELSE 'user' END AS role, CASE position WHEN 0 THEN 'Be brief.' ELSE text END AS content FROM benchmark, (VALUES (0), (1)) v(position)")
+def p17_messages(spark, sf):
+    rows = table(spark, sf, "benchmark").select("item_id", F.posexplode(T.messages("Be brief.", F.col("text"))).alias("position", "m"))
+    return rows.select("item_id", "position", "m.role", "m.content")
+
+
+@query("p20_ui_answer", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN json_extract_string(props, '$.k') WHEN 1 THEN 'No answer available' ELSE event_type END AS answer FROM events")
+def p20_ui_answer(spark, sf):
+    raw = F.when(F.col("event_id") % 3 == 0, F.regexp_replace("props", '"k"', '"answer"')).when(F.col("event_id") % 3 == 1, " ").otherwise(F.col("event_type"))
+    return table(spark, sf, "events").select("event_id", answers.ui_answer(raw).alias("answer"))
+
+
 @query("p9_doc_hash", "SELECT doc_id, sha256(coalesce(text, '')) AS doc_hash FROM documents")
 def p9_doc_hash(spark, sf):
     return table(spark, sf, "documents").select("doc_id", T.digest(F.col("text")).alias("doc_hash"))
@@ -314,6 +349,32 @@ def p25_citation_summary(spark, sf):
     return evidence.citation_summary(evidence_rows(spark, sf))
 
 
+FIRST = "(SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rank) AS n FROM evid)"
+
+
+@query("p15_summary_context", f"WITH {EVID} SELECT qid, string_agg(law_name || ' / المادة ' || article_id || ': ' || text, e'\\n\\n' ORDER BY rank) AS context FROM {FIRST} WHERE n <= 6 GROUP BY qid")
+def p15_summary_context(spark, sf):
+    return evidence.summary_context(evidence_rows(spark, sf))
+
+
+@query("p26_fallback_citations", f"WITH {EVID} SELECT qid, law_name, article_id, text, count(*) AS times FROM {FIRST} WHERE n <= 3 GROUP BY ALL")
+def p26_fallback_citations(spark, sf):
+    rows = evidence.fallback_citations(evidence_rows(spark, sf)).select("qid", F.inline("citations"))
+    return rows.groupBy("qid", "law_name", "article_id", "text").agg(F.count("*").alias("times"))
+
+
+@query("t4_unfused_topk", f"WITH {POOL} SELECT qid, idx, pool_rank AS rank FROM pool WHERE pool_rank <= 5")
+def t4_unfused_topk(spark, sf):
+    return long_rank(fusion.unfused(hybrid_pool(spark, sf)[0], 5)).select("qid", "idx", "rank")
+
+
+@query("x2_overlap_scores", f"WITH {POOL} SELECT p.qid, p.idx, round(len(list_intersect(list_distinct(q.t), docs.t)) / len(list_distinct(q.t)), 6) AS reranker_score FROM pool p JOIN q USING (qid) JOIN docs ON docs.doc_id = p.idx")
+def x2_overlap_scores(spark, sf):
+    pool, q = hybrid_pool(spark, sf)
+    rows = pool.join(q, "qid").join(words_of_docs(spark, sf).withColumnRenamed("words", "dwords"), "idx")
+    return rows.select("qid", "idx", F.round(overlap_score(F.col("words"), F.col("dwords")), 6).alias("reranker_score"))
+
+
 @query("j7_citation_warnings", f"""WITH {EVID}, cited AS (SELECT qid, CAST(rank AS BIGINT) AS position, CASE WHEN rank % 2 = 0 THEN 'x' || idx ELSE CAST(idx AS VARCHAR) END AS source_id FROM fused)
 SELECT c.qid, position, 'Citation id=''' || source_id || ''' not found in evidence — possible hallucination.' AS warning FROM cited c
 ANTI JOIN evid e ON e.qid = c.qid AND e.document_id = c.source_id""")

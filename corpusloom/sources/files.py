@@ -8,6 +8,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.errors import MissingReport
+
 CORPUS = "document_id string, jurisdiction string, law_id string, law_name string, article_id string, raw_text string, normalized_text string, embedding_text string, version_id string, source string"
 SAMPLE = [(str(i), "sample", "law-1", "Sample Act", str(i), t, t, t, None, "sample") for i, t in enumerate(["Everyone may read the law.", "A contract binds its parties.", "Costs follow the event."], 1)]
 
@@ -42,9 +44,9 @@ def write_report(df: DataFrame, path: str) -> None:
 
 
 def read_report(spark: SparkSession, path: str) -> DataFrame:
-    """A report's metrics as columns; FileNotFoundError if there is none."""
+    """A report's metrics as columns; MissingReport if there is none."""
     if not exists(spark, path):
-        raise FileNotFoundError(path)
+        raise MissingReport(path)
     return spark.read.option("multiLine", True).json(path)
 
 
