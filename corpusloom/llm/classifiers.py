@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm.bytecnn import WINDOW, ByteCnn, windows_of
-from corpusloom.llm.common import record_batch, utf8
+from corpusloom.llm.common import record_batch, small_batches, utf8
 
 TRAIN_ROWS = 5000
 TRAIN_WINDOWS = 8
@@ -40,7 +40,7 @@ def sample(docs: DataFrame, labelled: DataFrame, key: str, text: str, stride: in
                 cells.append(w[np.unique(np.linspace(0, len(w) - 1, TRAIN_WINDOWS).round().astype(int))].tobytes())
             yield record_batch(schema, [batch.column(0), cells])
 
-    rows = docs.select(F.col(key).alias("id"), utf8(text).alias("text")).join(F.broadcast(some), "id").select(F.col("label").cast("string").alias("label"), "text")
+    rows = small_batches(docs).select(F.col(key).alias("id"), utf8(text).alias("text")).join(F.broadcast(some), "id").select(F.col("label").cast("string").alias("label"), "text")
     found = [(r["label"], bytes(r["windows"])) for r in rows.mapInArrow(cut, "label string, windows binary").collect()]
     return [(label, np.frombuffer(w, np.uint8).reshape(-1, WINDOW)) for label, w in sorted(found)]
 
@@ -72,6 +72,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, model: tuple[ByteCnn
     with score 0.
     """
     keep = keep or []
+    read = text if text in keep else "_text"
     sent = spark.sparkContext.broadcast(model and (model[0].p, model[1]))
 
     def scan(batches):
@@ -80,7 +81,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, model: tuple[ByteCnn
         for batch in batches:
             langs, scores = [], []
             for at in range(0, batch.num_rows, ROWS):
-                texts = batch.column(0)[at : at + ROWS].to_pylist()
+                texts = batch.column(batch.schema.get_field_index(read))[at : at + ROWS].to_pylist()
                 if sent.value is None:
                     langs += ["und"] * len(texts)
                     scores += [0.0] * len(texts)
@@ -96,10 +97,11 @@ def identify_language(spark: SparkSession, docs: DataFrame, model: tuple[ByteCnn
                 known = [bool(t) and LETTER.search(t) is not None for t in texts]
                 langs += [names[b] if k else "und" for b, k in zip(best, known)]
                 scores += [float(v) if k else 0.0 for v, k in zip(p, known)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names[1:], "_lang_pred", "_score"])
+            names_out = [n for n in batch.schema.names if n != "_text"]
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names_out], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*names_out, "_lang_pred", "_score"])
 
-    kept = docs.select(F.col(text).alias("_text"), key, *keep)
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[1:])
+    kept = small_batches(docs).select(key, *keep, *([] if text in keep else [F.col(text).alias("_text")]))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields if f.name != "_text")
     return kept.mapInArrow(scan, f"{kinds}, _lang_pred string, _score double")
 
 
@@ -150,4 +152,4 @@ def score_quality(spark: SparkSession, docs: DataFrame, model: tuple[ByteCnn, np
                 scores[at : at + ROWS] = 1 / (1 + np.exp(-combined(z[:, 1] - z[:, 0], count) @ sent.value[1]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores)], names=["doc_id", "score"])
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), utf8(text).alias("text")).mapInArrow(scan, "doc_id long, score double")
+    return small_batches(docs).select(F.col(key).cast("long").alias("doc_id"), utf8(text).alias("text")).mapInArrow(scan, "doc_id long, score double")

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.llm.common import small_batches
+
 
 #: Positions that count, of windows of up to 9 words.
 MASKS = ("11111", "110111", "1101011", "111001001")
@@ -126,14 +128,14 @@ def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, ke
     Null and empty texts are clean; items without words and items with a null id take no part; items of fewer than five
     words must occur whole. A word counts as equal without its ASCII marks and in any case.
     """
-    keep = keep or []
-    out = docs.select(key, *keep, F.col(text).alias("_text"), F.array().cast("array<long>").alias("items"))
+    keep, read = keep or [], text if text in (keep or []) else "_text"
+    out = small_batches(docs).select(key, *keep, *([] if text in keep else [F.col(text).alias("_text")]), F.array().cast("array<long>").alias("items"))
     for block in benchmark_blocks(benchmark, item, item_text, limit):
-        out = one_pass(spark, out, block.ids, [w.tolist() for w in block.words], block.vocabulary, span, similarity)
+        out = one_pass(spark, out, read, block.ids, [w.tolist() for w in block.words], block.vocabulary, span, similarity)
     return out.select(key, *keep, "items")
 
 
-def one_pass(spark: SparkSession, docs: DataFrame, ids: np.ndarray, words: list, vocabulary: dict, span: int, similarity: float) -> DataFrame:
+def one_pass(spark: SparkSession, docs: DataFrame, read: str, ids: np.ndarray, words: list, vocabulary: dict, span: int, similarity: float) -> DataFrame:
     back = {i: w for w, i in vocabulary.items()}
     sent = spark.sparkContext.broadcast([(int(i), [back[x] for x in w]) for i, w in zip(ids, words)])
 
@@ -143,7 +145,7 @@ def one_pass(spark: SparkSession, docs: DataFrame, ids: np.ndarray, words: list,
             for at in range(0, batch.num_rows, 512):
                 some = batch.slice(at, 512)
                 names = some.schema.names
-                rows = [bench.numbers(words_of(t)) for t in some.column(names.index("_text")).to_pylist()]
+                rows = [bench.numbers(words_of(t)) for t in some.column(names.index(read)).to_pylist()]
                 length = np.array([len(r) + 1 for r in rows], np.int64)
                 ends = np.cumsum(length)
                 flat = np.zeros(int(ends[-1]) if len(ends) else 0, np.int64)

@@ -34,7 +34,7 @@ def default_path(name: str) -> str:
 class WordEncoder:
     """``spaced``: pieces keep the space before them (byte-level files). ``limit``: pieces remembered at once."""
 
-    def __init__(self, path: str, spaced: bool, limit: int = 900_000):
+    def __init__(self, path: str, spaced: bool, limit: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
@@ -60,8 +60,8 @@ class WordEncoder:
     def _letters(self, stems: list[str], lead: str) -> None:
         """Put the ids of letters-only pieces into ``known``; keys without a space before them begin with a zero."""
         known, key = self.known, "" if lead or not self.spaced else "\0"
-        for a in range(0, len(stems), 20_000):
-            some = stems[a : a + 20_000]
+        for a in range(0, len(stems), 1000):  # small enough for the processor's cache
+            some = stems[a : a + 1000]
             ids = np.array(self.letters.encode_batch_fast([lead + ("\0" + lead).join(some) + "\0"], add_special_tokens=False)[0].ids, "<u4")
             ends = np.flatnonzero(ids == self.mark)
             raw, i = ids.tobytes(), 0
@@ -159,7 +159,7 @@ class WordEncoder:
         return out
 
 
-def slices(batch: pa.RecordBatch, column: int, size: int = 6 << 20):
+def slices(batch: pa.RecordBatch, column: int, size: int = 12 << 20):
     """A batch in runs of rows with about ``size`` bytes of text; a longer text is a run of its own."""
     total = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False))
     at = 0

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import forget, record_batch, utf8, written
+from corpusloom.llm.common import forget, record_batch, small_batches, utf8, written
 from corpusloom.llm.cuckoo import CuckooFilter
 
 KEYS_PER_SHARD = 1 << 20
@@ -60,7 +60,7 @@ def line_refs(docs: DataFrame, least: int, key: str = "doc_id", text: str = "tex
             flat = np.frombuffer(b"".join(found), "<i8").reshape(-1, 2)
             yield record_batch(PAIRS_ARROW, [np.ascontiguousarray(flat[:, 0]), np.ascontiguousarray(flat[:, 1]), np.repeat(ids, times)])
 
-    return docs.select(F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("doc_id"), utf8(text).alias("text")).mapInArrow(scan, PAIRS)
+    return small_batches(docs).select(F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("doc_id"), utf8(text).alias("text")).mapInArrow(scan, PAIRS)
 
 
 def count_refs(refs: DataFrame) -> DataFrame:
@@ -178,7 +178,7 @@ def strip_shared_lines(index: LineIndex, docs: DataFrame, key: str = "doc_id", t
     document: they keep their lines. A document without lines left has an empty text.
     """
     least, keep = index.least, keep or []
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), utf8(text).alias("_text"), F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("_id"), *keep)
+    rows = small_batches(docs).select(F.col(key).cast("long").alias("doc_id"), utf8(text).alias("_text"), F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("_id"), *keep)
     joined = rows.join(index.drops().withColumnRenamed("doc_id", "_id"), "_id", "left").select("doc_id", *keep, "_text", "keys")
 
     def strip(batches):

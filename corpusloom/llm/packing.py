@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import record_batch, written
+from corpusloom.llm.common import record_batch, small_batches, written
 from corpusloom.llm.encoding import slices, worker_encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids binary, part long, nth long"
@@ -51,7 +51,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, spaced: bool, end_id: int, capac
                 ids = [all_ids[r][4 * a : 4 * (a + n)] for r, a, n in zip(row.tolist(), start.tolist(), length.tolist())]
                 yield record_batch(PIECES_ARROW, [some.column(0).take(pa.array(row)), piece.astype(np.int32), start, length, ids, np.full(len(row), part), nth])
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(cut, PIECES)
+    return small_batches(docs).select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(cut, PIECES)
 
 
 def complement(have: np.ndarray, gap: int) -> tuple[int, ...] | None:

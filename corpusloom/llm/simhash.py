@@ -9,7 +9,8 @@ dynamic programming on the candidates they would cost, estimated from all finger
 Equal fingerprints are one node, named by its smallest doc_id, before anything is compared. A look-up cell (partition,
 bits) holds the fingerprints that own these bits and those that come near them. Cells are streamed, sorted, through
 tasks that emit links that span what they find, never all pairs: once a fingerprint has joined a component in a cell it
-is not compared with that component again. Owners of a very large cell are dealt over several copies of the cell.
+is not compared with that component again. A cell with far more owners than
+others is cut into blocks of owners by blocks of all, so that no task gets all of it.
 """
 
 from __future__ import annotations
@@ -23,13 +24,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import forget, record_batch, shuffle_width, utf8, written
+from corpusloom.llm.common import forget, record_batch, shuffle_width, small_batches, utf8, written
 from corpusloom.llm.components import components
 
 NOBODY = 2**63 - 1
-CELL = 1 << 16
+CELL = 1 << 12
 BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
-SIGNATURE_COST, CANDIDATE_COST = 250.0, 1.0
+SKETCH = 256
+#: Nanoseconds of a row that is sent to a cell, and of a comparison in it, as measured.
+SIGNATURE_COST, CANDIDATE_COST = 2000.0, 1.5
 
 
 def fingerprint(text: bytes, words: int) -> int:
@@ -60,7 +63,7 @@ def fingerprints(docs: DataFrame, words: int, key: str = "doc_id", text: str = "
         for batch in batches:
             yield record_batch(schema, [batch.column(0), [fingerprint(t, words) for t in batch.column(1).to_pylist()]])
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), utf8(text).alias("text")).mapInArrow(scan, "doc_id long, fp long")
+    return small_batches(docs).select(F.col(key).cast("long").alias("doc_id"), utf8(text).alias("text")).mapInArrow(scan, "doc_id long, fp long")
 
 
 def bits_of(fp: np.ndarray) -> np.ndarray:
@@ -101,10 +104,14 @@ def grouped_bits(c: np.ndarray, parts: int) -> list[list[int]]:
             for i in group[b]:
                 group[i] = group[a]
     bins: list[list[int]] = [[] for _ in range(parts)]
+    free = [64 // parts + (i < 64 % parts) for i in range(parts)]
     for g in sorted({id(g): g for g in group.values()}.values(), key=len, reverse=True):
-        for bit in g:  # a group larger than the room left is spread over the emptiest bins
-            best = next((x for x in bins if x and x[-1] in g and len(x) < room), None) or min(bins, key=len)
-            best.append(bit)
+        left = list(g)
+        while left:  # what a bin has no room for goes to the next emptiest
+            i = max(range(parts), key=free.__getitem__)
+            take, left = left[: free[i]], left[free[i] :]
+            bins[i] += take
+            free[i] -= len(take)
     return bins
 
 
@@ -166,7 +173,7 @@ def allocate(costs: list[list[float]], radius: int) -> tuple[float, list[int]]:
 def choose(nodes: DataFrame, radius: int) -> list[tuple[int, int]]:
     """(mask, threshold) of each partition that is looked up."""
     n, c = correlation(nodes)
-    plans = [masks(grouped_bits(c, m)) for m in range(2, min(9, radius + 2))] or [masks([list(range(64))])]
+    plans = [masks(grouped_bits(c, m)) for m in range(2, radius + 2)] or [masks([list(range(64))])]
     found = []
     for ms, hist in zip(plans, distances(nodes, plans)):
         costs = []
@@ -237,12 +244,20 @@ def cell_links(fp: np.ndarray, own: np.ndarray, radius: int, dense: int = 1 << 1
 def links(nodes: DataFrame, plan: list[tuple[int, int]], radius: int, width: int, cell: int = CELL) -> DataFrame:
     """(a, b): links between nodes that connect the same components as all pairs within ``radius``."""
     rows = signatures(nodes, plan)
-    own = rows.filter("own")
-    large = own.groupBy("part", "bits").agg(F.count("*").alias("n")).filter(F.col("n") > cell).select("part", "bits", F.ceil(F.col("n") / cell).cast("int").alias("copies"))
-    rows = rows.join(large, ["part", "bits"], "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
-    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-    rows = rows.withColumn("own", F.col("own") & (F.pmod(F.xxhash64("fp"), F.col("copies")) == F.col("copy")))
-    cells = rows.select("part", "bits", "copy", "node", "fp", "own").repartition(width, "part", "bits", "copy").sortWithinPartitions("part", "bits", "copy")
+    usual = F.array(*[F.lit(4.0 * 0.5 ** m.bit_count()) for m, _ in plan])  # four times a part's mean share of the nodes
+    most = F.greatest(F.lit(cell), nodes.agg(F.count("*").alias("n")).select("n").scalar() * usual[F.col("part").cast("int")])
+    own = signatures(nodes, [(m, 0) for m, _ in plan]).groupBy("part", "bits").agg(F.count("*").alias("n"))
+    large = own.withColumn("blocks", F.ceil(F.col("n") / most).cast("int")).filter("blocks > 1").select("part", "bits", "blocks")
+    rows = rows.join(large, ["part", "bits"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    mine, all_blocks = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"), F.sequence(F.lit(0), F.col("blocks") - 1)
+    place = lambda i, j, own: F.struct(i.alias("i"), j.alias("j"), F.lit(own).alias("own"))
+    as_owner = F.transform(all_blocks, lambda j: place(mine, j, True))
+    as_other = lambda blocks: F.transform(blocks, lambda i: place(i, mine, False))
+    # an owner meets all blocks as an owner; to owners of earlier blocks it is one of the others
+    spots = F.when(F.col("own"), F.concat(as_owner, as_other(F.filter(all_blocks, lambda i: i < mine)))).otherwise(as_other(all_blocks))
+    rows = rows.select("part", "bits", "node", "fp", F.explode(spots).alias("s")).select("part", "bits", F.struct("s.i", "s.j").alias("at"), "node", "fp", "s.own")
+    rows = rows.select("part", "bits", (F.col("at.i").cast("long") * F.lit(1 << 31) + F.col("at.j")).alias("copy"), "node", "fp", "own")
+    cells = rows.repartition(width, "part", "bits", "copy").sortWithinPartitions("part", "bits", "copy")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def scan(batches):
@@ -285,17 +300,56 @@ def links(nodes: DataFrame, plan: list[tuple[int, int]], radius: int, width: int
     return cells.mapInArrow(scan, "a long, b long")
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 4, radius: int = 4, key: str = "doc_id", text: str = "text", cell: int = CELL) -> DataFrame:
+def sketch(text: bytes, words: int) -> np.ndarray:
+    """The SKETCH smallest hashes of the distinct shingles, in order."""
+    tokens = text.lower().split()
+    h = xxhash.xxh64_intdigest
+    return np.array(sorted({h(b" ".join(tokens[i : i + words]), 7) for i in range(max(1, len(tokens) - words + 1))})[:SKETCH], np.uint64)
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two shingle sets from their sketches: exact while the union has at most SKETCH hashes."""
+    union = np.union1d(a, b)[:SKETCH]
+    return float((np.isin(union, a) & np.isin(union, b)).mean())
+
+
+def verified(edges: DataFrame, docs: DataFrame, words: int, least: float, key: str, text: str) -> DataFrame:
+    """Links whose texts have at least ``least`` in common. What is shuffled is a sketch of bounded size a document."""
+    touched = edges.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
+    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NOBODY)).alias("_id"), utf8(text).alias("_text")).join(touched, "_id", "left_semi")
+    schema = pa.schema([("_id", pa.int64()), ("_sketch", pa.binary())])
+
+    def draw(batches):
+        for batch in batches:
+            yield record_batch(schema, [batch.column(0), [sketch(t, words).tobytes() for t in batch.column(1).to_pylist()]])
+
+    drawn = rows.mapInArrow(draw, "_id long, _sketch binary").groupBy("_id").agg(F.max("_sketch").alias("_sketch"))
+    drawn = written(docs.sparkSession, drawn, "sketches")
+    pairs = edges.join(drawn.select(F.col("_id").alias("a"), F.col("_sketch").alias("x")), "a").join(drawn.select(F.col("_id").alias("b"), F.col("_sketch").alias("y")), "b")
+
+    def judge(batches):
+        for batch in batches:
+            x, y = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            fine = [similarity(np.frombuffer(u, np.uint64), np.frombuffer(v, np.uint64)) >= least for u, v in zip(x, y)]
+            yield batch.select([0, 1]).filter(pa.array(fine, pa.bool_()))
+
+    return pairs.select("a", "b", "x", "y").mapInArrow(judge, "a long, b long")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 4, radius: int = 4, key: str = "doc_id", text: str = "text", cell: int = CELL, least: float | None = None) -> DataFrame:
     """doc_id, fp, component_id for every row of ``docs``: the smallest doc_id that links can reach, itself included.
 
     Rows that repeat a doc_id are one document, linked to each other. A null doc_id is larger than all others, and null
-    again in the result. Null, empty and blank texts have fingerprint 0 and link like any other.
+    again in the result. With ``least``, a link also needs that Jaccard similarity of the two texts' shingle sets, and a
+    group is what verified links connect. Null, empty and blank texts have fingerprint 0 and link like any other.
     """
     prints = written(spark, fingerprints(docs, words, key, text), "prints")
     known = prints.select(F.coalesce("doc_id", F.lit(NOBODY)).alias("doc_id"), "fp")
     nodes = written(spark, known.groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
     plan = choose(nodes, radius)
     found = written(spark, links(nodes, plan, radius, shuffle_width(spark), cell), "links")
+    if least is not None:
+        found = written(spark, verified(found, docs, words, least, key, text), "verified")
     # a doc_id with several fingerprints ties them together
     several = known.groupBy("doc_id").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).filter("low < high").select("doc_id")
     ties = known.join(several, "doc_id", "left_semi").join(nodes, "fp").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))

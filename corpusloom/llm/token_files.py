@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import new_path, record_batch, shuffle_width
+from corpusloom.llm.common import new_path, record_batch, shuffle_width, small_batches
 from corpusloom.llm.encoding import slices, worker_encoder
 from corpusloom.llm.rans import encode_segment, read_segment
 
@@ -29,7 +29,7 @@ def write_token_files(spark: SparkSession, docs: DataFrame, tokenizer: str, spac
     Null keys come first. Rows that repeat a key stay, next to each other in any order; the row number in the sort key
     lets a hot key spread over files.
     """
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.monotonically_increasing_id().alias("_row"))
+    rows = small_batches(docs).select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.monotonically_increasing_id().alias("_row"))
     dealt = rows.repartitionByRange(files, "doc_id", "_row").sortWithinPartitions("doc_id", "_row").select("doc_id", "text")
     end = np.array([end_id], "<u4").tobytes()
 
