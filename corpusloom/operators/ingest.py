@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,7 +83,8 @@ def numbered(docs: DataFrame, order: str) -> DataFrame:
     """Add idx, the position by ``order`` from 0, without sorting the table in one task: counts of ranges first."""
     spark = docs.sparkSession
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = docs.repartitionByRange(width, order).withColumn("_part", F.spark_partition_id())
+    # kept, so that both readers see the same ranges
+    ranged = docs.repartitionByRange(width, order).withColumn("_part", F.spark_partition_id()).persist(StorageLevel.MEMORY_AND_DISK)
     before = ranged.groupBy("_part").count()
     w = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     start = before.select("_part", F.coalesce(F.sum("count").over(w), F.lit(0)).alias("_start"))  # a row a partition
