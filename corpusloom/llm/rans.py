@@ -23,8 +23,8 @@ MAGIC = b"RNS1"
 SCALE = 20
 TOTAL = 1 << SCALE
 LOW = 1 << 31
-LANES = 4096
-BLOCK = 1 << 21
+LANES = 2048
+BLOCK = 1 << 20
 U = np.uint64
 
 
