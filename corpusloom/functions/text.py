@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 SPACE = r"[\s\p{Z}\x1C-\x1F\x85]"
 ALEF_FROM, ALEF_TO = "إأآٱىـ", "ااااي"  # the last one, tatweel, has no target and goes
 DIACRITICS = r"[\x{064B}-\x{065F}\x{0670}]"
+ARABIC = r"[\x{060C}-\x{0671}]"  # holds all characters that the next steps change
 NOT_WORD = r"[^\p{L}\p{N}_\x{0600}-\x{06FF}]+"
 UI_MARKS = r"[؟،؛]"
 ARTICLE_PREFIX = r"(?<![\p{L}\p{N}_])ال(?=.{3,})"
 HEADING_PREFIX = r"^[\s\p{Z}]*المادة[\s\p{Z}]*[^\s\p{Z}]*[\s\p{Z}]*[-:]?[\s\p{Z}]*"
-SENTENCE_END = r"[.\x{06D4}؟!]"
 UNKNOWN_LAW, NO_ARTICLE, DEFAULT_TITLE = "غير محدد", "N/A", "مصدر قانوني"
 INJECTION_PHRASES = ["ignore the above", "ignore previous instructions", "ignore all previous instructions", "disregard the system prompt", "system:", "assistant:"]
 
@@ -37,9 +37,11 @@ def normalize(c: Column, profile: str = "core") -> Column:
 
     NFKC is a separate step (:func:`corpusloom.functions.models.nfkc`): Spark has no function for it.
     """
-    out = F.regexp_replace(F.translate(F.lower(F.coalesce(c, F.lit(""))), ALEF_FROM, ALEF_TO), DIACRITICS, "")
+    low = F.lower(F.coalesce(c, F.lit("")))
+    arabic = F.regexp_replace(F.translate(low, ALEF_FROM, ALEF_TO), DIACRITICS, "")
     if profile == "ui":
-        out = F.regexp_replace(out, UI_MARKS, " ")
+        arabic = F.regexp_replace(arabic, UI_MARKS, " ")
+    out = F.when(low.rlike(ARABIC), arabic).otherwise(low)  # texts without these letters skip the slow steps
     return F.trim(F.regexp_replace(out, NOT_WORD, " "))
 
 
