@@ -8,8 +8,8 @@ dynamic programming on the candidates they would cost, estimated from all finger
 
 Equal fingerprints are one node, named by its smallest doc_id, before anything is compared. A look-up cell (partition,
 bits) holds the fingerprints that own these bits and those that come near them. Cells are streamed, sorted, through
-tasks that emit links that span what they find, never all pairs: once a fingerprint has joined a component in a cell it
-is not compared with that component again. A cell with far more owners than
+tasks that emit links that span dense groups, never all their pairs: once a fingerprint has joined such a group in a
+cell it is not compared with it again. A cell with far more owners than
 others is cut into blocks of owners by blocks of all, so that no task gets all of it.
 """
 
@@ -211,24 +211,36 @@ def signatures(nodes: DataFrame, plan: list[tuple[int, int]]) -> DataFrame:
     return nodes.select("node", "fp").mapInArrow(scan, "part byte, bits long, node long, fp long, own boolean")
 
 
-def cell_links(fp: np.ndarray, own: np.ndarray, radius: int, dense: int = 1 << 14) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i, j) of positions in a cell that span everything that owners link to. A fingerprint that has joined a
-    component is taken out of what later members are compared with, so a cell of near copies costs about linear time."""
+def cell_links(fp: np.ndarray, own: np.ndarray, radius: int, small: int = 1 << 14, rows: int = 32, many: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j) of positions in a cell that connect everything that owners link to.
+
+    Owners are compared, some at a time, with all that is left of the cell, and then leave it. If one of them has many
+    links, its whole component is walked instead: what has joined it leaves the cell at once and is never compared with it
+    again, so a cell of near copies costs about linear time and gives links that span it, not all pairs.
+    """
     a = np.flatnonzero(own)
-    if len(a) * len(fp) <= dense:
+    if len(a) * len(fp) <= small:
         i, j = np.nonzero(np.bitwise_count(fp[a][:, None] ^ fp[None, :]) <= radius)
         keep = (a[i] < j) | ~own[j]
         return a[i][keep], j[keep]
-    left, out_i, out_j = np.ones(len(fp), bool), [], []
-    for seed in a.tolist():
-        if not left[seed]:
+    left, out_i, out_j = np.ones(len(fp), bool), [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    while len(a := a[left[a]]):
+        block, rest = a[:rows], np.flatnonzero(left)
+        near = np.bitwise_count(fp[block][:, None] ^ fp[rest][None, :]) <= radius
+        near[np.arange(len(block)), np.searchsorted(rest, block)] = False
+        count = near.sum(1)
+        if count.max() <= many:
+            i, j = np.nonzero(near)
+            out_i.append(block[i])
+            out_j.append(rest[j])
+            left[block] = False
             continue
-        left[seed] = False
-        front = np.array([seed])
+        front = block[[count.argmax()]]
+        left[front] = False
         while len(front):
-            some, front = front[:64], front[64:]
-            for mine, among in ((some[own[some]], np.flatnonzero(left)), (some[~own[some]], np.flatnonzero(left & own))):
-                among = among[left[among]]
+            some, front = front[:rows], front[rows:]
+            for mine, among in ((some[own[some]], left), (some[~own[some]], left & own)):
+                among = np.flatnonzero(among)
                 if len(mine) and len(among):
                     near = np.bitwise_count(fp[mine][:, None] ^ fp[among][None, :]) <= radius
                     hit = near.any(0)
@@ -237,8 +249,7 @@ def cell_links(fp: np.ndarray, own: np.ndarray, radius: int, dense: int = 1 << 1
                     out_j.append(got)
                     left[got] = False
                     front = np.concatenate([front, got])
-    none = np.empty(0, np.int64)
-    return (np.concatenate(out_i), np.concatenate(out_j)) if out_i else (none, none)
+    return np.concatenate(out_i), np.concatenate(out_j)
 
 
 def links(nodes: DataFrame, plan: list[tuple[int, int]], radius: int, width: int, cell: int = CELL) -> DataFrame:
