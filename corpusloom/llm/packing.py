@@ -175,4 +175,4 @@ def pack_documents(spark: SparkSession, docs: DataFrame, tokenizer: str, spaced:
     Repeated rows are packed each on its own; a null key stays null; an empty table gives an empty result. Other
     columns are ignored.
     """
-    return Packed(written(spark, cut_pieces(docs, tokenizer, spaced, end_id, capacity, key, text), "pieces"), capacity)
+    return Packed(written(spark, cut_pieces(docs, tokenizer, spaced, end_id, capacity, key, text), "pieces", codec="snappy"), capacity)
