@@ -33,10 +33,13 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(spark: SparkSession, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Cut the lineage of ``df`` with a table in the shared folder, and read it back."""
+def written(spark: SparkSession, df: DataFrame, name: str, codec: str = "zstd", narrow: bool = False) -> DataFrame:
+    """Cut the lineage of ``df`` with a table in the shared folder, and read it back.
+
+    ``narrow``: rows of a few bytes, which are merged first, so that many tasks do not leave many tiny files.
+    """
     path = new_path(spark, name)
-    df.write.option("compression", codec).parquet(path)
+    (df.hint("rebalance") if narrow else df).write.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._corpusloom_path = path
     return out

@@ -98,7 +98,7 @@ class LineIndex:
         self.filters = written(self.spark, build_filters(self.shared, self.shards), "line-filters")
 
     def insert(self, docs: DataFrame) -> None:
-        fresh = written(self.spark, line_refs(docs, self.least), "line-refs")
+        fresh = written(self.spark, line_refs(docs, self.least), "line-refs", narrow=True)
         if self.refs is None:
             self.refs = fresh
             return self._recount(fresh)

@@ -130,7 +130,7 @@ def shard_by_bytes(spark: SparkSession, docs: DataFrame, shards: int = 8, key: s
         F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))).alias("_id"),
         F.monotonically_increasing_id().alias("_row"),
     )
-    keyed = written(spark, narrow, "shard-keys")
+    keyed = written(spark, narrow, "shard-keys", narrow=True)
     pieces = max(1, -(-shuffle_width(spark) // shards))
     cuts, rows_below = find_splitters(keyed.select("_h", "_id", "_row", "size"), shards, pieces, tolerance)
     probes = _pack(cuts)

@@ -354,13 +354,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 4, radius
     again in the result. With ``least``, a link also needs that Jaccard similarity of the two texts' shingle sets, and a
     group is what verified links connect. Null, empty and blank texts have fingerprint 0 and link like any other.
     """
-    prints = written(spark, fingerprints(docs, words, key, text), "prints")
+    prints = written(spark, fingerprints(docs, words, key, text), "prints", narrow=True)
     known = prints.select(F.coalesce("doc_id", F.lit(NOBODY)).alias("doc_id"), "fp")
     nodes = written(spark, known.groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
     plan = choose(nodes, radius)
-    found = written(spark, links(nodes, plan, radius, shuffle_width(spark), cell), "links")
+    found = written(spark, links(nodes, plan, radius, shuffle_width(spark), cell), "links", narrow=True)
     if least is not None:
-        found = written(spark, verified(found, docs, words, least, key, text), "verified")
+        found = written(spark, verified(found, docs, words, least, key, text), "verified", narrow=True)
     # a doc_id with several fingerprints ties them together
     several = known.groupBy("doc_id").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).filter("low < high").select("doc_id")
     ties = known.join(several, "doc_id", "left_semi").join(nodes, "fp").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
