@@ -52,6 +52,13 @@ def build_index(docs: DataFrame, key: str, words: Column, only: DataFrame | None
     return LexicalIndex(rows.groupBy("idx", "dl", "term").agg(F.count("*").alias("tf")), lengths)
 
 
+def vocabulary(docs: DataFrame, words: Column) -> DataFrame:
+    """term, df, idf of a whole table, without its postings: each document's distinct words are counted where they are read."""
+    n = docs.agg(F.count("*").alias("n")).select("n").scalar()
+    df = docs.select(F.explode(F.array_distinct(words)).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    return df.withColumn("idf", idf(n, F.col("df")))
+
+
 def bm25_scores(index: LexicalIndex, queries: DataFrame, query: str = "qid", words: str = "words", k1: float = K1, b: float = B) -> DataFrame:
     """query, idx, score of all documents that share a term with a query. Repeated query terms count once."""
     asked = queries.select(query, F.explode(F.array_distinct(words)).alias("term"))

@@ -11,7 +11,7 @@ from corpusloom.functions.vectors import unit
 from corpusloom.operators import answers, evaluate, evidence, fusion, ingest, knowledge
 from corpusloom.operators.chunking import chunked
 from corpusloom.operators.dense import dense_topk
-from corpusloom.operators.lexical import bm25_scores, build_index, padded_top, spread, top
+from corpusloom.operators.lexical import bm25_scores, build_index, padded_top, spread, top, vocabulary
 from corpusloom.plans.service import Service
 from corpusloom.streaming.limits import limited
 
@@ -282,8 +282,7 @@ def a1_term_freq(spark, sf):
 
 @query("a2_doc_freq", f"WITH {DOCS}, p AS (SELECT DISTINCT doc_id, unnest(t) AS term FROM docs), n AS (SELECT count(*) AS n FROM docs) SELECT term, count(*) AS df, round(ln(1 + (max(n) - count(*) + 0.5) / (count(*) + 0.5)), 6) AS idf FROM p, n GROUP BY 1")
 def a2_doc_freq(spark, sf):
-    index = build_index(texts(spark, sf), "doc_id", T.tokens(F.col("text")))
-    return index.terms().select("term", "df", F.round("idf", 6).alias("idf"))
+    return vocabulary(texts(spark, sf), T.tokens(F.col("text"))).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query("a4_corpus_stats", f"WITH {DOCS} SELECT count(*) AS n, round(avg(len(t)), 6) AS avgdl FROM docs")
