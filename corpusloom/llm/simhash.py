@@ -6,7 +6,7 @@ at most ``radius`` bits, then some partition differs in at most t_i bits; so it
 with t_i >= 0, at fingerprints whose bits there are within t_i, and to verify those. m and the thresholds are chosen by
 dynamic programming on the candidates they would cost, estimated from all fingerprints.
 
-Equal fingerprints are one node, named by its smallest doc_id, before anything is compared. A look-up cell (partition,
+Equal fingerprints are one node before anything is compared. A look-up cell (partition,
 bits) holds the fingerprints that own these bits and those that come near them. Cells are streamed, sorted, through
 tasks that emit links that span dense groups, never all their pairs: once a fingerprint has joined such a group in a
 cell it is not compared with it again. A cell with far more owners than
@@ -27,7 +27,6 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import forget, record_batch, shuffle_width, small_batches, utf8, written
 from corpusloom.llm.components import components
 
-NOBODY = 2**63 - 1
 CELL = 1 << 12
 BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 SKETCH = 256
@@ -324,19 +323,19 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return float((np.isin(union, a) & np.isin(union, b)).mean())
 
 
-def verified(edges: DataFrame, docs: DataFrame, words: int, least: float, key: str, text: str) -> DataFrame:
+def verified(edges: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, least: float, key: str, text: str) -> DataFrame:
     """Links whose texts have at least ``least`` in common. What is shuffled is a sketch of bounded size a document."""
-    touched = edges.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
-    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NOBODY)).alias("_id"), utf8(text).alias("_text")).join(touched, "_id", "left_semi")
-    schema = pa.schema([("_id", pa.int64()), ("_sketch", pa.binary())])
+    touched = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select(F.col("first").alias("_id"), "node")
+    rows = docs.select(F.col(key).cast("long").alias("_id"), utf8(text).alias("_text")).join(touched, "_id").select("node", "_text")
+    schema = pa.schema([("node", pa.int64()), ("_sketch", pa.binary())])
 
     def draw(batches):
         for batch in batches:
             yield record_batch(schema, [batch.column(0), [sketch(t, words).tobytes() for t in batch.column(1).to_pylist()]])
 
-    drawn = rows.mapInArrow(draw, "_id long, _sketch binary").groupBy("_id").agg(F.max("_sketch").alias("_sketch"))
+    drawn = rows.mapInArrow(draw, "node long, _sketch binary").groupBy("node").agg(F.max("_sketch").alias("_sketch"))
     drawn = written(docs.sparkSession, drawn, "sketches")
-    pairs = edges.join(drawn.select(F.col("_id").alias("a"), F.col("_sketch").alias("x")), "a").join(drawn.select(F.col("_id").alias("b"), F.col("_sketch").alias("y")), "b")
+    pairs = edges.join(drawn.select(F.col("node").alias("a"), F.col("_sketch").alias("x")), "a").join(drawn.select(F.col("node").alias("b"), F.col("_sketch").alias("y")), "b")
 
     def judge(batches):
         for batch in batches:
@@ -347,25 +346,38 @@ def verified(edges: DataFrame, docs: DataFrame, words: int, least: float, key: s
     return pairs.select("a", "b", "x", "y").mapInArrow(judge, "a long, b long")
 
 
+def ties(known: DataFrame) -> DataFrame:
+    """(a, b): a doc_id with several nodes ties them together. Null ids tie nothing: each such row is a text of its own."""
+    known = known.filter("doc_id IS NOT NULL")
+    several = known.groupBy("doc_id").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("doc_id", "low")
+    return known.join(several, "doc_id").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
+
+
+def named(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node, component_id): the smallest ``first`` of all nodes that links join, null if none of them has an id."""
+    joined = nodes.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
+    least = joined.groupBy("root").agg(F.min("first").alias("component_id"))
+    return joined.join(least, "root").select("node", "component_id")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 4, radius: int = 4, key: str = "doc_id", text: str = "text", cell: int = CELL, least: float | None = None) -> DataFrame:
     """doc_id, fp, component_id for every row of ``docs``: the smallest doc_id that links can reach, itself included.
 
-    Rows that repeat a doc_id are one document, linked to each other. A null doc_id is larger than all others, and null
-    again in the result. With ``least``, a link also needs that Jaccard similarity of the two texts' shingle sets, and a
-    group is what verified links connect. Null, empty and blank texts have fingerprint 0 and link like any other.
+    Rows that repeat a doc_id are one document, linked to each other. Rows with a null doc_id are texts of their own, each
+    linked by its fingerprint only; component_id is null where links reach no doc_id. With ``least``, a link also needs
+    that Jaccard similarity of the two texts' shingle sets, a group is what verified links connect, and rows with a null
+    doc_id have no group. Null, empty and blank texts have fingerprint 0 and link like any other.
     """
     prints = written(spark, fingerprints(docs, words, key, text), "prints", narrow=True)
-    known = prints.select(F.coalesce("doc_id", F.lit(NOBODY)).alias("doc_id"), "fp")
-    nodes = written(spark, known.groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
+    known = prints if least is None else prints.filter("doc_id IS NOT NULL")
+    nodes = written(spark, known.groupBy("fp").agg(F.min("doc_id").alias("first")).select(F.col("fp").alias("node"), "fp", "first"), "nodes")
     plan = choose(nodes, radius)
     found = written(spark, links(nodes, plan, radius, shuffle_width(spark), cell), "links", narrow=True)
     if least is not None:
-        found = written(spark, verified(found, docs, words, least, key, text), "verified", narrow=True)
-    # a doc_id with several fingerprints ties them together
-    several = known.groupBy("doc_id").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).filter("low < high").select("doc_id")
-    ties = known.join(several, "doc_id", "left_semi").join(nodes, "fp").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    roots = written(spark, components(spark, found.unionByName(ties)), "roots")
-    named = nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
-    out = prints.join(named, "fp").select("doc_id", "fp", F.nullif("component_id", F.lit(NOBODY)).alias("component_id"))
+        found = written(spark, verified(found, nodes, docs, words, least, key, text), "verified", narrow=True)
+    roots = written(spark, components(spark, found.unionByName(ties(known.select("doc_id", F.col("fp").alias("node"))))), "roots")
+    names = named(nodes, roots).withColumnRenamed("node", "fp")
+    id_of = F.col("component_id") if least is None else F.when(F.col("doc_id").isNotNull(), F.col("component_id"))
+    out = prints.join(names, "fp", "left").select("doc_id", "fp", id_of.alias("component_id"))
     forget(spark, found)
     return out

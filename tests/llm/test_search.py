@@ -63,6 +63,14 @@ def test_groups_of_awkward_rows(spark):
     assert simhash.near_duplicates(spark, empty(spark), 4, 4).count() == 0
 
 
+def test_null_ids_join_no_unrelated_groups(spark):
+    a, b = " ".join(f"a{i}" for i in range(80)), " ".join(f"b{i}" for i in range(80))
+    df = spark.createDataFrame([(5, a), (9, b), (None, a), (None, b), (None, "on its own here")], "doc_id long, text string")
+    for options in ({}, {"least": 0.8}):
+        got = {(r.doc_id, r.component_id) for r in simhash.near_duplicates(spark, df, 4, 4, **options).collect()}
+        assert got == {(5, 5), (9, 9)} | ({(None, None)} if options else {(None, 5), (None, 9), (None, None)})
+
+
 def test_verified_groups(spark):
     words = [f"w{i}" for i in range(200)]
     near, far = words[:100] + ["new"] + words[101:], [w if i % 4 else f"x{i}" for i, w in enumerate(words)]
