@@ -6,7 +6,8 @@ at most ``radius`` bits, then some partition differs in at most t_i bits; so it
 with t_i >= 0, at fingerprints whose bits there are within t_i, and to verify those. m and the thresholds are chosen by
 dynamic programming on the candidates they would cost, estimated from all fingerprints.
 
-Equal fingerprints are one node before anything is compared. A look-up cell (partition,
+Equal fingerprints are one node before anything is compared; where similarity is checked as well, equal shingle sets
+are. A look-up cell (partition,
 bits) holds the fingerprints that own these bits and those that come near them. Cells are streamed, sorted, through
 tasks that emit links that span dense groups, never all their pairs: once a fingerprint has joined such a group in a
 cell it is not compared with it again. A cell with far more owners than
@@ -34,35 +35,61 @@ SKETCH = 256
 SIGNATURE_COST, CANDIDATE_COST = 2000.0, 1.5
 
 
-def fingerprint(text: bytes, words: int) -> int:
-    """Signed 64-bit SimHash over XXH64 (seed 42) of all ``words``-word shingles; a text without words has 0."""
+def shingles(text: bytes, words: int) -> np.ndarray:
+    """XXH64 (seed 42) of all ``words``-word shingles in order, repeats included; a text without words has none."""
     tokens = text.lower().split()
-    if not tokens:
-        return 0
     flat, n = b" ".join(tokens), len(tokens)
     if n <= words:
-        raw = xxhash.xxh64_digest(flat, 42)
-        count = 1
+        raw = xxhash.xxh64_digest(flat, 42) if n else b""
     else:
         ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, n) + 1)
         h = xxhash.xxh64_digest
         count = n - words + 1
         starts = [0, *ends[: count - 1].tolist()]
         raw = b"".join([h(flat[a:b], 42) for a, b in zip(starts, (ends[words - 1 :] - 1).tolist())])
-    places = np.frombuffer(raw, np.uint8).reshape(-1, 8) + np.arange(0, 2048, 256)
+    return np.frombuffer(raw, ">u8")
+
+
+def simhash(hashes: np.ndarray) -> int:
+    """Signed 64-bit SimHash of shingle hashes; none of them give 0."""
+    if not len(hashes):
+        return 0
+    places = hashes.view(np.uint8).reshape(-1, 8) + np.arange(0, 2048, 256)
     ones = np.einsum("jv,vb->jb", np.bincount(places.ravel(), minlength=2048).reshape(8, 256), BITS).ravel()
-    return int.from_bytes(np.packbits(2 * ones > count).tobytes(), "big", signed=True)
+    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big", signed=True)
+
 
+def fingerprint(text: bytes, words: int) -> int:
+    return simhash(shingles(text, words))
 
-def fingerprints(docs: DataFrame, words: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp) of every row; null and empty texts have fingerprint 0."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+
+def shingle_set(hashes: np.ndarray) -> np.ndarray:
+    """The distinct shingle hashes in order; all texts without words share one set."""
+    return np.unique(hashes.astype(np.uint64)) if len(hashes) else np.zeros(1, np.uint64)
+
+
+def set_name(some: np.ndarray) -> int:
+    return int.from_bytes(xxhash.xxh64_digest(some.tobytes(), 42), "big", signed=True)
+
+
+def fingerprints(docs: DataFrame, words: int, key: str = "doc_id", text: str = "text", sets: bool = False) -> DataFrame:
+    """(doc_id, fp) of every row; null and empty texts have fingerprint 0. ``sets``: also node, a hash of the shingle
+    set."""
+    fields = [("doc_id", pa.int64()), ("fp", pa.int64())] + ([("node", pa.int64())] if sets else [])
+    schema = pa.schema(fields)
 
     def scan(batches):
         for batch in batches:
-            yield record_batch(schema, [batch.column(0), [fingerprint(t, words) for t in batch.column(1).to_pylist()]])
+            fps, names = [], []
+            for t in batch.column(1).to_pylist():
+                h = shingles(t, words)
+                fps.append(simhash(h))
+                if sets:
+                    names.append(set_name(shingle_set(h)))
+            yield record_batch(schema, [batch.column(0), fps, *([names] if sets else [])])
 
-    return small_batches(docs).select(F.col(key).cast("long").alias("doc_id"), utf8(text).alias("text")).mapInArrow(scan, "doc_id long, fp long")
+    kinds = "doc_id long, fp long" + (", node long" if sets else "")
+    return small_batches(docs).select(F.col(key).cast("long").alias("doc_id"), utf8(text).alias("text")).mapInArrow(scan, kinds)
 
 
 def bits_of(fp: np.ndarray) -> np.ndarray:
@@ -259,7 +286,7 @@ def links(nodes: DataFrame, plan: list[tuple[int, int]], radius: int, width: int
     own = signatures(nodes, [(m, 0) for m, _ in plan]).groupBy("part", "bits").agg(F.count("*").alias("n"))
     large = own.withColumn("blocks", F.ceil(F.col("n") / most).cast("int")).filter("blocks > 1").select("part", "bits", "blocks")
     rows = rows.join(large, ["part", "bits"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    mine, all_blocks = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"), F.sequence(F.lit(0), F.col("blocks") - 1)
+    mine, all_blocks = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"), F.sequence(F.lit(0), F.col("blocks") - 1)
     place = lambda i, j, own: F.struct(i.alias("i"), j.alias("j"), F.lit(own).alias("own"))
     as_owner = F.transform(all_blocks, lambda j: place(mine, j, True))
     as_other = lambda blocks: F.transform(blocks, lambda i: place(i, mine, False))
@@ -312,9 +339,7 @@ def links(nodes: DataFrame, plan: list[tuple[int, int]], radius: int, width: int
 
 def sketch(text: bytes, words: int) -> np.ndarray:
     """The SKETCH smallest hashes of the distinct shingles, in order."""
-    tokens = text.lower().split()
-    h = xxhash.xxh64_intdigest
-    return np.array(sorted({h(b" ".join(tokens[i : i + words]), 7) for i in range(max(1, len(tokens) - words + 1))})[:SKETCH], np.uint64)
+    return shingle_set(shingles(text, words))[:SKETCH]
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -326,12 +351,14 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 def verified(edges: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, least: float, key: str, text: str) -> DataFrame:
     """Links whose texts have at least ``least`` in common. What is shuffled is a sketch of bounded size a document."""
     touched = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select(F.col("first").alias("_id"), "node")
-    rows = docs.select(F.col(key).cast("long").alias("_id"), utf8(text).alias("_text")).join(touched, "_id").select("node", "_text")
+    rows = docs.select(F.col(key).cast("long").alias("_id"), utf8(text).alias("_text")).join(touched, "_id").select("node", "_text")  # a repeated doc_id has texts of other nodes as well
     schema = pa.schema([("node", pa.int64()), ("_sketch", pa.binary())])
 
     def draw(batches):
         for batch in batches:
-            yield record_batch(schema, [batch.column(0), [sketch(t, words).tobytes() for t in batch.column(1).to_pylist()]])
+            sets = [shingle_set(shingles(t, words)) for t in batch.column(1).to_pylist()]
+            mine = [set_name(x) == n for x, n in zip(sets, batch.column(0).to_pylist())]
+            yield record_batch(schema, [batch.column(0), [x[:SKETCH].tobytes() for x in sets]]).filter(pa.array(mine, pa.bool_()))
 
     drawn = rows.mapInArrow(draw, "node long, _sketch binary").groupBy("node").agg(F.max("_sketch").alias("_sketch"))
     drawn = written(docs.sparkSession, drawn, "sketches")
@@ -368,16 +395,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 4, radius
     that Jaccard similarity of the two texts' shingle sets, a group is what verified links connect, and rows with a null
     doc_id have no group. Null, empty and blank texts have fingerprint 0 and link like any other.
     """
-    prints = written(spark, fingerprints(docs, words, key, text), "prints", narrow=True)
-    known = prints if least is None else prints.filter("doc_id IS NOT NULL")
-    nodes = written(spark, known.groupBy("fp").agg(F.min("doc_id").alias("first")).select(F.col("fp").alias("node"), "fp", "first"), "nodes")
+    sets = least is not None
+    prints = written(spark, fingerprints(docs, words, key, text, sets), "prints", narrow=True)
+    rows = prints if sets else prints.withColumn("node", F.col("fp"))
+    known = rows.filter("doc_id IS NOT NULL") if sets else rows
+    nodes = written(spark, known.groupBy("node").agg(F.min("fp").alias("fp"), F.min("doc_id").alias("first")), "nodes")
     plan = choose(nodes, radius)
     found = written(spark, links(nodes, plan, radius, shuffle_width(spark), cell), "links", narrow=True)
-    if least is not None:
+    if sets:
         found = written(spark, verified(found, nodes, docs, words, least, key, text), "verified", narrow=True)
-    roots = written(spark, components(spark, found.unionByName(ties(known.select("doc_id", F.col("fp").alias("node"))))), "roots")
-    names = named(nodes, roots).withColumnRenamed("node", "fp")
-    id_of = F.col("component_id") if least is None else F.when(F.col("doc_id").isNotNull(), F.col("component_id"))
-    out = prints.join(names, "fp", "left").select("doc_id", "fp", id_of.alias("component_id"))
+    roots = written(spark, components(spark, found.unionByName(ties(known.select("doc_id", "node")))), "roots")
+    id_of = F.when(F.col("doc_id").isNotNull(), F.col("component_id")) if sets else F.col("component_id")
+    out = rows.join(named(nodes, roots), "node", "left").select("doc_id", "fp", id_of.alias("component_id"))
     forget(spark, found)
     return out

@@ -71,6 +71,14 @@ def test_null_ids_join_no_unrelated_groups(spark):
         assert got == {(5, 5), (9, 9)} | ({(None, None)} if options else {(None, 5), (None, 9), (None, None)})
 
 
+def test_equal_fingerprints_of_different_texts_are_verified(spark):
+    banner = "buy two get one free right now " * 50
+    rows = [(i, banner + " ".join(f"d{i}w{j}" for j in range(200))) for i in range(4)] + [(4, "two three"), (5, "TWO  three")]
+    got = {r.doc_id: r for r in simhash.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), 5, 10, least=0.8).collect()}
+    assert len({got[i].fp for i in range(4)}) == 1
+    assert {i: r.component_id for i, r in got.items()} == {0: 0, 1: 1, 2: 2, 3: 3, 4: 4, 5: 4}
+
+
 def test_verified_groups(spark):
     words = [f"w{i}" for i in range(200)]
     near, far = words[:100] + ["new"] + words[101:], [w if i % 4 else f"x{i}" for i, w in enumerate(words)]
