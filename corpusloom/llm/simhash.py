@@ -31,6 +31,8 @@ from corpusloom.llm.components import components
 CELL = 1 << 12
 BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 SKETCH = 256
+#: A sketch alone decides a link only this far off the similarity asked for: six standard deviations at 0.8.
+CLEAR = 0.15
 #: Nanoseconds of a row that is sent to a cell, and of a comparison in it, as measured.
 SIGNATURE_COST, CANDIDATE_COST = 2000.0, 1.5
 
@@ -342,35 +344,57 @@ def sketch(text: bytes, words: int) -> np.ndarray:
     return shingle_set(shingles(text, words))[:SKETCH]
 
 
-def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """Jaccard similarity of two shingle sets from their sketches: exact while the union has at most SKETCH hashes."""
-    union = np.union1d(a, b)[:SKETCH]
+def similarity(a: np.ndarray, b: np.ndarray, keep: int | None = SKETCH) -> float:
+    """Jaccard similarity of two shingle sets: estimated from the ``keep`` smallest hashes of both, exact without."""
+    union = np.union1d(a, b)[:keep]
     return float((np.isin(union, a) & np.isin(union, b)).mean())
 
 
-def verified(edges: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, least: float, key: str, text: str) -> DataFrame:
-    """Links whose texts have at least ``least`` in common. What is shuffled is a sketch of bounded size a document."""
+def verdict(a: np.ndarray, b: np.ndarray, least: float) -> bool | None:
+    """Whether two sketches' sets have at least ``least`` in common; None where only the sets themselves can tell."""
+    if max(len(a), len(b)) < SKETCH:  # these are the sets
+        return similarity(a, b, None) >= least
+    near = similarity(a, b)
+    return near >= least if abs(near - least) > CLEAR else None
+
+
+def drawn(edges: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, key: str, text: str, keep: int | None) -> DataFrame:
+    """(a, b, x, y): links with the ``keep`` smallest shingle hashes (all: None) of both texts."""
     touched = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select(F.col("first").alias("_id"), "node")
     rows = docs.select(F.col(key).cast("long").alias("_id"), utf8(text).alias("_text")).join(touched, "_id").select("node", "_text")  # a repeated doc_id has texts of other nodes as well
-    schema = pa.schema([("node", pa.int64()), ("_sketch", pa.binary())])
+    schema = pa.schema([("node", pa.int64()), ("_set", pa.binary())])
 
     def draw(batches):
         for batch in batches:
             sets = [shingle_set(shingles(t, words)) for t in batch.column(1).to_pylist()]
             mine = [set_name(x) == n for x, n in zip(sets, batch.column(0).to_pylist())]
-            yield record_batch(schema, [batch.column(0), [x[:SKETCH].tobytes() for x in sets]]).filter(pa.array(mine, pa.bool_()))
+            yield record_batch(schema, [batch.column(0), [x[:keep].tobytes() for x in sets]]).filter(pa.array(mine, pa.bool_()))
 
-    drawn = rows.mapInArrow(draw, "node long, _sketch binary").groupBy("node").agg(F.max("_sketch").alias("_sketch"))
-    drawn = written(docs.sparkSession, drawn, "sketches")
-    pairs = edges.join(drawn.select(F.col("node").alias("a"), F.col("_sketch").alias("x")), "a").join(drawn.select(F.col("node").alias("b"), F.col("_sketch").alias("y")), "b")
+    some = written(docs.sparkSession, rows.mapInArrow(draw, "node long, _set binary").groupBy("node").agg(F.max("_set").alias("_set")), "sets")
+    return edges.join(some.select(F.col("node").alias("a"), F.col("_set").alias("x")), "a").join(some.select(F.col("node").alias("b"), F.col("_set").alias("y")), "b").select("a", "b", "x", "y")
 
-    def judge(batches):
-        for batch in batches:
-            x, y = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            fine = [similarity(np.frombuffer(u, np.uint64), np.frombuffer(v, np.uint64)) >= least for u, v in zip(x, y)]
-            yield batch.select([0, 1]).filter(pa.array(fine, pa.bool_()))
 
-    return pairs.select("a", "b", "x", "y").mapInArrow(judge, "a long, b long")
+def verified(edges: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, least: float, key: str, text: str) -> DataFrame:
+    """Links whose texts' shingle sets have at least ``least`` in common. Sketches of bounded size decide the clear cases;
+    for the rest the whole sets are compared."""
+    spark = docs.sparkSession
+    edges = written(spark, edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges", narrow=True)
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("fine", pa.bool_())])
+
+    def judge(decide):
+        def scan(batches):
+            for batch in batches:
+                x, y = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+                yield record_batch(schema, [batch.column(0), batch.column(1), [decide(np.frombuffer(u, np.uint64), np.frombuffer(v, np.uint64)) for u, v in zip(x, y)]])
+
+        return scan
+
+    def judged(pairs, keep, decide):
+        return written(spark, drawn(pairs, nodes, docs, words, key, text, keep).mapInArrow(judge(decide), "a long, b long, fine boolean"), "judged", narrow=True)
+
+    first = judged(edges, SKETCH, lambda a, b: verdict(a, b, least))
+    second = judged(first.filter("fine IS NULL").select("a", "b"), None, lambda a, b: similarity(a, b, None) >= least)
+    return first.unionByName(second).filter("fine").select("a", "b")
 
 
 def ties(known: DataFrame) -> DataFrame:

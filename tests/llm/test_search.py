@@ -79,6 +79,33 @@ def test_equal_fingerprints_of_different_texts_are_verified(spark):
     assert {i: r.component_id for i, r in got.items()} == {0: 0, 1: 1, 2: 2, 3: 3, 4: 4, 5: 4}
 
 
+def jaccard(a, b, words=5):
+    a, b = ({tuple(t.split()[i : i + words]) for i in range(len(t.split()) - words + 1)} for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def pairs_near(rng, count, words, changed):
+    """Pairs of texts of ``words`` words, the second with ``changed`` of them replaced, at least five words apart."""
+    rows = []
+    for i in range(count):
+        text = [f"p{i}w{j}" for j in range(words)]
+        rows.append((2 * i, " ".join(text)))
+        for j in rng.choice(words // 5, changed, replace=False):
+            text[5 * j + 2] = f"p{i}new{j}"
+        rows.append((2 * i + 1, " ".join(text)))
+    return rows
+
+
+def test_long_texts_are_compared_exactly(spark):
+    rng = np.random.default_rng(3)
+    rows = pairs_near(rng, 24, 1500, 34) + [(100 + i, t.replace("p", "q")) for i, t in pairs_near(rng, 24, 1500, 32)]
+    want = {a: jaccard(s, t) >= 0.8 for (a, s), (_, t) in zip(rows[::2], rows[1::2])}
+    assert len(set(want.values())) == 2
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark, df, 5, 24, least=0.8).collect()}
+    assert {a: got[a + 1] == a for a in want} == want
+
+
 def test_verified_groups(spark):
     words = [f"w{i}" for i in range(200)]
     near, far = words[:100] + ["new"] + words[101:], [w if i % 4 else f"x{i}" for i, w in enumerate(words)]
