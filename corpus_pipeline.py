@@ -41,9 +41,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest doc_id stays.
 
-    Fingerprints of five-word shingles make a pair a candidate at RADIUS differing bits; a link also needs a Jaccard
-    similarity of 0.8 of the shingle sets, as estimated from bottom sketches (exact for short texts). Documents with a
-    null id have no place in a group and stay.
+    Fingerprints of five-word shingles make a pair a candidate at RADIUS differing bits, and so does any of 32 bands of
+    five minwise hashes, which a pair with a Jaccard similarity of 0.8 shares with a probability of 0.999997. A link needs
+    that similarity of the whole shingle sets. Documents with a null id have no place in a group and stay.
     """
     groups = near_duplicates(spark, docs, words=WORDS, radius=RADIUS, least=SIMILARITY)
     lost = groups.filter(F.col("component_id") < F.col("doc_id")).select("doc_id").distinct()

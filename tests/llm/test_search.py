@@ -106,6 +106,16 @@ def test_long_texts_are_compared_exactly(spark):
     assert {a: got[a + 1] == a for a in want} == want
 
 
+def test_pairs_far_apart_in_bits_are_found(spark):
+    rows = pairs_near(np.random.default_rng(4), 60, 300, 6)
+    assert all(0.8 <= jaccard(a, b) < 0.83 for (_, a), (_, b) in zip(rows[::2], rows[1::2]))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = simhash.near_duplicates(spark, df, 5, 10, least=0.8).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: i - i % 2 for i, _ in rows}
+    fp = {r.doc_id: r.fp & (2**64 - 1) for r in got}
+    assert any((fp[i] ^ fp[i + 1]).bit_count() > 10 for i in range(0, 120, 2))
+
+
 def test_verified_groups(spark):
     words = [f"w{i}" for i in range(200)]
     near, far = words[:100] + ["new"] + words[101:], [w if i % 4 else f"x{i}" for i, w in enumerate(words)]
