@@ -417,16 +417,30 @@ def verified(edges: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, le
     return first.unionByName(second).filter("fine").select("a", "b")
 
 
-def band_links(spark: SparkSession, nodes: DataFrame, edges: DataFrame, tied: DataFrame, verify) -> DataFrame:
-    """``edges`` and more: what ``verify`` keeps of all pairs of nodes that share a band and are not connected yet."""
-    roots = written(spark, components(spark, edges.unionByName(tied)), "roots")
-    rows = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.explode("bands").alias("cell"))
-    mixed = rows.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("cell")
-    apart = written(spark, rows.join(mixed, "cell"), "apart", narrow=True)
-    x = apart.select("cell", F.col("node").alias("a"), F.col("root").alias("ra"))
-    y = apart.select("cell", F.col("node").alias("b"), F.col("root").alias("rb"))
-    pairs = x.join(y, "cell").filter("ra < rb").select("a", "b")
-    return edges.unionByName(verify(pairs))
+def band_links(spark: SparkSession, nodes: DataFrame, edges: DataFrame, tied: DataFrame, verify, turns: int = 3, few: int = 4) -> DataFrame:
+    """``edges`` and more, so that they connect all pairs ``verify`` keeps of those that share a band.
+
+    A pair is left out only while verified links connect it anyway. If more than ``few`` pairs a node are open, each cell
+    first compares one member with the others, for ``turns`` times at most: this joins what is alike in a large group, and
+    what remains apart, because it failed with that member, is then compared with all others of the cell.
+    """
+    many = nodes.count() * few
+    for turn in range(turns + 1):
+        roots = written(spark, components(spark, edges.unionByName(tied)), "roots")
+        rows = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.explode("bands").alias("cell"))
+        rows = rows.withColumn("h", F.xxhash64("node", F.lit(turn)))
+        mixed = rows.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("h").alias("lead"))
+        apart = written(spark, rows.join(mixed.filter("low < high").select("cell", "lead"), "cell"), "apart", narrow=True)
+        sizes = apart.groupBy("cell", "root").agg(F.count("*").cast("double").alias("n")).groupBy("cell").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("nn"))
+        still = sizes.agg(F.sum((F.col("n") * F.col("n") - F.col("nn")) / 2)).first()[0] or 0
+        last = turn == turns or still <= many
+        x = (apart if last else apart.filter("h = lead")).select("cell", F.col("node").alias("a"), F.col("root").alias("ra"))
+        y = apart.select("cell", F.col("node").alias("b"), F.col("root").alias("rb"))
+        pairs = x.join(y, "cell").filter("ra < rb" if last else "ra <> rb").select("a", "b")
+        if still:
+            edges = written(spark, edges.unionByName(verify(pairs)), "verified", narrow=True)
+        if last:
+            return edges
 
 
 def ties(known: DataFrame) -> DataFrame:

@@ -116,6 +116,27 @@ def test_pairs_far_apart_in_bits_are_found(spark):
     assert any((fp[i] ^ fp[i + 1]).bit_count() > 10 for i in range(0, 120, 2))
 
 
+def test_large_groups_of_verified_links(spark, monkeypatch):
+    """A chain of texts, each near the next ones only, and one text's many copies with different changes."""
+    monkeypatch.setattr(simhash.band_links, "__defaults__", (3, 0))
+    words, rng = [f"c{i}" for i in range(3000)], np.random.default_rng(6)
+    rows = [(i, " ".join(words[10 * i : 10 * i + 200])) for i in range(200)]
+    for i in range(150):
+        some = [f"g{j}" for j in range(200)]
+        for j in rng.choice(200, int(rng.integers(1, 7)), replace=False):
+            some[j] = f"g{i}new{j}"
+        rows.append((1000 + i, " ".join(some)))
+    root = {i: i for i, _ in rows}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(196)} for i, t in rows for w in [t.split()]}
+    for i, _ in rows:
+        for j in root:
+            if j < i and root[i] != root[j] and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8:
+                low, high = sorted((root[i], root[j]))
+                root = {k: low if r == high else r for k, r in root.items()}
+    got = simhash.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), 5, 40, least=0.8).collect()
+    assert {r.doc_id: r.component_id for r in got} == root
+
+
 def test_verified_groups(spark):
     words = [f"w{i}" for i in range(200)]
     near, far = words[:100] + ["new"] + words[101:], [w if i % 4 else f"x{i}" for i, w in enumerate(words)]
