@@ -4,7 +4,7 @@ Both kinds of file used here never join what stands on the two sides of a single
 the byte-level one starts a new piece at that space and keeps it as the piece's first byte, the word-level one drops
 white space. So a text is cut at its spaces, each distinct piece goes through the tokenizers library once, and the ids of
 a text are its pieces' ids end to end. For byte-level files a piece that is empty or has white space at an end is
-not such a place, and the whole text then goes through the library as it is.
+not such a place, and the whole text then goes through the library as it is. So does a text with the string of an added token.
 
 Pieces that are letters only, or letters and closing marks, make up nearly all of a text. Both files split exactly
 between the letters and the marks, so their letters are encoded many at a time, as one text that the same model reads with
@@ -14,6 +14,7 @@ a plain splitter at zero bytes in place of the file's pattern.
 from __future__ import annotations
 
 import os
+import re
 import sys
 import types
 
@@ -32,18 +33,23 @@ def default_path(name: str) -> str:
 
 
 class WordEncoder:
-    """``spaced``: pieces keep the space before them (byte-level files). ``limit``: pieces remembered at once."""
+    """``spaced``: pieces keep the space before them (byte-level files). ``limit``: pieces remembered at once.
+    ``as_loaded``: strings of added tokens in a text become these tokens, as the library does; else they are plain text."""
 
-    def __init__(self, path: str, spaced: bool, limit: int = 800_000):
+    def __init__(self, path: str, spaced: bool, limit: int = 800_000, as_loaded: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.spaced, self.limit = spaced, limit
         self.whole, self.letters = Tokenizer.from_file(path), Tokenizer.from_file(path)
         for t in (self.whole, self.letters):
-            t.encode_special_tokens = True  # their strings in a text are ordinary text
+            t.encode_special_tokens = True
             t.no_truncation()
             t.no_padding()
+        self.whole.encode_special_tokens = not as_loaded
+        # texts with an added token's string, in any case, go through the library whole
+        added = [re.escape(t.content) for t in self.whole.get_added_tokens_decoder().values()] if as_loaded else []
+        self.added = "|".join(sorted(added))
         if not spaced:
             self.letters.normalizer = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
         self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split("\0", "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False, trim_offsets=False)])
@@ -135,6 +141,19 @@ class WordEncoder:
 
     def __call__(self, texts: pa.Array) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
+        odd = np.flatnonzero(pc.match_substring_regex(texts, self.added, ignore_case=True).to_numpy(zero_copy_only=False)) if self.added else []
+        if not len(odd):
+            return self._cut(texts)
+        some = texts.take(pa.array(odd)).to_pylist()
+        blank = np.zeros(len(texts), bool)
+        blank[odd] = True
+        out = self._cut(pc.if_else(pa.array(blank), "", texts))
+        for i, ids in zip(odd.tolist(), self.encode_whole(some)):
+            out[i] = ids
+        return out
+
+    def _cut(self, texts: pa.Array) -> list[bytes]:
+        """The same of texts without added tokens, by their pieces."""
         # ASCII white space ends a word of a word-level file; other white space stays inside a piece for the library
         cut = pc.split_pattern(texts, " ") if self.spaced else pc.ascii_split_whitespace(texts)
         words, count = cut.flatten(), cut.value_lengths().to_numpy(zero_copy_only=False)
@@ -175,5 +194,5 @@ def worker_encoder(path: str, spaced: bool) -> WordEncoder:
     shelf = sys.modules.setdefault("_corpusloom_worker", types.ModuleType("_corpusloom_worker"))
     have = shelf.__dict__.setdefault("encoders", {})
     if (path, spaced) not in have:
-        have[path, spaced] = WordEncoder(path, spaced)
+        have[path, spaced] = WordEncoder(path, spaced, as_loaded=True)
     return have[path, spaced]

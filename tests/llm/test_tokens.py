@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from corpusloom.llm import rans
-from corpusloom.llm.encoding import WordEncoder, default_path, slices
+from corpusloom.llm.encoding import WordEncoder, default_path, slices, worker_encoder
 from corpusloom.llm.packing import Layout, pack_documents, plan_patterns
 from corpusloom.llm.token_files import token_files
 from tests.llm.helpers import awkward, empty
@@ -38,6 +38,15 @@ def test_any_text(encoder, some):
     assert encoder[0](pa.array(some, pa.string())) == [plain(encoder[1], t) for t in some]
 
 
+@pytest.mark.parametrize("name", FILES)
+def test_strings_of_added_tokens_are_those_tokens(name):
+    texts = ["one <|endoftext|> two", "plain", "a<|startoftext|>b  <|endoftext|>", "<|ENDOFTEXT|> x", "<|endoftext|>", "", "<| endoftext |>"]
+    tokenizer = Tokenizer.from_file(default_path(name))
+    got = worker_encoder(default_path(name), FILES[name])(pa.array(texts))
+    assert got == [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert len(got[4]) == 4
+
+
 def test_slices():
     batch = pa.record_batch({"t": ["a" * n for n in (3, 9, 1, 1, 20)]})
     assert [s.num_rows for s in slices(batch, 0, 10)] == [1, 1, 2, 1] or sum(s.num_rows for s in slices(batch, 0, 10)) == 5
