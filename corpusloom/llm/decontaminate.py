@@ -4,7 +4,9 @@ Words are compared lower-cased, without ASCII marks. A seed hashes the words at
 ignores the others, so a hit survives substituted words in the gaps. Seeds of the benchmark items and of the documents
 meet in an equality join; every hit fixes a diagonal, along which item and document are compared word by word, and the
 document is contaminated by the item if some stretch of ``span`` words (all of a shorter item) agrees in at least
-``similarity`` of its places. MASKS are such that every stretch of 13 words with up to two substitutions holds a seed.
+``similarity`` of its places. MASKS are such that every stretch of 13 words with up to two substitutions holds a seed, and
+of 7 to 12 words with as many as ``similarity`` allows; items of five or six words, where that is one, have masks of
+their own.
 
 The benchmark's seeds are sent to all tasks in blocks of items of at most ``BLOCK_SEEDS`` seeds, so what is sent is
 bounded; a larger benchmark takes more passes over the documents, and each pass is exact.
@@ -22,6 +24,8 @@ from corpusloom.llm.common import small_batches
 
 #: Positions that count, of windows of up to 9 words.
 MASKS = ("11111", "110111", "1101011", "111001001")
+#: Any five or six words with one substitution hold one of these.
+FEW_MASKS = ("1111", "11011", "10111", "11101")
 SPAN, SIMILARITY = 13, 0.8
 BLOCK_SEEDS = 1 << 20
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -37,6 +41,11 @@ def places(mask: str) -> np.ndarray:
     return np.array([i for i, c in enumerate(mask) if c == "1"])
 
 
+def masks_of(words: int) -> tuple[str, ...]:
+    """The masks for an item of so many words; one too short for any is its own seed."""
+    return ("1" * words,) if words < 5 else FEW_MASKS if words < 7 else MASKS
+
+
 def seeds(ids: np.ndarray, masks=None) -> tuple[np.ndarray, np.ndarray]:
     """(hash, start) of every seed in a row of word numbers; 0 is a word that cannot match, and spoils its seeds."""
     out_h, out_at = [], []
@@ -66,14 +75,13 @@ class Benchmark:
         self.vocabulary = {w: i + 1 for i, w in enumerate(sorted({w for _, ws in items for w in ws}))}
         self.ids = np.array([i for i, _ in items], np.int64)
         self.words = [np.array([self.vocabulary[w] for w in ws], np.int64) for _, ws in items]
-        found = [(*seeds(w, ["1" * len(w)] if len(w) < 5 else None), i) for i, w in enumerate(self.words) if len(w)]
+        found = [(*seeds(w, masks_of(len(w))), i) for i, w in enumerate(self.words) if len(w)]
         h = np.concatenate([f[0] for f in found]) if found else np.empty(0, np.uint64)
         order = np.argsort(h, kind="stable")
         self.hash = h[order]
         self.start = np.concatenate([f[1] for f in found])[order] if found else np.empty(0, np.int64)
         self.item = np.repeat([f[2] for f in found], [len(f[0]) for f in found])[order] if found else np.empty(0, np.int64)
-        # items too short for the masks are their own seed
-        self.short = sorted({len(w) for w in self.words if 0 < len(w) < 5})
+        self.masks = sorted({masks_of(len(w)) for w in self.words if len(w)})
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
         get = self.vocabulary.get
@@ -81,10 +89,8 @@ class Benchmark:
 
     def matches(self, flat: np.ndarray, ends: np.ndarray, span: int, similarity: float) -> set[tuple[int, int]]:
         """(document, item) pairs; ``flat`` holds all documents' word numbers with one 0 after each."""
-        h, at = seeds(flat)
-        for n in self.short:
-            more = seeds(flat, ["1" * n])
-            h, at = np.concatenate([h, more[0]]), np.concatenate([at, more[1]])
+        found = [seeds(flat, masks) for masks in self.masks]
+        h, at = (np.concatenate([f[i] for f in found]) for i in (0, 1))
         lo, hi = np.searchsorted(self.hash, h, "left"), np.searchsorted(self.hash, h, "right")
         hit = np.flatnonzero(hi > lo)
         count = hi[hit] - lo[hit]

@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 
 from corpusloom.llm import simhash
 from corpusloom.llm.components import components
-from corpusloom.llm.decontaminate import MASKS, contamination
+from corpusloom.llm.decontaminate import MASKS, Benchmark, contamination
 from corpusloom.llm.topk import top_k
 from tests.llm.helpers import CLASHING, EN, awkward, empty
 
@@ -229,6 +229,19 @@ def test_contamination(spark):
     assert items_of(spark, docs, []) == {i: [] for i in range(len(docs))}
 
 
+@pytest.mark.parametrize("n", range(4, 13))
+def test_short_items_with_a_fifth_of_their_words_changed(n):
+    from itertools import combinations
+
+    words = [b"w%d" % i for i in range(n)]
+    bench = Benchmark([(7, words)])
+    for k in range(n // 5 + 2):
+        for bad in combinations(range(n), k):
+            numbers = bench.numbers([b"before", *[b"x" if i in bad else w for i, w in enumerate(words)], b"after"])
+            flat = np.append(numbers, 0)
+            assert bench.matches(flat, np.array([len(flat)]), 13, 0.8) == ({(0, 0)} if n - k >= 0.8 * n - 1e-9 else set())
+
+
 def test_contamination_of_awkward_rows(spark):
     df = awkward(spark)
     bench = spark.createDataFrame([(5, EN), (5, EN), (None, EN)], "item_id long, text string").selectExpr("*", *[f"1 AS `{c}`" for c in CLASHING])
