@@ -23,10 +23,11 @@ WORDS, RADIUS, SIMILARITY = 5, 10, 0.8
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language go: null texts, and texts without any letter (``und``)."""
+    """Documents without a language go: null texts, and texts without any letter (``und``). Where lang is null it becomes
+    the predicted one."""
     model = learn_language(docs, F.coalesce(crc_of("doc_id") % 4 != 2, F.lit(True)))
     out = identify_language(spark, docs.select(COLUMNS), model, keep=["lang", "source", "n_chars", "text"])
-    return out.filter(F.col("_lang_pred") != "und").select(COLUMNS)
+    return out.filter(F.col("_lang_pred") != "und").withColumn("lang", F.coalesce("lang", "_lang_pred")).select(COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

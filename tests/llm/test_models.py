@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from corpus_pipeline import language_id
 from corpusloom.llm import classifiers, pii
 from corpusloom.llm.bytecnn import WINDOW, ByteCnn, windows_of
 from tests.llm.helpers import DE, EN, SCHEMA, awkward, empty
@@ -129,3 +130,9 @@ def test_quality(spark):
     assert len(odd) == 15 and odd.score.between(0, 1).all()
     none = classifiers.learn_quality(docs, marks.limit(0), fold != 1)
     assert none is None and set(classifiers.score_quality(spark, docs, none).toPandas().score) == {0.5}
+
+
+def test_pipeline_fills_missing_languages(spark):
+    rows = [(i, (EN if i % 2 else DE) + f" {i}", None if i >= 300 else ("en" if i % 2 else "de"), "s", 1) for i in range(340)] + [(900, "123 !", None, "s", 1)]
+    got = {r.doc_id: r.lang for r in language_id(spark, spark.createDataFrame(rows, SCHEMA), "").collect()}
+    assert got == {i: "en" if i % 2 else "de" for i in range(340)}
