@@ -17,6 +17,7 @@ import os
 import re
 import sys
 import types
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,11 @@ def default_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def gains_marks(word: str) -> bool:
+    """Whether letters may become letters and marks when they are composed (NFC) and put in small letters."""
+    return not word.isascii() and not (unicodedata.is_normalized("NFC", word) and word.lower().isalpha())
+
+
 class WordEncoder:
     """``spaced``: pieces keep the space before them (byte-level files). ``limit``: pieces remembered at once.
     ``as_loaded``: strings of added tokens in a text become these tokens, as the library does; else they are plain text."""
@@ -93,16 +99,15 @@ class WordEncoder:
                     lines.append((w, first, a[len(first) :], second, b[len(second) :]))
                 else:
                     rest.append(w)
-        need = {x[1] for x in marked}
-        need.update([x[1] for x in lines])
-        need = [w for w in need if w not in known] + plain
-        if not self.spaced:  # a capital whose small form is a letter and a mark is no plain piece
-            odd = {w for w in need if not w.isascii() and not w.lower().isalpha()}
+        if not self.spaced:  # the library normalises: known or not, a stem that may gain a mark is no plain piece
+            odd = {w for w in {*plain, *(x[1] for x in marked)} if gains_marks(w)}
             if odd:
-                need = [w for w in need if w not in odd]
                 rest += [w for w in plain if w in odd] + [x[0] for x in marked if x[1] in odd]
+                plain = [w for w in plain if w not in odd]
                 marked = [x for x in marked if x[1] not in odd]
-        self._letters(list(set(need)), lead)
+        need = {x[1] for x in marked}
+        need.update([x[1] for x in lines])
+        self._letters(list({w for w in need if w not in known}.union(plain)), lead)
         self._letters(list({x[3] for x in lines if "\0" + x[3] not in known}), "")
         ends = {x[2] for x in marked}
         ends.update([x[2] for x in lines], [x[4] for x in lines])

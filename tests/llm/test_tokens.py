@@ -38,6 +38,32 @@ def test_any_text(encoder, some):
     assert encoder[0](pa.array(some, pa.string())) == [plain(encoder[1], t) for t in some]
 
 
+def test_all_letters(encoder):
+    """Every letter of Unicode alone, within a word, and before marks, whatever was learned before."""
+    letters = [c for c in map(chr, range(0x80, 0x110000)) if not "\ud800" <= c <= "\udfff" and c.isalpha()]
+    fresh = WordEncoder(default_path("byte_bpe_50k.json" if encoder[0].spaced else "word_bpe_49k.json"), encoder[0].spaced)
+    forms = ["{}", "{}.", "a{}b", "ab{}!? x", "{}.\n{}"]
+    for form in [*forms, *forms[::-1]]:
+        some = [form.replace("{}", c) for c in letters[:: 1 if form == "{}." else 7]]
+        want = [np.array(e.ids, "<u4").tobytes() for e in encoder[1].encode_batch_fast(some, add_special_tokens=False)]
+        assert fresh(pa.array(some)) == want, form
+
+
+ALPHABET = st.one_of(st.characters(codec="utf-8"), st.sampled_from("abZé .,!'İΣक़क\u093cßﬀ\u0301가각"))
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.text(alphabet=ALPHABET, max_size=4), max_size=6).map(" ".join), min_size=1, max_size=4), st.randoms())
+def test_any_order(encoder, some, random):
+    """Ids do not depend on the pieces that a worker has met before, or on their order."""
+    pieces = [w + m for t in some for w in t.split(" ") for m in ("", ".", "!?")]
+    random.shuffle(pieces)
+    fresh = WordEncoder(default_path("byte_bpe_50k.json" if encoder[0].spaced else "word_bpe_49k.json"), encoder[0].spaced) if len(pieces) < 9 else encoder[0]
+    for w in pieces:
+        assert fresh(pa.array([w])) == [plain(encoder[1], w)]
+    assert fresh(pa.array(some)) == [plain(encoder[1], t) for t in some]
+
+
 @pytest.mark.parametrize("name", FILES)
 def test_strings_of_added_tokens_are_those_tokens(name):
     texts = ["one <|endoftext|> two", "plain", "a<|startoftext|>b  <|endoftext|>", "<|ENDOFTEXT|> x", "<|endoftext|>", "", "<| endoftext |>"]
