@@ -18,10 +18,13 @@ BATCH_BYTES = 8 << 20
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the setting is missing (tests on one machine) a temporary folder is used.
+    Only where the setting is missing and all runs in one machine (tests) a temporary folder is used; a cluster without
+    the setting is an error, since its executors would each write to a disk of their own.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="corpusloom-")
         atexit.register(shutil.rmtree, folder, True)
         path = "file://" + folder
@@ -66,6 +69,32 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def tasks_for(spark: SparkSession, amount: int, each: int) -> int:
+    """Tasks so that none gets much more than ``each`` of ``amount``; as many as the session shuffles to at least."""
+    return max(shuffle_width(spark), -(-amount // each))
+
+
+def input_bytes(df: DataFrame) -> int:
+    """What the optimiser takes the size of ``df`` for: the size of its files where it is a projection of a table."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+
+
+def free_name(base: str, taken: list[str]) -> str:
+    """``base``, with underscores before it until no column of ``taken`` has that name."""
+    lower = {t.lower() for t in taken}
+    while base.lower() in lower:
+        base = "_" + base
+    return base
+
+
+def check_kept(keep: list[str] | None, made: list[str]) -> list[str]:
+    """``keep`` as a list; an error if one of these columns has the name of a column the operator makes."""
+    clash = {k.lower() for k in keep or []} & {m.lower() for m in made}
+    if clash:
+        raise ValueError(f"columns to keep have names of the result: {sorted(clash)}")
+    return list(keep or [])
+
+
 def utf8(column: str = "text"):
     """Null texts count as empty; Python then gets bytes and decodes nothing."""
     return F.coalesce(F.col(column), F.lit("")).cast("binary")

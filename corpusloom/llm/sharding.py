@@ -15,22 +15,26 @@ from __future__ import annotations
 from bisect import bisect_right
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import shuffle_width, written
+from corpusloom.llm.common import record_batch, tasks_for, written
 
 KEY_BYTES = 24
 SPACE = 1 << (8 * KEY_BYTES)
 SIGN = np.uint64(1 << 63)
+#: Rows that one task numbers at most, about.
+PIECE_ROWS = 1 << 22
+GAPS = pa.schema([("gap", pa.int64()), ("size", pa.int64()), ("rows", pa.int64()), ("low", pa.binary()), ("high", pa.binary())])
+PLACED = "doc_id long, size long, text_crc32 long, _h long, _id long, _row long"
 
 
-def _keys(pdf: pd.DataFrame) -> np.ndarray:
+def _keys(batch: pa.RecordBatch) -> np.ndarray:
     """24-byte big-endian sort keys (hash, id, row), so that numpy compares them as byte strings."""
-    out = np.empty((len(pdf), 3), dtype=">u8")
+    out = np.empty((batch.num_rows, 3), dtype=">u8")
     for i, name in enumerate(("_h", "_id", "_row")):
-        out[:, i] = pdf[name].to_numpy(np.int64).view(np.uint64) ^ SIGN
+        out[:, i] = batch.column(name).to_numpy(zero_copy_only=False).view(np.uint64) ^ SIGN
     return np.ascontiguousarray(out).view(f"S{KEY_BYTES}").ravel()
 
 
@@ -49,10 +53,10 @@ def count_between(keyed: DataFrame, bounds: list[int]) -> list[tuple[int, int, i
     def count(batches):
         size, rows = np.zeros(n, np.int64), np.zeros(n, np.int64)
         low, high = [None] * n, [None] * n
-        for pdf in batches:
-            keys = _keys(pdf)
+        for batch in batches:
+            keys = _keys(batch)
             at = np.searchsorted(probes, keys, side="right")
-            size += np.bincount(at, weights=pdf["size"].to_numpy(np.float64), minlength=n).astype(np.int64)
+            size += np.bincount(at, weights=batch.column("size").to_numpy(), minlength=n).astype(np.int64)
             rows += np.bincount(at, minlength=n)
             order = np.argsort(keys, kind="stable")
             spots, first = np.unique(at[order], return_index=True)
@@ -62,9 +66,9 @@ def count_between(keyed: DataFrame, bounds: list[int]) -> list[tuple[int, int, i
                 low[g] = a if low[g] is None else min(low[g], a)
                 high[g] = b if high[g] is None else max(high[g], b)
         some = np.flatnonzero(rows)
-        yield pd.DataFrame({"gap": some, "size": size[some], "rows": rows[some], "low": [low[g] for g in some], "high": [high[g] for g in some]})
+        yield record_batch(GAPS, [some, size[some], rows[some], [low[g] for g in some], [high[g] for g in some]])
 
-    parts = keyed.mapInPandas(count, "gap long, size long, rows long, low binary, high binary")
+    parts = keyed.mapInArrow(count, "gap long, size long, rows long, low binary, high binary")
     out = [(0, 0, 0, 0)] * n
     for r in parts.groupBy("gap").agg(F.sum("size").alias("size"), F.sum("rows").alias("rows"), F.min("low").alias("low"), F.max("high").alias("high")).collect():
         out[r["gap"]] = (r["size"], r["rows"], _as_int(r["low"]), _as_int(r["high"]))
@@ -117,13 +121,14 @@ def find_splitters(keyed: DataFrame, shards: int, pieces: int, tolerance: float,
 def shard_by_bytes(spark: SparkSession, docs: DataFrame, shards: int = 8, key: str = "doc_id", text: str = "text", tolerance: float = 0.002) -> DataFrame:
     """All rows of ``docs``: key, size, text_crc32, law, shard, slot, grown_shard.
 
-    size is the UTF-8 length of the text plus 1; a null text has size 1 and crc32 0. Shards differ in bytes by the
-    tolerance or one row. Repeated rows each keep a place of their own. A null key comes before all others. An empty
-    table gives an empty result. Other columns of ``docs`` are ignored.
+    size is the UTF-8 length of the text plus 1; a null or empty text has size 1 and crc32 0. Shards differ in bytes by the
+    tolerance or one row, so a very long text may make its shard larger. Repeated rows and rows equal in text each keep
+    a place of their own. Rows with a null key stay null and take the places of the smallest possible key. An empty
+    table gives an empty result. Other columns of ``docs`` are ignored, whatever their names.
     """
     content = F.coalesce(F.col(text), F.lit(""))
     narrow = docs.select(
-        F.col(key).alias("doc_id"),
+        F.col(key).cast("long").alias("doc_id"),
         (F.octet_length(content) + 1).cast("long").alias("size"),
         F.crc32(content.cast("binary")).alias("text_crc32"),
         F.xxhash64(content).alias("_h"),
@@ -131,18 +136,18 @@ def shard_by_bytes(spark: SparkSession, docs: DataFrame, shards: int = 8, key: s
         F.monotonically_increasing_id().alias("_row"),
     )
     keyed = written(spark, narrow, "shard-keys", narrow=True)
-    pieces = max(1, -(-shuffle_width(spark) // shards))
+    pieces = max(1, -(-tasks_for(spark, keyed.count(), PIECE_ROWS) // shards))
     cuts, rows_below = find_splitters(keyed.select("_h", "_id", "_row", "size"), shards, pieces, tolerance)
     probes = _pack(cuts)
     base = np.array([0, *rows_below], dtype=np.int64)
     base = base - base[(np.arange(len(base)) // pieces) * pieces]
 
-    def place(batches):
-        for pdf in batches:
-            at = np.searchsorted(probes, _keys(pdf), side="right").astype(np.int64)
-            yield pdf.assign(_range=at, _base=base[at])
+    def place(batches):  # ids pass through untouched, null or not
+        for batch in batches:
+            at = np.searchsorted(probes, _keys(batch), side="right").astype(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at), pa.array(base[at])], names=[*batch.schema.names, "_range", "_base"])
 
-    placed = keyed.mapInPandas(place, "doc_id long, size long, text_crc32 long, _h long, _id long, _row long, _range long, _base long")
+    placed = keyed.mapInArrow(place, f"{PLACED}, _range long, _base long")
     order = Window.partitionBy("_range").orderBy("_h", "_id", "_row")
     dealt = placed.repartition(shards * pieces, "_range")
     return dealt.select(
