@@ -2,16 +2,17 @@
 
 State, all written as tables in the shared folder:
 
-* ``refs``   (k1, k2, doc_id): one row for each document and key it holds, the exact reference table;
-* ``counts`` (k1, k2, refs, first_doc): its sums; a key with two or more documents is *shared*;
+* ``refs``   (k1, k2, doc_id): one row for each row and key it holds, the exact reference table;
+* ``shared`` (k1, k2, refs, first_doc): its counts, of keys that two or more documents hold;
 * ``filters`` (shard, filter): one cuckoo filter a shard, holding the shared keys and nothing else.
 
-``insert`` and ``delete`` change refs, recount the keys they touch, and put into or take out of the filters the keys whose
-count crosses two; so deleting documents gives their lines back to the documents that remain. The number of
-shards follows the number of shared keys, so one filter stays small.
+``insert`` and ``delete`` write what changes: new refs or deleted ids, the keys these touch and their new counts, and
+the filters with the keys taken in or out whose count crossed two. So deleting documents gives their lines back to
+the documents that remain. Refs and counts are read through the changes, and written anew after ``COMPACT`` of them.
 
-Looking up a line: most lines are in no filter and stay without any exact look-up. Filters are sent to every task only
-while all of them together are below ``BROADCAST_BYTES``; above that, lines meet the exact counts in a join.
+The number of shards follows the number of shared keys, so a filter stays small, and nothing is sent to all tasks: refs
+meet the filter of their shard in a cogroup, a shard with many refs in several cells of bounded size, each with a copy of
+the filter. Most refs are in no filter and go no further; the others meet the exact counts in a join.
 
 A key is the line's bytes stripped of ASCII white space, ASCII-lower-cased, as a 128-bit hash.
 """
@@ -25,12 +26,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import forget, record_batch, small_batches, utf8, written
+from corpusloom.llm.common import check_kept, forget, free_name, record_batch, small_batches, utf8, written
 from corpusloom.llm.cuckoo import CuckooFilter
 
-KEYS_PER_SHARD = 1 << 20
-BROADCAST_BYTES = 64 << 20
-LAST = 2**63 - 1
+#: Shared keys of a filter, refs of a cell that meets it, changes after which the state is written anew.
+KEYS_PER_SHARD, REFS_PER_CELL, COMPACT = 1 << 14, 1 << 16, 8
 PAIRS = "k1 long, k2 long, doc_id long"
 PAIRS_ARROW = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("doc_id", pa.int64())])
 
@@ -47,7 +47,7 @@ def digests(text: bytes, least: int) -> list[bytes | None]:
 
 
 def line_refs(docs: DataFrame, least: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(k1, k2, doc_id): each key once for each row that holds it. A null id counts as the largest possible id."""
+    """(k1, k2, doc_id): each key once for each row that holds it. Rows with a null id hold none."""
 
     def scan(batches):
         for batch in batches:
@@ -60,12 +60,14 @@ def line_refs(docs: DataFrame, least: int, key: str = "doc_id", text: str = "tex
             flat = np.frombuffer(b"".join(found), "<i8").reshape(-1, 2)
             yield record_batch(PAIRS_ARROW, [np.ascontiguousarray(flat[:, 0]), np.ascontiguousarray(flat[:, 1]), np.repeat(ids, times)])
 
-    return small_batches(docs).select(F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("doc_id"), utf8(text).alias("text")).mapInArrow(scan, PAIRS)
+    known = docs.select(F.col(key).cast("long").alias("doc_id"), utf8(text).alias("text")).filter("doc_id IS NOT NULL")
+    return small_batches(known).mapInArrow(scan, PAIRS)
 
 
-def count_refs(refs: DataFrame) -> DataFrame:
-    """Documents a key; rows that repeat a doc_id are one document."""
-    return refs.groupBy("k1", "k2").agg(F.count("*").alias("refs"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
+def shared_keys(refs: DataFrame) -> DataFrame:
+    """(k1, k2, refs, first_doc) of keys in two or more documents; rows that repeat a doc_id are one document."""
+    counts = refs.groupBy("k1", "k2").agg(F.count("*").alias("refs"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
+    return counts.filter("first_doc < last_doc").drop("last_doc")
 
 
 def build_filters(shared: DataFrame, shards: int) -> DataFrame:
@@ -87,46 +89,54 @@ class LineIndex:
         self.refs: DataFrame | None = None
         self.shared: DataFrame | None = None
         self.filters: DataFrame | None = None
-        self.shards, self.size = 1, 0
+        self.shards, self.size, self.changes = 1, 0, 0
+        self.tables: list[DataFrame] = []  # what refs and shared are read from
 
-    def _recount(self, refs: DataFrame) -> None:
-        """Shared keys and their filters from scratch: the first load, and whenever shards have to grow."""
-        counts = count_refs(refs).filter("first_doc < last_doc").drop("last_doc")
-        self.shared = written(self.spark, counts, "line-shared")
+    def insert(self, docs: DataFrame) -> None:
+        """Take in the rows of ``docs``. Rows with a null id are left out."""
+        fresh = written(self.spark, line_refs(docs, self.least), "line-refs", narrow=True)
+        self.tables.append(fresh)
+        if self.refs is not None:
+            return self._change(self.refs.unionByName(fresh), fresh.select("k1", "k2").distinct())
+        self.refs, self.shared = fresh, written(self.spark, shared_keys(fresh), "line-shared")
+        self.tables.append(self.shared)
         self.size = self.shared.count()
         self.shards = max(1, -(-self.size // KEYS_PER_SHARD))
         self.filters = written(self.spark, build_filters(self.shared, self.shards), "line-filters")
 
-    def insert(self, docs: DataFrame) -> None:
-        fresh = written(self.spark, line_refs(docs, self.least), "line-refs", narrow=True)
-        if self.refs is None:
-            self.refs = fresh
-            return self._recount(fresh)
-        self._change(self.refs.unionByName(fresh), fresh.select("k1", "k2").distinct())
-
     def delete(self, doc_ids: DataFrame) -> None:
         """Take out the documents in ``doc_ids`` (column doc_id); their lines then belong to the next smallest document."""
-        gone = doc_ids.select("doc_id").distinct()
+        gone = written(self.spark, doc_ids.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id IS NOT NULL").distinct(), "line-gone", narrow=True)
+        self.tables.append(gone)
         touched = self.refs.join(gone, "doc_id", "left_semi").select("k1", "k2").distinct()
         self._change(self.refs.join(gone, "doc_id", "left_anti").select("k1", "k2", "doc_id"), touched)
 
     def _change(self, refs: DataFrame, touched: DataFrame) -> None:
-        """New refs; recount touched keys only, and move the keys that became or ceased to be shared."""
-        touched = written(self.spark, touched, "line-touched")
-        refs = written(self.spark, refs, "line-refs")
-        again = count_refs(refs.join(touched, ["k1", "k2"], "left_semi")).filter("first_doc < last_doc").drop("last_doc")
-        shared = written(self.spark, self.shared.join(touched, ["k1", "k2"], "left_anti").unionByName(again), "line-shared")
-        new = shared.join(self.shared, ["k1", "k2"], "left_anti").select("k1", "k2", F.lit(1).alias("sign"))
-        old = self.shared.join(shared, ["k1", "k2"], "left_anti").select("k1", "k2", F.lit(-1).alias("sign"))
-        self.size = shared.count()
+        """Count the touched keys again, and move the keys that became or ceased to be shared."""
+        touched = written(self.spark, touched, "line-touched", narrow=True)
+        again = written(self.spark, shared_keys(refs.join(touched, ["k1", "k2"], "left_semi")), "line-again", narrow=True)
+        before = self.shared.join(touched, ["k1", "k2"], "left_semi")
+        new = again.join(before, ["k1", "k2"], "left_anti").select("k1", "k2", F.lit(1).alias("sign"))
+        old = before.join(again, ["k1", "k2"], "left_anti").select("k1", "k2", F.lit(-1).alias("sign"))
+        moves = written(self.spark, new.unionByName(old), "line-moves", narrow=True)
+        shared = self.shared.join(touched, ["k1", "k2"], "left_anti").unionByName(again)
+        self.tables += [touched, again]
+        self.size += moves.agg(F.coalesce(F.sum("sign"), F.lit(0))).first()[0]
         if self.size > self.shards * KEYS_PER_SHARD:
-            self.shards = -(-self.size // KEYS_PER_SHARD)
-            filters = build_filters(shared, self.shards)
+            self.shards = 2 * -(-self.size // KEYS_PER_SHARD)
+            filters = written(self.spark, build_filters(shared, self.shards), "line-filters")
         else:
-            filters = self._moved(new.unionByName(old), shared)
-        filters = written(self.spark, filters, "line-filters")
-        forget(self.spark, *{id(t): t for t in (self.refs, self.shared, self.filters, touched)}.values())
-        self.refs, self.shared, self.filters = refs, shared, filters
+            filters = self._moved(moves, shared)
+        forget(self.spark, self.filters, moves)
+        self.refs, self.shared, self.filters, self.changes = refs, shared, filters, self.changes + 1
+        if self.changes % COMPACT == 0:
+            self._compact()
+
+    def _compact(self) -> None:
+        tables = self.tables
+        self.refs, self.shared = written(self.spark, self.refs, "line-refs", narrow=True), written(self.spark, self.shared, "line-shared")
+        self.tables = [self.refs, self.shared]
+        forget(self.spark, *tables)
 
     def _moved(self, moves: DataFrame, shared: DataFrame) -> DataFrame:
         """Filters after deletions (sign -1) and insertions (sign 1); a shard that gets too full is built anew."""
@@ -142,31 +152,27 @@ class LineIndex:
         changed = written(self.spark, cells.applyInPandas(change, "shard int, filter binary"), "line-moved")
         full = changed.filter(F.length("filter") == 0).select("shard")
         anew = shared.select("k1", "k2", shard_of(self.shards)).join(full, "shard", "left_semi")
-        return changed.filter(F.length("filter") > 0).unionByName(build_filters(anew, self.shards))
+        out = written(self.spark, changed.filter(F.length("filter") > 0).unionByName(build_filters(anew, self.shards)), "line-filters")
+        forget(self.spark, changed)
+        return out
 
     def candidates(self) -> DataFrame:
-        """refs that may be shared: those that some filter knows, while the filters are small enough to send."""
-        if not self.size:
-            return self.refs.limit(0)
-        if self.filters.agg(F.sum(F.length("filter"))).first()[0] > BROADCAST_BYTES:
-            return self.refs
-        sent = self.spark.sparkContext.broadcast({r["shard"]: r["filter"] for r in self.filters.collect()})
-        shards = self.shards
-
-        def probe(batches):
-            have = {k: CuckooFilter.from_bytes(v) for k, v in sent.value.items()}
-            for batch in batches:
-                k1, k2 = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-                at, keep = k1 % shards, np.zeros(len(k1), bool)
-                for s, f in have.items():
-                    mine = np.flatnonzero(at == s)
-                    keep[mine] = f.contains(k2[mine])
-                yield batch.filter(pa.array(keep))
-
-        return self.refs.mapInArrow(probe, PAIRS)
+        """refs whose key some filter knows: all shared ones, and few others."""
+        rows = self.refs.select(shard_of(self.shards), "k1", "k2", "doc_id")
+        cells = rows.groupBy("shard").agg(F.ceil(F.count("*") / REFS_PER_CELL).cast("int").alias("cells"))  # a row a shard
+        rows = rows.join(cells, "shard").withColumn("cell", F.pmod(F.xxhash64("k2", "doc_id"), F.col("cells")).cast("int")).drop("cells")
+        copies = self.filters.join(cells, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"), "filter")
+
+        def probe(refs, known):
+            if not known.num_rows:
+                return refs.schema.empty_table().select(PAIRS_ARROW.names)
+            found = CuckooFilter.from_bytes(known["filter"][0].as_py()).contains(refs["k2"].to_numpy())
+            return refs.select(PAIRS_ARROW.names).filter(pa.array(found))
+
+        return rows.groupBy("shard", "cell").cogroup(copies.groupBy("shard", "cell")).applyInArrow(probe, PAIRS)
 
     def drops(self) -> DataFrame:
-        """(doc_id, keys): the keys whose lines a document loses, as 16-byte digests end to end."""
+        """(doc_id, keys): the keys whose lines a document loses, as pairs of numbers."""
         lost = self.candidates().join(self.shared.select("k1", "k2", "first_doc"), ["k1", "k2"]).filter("doc_id > first_doc")
         return lost.groupBy("doc_id").agg(F.collect_set(F.struct("k1", "k2")).alias("keys"))
 
@@ -175,11 +181,18 @@ def strip_shared_lines(index: LineIndex, docs: DataFrame, key: str = "doc_id", t
     """docs -> doc_id, the columns ``keep``, n_lines, n_dropped, kept: the text without the lines the index takes from it.
 
     Every row of ``docs`` gives one row; null and empty texts are one empty line. Rows that repeat a doc_id are one
-    document: they keep their lines. A document without lines left has an empty text.
+    document: all of them keep the lines whose smallest holder it is, and lose the same others. A row with a null id has
+    no place among the holders of a line: it keeps all its lines and takes none from others. A document without lines left
+    has an empty text. Texts are handled one at a time, however long they are. Columns of ``docs`` that are not in ``keep``
+    are ignored, whatever their names; a column of ``keep`` with the name of a column of the result is an error.
     """
-    least, keep = index.least, keep or []
-    rows = small_batches(docs).select(F.col(key).cast("long").alias("doc_id"), utf8(text).alias("_text"), F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("_id"), *keep)
-    joined = rows.join(index.drops().withColumnRenamed("doc_id", "_id"), "_id", "left").select("doc_id", *keep, "_text", "keys")
+    least, keep = index.least, check_kept(keep, ["doc_id", "n_lines", "n_dropped", "kept"])
+    raw_text, lost_keys, ident, salt = (free_name(n, keep) for n in ("_text", "_keys", "_id", "_salt"))
+    known = F.col(key).isNotNull()
+    spread = F.when(known, F.lit(0)).otherwise(F.monotonically_increasing_id() + 1)  # null ids meet nothing, and not in one task
+    rows = small_batches(docs).select(F.col(key).cast("long").alias("doc_id"), *keep, utf8(text).alias(raw_text), F.coalesce(F.col(key).cast("long"), F.lit(0)).alias(ident), spread.alias(salt))
+    gone = index.drops().select(F.col("doc_id").alias(ident), F.lit(0).cast("long").alias(salt), F.col("keys").alias(lost_keys))
+    joined = rows.join(gone, [ident, salt], "left").select("doc_id", *keep, raw_text, lost_keys)
 
     def strip(batches):
         for batch in batches:

@@ -2,8 +2,10 @@ import hashlib
 import zlib
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from corpusloom.llm.cuckoo import CuckooFilter
 from corpusloom.llm.line_dedup import LineIndex, strip_shared_lines
@@ -90,6 +92,7 @@ def test_lines_of_repeated_and_null_ids(spark):
     none = LineIndex(spark)
     none.insert(empty(spark))
     assert strip_shared_lines(none, empty(spark)).count() == 0
+    assert strip_shared_lines(none, df).filter("n_dropped > 0").count() == 0
 
 
 def test_insertions_and_deletions_are_reversible(spark):
@@ -121,6 +124,82 @@ def test_full_shards_are_built_anew(spark):
     assert sum(CuckooFilter.from_bytes(bytes(r.filter)).count for r in index.filters.collect()) == 81
 
 
-def test_exact_path_without_filters(spark, monkeypatch):
-    monkeypatch.setattr("corpusloom.llm.line_dedup.BROADCAST_BYTES", 0)
-    test_lines_against_brute_force(spark)
+def test_many_small_shards_and_cells(spark, monkeypatch):
+    """The same results whatever the sizes of shards and cells, one of them hot; no filter is sent to all tasks."""
+    monkeypatch.setattr("corpusloom.llm.line_dedup.KEYS_PER_SHARD", 8)
+    monkeypatch.setattr("corpusloom.llm.line_dedup.REFS_PER_CELL", 16)
+    rows = [(i, "\n".join(["the line that every document holds", f"line number {i % 40} of all", f"only in {i} and nowhere"])) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    index = LineIndex(spark)
+    index.insert(df)
+    assert index.shards == 6 and index.filters.count() <= 6
+    assert result(spark, index, df) == brute(rows)
+    held = {(r.k1, r.k2) for r in index.shared.collect()}
+    found = [(r.k1, r.k2) for r in index.candidates().collect()]
+    assert set(found) >= held and len(set(found)) < 60
+    assert "BroadcastExchange" not in index.candidates().select("k1")._jdf.queryExecution().toString().split("FlatMapCoGroups")[0]
+
+
+def test_null_ids_take_no_part_in_lines(spark):
+    line = "one line that many rows hold"
+    df = spark.createDataFrame([(None, line), (2**63 - 1, line), (None, f"{line}\n{line}"), (-(2**63), line), (0, line + " 0")], "doc_id long, text string")
+    index = LineIndex(spark)
+    index.insert(df)
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.n_lines, r.n_dropped) for r in strip_shared_lines(index, df).collect())
+    assert got == [(False, -(2**63), 1, 0), (False, 0, 1, 0), (False, 2**63 - 1, 1, 1), (True, 0, 1, 0), (True, 0, 2, 0)]
+    alone = LineIndex(spark)
+    alone.insert(df.filter("doc_id > 0 or doc_id is null"))
+    assert alone.size == 0
+
+
+def test_changes_are_compacted(spark, monkeypatch):
+    monkeypatch.setattr("corpusloom.llm.line_dedup.COMPACT", 3)
+    frame = lambda some: spark.createDataFrame(some, "doc_id long, text string")
+    rows = [(i, f"line number {i % 3} of all\nline number {i % 4} of others") for i in range(24)]
+    index = LineIndex(spark)
+    for at in range(0, 24, 6):
+        index.insert(frame(rows[at : at + 6]))
+    index.delete(frame(rows[:2]).select("doc_id"))
+    index.delete(frame(rows[:3]).select("doc_id"))
+    index.insert(frame(rows[:1]))
+    left = rows[:1] + rows[3:]
+    assert index.changes == 6 and len(index.tables) == 2
+    assert result(spark, index, frame(left)) == brute(left)
+
+
+def test_kept_columns_with_names_of_the_result(spark):
+    df = awkward(spark)
+    index = LineIndex(spark)
+    index.insert(df)
+    out = strip_shared_lines(index, df, keep=["_text", "_id", "keys"])
+    assert out.columns == ["doc_id", "_text", "_id", "keys", "n_lines", "n_dropped", "kept"]
+    assert {(r._text, r._id, r["keys"]) for r in out.collect()} == {("x", "x", "x")}
+    with pytest.raises(ValueError, match="kept"):
+        strip_shared_lines(index, df, keep=["kept"])
+
+
+def test_ids_beside_nulls_stay_whole(spark):
+    """Ids beyond 2^53 and the extreme ones, with nulls among them, in every operator that returns ids."""
+    ids = [None, 2**63 - 1, -(2**63), 2**53 + 1, 2**62 + 3, None, 5]
+    df = spark.createDataFrame([(x, f"text {i}") for i, x in enumerate(ids)], "doc_id long, text string").coalesce(1)
+    got = shard_by_bytes(spark, df, shards=2).collect()
+    key = lambda x: (x is not None, x or 0)
+    assert sorted([r.doc_id for r in got], key=key) == sorted(ids, key=key)
+    by_crc = {zlib.crc32(f"text {i}".encode()): x for i, x in enumerate(ids)}
+    assert all(by_crc[r.text_crc32] == r.doc_id for r in got)
+
+
+def test_shards_against_brute_force(spark):
+    """Every boundary is where the order says: all rows of a shard come before all rows of the next one, slots follow."""
+    rows = [(i // 2 if i % 5 else None, f"text {i % 700} " * (1 + i % 3)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    hashes = {(r.text): r.h for r in df.select("text", F.xxhash64("text").alias("h")).distinct().collect()}
+    names = {zlib.crc32(t.encode()): t for t in hashes}
+    got = sorted((r.shard, r.slot, hashes[names[r.text_crc32]], -(2**63) if r.doc_id is None else r.doc_id, r["size"]) for r in shard_by_bytes(spark, df, shards=5).collect())
+    assert [g[2:4] for g in got] == sorted(g[2:4] for g in got)
+    assert sorted(g[3] for g in got) == sorted(-(2**63) if i is None else i for i, _ in rows)
+    total = sum(len(t) + 1 for _, t in rows)
+    sizes = [sum(g[4] for g in got if g[0] == s) for s in range(5)]
+    assert sum(sizes) == total and max(abs(x - total / 5) for x in sizes) <= 2 * (0.002 * total / 5 + max(len(t) + 1 for _, t in rows))
+    for s in range(5):
+        assert [g[1] for g in got if g[0] == s] == list(range(sum(g[0] == s for g in got)))
