@@ -76,7 +76,7 @@ def tasks_for(spark: SparkSession, amount: int, each: int) -> int:
 
 def input_bytes(df: DataFrame) -> int:
     """What the optimiser takes the size of ``df`` for: the size of its files where it is a projection of a table."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def free_name(base: str, taken: list[str]) -> str:

@@ -7,7 +7,7 @@ a block a checkpoint keeps the position in the words and all lane states, so a r
 can be decoded side by side. Each block has a CRC32 of its words and one of its ids.
 
 Layout (little-endian): magic ``RNS1``; six int64: documents, ids, blocks, table length, index length, ids of all
-segments before it in its file; zlib of the index (doc_id int64s, then lengths int64s); zlib of the table (symbols, then
+segments before it in its file; zlib of the index (doc_id int64s, lengths int64s, a byte each that is 1 where the doc_id is null); zlib of the table (symbols, then
 frequencies, uint32); then each block: seven int64 (ids, words, checkpoint step, checkpoint word, crc of words, crc of
 ids, bytes of states), states at the start, states at the checkpoint, words.
 """
@@ -150,22 +150,25 @@ def decode_block(raw: memoryview, slots, from_checkpoint: bool = False) -> np.nd
     return ids
 
 
-def encode_segment(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray, before: int) -> bytes:
+def encode_segment(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray, before: int, null: np.ndarray | None = None) -> bytes:
     table = Table.of(ids) if len(ids) else Table(np.empty(0, np.uint32), np.empty(0, np.int64))
     dense = table.dense()
     blocks = [encode_block(ids[i : i + BLOCK], dense) for i in range(0, len(ids), BLOCK)]
-    index = zlib.compress(doc_ids.astype("<i8").tobytes() + lengths.astype("<i8").tobytes(), 1)
+    none = np.zeros(len(doc_ids), np.uint8) if null is None else null.astype(np.uint8)
+    index = zlib.compress(doc_ids.astype("<i8").tobytes() + lengths.astype("<i8").tobytes() + none.tobytes(), 1)
     packed = table.to_bytes()
     return b"".join([MAGIC, struct.pack("<6q", len(doc_ids), len(ids), len(blocks), len(packed), len(index), before), index, packed, *blocks])
 
 
-def read_segment(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """(doc_ids, lengths, ids, ids before it in its file); ValueError if anything does not fit its checksum."""
+def read_segment(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, np.ndarray]:
+    """(doc_ids, lengths, ids, ids before it in its file, which doc_ids are null); ValueError if anything does not fit
+    its checksum."""
     if raw[:4] != MAGIC:
         raise ValueError("no segment")
     docs, n, blocks, table, index, before = struct.unpack("<6q", raw[4:52])
     view, at = memoryview(raw), 52
-    both = np.frombuffer(zlib.decompress(view[at : at + index]), "<i8")
+    flat = zlib.decompress(view[at : at + index])
+    both, null = np.frombuffer(flat[: 16 * docs], "<i8"), np.frombuffer(flat[16 * docs :], np.uint8) > 0
     at += index
     slots = Table.from_bytes(view[at : at + table]).slots() if n else None
     at += table
@@ -175,4 +178,4 @@ def read_segment(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
         end = at + 56 + size + 4 * count
         out.append(decode_block(view[at:end], slots))
         at = end
-    return both[:docs], both[docs:], np.concatenate(out) if out else np.empty(0, np.uint32), before
+    return both[:docs], both[docs:], np.concatenate(out) if out else np.empty(0, np.uint32), before, null

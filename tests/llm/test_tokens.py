@@ -82,8 +82,9 @@ def test_slices():
 @given(st.lists(st.integers(0, 70_000), max_size=400), st.integers(0, 3))
 def test_rans_round_trip(some, times):
     ids = np.array(some * (1 + 9 * times), np.uint32)
-    docs, lengths, back, before = rans.read_segment(rans.encode_segment(np.array([5]), np.array([len(ids)]), ids, 7))
-    assert (back == ids).all() and len(back) == len(ids) and docs.tolist() == [5] and lengths.tolist() == [len(ids)] and before == 7
+    docs, lengths, back, before, null = rans.read_segment(rans.encode_segment(np.array([5, -(2**63)]), np.array([len(ids), 0]), ids, 7, np.array([True, False])))
+    assert (back == ids).all() and len(back) == len(ids) and docs.tolist() == [5, -(2**63)] and lengths.tolist() == [len(ids), 0]
+    assert before == 7 and null.tolist() == [True, False]
 
 
 def test_rans_blocks_checkpoints_and_checksums(monkeypatch):
@@ -111,6 +112,19 @@ def test_token_files(spark):
     assert token_files(spark, empty(spark), path).count() == 0
 
 
+def test_extreme_ids_and_a_long_text(spark):
+    """Ids at both ends of the range beside nulls, and a text of some MB, in files and in packing."""
+    path = default_path("word_bpe_49k.json")
+    long = "some words that repeat again and again, " * 60_000
+    df = spark.createDataFrame([(None, "a"), (2**63 - 1, "b"), (-(2**63), "c d"), (2**53 + 1, long), (None, None)], "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: (r.start, r.n_tokens) for r in token_files(spark, df.filter("doc_id is not null or text is null"), path).collect()}
+    n = len(Tokenizer.from_file(path).encode(long, add_special_tokens=False).ids) + 1
+    assert got == {None: (0, 1), -(2**63): (1, 3), 2**53 + 1: (4, n), 2**63 - 1: (4 + n, 2)}
+    packed = pack_documents(spark, df, default_path("byte_bpe_50k.json")).assign().toPandas()
+    assert len(packed) > 400 and (packed.length <= 1024).all() and packed.groupby("sequence_id").length.sum().max() <= 1024
+    assert {r.doc_id for r in pack_documents(spark, df, default_path("byte_bpe_50k.json")).assign().collect()} == {None, 2**63 - 1, -(2**63), 2**53 + 1}
+
+
 def best_known(counts, capacity):
     return -(-int((counts * np.arange(len(counts))).sum()) // capacity)
 
