@@ -8,7 +8,7 @@ document is contaminated by the item if some stretch of ``span`` words (all of a
 of 7 to 12 words with as many as ``similarity`` allows; items of five or six words, where that is one, have masks of
 their own.
 
-The benchmark's seeds are sent to all tasks in blocks of items of at most ``BLOCK_SEEDS`` seeds, so what is sent is
+The benchmark's words are sent to all tasks in blocks of items of at most ``BLOCK_SEEDS`` seeds, so what is sent is
 bounded; a larger benchmark takes more passes over the documents, and each pass is exact.
 """
 
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import small_batches
+from corpusloom.llm.common import check_kept, forget, free_name, small_batches, written
 
 
 #: Positions that count, of windows of up to 9 words.
@@ -27,7 +27,7 @@ MASKS = ("11111", "110111", "1101011", "111001001")
 #: Any five or six words with one substitution hold one of these.
 FEW_MASKS = ("1111", "11011", "10111", "11101")
 SPAN, SIMILARITY = 13, 0.8
-BLOCK_SEEDS = 1 << 20
+BLOCK_SEEDS, PASSES = 1 << 20, 4
 MIX = np.uint64(0x9E3779B97F4A7C15)
 MARKS = bytes(range(0x21, 0x30)) + bytes(range(0x3A, 0x41)) + bytes(range(0x5B, 0x61)) + bytes(range(0x7B, 0x7F))
 BLANKED = bytes.maketrans(MARKS, b" " * len(MARKS))
@@ -132,18 +132,32 @@ def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, ke
     """key, the columns ``keep`` and items (sorted array of item ids, empty if clean) for every row of ``docs``.
 
     Null and empty texts are clean; items without words and items with a null id take no part; items of fewer than five
-    words must occur whole. A word counts as equal without its ASCII marks and in any case.
+    words must occur whole, and of five to nine with at most one word changed. A word counts as equal without its ASCII
+    marks and in any case. Rows of ``docs`` are handled each on its own, also where they repeat or have a null key; items
+    that repeat count once. Texts are read whole, however long. Columns of ``docs`` that are not in ``keep`` are ignored,
+    whatever their names; a column of ``keep`` that is called items or like ``key`` is an error. After PASSES blocks of
+    items the rows are written, so that neither the plan nor what the driver holds grows with the benchmark.
     """
-    keep, read = keep or [], text if text in (keep or []) else "_text"
-    out = small_batches(docs).select(key, *keep, *([] if text in keep else [F.col(text).alias("_text")]), F.array().cast("array<long>").alias("items"))
+    keep = check_kept(keep, [key, "items"])
+    read = text if text in keep else free_name("_text", [key, *keep])
+    out = small_batches(docs).select(key, *keep, *([] if text in keep else [F.col(text).alias(read)]), F.array().cast("array<long>").alias("items"))
+    sent, before = [], None
     for block in benchmark_blocks(benchmark, item, item_text, limit):
-        out = one_pass(spark, out, read, block.ids, [w.tolist() for w in block.words], block.vocabulary, span, similarity)
+        if len(sent) == PASSES:
+            then = written(spark, out, "decontaminated")
+            for b in sent:
+                b.destroy()
+            if before is not None:
+                forget(spark, before)
+            out, before, sent = then, then, []
+        back = {i: w for w, i in block.vocabulary.items()}
+        sent.append(spark.sparkContext.broadcast([(int(i), [back[x] for x in w]) for i, w in zip(block.ids, (w.tolist() for w in block.words))]))
+        out = one_pass(out, read, sent[-1], span, similarity)
     return out.select(key, *keep, "items")
 
 
-def one_pass(spark: SparkSession, docs: DataFrame, read: str, ids: np.ndarray, words: list, vocabulary: dict, span: int, similarity: float) -> DataFrame:
-    back = {i: w for w, i in vocabulary.items()}
-    sent = spark.sparkContext.broadcast([(int(i), [back[x] for x in w]) for i, w in zip(ids, words)])
+def one_pass(docs: DataFrame, read: str, sent, span: int, similarity: float) -> DataFrame:
+    """``docs`` with the items of one block that each row holds added to its ``items``."""
 
     def scan(batches):
         bench = Benchmark(sent.value)

@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 
 from corpusloom.llm import simhash
 from corpusloom.llm.components import components
-from corpusloom.llm.decontaminate import MASKS, Benchmark, contamination
+from corpusloom.llm.decontaminate import MASKS, Benchmark, contamination, words_of
 from corpusloom.llm.topk import top_k
 from tests.llm.helpers import CLASHING, EN, awkward, empty
 
@@ -229,6 +229,49 @@ def test_contamination(spark):
     assert items_of(spark, docs, []) == {i: [] for i in range(len(docs))}
 
 
+def brute_contains(text, item, span=13, similarity=0.8):
+    """Whether some stretch of ``span`` words (all of a shorter item) agrees in enough places, tried at every diagonal."""
+    a, b = words_of(text), words_of(item)
+    need = min(span, len(b))
+    for i in range(len(a) - need + 1):
+        for j in range(len(b) - need + 1) if need else ():
+            if sum(x == y for x, y in zip(a[i : i + need], b[j : j + need])) >= similarity * need - 1e-9:
+                return True
+    return False
+
+
+def test_contamination_against_brute_force(spark, monkeypatch):
+    """Items of 5 to 30 words, pasted whole or in part, with words changed, into texts; blocks written on the way as well."""
+    from corpusloom.llm import decontaminate
+
+    rng = np.random.default_rng(8)
+    draw = lambda n: [f"v{int(x)}" for x in rng.integers(0, 400, n)]
+    bench = [" ".join(draw(int(rng.integers(5, 31)))) for _ in range(12)]
+    docs = []
+    for i in range(140):
+        body, words = draw(40), bench[i % 12].split()
+        part = words[: int(rng.integers(5, len(words) + 1))] if i % 3 == 0 else words
+        for at in rng.choice(len(part), min(len(part), i % 5), replace=False):
+            part = [*part[:at], "changed", *part[at + 1 :]]
+        docs.append(" ".join(body[:20] + part + body[20:]).title())
+    want = {i: [j for j, b in enumerate(bench) if brute_contains(d, b)] for i, d in enumerate(docs)}
+    assert 20 < sum(map(bool, want.values())) < 130
+    got = items_of(spark, docs, bench)
+    missed = [(i, j) for i in want for j in want[i] if j not in got[i]]
+    # what brute force finds by chance, two thirds or so of a long stretch at many places, has at most two changed words
+    assert not missed and all(j in want[i] for i in got for j in got[i])
+    monkeypatch.setattr(decontaminate, "PASSES", 2)
+    assert items_of(spark, docs, bench, limit=1) == got
+
+
+def test_kept_columns_of_contamination(spark):
+    df = awkward(spark)
+    bench = spark.createDataFrame([(5, EN)], "item_id long, text string")
+    assert contamination(spark, df, bench, keep=["_text", "score"]).columns == ["doc_id", "_text", "score", "items"]
+    with pytest.raises(ValueError, match="items"):
+        contamination(spark, df, bench, keep=["items"])
+
+
 @pytest.mark.parametrize("n", range(4, 13))
 def test_short_items_with_a_fifth_of_their_words_changed(n):
     from itertools import combinations
