@@ -1,58 +1,66 @@
 """Language identification and text quality with the byte network of :mod:`bytecnn`.
 
-Both learn on the driver from a bounded sample of labelled rows (``TRAIN_ROWS`` rows with the smallest hash of their id,
-``TRAIN_WINDOWS`` evenly spaced windows of each) and then read every window of every text.
+Both learn on the driver from a bounded sample of labelled rows: those with the smallest hash of their id, TRAIN_ROWS at
+most, and in that order as many as have TRAIN_BYTES of text together. Every window of a sampled text is learned from,
+and every window of every text is scored.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm.bytecnn import WINDOW, ByteCnn, windows_of
-from corpusloom.llm.common import record_batch, small_batches, utf8
+from corpusloom.llm.common import check_kept, forget, free_name, small_batches, utf8, written
 
-TRAIN_ROWS = 5000
-TRAIN_WINDOWS = 8
+#: Bounds of the sample: labelled rows, and bytes of their texts.
+TRAIN_ROWS, TRAIN_BYTES = 2000, 8 << 20
 OVERLAP = 64
 ROWS = 64
-LETTER = re.compile(r"[^\W\d_]")
 
 
 def crc_of(key: str) -> Column:
     return F.crc32(F.col(key).cast("string").cast("binary"))
 
 
-def sample(docs: DataFrame, labelled: DataFrame, key: str, text: str, stride: int) -> list[tuple]:
-    """[(label, windows)] of the TRAIN_ROWS rows of ``labelled`` (id, label) with the smallest hash of their id."""
-    some = labelled.orderBy(F.xxhash64("id"), "id", "label").limit(TRAIN_ROWS)
-    schema = pa.schema([("label", pa.string()), ("windows", pa.binary())])
-
-    def cut(batches):
-        for batch in batches:
-            cells = []
-            for raw in batch.column(1).to_pylist():
-                w, _ = windows_of([raw], stride)
-                cells.append(w[np.unique(np.linspace(0, len(w) - 1, TRAIN_WINDOWS).round().astype(int))].tobytes())
-            yield record_batch(schema, [batch.column(0), cells])
+def has_letter(text: str | None) -> bool:
+    """Whether a character of Unicode's category L is in ``text``."""
+    return bool(text) and any(map(str.isalpha, text))
 
-    rows = small_batches(docs).select(F.col(key).alias("id"), utf8(text).alias("text")).join(F.broadcast(some), "id").select(F.col("label").cast("string").alias("label"), "text")
-    found = [(r["label"], bytes(r["windows"])) for r in rows.mapInArrow(cut, "label string, windows binary").collect()]
-    return [(label, np.frombuffer(w, np.uint8).reshape(-1, WINDOW)) for label, w in sorted(found)]
 
+def sample(docs: DataFrame, labelled: DataFrame, key: str, text: str, stride: int) -> list[tuple]:
+    """[(label, windows)] of the bounded sample of ``labelled`` (id, label): all windows of each text.
 
-def train(rows: list[tuple], names: list[str], epochs: int, windows: int) -> ByteCnn:
+    An id that repeats is drawn once a label, with the smallest of its texts.
+    """
+    some = labelled.distinct().orderBy(F.xxhash64("id"), "id", "label").limit(TRAIN_ROWS)
+    rows = small_batches(docs).select(F.col(key).alias("id"), utf8(text).alias("text")).join(F.broadcast(some), "id")
+    drawn = written(docs.sparkSession, rows.groupBy("id", F.col("label").cast("string").alias("label")).agg(F.min("text").alias("text")), "sample", narrow=True)
+    sizes = drawn.select(F.xxhash64("id").alias("h"), "id", "label", F.octet_length("text").alias("n")).collect()
+    held, last = 0, None
+    for last in sorted(sizes):
+        held += last["n"]
+        if held > TRAIN_BYTES:
+            break
+    found = []
+    if last:
+        ranked = drawn.withColumn("h", F.xxhash64("id"))
+        order, cut = (F.struct(*[f(c).cast(ranked.schema[c].dataType).alias(c) for c in ("h", "id", "label")]) for f in (F.col, lambda c: F.lit(last[c])))
+        first = ranked.filter(order <= cut) if held > TRAIN_BYTES else ranked
+        found = sorted((r["label"], bytes(r["text"])) for r in first.collect())
+    forget(docs.sparkSession, drawn)
+    return [(label, windows_of([raw], stride)[0]) for label, raw in found]
+
+
+def train(rows: list[tuple], names: list[str], epochs: int) -> ByteCnn:
     """One target a window; rows weigh alike however many windows they have, and rare labels weigh more."""
     at = {n: i for i, n in enumerate(names)}
-    some = [(at[label], w[np.linspace(0, len(w) - 1, min(windows, len(w))).round().astype(int)]) for label, w in rows]
-    target = np.concatenate([np.full(len(w), t) for t, w in some])
-    count = np.bincount([t for t, _ in some], minlength=len(names))
-    weight = np.concatenate([np.full(len(w), count[t] ** -0.5 / len(w)) for t, w in some]).astype(np.float32)
-    return ByteCnn(len(names)).fit(np.concatenate([w for _, w in some]), target, weight, epochs)
+    target = np.concatenate([np.full(len(w), at[label]) for label, w in rows])
+    count = np.bincount([at[label] for label, _ in rows], minlength=len(names))
+    weight = np.concatenate([np.full(len(w), count[at[label]] ** -0.5 / len(w)) for label, w in rows]).astype(np.float32)
+    return ByteCnn(len(names)).fit(np.concatenate([w for _, w in rows]), target, weight, epochs)
 
 
 def learn_language(docs: DataFrame, usable: Column, key: str = "doc_id", text: str = "text", lang: str = "lang") -> tuple[ByteCnn, list[str]] | None:
@@ -61,18 +69,20 @@ def learn_language(docs: DataFrame, usable: Column, key: str = "doc_id", text: s
     if not rows:
         return None
     names = sorted({label for label, _ in rows})
-    return train(rows, names, epochs=3, windows=2), names
+    return train(rows, names, epochs=2), names
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, model: tuple[ByteCnn, list[str]] | None, key: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """key, lang_pred, score and the columns ``keep`` for every row of ``docs``.
+    """key, the columns ``keep``, _lang_pred and _score for every row of ``docs``.
 
-    Windows of a whole text are scored one by one; the language has the highest mean log-probability, and the score is
-    its mean probability. Null texts and texts without any letter, and all texts if nothing was labelled, are ``und``
-    with score 0.
+    Windows of a whole text are scored one by one, however long it is; the language has the highest mean log-probability,
+    the first in order at a tie, and the score is its mean probability. Null texts and texts without any letter
+    (category L), and all texts if nothing was labelled, are ``und`` with score 0. Repeated rows and rows with a null key
+    are scored each on its own. Columns of ``docs`` that are not in ``keep`` are ignored, whatever their names; a column of
+    ``keep`` with the name of ``key`` or of a column of the result is an error.
     """
-    keep = keep or []
-    read = text if text in keep else "_text"
+    keep = check_kept(keep, [key, "_lang_pred", "_score"])
+    read = text if text in keep else free_name("_text", [key, *keep])
     sent = spark.sparkContext.broadcast(model and (model[0].p, model[1]))
 
     def scan(batches):
@@ -94,14 +104,14 @@ def identify_language(spark: SparkSession, docs: DataFrame, model: tuple[ByteCnn
                 first = np.cumsum(count) - count
                 best = np.add.reduceat(z, first).argmax(1)
                 p = (np.add.reduceat(np.exp(z), first) / count[:, None])[np.arange(len(best)), best]
-                known = [bool(t) and LETTER.search(t) is not None for t in texts]
+                known = [has_letter(t) for t in texts]
                 langs += [names[b] if k else "und" for b, k in zip(best, known)]
                 scores += [float(v) if k else 0.0 for v, k in zip(p, known)]
-            names_out = [n for n in batch.schema.names if n != "_text"]
-            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names_out], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*names_out, "_lang_pred", "_score"])
+            n = 1 + len(keep)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names[:n], "_lang_pred", "_score"])
 
-    kept = small_batches(docs).select(key, *keep, *([] if text in keep else [F.col(text).alias("_text")]))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields if f.name != "_text")
+    kept = small_batches(docs).select(key, *keep, *([] if text in keep else [F.col(text).alias(read)]))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[: 1 + len(keep)])
     return kept.mapInArrow(scan, f"{kinds}, _lang_pred string, _score double")
 
 
@@ -111,7 +121,7 @@ def learn_quality(docs: DataFrame, labels: DataFrame, usable: Column, key: str =
     rows = sample(docs, labelled, key, text, WINDOW - OVERLAP)
     if len({x for x, _ in rows}) < 2:
         return None
-    net = train(rows, ["0", "1"], epochs=3, windows=3)
+    net = train(rows, ["0", "1"], epochs=2)
     x = np.concatenate([w for _, w in rows])
     z = net.logits(x)
     f = combined(z[:, 1] - z[:, 0], np.array([len(w) for _, w in rows]))
@@ -137,7 +147,9 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30)
 def score_quality(spark: SparkSession, docs: DataFrame, model: tuple[ByteCnn, np.ndarray] | None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, score (0 to 1) for every row of ``docs``: overlapping chunks of the whole text, max-pooled, then combined.
 
-    Null and empty texts are one chunk of padding. Without labels of both kinds every score is 0.5.
+    Null and empty texts are one chunk of padding. Without labels of both kinds every score is 0.5. Repeated rows and rows
+    with a null key are scored each on its own, very long texts to their end. Other columns of ``docs`` are ignored,
+    whatever their names.
     """
     sent = spark.sparkContext.broadcast(model and (model[0].p, model[1]))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpus_pipeline import language_id
 from corpusloom.llm import classifiers, pii
-from corpusloom.llm.bytecnn import WINDOW, ByteCnn, windows_of
+from corpusloom.llm.bytecnn import WIDTHS, WINDOW, ByteCnn, windows_of
 from tests.llm.helpers import DE, EN, SCHEMA, awkward, empty
 
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
@@ -92,6 +92,68 @@ def test_gradients():
         assert (up - down) / (2 * step) == pytest.approx(grads[name][spot], rel=0.05)
 
 
+def test_tables_against_a_plain_convolution():
+    """Filters at every place of every window, one product at a time, against the tables of byte pairs."""
+    rng = np.random.default_rng(3)
+    net = ByteCnn(3, seed=2)
+    net.p["b"] = rng.normal(0, 0.1, net.p["b"].shape).astype(np.float32)
+    x, _ = windows_of([bytes(rng.integers(0, 256, 700, dtype=np.uint8)), b"short", EN.encode()])
+    pooled = []
+    for row in x:
+        v, best = net.p["e"][row], []
+        for w in WIDTHS:  # every place of a window at which the widest filter but one still lies inside it
+            best.append(np.max([np.einsum("jd,jdf->f", v[i : i + w], net.p[f"w{w}"]) for i in range(WINDOW - max(w, 4) + 1)], 0))
+        pooled.append(np.concatenate(best))
+    want = np.maximum(np.array(pooled) + net.p["b"], 0) @ net.p["d"] + net.p["o"]
+    assert np.allclose(net.logits(x), want, atol=1e-3)
+
+
+def test_scores_against_single_windows(spark):
+    """Documents scored in batches against each window scored by itself, on texts of one byte to some MB."""
+    texts = ["x", EN, (EN + " ") * 20, "a very long text " * 120_000, "é" * 700, "12 34"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    net, weights = ByteCnn(2, seed=5), np.array([0.1, 0.7, 0.2, -0.3])
+    got = {r.doc_id: r.score for r in classifiers.score_quality(spark, df, (net, weights)).collect()}
+    for i, t in enumerate(texts):
+        raw, step = t.encode(), WINDOW - classifiers.OVERLAP
+        chunks = [raw[a : a + WINDOW] for a in range(0, max(1, len(raw) - WINDOW + step), step)]
+        z = np.array([np.diff(net.logits(windows_of([c])[0])[0])[0] for c in chunks], np.float64).clip(-20, 20)
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-weights @ [1, z.mean(), z.max(), z.min()])), abs=1e-4)
+    found = {r.doc_id: (r._lang_pred, r._score) for r in classifiers.identify_language(spark, df, (net, ["aa", "bb"])).collect()}
+    for i, t in enumerate(texts[:3]):
+        z = net.logits(windows_of([t.encode()])[0]).astype(np.float64)
+        p = np.exp(z - z.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        best = np.log(p).mean(0).argmax()
+        assert found[i][0] == ["aa", "bb"][best] and found[i][1] == pytest.approx(p[:, best].mean(), abs=1e-5)
+    assert found[5] == ("und", 0.0)
+
+
+def test_letters():
+    assert [classifiers.has_letter(t) for t in ("", None, "½ ² ① ٣ 12 _", "٣ا", "ª", "12a", "你")] == [False, False, False, True, True, True, True]
+
+
+def test_samples_are_whole_texts_within_bounds(spark, monkeypatch):
+    rows = [(i, "x" * (100 * i), "en") for i in range(1, 60)] + [(7, "repeated", "en")] * 50
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labelled = df.select(F.col("doc_id").alias("id"), F.col("lang").alias("label"))
+    drawn = classifiers.sample(df, labelled, "doc_id", "text", WINDOW)
+    assert sorted(len(w) for _, w in drawn) == sorted(max(1, -(-(100 * i if i != 7 else 8) // WINDOW)) for i in range(1, 60))
+    monkeypatch.setattr(classifiers, "TRAIN_BYTES", 40_000)
+    fewer = classifiers.sample(df, labelled, "doc_id", "text", WINDOW)
+    assert 0 < len(fewer) < 59 and {w.tobytes() for _, w in fewer} <= {w.tobytes() for _, w in drawn}
+    monkeypatch.setattr(classifiers, "TRAIN_ROWS", 5)
+    assert 0 < len(classifiers.sample(df, labelled, "doc_id", "text", WINDOW)) <= 5
+
+
+def test_kept_columns_of_language(spark):
+    df = awkward(spark)
+    out = classifiers.identify_language(spark, df, None, keep=["_text", "score"])
+    assert out.columns == ["doc_id", "_text", "score", "_lang_pred", "_score"] and out.count() == df.count()
+    with pytest.raises(ValueError, match="_score"):
+        classifiers.identify_language(spark, df.withColumn("_score", F.lit(1)), None, keep=["_score"])
+
+
 def language_rows():
     rng = np.random.default_rng(2)
     rows = []
