@@ -211,6 +211,16 @@ def test_topk_of_few_and_large(spark):
     assert [(r.query_id, r.rank, r.vec_id) for r in top_k(spark, few).orderBy("query_id", "rank").collect()] == [(0, 1, 100), (0, 2, 1), (100, 1, 0), (100, 2, 1)]
 
 
+def test_topk_of_very_large_components(spark):
+    """Products beyond 2^53 stay exact in whole numbers; beyond a long they are an error, not a wrong result."""
+    schema = "vec_id long, embedding array<double>"
+    rows = [(i, [float(2**18 + i), float(2**19 - i), -1.0]) for i in range(40)] + [(100, [2.0**18, 2.0**19, 3.0])]
+    got = top_k(spark, spark.createDataFrame(rows, schema), every=20, block=2)
+    assert sorted(tuple(r) for r in got.collect()) == brute_topk(rows, 10, 20)
+    with pytest.raises(Exception, match="do not fit a long"):
+        top_k(spark, spark.createDataFrame([(0, [1e16]), (1, [1e16])], schema)).collect()
+
+
 def items_of(spark, docs, bench, **options):
     d = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
     b = spark.createDataFrame(list(enumerate(bench)), "item_id long, text string")
