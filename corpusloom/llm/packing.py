@@ -1,10 +1,12 @@
 """Best-fit packing by exact-complement hashing over lengths.
 
 The plan is made on counts: how many pieces there are of each length, at most ``capacity`` numbers however large the
-corpus is. From the longest length down, the gap a piece leaves is looked up among the single lengths, then the pair
-sums and the triple sums of the lengths still there; a combination that fills the gap exactly is used as often as the
-counts allow. Gaps without an exact complement take the longest length that fits, again and again (best fit). Each step
-uses up one length, so the plan has a few thousand *patterns* at most, each with a multiplicity.
+corpus is. An index keyed by sums says how many single lengths, pairs and triples that are still there add up to each
+number; it is kept up, in one vector step, whenever a length's count falls to two, one or none. From the longest length
+down, the gap a piece leaves is looked up in it, singles before pairs before triples; a combination that fills the
+gap exactly is used as often as the counts allow. Gaps without an exact complement take the longest length that fits,
+again and again (best fit). Each step uses up one length, so the plan has a few thousand *patterns* at most, each with a
+multiplicity.
 
 Documents meet the plan by rank: the r-th piece of a length takes the r-th place that the patterns have for this length.
 Ranks come from exact counts a (writing task, length), so no task ever sees all pieces of a length.
@@ -54,53 +56,106 @@ def cut_pieces(docs: DataFrame, tokenizer: str, spaced: bool, end_id: int, capac
     return small_batches(docs).select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(cut, PIECES)
 
 
-def complement(have: np.ndarray, gap: int) -> tuple[int, ...] | None:
-    """One, two or three lengths that are still there and sum to ``gap``; the longest first."""
-    if have[gap]:
-        return (gap,)
-    a = np.arange(gap // 2 + gap % 2, gap)
-    for x in a[(have[a] > 0) & (have[gap - a] > (a == gap - a))][::-1][:1].tolist():
-        return (x, gap - x)
-    for x in range(gap - 2, (gap - 1) // 3, -1):
-        if have[x]:
-            rest = gap - x
-            b = np.arange(rest // 2 + rest % 2, min(rest - 1, x) + 1)
-            c = rest - b
-            ok = (have[b] > (b == x)) & (have[c] > (c == b).astype(int) + (c == x))
-            if ok.any():
-                y = int(b[ok][-1])
-                return (x, y, rest - y)
-    return None
+class Sums:
+    """Lengths that are there, and how many pairs and triples of them make each sum up to ``capacity``.
+
+    ``pairs`` and ``triples`` count combinations of different lengths, ``doubles`` (x, x), ``mixed`` (x, x, y) and
+    ``cubes`` (x, x, x); a length takes part as often as it is there.
+    """
+
+    def __init__(self, counts: np.ndarray, capacity: int):
+        self.have, self.size = np.zeros(capacity + 1, np.int64), capacity + 1
+        self.one, self.pairs, self.triples, self.doubles, self.mixed, self.cubes = (np.zeros(capacity + 1, np.int64) for _ in range(6))
+        for n in np.flatnonzero(counts).tolist():
+            self.put(n, int(counts[n]))
+
+    def put(self, n: int, count: int) -> None:
+        """From now on there are ``count`` pieces of length ``n``; the index follows where that changes what is possible."""
+        old, self.have[n] = int(self.have[n]), count
+        for level in range(1, 4) if count > old else range(3, 0, -1):
+            if (count >= level) != (old >= level):
+                (self._first, self._second, self._third)[level - 1](n, 1 if count > old else -1)
+
+    def _add(self, to: np.ndarray, by: int, what: np.ndarray, sign: int) -> None:
+        if by < self.size:
+            to[by:] += sign * what[: self.size - by]
+
+    def _first(self, n: int, sign: int) -> None:
+        """Length n appears or goes. Before it appears and after it goes, no pair holds it."""
+        if sign > 0:
+            self._add(self.triples, n, self.pairs, 1)
+            self._add(self.pairs, n, self.one, 1)
+        self.one[n] = sign > 0
+        if sign < 0:
+            self._add(self.pairs, n, self.one, -1)
+            self._add(self.triples, n, self.pairs, -1)
+        self._add(self.mixed, n, self.doubles, sign)
+
+    def _second(self, n: int, sign: int) -> None:
+        self.one[n] = 0
+        self._add(self.mixed, 2 * n, self.one, sign)
+        self.one[n] = 1
+        if 2 * n < self.size:
+            self.doubles[2 * n] += sign
+
+    def _third(self, n: int, sign: int) -> None:
+        if 3 * n < self.size:
+            self.cubes[3 * n] += sign
+
+    def pair(self, total: int) -> tuple[int, int] | None:
+        """The pair with that sum whose longer length is the longest."""
+        if not self.pairs[total] + self.doubles[total]:
+            return None
+        x = np.arange(-(-total // 2), total)
+        x = int(x[(self.have[x] > 0) & (self.have[total - x] > (2 * x == total))][-1])
+        return x, total - x
+
+    def triple(self, total: int) -> tuple[int, int, int] | None:
+        """The triple with that sum whose longest length, and then the next, is the longest."""
+        if not self.triples[total] + self.mixed[total] + self.cubes[total]:
+            return None
+        x = np.arange((total - 1) // 3 + 1, total - 1)
+        x = x[(self.have[x] > 0) & (self.pairs[total - x] + self.doubles[total - x] > 0)]
+        for longest in x[::-1].tolist():
+            rest = total - longest
+            y = np.arange(-(-rest // 2), min(rest - 1, longest) + 1)
+            z = rest - y
+            fits = y[(self.have[y] > (y == longest)) & (self.have[z] > (z == y).astype(int) + (z == longest))]
+            if len(fits):
+                return longest, int(fits[-1]), rest - int(fits[-1])
+        return None
+
+    def complement(self, gap: int) -> tuple[int, ...] | None:
+        """One, two or three lengths that are still there and sum to ``gap``; the longest first."""
+        return (gap,) if self.have[gap] else self.pair(gap) or self.triple(gap)
 
 
 def plan_patterns(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
     """(lengths, how many sequences) for ``counts[length]`` pieces of each length. Every piece gets a place."""
-    have = counts.astype(np.int64).copy()
-    out = []
-    if have[capacity]:
-        out.append(((capacity,), int(have[capacity])))
-        have[capacity] = 0
-    length = capacity - 1
+    counts = counts.astype(np.int64).copy()
+    out = [((capacity,), int(counts[capacity]))] if counts[capacity] else []
+    counts[capacity] = 0
+    sums = Sums(counts, capacity)
+    have, length = sums.have, capacity - 1
     while length > 0:
         if not have[length]:
             length -= 1
             continue
-        have[length] -= 1
-        lengths, gap = [length], capacity - length
-        while gap:
-            if fit := complement(have, gap):
-                lengths += fit
-                have[list(set(fit))] -= [fit.count(x) for x in dict.fromkeys(set(fit))]
+        lengths, gap = [], capacity
+        fit: tuple[int, ...] | None = (length,)
+        while fit:
+            for n in fit:
+                sums.put(n, int(have[n]) - 1)
+            lengths += fit
+            gap -= sum(fit)
+            if not gap:
                 break
             best = np.flatnonzero(have[: gap + 1])
-            if not len(best):
-                break
-            lengths.append(int(best[-1]))
-            have[best[-1]] -= 1
-            gap -= int(best[-1])
+            fit = sums.complement(gap) or ((int(best[-1]),) if len(best) else None)
         kinds, uses = np.unique(lengths, return_counts=True)
         more = int((have[kinds] // uses).min())
-        have[kinds] -= more * uses
+        for n, use in zip(kinds.tolist(), uses.tolist()):
+            sums.put(n, int(have[n]) - more * use)
         out.append((tuple(lengths), 1 + more))
     return out
 
@@ -172,7 +227,7 @@ class Packed:
 def pack_documents(spark: SparkSession, docs: DataFrame, tokenizer: str, spaced: bool = True, end_id: int = 2, capacity: int = 1024, key: str = "doc_id", text: str = "text") -> Packed:
     """Pack every row of ``docs``.
 
-    Repeated rows are packed each on its own; a null key stays null; an empty table gives an empty result. Other
-    columns are ignored.
+    A null or empty text is ``end_id`` alone; a text of any length is cut into pieces. Repeated rows are packed each on
+    its own; a null key stays null; an empty table gives an empty result. Other columns are ignored, whatever their names.
     """
     return Packed(written(spark, cut_pieces(docs, tokenizer, spaced, end_id, capacity, key, text), "pieces", codec="snappy"), capacity)

@@ -9,7 +9,7 @@ from tokenizers import Tokenizer
 
 from corpusloom.llm import rans
 from corpusloom.llm.encoding import WordEncoder, default_path, slices, worker_encoder
-from corpusloom.llm.packing import Layout, pack_documents, plan_patterns
+from corpusloom.llm.packing import Layout, Sums, pack_documents, plan_patterns
 from corpusloom.llm.token_files import token_files
 from tests.llm.helpers import awkward, empty
 
@@ -150,6 +150,24 @@ def test_patterns_hold_every_piece(lengths):
         assert all(b == sum(n for _, n in row[:i]) for i, (b, _) in enumerate(row))
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 20), st.integers(0, 4)), max_size=30))
+def test_index_of_sums(changes):
+    """The index after any changes of counts against all combinations counted anew, and what it finds."""
+    from itertools import combinations_with_replacement
+
+    sums = Sums(np.zeros(21, int), 20)
+    for n, count in changes:
+        sums.put(n, count)
+    fine = lambda c: all(sums.have[x] >= c.count(x) for x in c)
+    for k, counted in ((2, sums.pairs + sums.doubles), (3, sums.triples + sums.mixed + sums.cubes)):
+        combos = [c for c in combinations_with_replacement(range(1, 21), k) if fine(c) and sum(c) <= 20]
+        assert [sum(sum(c) == s for c in combos) for s in range(21)] == counted.tolist()
+        for s in range(2, 21):
+            want = max((tuple(sorted(c, reverse=True)) for c in combos if sum(c) == s), default=None)
+            assert (sums.pair(s) if k == 2 else sums.triple(s)) == want
+
+
 def test_exact_complements():
     counts = np.bincount([20, 12, 20, 7, 5, 10, 9, 9, 4], minlength=33)
     assert sorted(tuple(sorted(p)) for p, t in plan_patterns(counts, 32) for _ in range(t)) == [(4, 9, 9, 10), (5, 7, 20), (12, 20)]
