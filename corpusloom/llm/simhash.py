@@ -6,17 +6,22 @@ at most ``radius`` bits, then some partition differs in at most t_i bits; so it
 with t_i >= 0, at fingerprints whose bits there are within t_i, and to verify those. m and the thresholds are chosen by
 dynamic programming on the candidates they would cost, estimated from all fingerprints.
 
-Equal fingerprints are one node before anything is compared; where similarity is checked as well, equal shingle sets
-are. Fingerprints near each other are then candidates only, and bands of minwise hashes give the similar pairs whose
-fingerprints are further apart. A look-up cell (partition,
-bits) holds the fingerprints that own these bits and those that come near them. Cells are streamed, sorted, through
-tasks that emit links that span dense groups, never all their pairs: once a fingerprint has joined such a group in a
-cell it is not compared with it again. A cell with far more owners than
-others is cut into blocks of owners by blocks of all, so that no task gets all of it.
+Equal fingerprints are one node before anything is compared. A look-up cell (partition, bits) holds the fingerprints that
+own these bits and those that come near them. Cells are streamed, sorted, through tasks that emit links that span dense
+groups, never all their pairs: once a fingerprint has joined such a group in a cell it is not compared with it again. A
+cell with far more owners than others is cut into blocks of owners by blocks of all, so that no task gets all of it.
+
+Where similarity of texts is checked as well (``least``), equal shingle sets are one node, and near fingerprints are
+candidates only: a short signature of minwise hashes decides clear cases, the whole sets the others. Bands of minwise
+hashes give the similar pairs whose fingerprints are further apart. Cells of bands with the same members count once.
+In a cell, members meet with their whole sets; a walk joins what reaches ``least`` and emits a link for each member that
+joins, so groups of any density give fewer links than members, all of them exact. A cell too large for a task is cut into
+parts; afterwards, where links have not connected all its members, its parts are compared with each other as well.
 """
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -26,17 +31,21 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import forget, record_batch, shuffle_width, small_batches, utf8, written
+from corpusloom.llm.common import forget, record_batch, shuffle_width, small_batches, tasks_for, utf8, written
 from corpusloom.llm.components import components
 
-CELL = 1 << 12
+#: Owners of a look-up cell before it is cut, and rows of cells that one task takes, about.
+CELL, CELL_ROWS = 1 << 12, 1 << 22
 BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
-SKETCH = 256
-#: A sketch alone decides a link only this far off the similarity asked for: six standard deviations at 0.8.
-CLEAR = 0.15
-#: Bands of minwise hashes, hashes of each, and the odd factors that stand for their orders.
-BANDS, ROWS = 32, 5
+#: Bands of minwise hashes, and hashes of each. Sets of similarity 0.8 share a band with a probability of 0.99998.
+BANDS, ROWS = 36, 6
+#: Bytes of a signature, one of a minwise hash each. It rejects a pair DOUBT below the similarity asked for (5.6 standard
+#: deviations at 0.8) and accepts one SURE above it.
+SIGNATURE, DOUBT, SURE = 128, 0.2, 0.15
+#: Members of a part of a band's cell, and distinct shingles of all of them together.
+BLOCK, BLOCK_SHINGLES = 2048, 1 << 21
 MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Odd factors that stand for the orders of minwise hashes.
 TURNS = np.random.default_rng(42).integers(0, 2**63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 #: Nanoseconds of a row that is sent to a cell, and of a comparison in it, as measured.
 SIGNATURE_COST, CANDIDATE_COST = 2000.0, 1.5
@@ -81,32 +90,44 @@ def set_name(some: np.ndarray) -> int:
 
 def fingerprints(docs: DataFrame, words: int, key: str = "doc_id", text: str = "text", sets: bool = False) -> DataFrame:
     """(doc_id, fp) of every row; null and empty texts have fingerprint 0. ``sets``: also node, a hash of the shingle
-    set, and bands."""
-    fields = [("doc_id", pa.int64()), ("fp", pa.int64())] + ([("node", pa.int64()), ("bands", pa.list_(pa.int64()))] if sets else [])
+    set, and its size, signature and bands."""
+    fields = [("doc_id", pa.int64()), ("fp", pa.int64())] + ([("node", pa.int64()), ("size", pa.int64()), ("sig", pa.binary()), ("bands", pa.list_(pa.int64()))] if sets else [])
     schema = pa.schema(fields)
 
     def scan(batches):
         for batch in batches:
-            fps, names, cells = [], [], []
+            fps, names, sizes, marks, cells = [], [], [], [], []
             for t in batch.column(1).to_pylist():
                 h = shingles(t, words)
                 fps.append(simhash(h))
                 if sets:
                     some = shingle_set(h)
+                    low = minwise(some)
                     names.append(set_name(some))
-                    cells.append(bands(some))
-            yield record_batch(schema, [batch.column(0), fps, *([names, cells] if sets else [])])
+                    sizes.append(len(some))
+                    marks.append(signature(low))
+                    cells.append(bands(low))
+            yield record_batch(schema, [batch.column(0), fps, *([names, sizes, marks, cells] if sets else [])])
 
-    kinds = "doc_id long, fp long" + (", node long, bands array<long>" if sets else "")
+    kinds = "doc_id long, fp long" + (", node long, size long, sig binary, bands array<long>" if sets else "")
     return small_batches(docs).select(F.col(key).cast("long").alias("doc_id"), utf8(text).alias("text")).mapInArrow(scan, kinds)
 
 
-def bands(some: np.ndarray) -> np.ndarray:
-    """BANDS cells of a shingle set, each from ROWS minwise hashes. Sets of Jaccard similarity s share one with
-    probability 1 - (1 - s^ROWS)^BANDS: 0.999997 at 0.8, whatever their size."""
+def minwise(some: np.ndarray) -> np.ndarray:
+    """BANDS * ROWS minwise hashes of a shingle set."""
     low = np.full(len(TURNS), 2**64 - 1, np.uint64)
-    for at in range(0, len(some), 4096):
-        np.minimum(low, (TURNS[:, None] * some[None, at : at + 4096]).min(1), out=low)
+    for at in range(0, len(some), 512):
+        np.minimum(low, (TURNS[:, None] * some[None, at : at + 512]).min(1), out=low)
+    return low
+
+
+def signature(low: np.ndarray) -> bytes:
+    return (low[:SIGNATURE] * MIX >> np.uint64(56)).astype(np.uint8).tobytes()
+
+
+def bands(low: np.ndarray) -> np.ndarray:
+    """BANDS cells, each of ROWS minwise hashes. Sets of Jaccard similarity s share one with probability
+    1 - (1 - s^ROWS)^BANDS, whatever their size."""
     mixed = np.arange(1, BANDS + 1, dtype=np.uint64)
     for column in low.reshape(BANDS, ROWS).T:
         mixed = (mixed ^ column) * MIX
@@ -114,6 +135,12 @@ def bands(some: np.ndarray) -> np.ndarray:
     return mixed.view(np.int64)
 
 
+def limits(least: float) -> tuple[int, int]:
+    """Equal bytes of two signatures below which a pair is rejected, and from which on it is accepted."""
+    equal = lambda s: SIGNATURE * (s + (1 - s) / 256)  # noqa: E731  other hashes have equal bytes once in 256
+    return math.floor(equal(least - DOUBT)), math.ceil(equal(min(1.0, least + SURE)))
+
+
 def bits_of(fp: np.ndarray) -> np.ndarray:
     return np.unpackbits(np.ascontiguousarray(fp.astype(">i8")).view(np.uint8).reshape(-1, 8), axis=1)
 
@@ -359,88 +386,166 @@ def links(nodes: DataFrame, plan: list[tuple[int, int]], radius: int, width: int
     return cells.mapInArrow(scan, "a long, b long")
 
 
-def sketch(text: bytes, words: int) -> np.ndarray:
-    """The SKETCH smallest hashes of the distinct shingles, in order."""
-    return shingle_set(shingles(text, words))[:SKETCH]
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two shingle sets."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both)
+
 
+PAIR = "a long, b long, clear boolean"
+PAIR_ARROW = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("clear", pa.bool_())])
+LINK_ARROW = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-def similarity(a: np.ndarray, b: np.ndarray, keep: int | None = SKETCH) -> float:
-    """Jaccard similarity of two shingle sets: estimated from the ``keep`` smallest hashes of both, exact without."""
-    union = np.union1d(a, b)[:keep]
-    return float((np.isin(union, a) & np.isin(union, b)).mean())
 
+def signatures_of(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, SIGNATURE)
 
-def verdict(a: np.ndarray, b: np.ndarray, least: float) -> bool | None:
-    """Whether two sketches' sets have at least ``least`` in common; None where only the sets themselves can tell."""
-    if max(len(a), len(b)) < SKETCH:  # these are the sets
-        return similarity(a, b, None) >= least
-    near = similarity(a, b)
-    return near >= least if abs(near - least) > CLEAR else None
 
+def plausible(edges: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """(a, b, clear) of the links whose signatures leave the similarity possible."""
+    reject, accept = limits(least)
+    sigs = lambda name, as_name: nodes.select(F.col("node").alias(name), F.col("sig").alias(as_name))
+    pairs = edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
-def drawn(edges: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, key: str, text: str, keep: int | None) -> DataFrame:
-    """(a, b, x, y): links with the ``keep`` smallest shingle hashes (all: None) of both texts."""
-    touched = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select(F.col("first").alias("_id"), "node")
+    def scan(batches):
+        for batch in batches:
+            n = np.count_nonzero(signatures_of(batch.column(2)) == signatures_of(batch.column(3)), axis=1)
+            keep = n >= reject
+            yield record_batch(PAIR_ARROW, [batch.column(0), batch.column(1), n >= accept]).filter(pa.array(keep))
+
+    return pairs.join(sigs("a", "x"), "a").join(sigs("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(scan, PAIR)
+
+
+def shingle_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, words: int, key: str, text: str) -> DataFrame:
+    """(node, set): the whole shingle sets of the nodes in ``wanted``, drawn again from the texts."""
+    touched = wanted.distinct().join(nodes.select("node", "first"), "node").select(F.col("first").alias("_id"), "node")
     rows = docs.select(F.col(key).cast("long").alias("_id"), utf8(text).alias("_text")).join(touched, "_id").select("node", "_text")  # a repeated doc_id has texts of other nodes as well
-    schema = pa.schema([("node", pa.int64()), ("_set", pa.binary())])
+    schema = pa.schema([("node", pa.int64()), ("set", pa.binary())])
 
     def draw(batches):
         for batch in batches:
             sets = [shingle_set(shingles(t, words)) for t in batch.column(1).to_pylist()]
             mine = [set_name(x) == n for x, n in zip(sets, batch.column(0).to_pylist())]
-            yield record_batch(schema, [batch.column(0), [x[:keep].tobytes() for x in sets]]).filter(pa.array(mine, pa.bool_()))
+            yield record_batch(schema, [batch.column(0), [x.tobytes() for x in sets]]).filter(pa.array(mine, pa.bool_()))
+
+    drawn = rows.mapInArrow(draw, "node long, set binary").groupBy("node").agg(F.max("set").alias("set"))
+    return written(docs.sparkSession, drawn, "sets")
 
-    some = written(docs.sparkSession, rows.mapInArrow(draw, "node long, _set binary").groupBy("node").agg(F.max("_set").alias("_set")), "sets")
-    return edges.join(some.select(F.col("node").alias("a"), F.col("_set").alias("x")), "a").join(some.select(F.col("node").alias("b"), F.col("_set").alias("y")), "b").select("a", "b", "x", "y")
 
+def judged(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """(a, b) of the pairs (a, b, clear) that are clear, or whose sets have at least ``least`` in common."""
 
-def verified(edges: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, least: float, key: str, text: str) -> DataFrame:
-    """Links whose texts' shingle sets have at least ``least`` in common. Sketches of bounded size decide the clear cases;
-    for the rest the whole sets are compared."""
-    spark = docs.sparkSession
-    edges = written(spark, edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges", narrow=True)
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("fine", pa.bool_())])
+    def judge(batches):
+        for batch in batches:
+            both = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())
+            fine = [similarity(np.frombuffer(u, np.uint64), np.frombuffer(v, np.uint64)) >= least for u, v in both]
+            yield record_batch(LINK_ARROW, batch.columns[:2]).filter(pa.array(fine, pa.bool_()))
 
-    def judge(decide):
-        def scan(batches):
-            for batch in batches:
-                x, y = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-                yield record_batch(schema, [batch.column(0), batch.column(1), [decide(np.frombuffer(u, np.uint64), np.frombuffer(v, np.uint64)) for u, v in zip(x, y)]])
+    side = lambda name, as_name: sets.select(F.col("node").alias(name), F.col("set").alias(as_name))
+    both = pairs.filter("NOT clear").join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y")
+    return pairs.filter("clear").select("a", "b").unionByName(both.mapInArrow(judge, "a long, b long"))
 
-        return scan
 
-    def judged(pairs, keep, decide):
-        return written(spark, drawn(pairs, nodes, docs, words, key, text, keep).mapInArrow(judge(decide), "a long, b long, fine boolean"), "judged", narrow=True)
+def band_cells(spark: SparkSession, nodes: DataFrame, block: int) -> DataFrame:
+    """(cell, blocks, mine, node): cells of bands that several nodes share, cut into ``blocks`` parts; ``mine`` is the node's.
 
-    first = judged(edges, SKETCH, lambda a, b: verdict(a, b, least))
-    second = judged(first.filter("fine IS NULL").select("a", "b"), None, lambda a, b: similarity(a, b, None) >= least)
-    return first.unionByName(second).filter("fine").select("a", "b")
+    Of cells with the same members, the pairs' usual case, one is kept.
+    """
+    rows = nodes.select("node", "size", F.explode("bands").alias("cell"))
+    held = rows.groupBy("cell").agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.bit_xor(F.xxhash64("node")).alias("f"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("g"))
+    once = held.filter("n > 1").groupBy("n", "size", "f", "g").agg(F.min("cell").alias("cell"))
+    blocks = F.ceil(F.greatest(F.col("n") / block, F.col("size") / BLOCK_SHINGLES)).cast("int")
+    shared = rows.join(once.select("cell", blocks.alias("blocks")), "cell")
+    return written(spark, shared.select("cell", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("mine"), "node"), "cells", narrow=True)
+
+
+def walk(sets: list[np.ndarray], root: np.ndarray, side: np.ndarray | None, least: float) -> list[tuple[int, int]]:
+    """Links (i, j) that connect what reaches ``least``: each set is compared once with all that have not joined yet, which
+    are on another side, if there are sides, and have another root."""
+    size = np.array([len(x) for x in sets], np.int64)
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    starts = np.cumsum(size) - size
+    flags, left, out = np.zeros(int(ids.max()) + 1, np.int32), np.ones(len(sets), bool), []
+    for first in range(len(sets)):
+        front = [first] if left[first] else []
+        left[first] = False
+        while front:
+            i = front.pop()
+            mine = ids[starts[i] : starts[i] + size[i]]
+            flags[mine] = 1
+            common = np.add.reduceat(flags[ids], starts)
+            flags[mine] = 0
+            fine = left & (root != root[i]) & (common / (size + size[i] - common) >= least)
+            if side is not None:
+                fine &= side != side[i]
+            for j in np.flatnonzero(fine).tolist():
+                out.append((i, j))
+                front.append(j)
+            left &= ~fine
+    return out
 
 
-def band_links(spark: SparkSession, nodes: DataFrame, edges: DataFrame, tied: DataFrame, verify, turns: int = 3, few: int = 4) -> DataFrame:
-    """``edges`` and more, so that they connect all pairs ``verify`` keeps of those that share a band.
+def band_links(spark: SparkSession, cells: DataFrame, sets: DataFrame, least: float, roots: DataFrame | None = None) -> DataFrame:
+    """(a, b): links of at least ``least`` that connect all such pairs of the same part of a cell, each of them exact.
 
-    A pair is left out only while verified links connect it anyway. If more than ``few`` pairs a node are open, each cell
-    first compares one member with the others, for ``turns`` times at most: this joins what is alike in a large group, and
-    what remains apart, because it failed with that member, is then compared with all others of the cell.
+    With ``roots``, all such pairs of different parts of the same cell that have different roots instead.
     """
-    many = nodes.count() * few
-    for turn in range(turns + 1):
-        roots = written(spark, components(spark, edges.unionByName(tied)), "roots")
-        rows = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.explode("bands").alias("cell"))
-        rows = rows.withColumn("h", F.xxhash64("node", F.lit(turn)))
-        mixed = rows.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("h").alias("lead"))
-        apart = written(spark, rows.join(mixed.filter("low < high").select("cell", "lead"), "cell"), "apart", narrow=True)
-        sizes = apart.groupBy("cell", "root").agg(F.count("*").cast("double").alias("n")).groupBy("cell").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("nn"))
-        still = sizes.agg(F.sum((F.col("n") * F.col("n") - F.col("nn")) / 2)).first()[0] or 0
-        last = turn == turns or still <= many
-        x = (apart if last else apart.filter("h = lead")).select("cell", F.col("node").alias("a"), F.col("root").alias("ra"))
-        y = apart.select("cell", F.col("node").alias("b"), F.col("root").alias("rb"))
-        pairs = x.join(y, "cell").filter("ra < rb" if last else "ra <> rb").select("a", "b")
-        if still:
-            edges = written(spark, edges.unionByName(verify(pairs)), "verified", narrow=True)
-        if last:
-            return edges
+    if roots is None:
+        rows = cells.select("cell", F.col("mine").alias("i"), F.col("mine").alias("j"), "mine", "node", F.col("node").alias("root"))
+    else:
+        known = cells.filter("blocks > 1").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        mixed = known.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("cell")
+        others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: o != F.col("mine"))
+        rows = known.join(mixed, "cell").select("cell", "mine", "node", "root", F.explode(others).alias("other"))
+        rows = rows.select("cell", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", "root")
+    dealt = rows.join(sets, "node").select("cell", "i", "j", "mine", "node", "root", "set")
+    dealt = dealt.repartition(shuffle_width(spark), "cell", "i", "j").sortWithinPartitions("cell", "i", "j")
+
+    def scan(batches):
+        held: list | None = None
+
+        def work(columns, last):
+            """Links of all whole cells; the last cell stays for the next batch."""
+            cell, first, second, mine, node, root, raw = columns
+            change = np.flatnonzero((cell[1:] != cell[:-1]) | (first[1:] != first[:-1]) | (second[1:] != second[:-1])) + 1
+            edges = np.concatenate([[0], change, [len(cell)]])
+            whole = len(edges) - 1 if last else len(edges) - 2
+            found = set()
+            for x, y in zip(edges[:whole].tolist(), edges[1 : whole + 1].tolist()):
+                if y - x > 1:
+                    own = [np.frombuffer(r, np.uint64) for r in raw[x:y]]
+                    if y - x == 2 and first[x] == second[x]:
+                        pairs = [(0, 1)] if similarity(*own) >= least else []
+                    else:
+                        pairs = walk(own, root[x:y], None if first[x] == second[x] else mine[x:y], least)
+                    found.update((min(u, v), max(u, v)) for u, v in ((int(node[x + i]), int(node[x + j])) for i, j in pairs))
+            flat = np.array(sorted(found), np.int64).reshape(-1, 2)
+            return record_batch(LINK_ARROW, [flat[:, 0].copy(), flat[:, 1].copy()]), [c[edges[whole] :] for c in columns]
+
+        for batch in batches:
+            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:-1]] + [batch.columns[-1].to_pylist()]
+            held = columns if held is None else [*[np.concatenate(x) for x in zip(held[:-1], columns[:-1])], held[-1] + columns[-1]]
+            found, held = work(held, False)
+            yield found
+        if held is not None and len(held[0]):
+            yield work(held, True)[0]
+
+    return dealt.mapInArrow(scan, "a long, b long").distinct()
+
+
+def similar_groups(spark: SparkSession, docs: DataFrame, nodes: DataFrame, near: DataFrame, tied: DataFrame, words: int, least: float, block: int, key: str, text: str) -> DataFrame:
+    """(node, root) of the groups that verified links and ``tied`` join: candidates are ``near`` and pairs that share a band."""
+    pairs, cells = written(spark, plausible(near, nodes, least), "pairs", narrow=True), band_cells(spark, nodes, block)
+    in_doubt = pairs.filter("NOT clear")
+    sets = shingle_sets(docs, nodes, cells.select("node").unionByName(in_doubt.select(F.col("a").alias("node"))).unionByName(in_doubt.select(F.col("b").alias("node"))), words, key, text)
+    found = written(spark, judged(pairs, sets, least).unionByName(band_links(spark, cells, sets, least)), "verified", narrow=True)
+    roots = written(spark, components(spark, found.unionByName(tied)), "roots")
+    if not cells.filter("blocks > 1").isEmpty():
+        more = written(spark, band_links(spark, cells, sets, least, roots), "verified", narrow=True)
+        if not more.isEmpty():
+            roots = written(spark, components(spark, found.unionByName(more).unionByName(tied)), "roots")
+    forget(spark, pairs, cells, sets)
+    return roots
 
 
 def ties(known: DataFrame) -> DataFrame:
@@ -457,27 +562,30 @@ def named(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     return joined.join(least, "root").select("node", "component_id")
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 4, radius: int = 4, key: str = "doc_id", text: str = "text", cell: int = CELL, least: float | None = None) -> DataFrame:
+def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 4, radius: int = 4, key: str = "doc_id", text: str = "text", cell: int = CELL, least: float | None = None, block: int = BLOCK) -> DataFrame:
     """doc_id, fp, component_id for every row of ``docs``: the smallest doc_id that links can reach, itself included.
 
     Rows that repeat a doc_id are one document, linked to each other. Rows with a null doc_id are texts of their own, each
     linked by its fingerprint only; component_id is null where links reach no doc_id. With ``least``, a link also needs
     that Jaccard similarity of the two texts' shingle sets, a group is what verified links connect, and rows with a null
-    doc_id have no group. Null, empty and blank texts have fingerprint 0 and link like any other.
+    doc_id have no group. Null, empty and blank texts have fingerprint 0 and link like any other. Texts are read whole,
+    however long. Other columns of ``docs`` are ignored, whatever their names.
     """
     sets = least is not None
-    prints = written(spark, fingerprints(docs, words, key, text, sets), "prints", narrow=True)
-    rows = prints if sets else prints.withColumn("node", F.col("fp"))
+    prints = written(spark, fingerprints(docs, words, key, text, sets), "prints", narrow=not sets)
+    rows = prints.select("doc_id", "fp", "node") if sets else prints.withColumn("node", F.col("fp"))
     known = rows.filter("doc_id IS NOT NULL") if sets else rows
     tied = ties(known.select("doc_id", "node"))
-    held = [F.first("bands").alias("bands")] if sets else []
-    nodes = written(spark, known.groupBy("node").agg(F.min("fp").alias("fp"), F.min("doc_id").alias("first"), *held), "nodes")
+    held = [F.first(c).alias(c) for c in ("size", "sig", "bands")] if sets else []
+    source = prints.filter("doc_id IS NOT NULL") if sets else known
+    nodes = written(spark, source.groupBy("node").agg(F.min("fp").alias("fp"), F.min("doc_id").alias("first"), *held), "nodes")
     plan = choose(nodes, radius)
-    found = written(spark, links(nodes, plan, radius, shuffle_width(spark), cell), "links", narrow=True)
+    width = tasks_for(spark, nodes.count() * sum(ball(m.bit_count(), t) + 1 for m, t in plan), CELL_ROWS)
+    found = written(spark, links(nodes, plan, radius, width, cell), "links", narrow=True)
     if sets:
-        verify = lambda pairs: verified(pairs, nodes, docs, words, least, key, text)
-        found = written(spark, band_links(spark, nodes, verify(found), tied, verify), "verified", narrow=True)
-    roots = written(spark, components(spark, found.unionByName(tied)), "roots")
+        roots = similar_groups(spark, docs, nodes, found, tied, words, least, block, key, text)
+    else:
+        roots = written(spark, components(spark, found.unionByName(tied)), "roots")
     id_of = F.when(F.col("doc_id").isNotNull(), F.col("component_id")) if sets else F.col("component_id")
     out = rows.join(named(nodes, roots), "node", "left").select("doc_id", "fp", id_of.alias("component_id"))
     forget(spark, found)

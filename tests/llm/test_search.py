@@ -116,9 +116,10 @@ def test_pairs_far_apart_in_bits_are_found(spark):
     assert any((fp[i] ^ fp[i + 1]).bit_count() > 10 for i in range(0, 120, 2))
 
 
-def test_large_groups_of_verified_links(spark, monkeypatch):
-    """A chain of texts, each near the next ones only, and one text's many copies with different changes."""
-    monkeypatch.setattr(simhash.band_links, "__defaults__", (3, 0))
+@pytest.mark.parametrize("block", [2048, 24])
+def test_large_groups_of_verified_links(spark, block):
+    """A chain of texts, each near the next ones only, one text's many copies with different changes, and two families of
+    fingerprints all near each other whose texts are unlike."""
     words, rng = [f"c{i}" for i in range(3000)], np.random.default_rng(6)
     rows = [(i, " ".join(words[10 * i : 10 * i + 200])) for i in range(200)]
     for i in range(150):
@@ -126,15 +127,22 @@ def test_large_groups_of_verified_links(spark, monkeypatch):
         for j in rng.choice(200, int(rng.integers(1, 7)), replace=False):
             some[j] = f"g{i}new{j}"
         rows.append((1000 + i, " ".join(some)))
+    banner = "a long banner of seven words here " * 90
+    for i in range(120):  # the banner decides nearly all bits, the rest is like in one family only
+        some = [f"{'left' if i % 2 else 'right'}{j}" for j in range(300)]
+        for j in rng.choice(300, 2, replace=False):
+            some[j] = f"h{i}new{j}"
+        rows.append((2000 + i, banner + " ".join(some)))
     root = {i: i for i, _ in rows}
-    sets = {i: {tuple(w[k : k + 5]) for k in range(196)} for i, t in rows for w in [t.split()]}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, t in rows for w in [t.split()]}
     for i, _ in rows:
         for j in root:
             if j < i and root[i] != root[j] and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8:
                 low, high = sorted((root[i], root[j]))
                 root = {k: low if r == high else r for k, r in root.items()}
-    got = simhash.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), 5, 40, least=0.8).collect()
+    got = simhash.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), 5, 10, least=0.8, block=block).collect()
     assert {r.doc_id: r.component_id for r in got} == root
+    assert {root[2000], root[2001]} == {2000, 2001} and sum(r == 2000 for r in root.values()) > 50
 
 
 def test_verified_groups(spark):
@@ -143,10 +151,22 @@ def test_verified_groups(spark):
     df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate((words, near, far))], "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark, df, 5, 40, least=0.8).collect()}
     assert got == {0: 0, 1: 0, 2: 2}
-    a, b = simhash.sketch(" ".join(words).encode(), 5), simhash.sketch(" ".join(near).encode(), 5)
+    a, b = (simhash.shingle_set(simhash.shingles(" ".join(w).encode(), 5)) for w in (words, near))
     assert simhash.similarity(a, b) == pytest.approx(191 / 201)
 
 
+def test_signatures_follow_similarity():
+    """Estimates of pairs at 0.8 stay clear of the limits that decide without the sets."""
+    reject, accept = simhash.limits(0.8)
+    for s, low, high in ((0.8, reject, accept), (0.3, 0, reject), (1.0, accept, 129)):
+        for seed in range(60):
+            rng = np.random.default_rng(seed)
+            both = rng.integers(0, 2**63, int(1800 * s), np.uint64)
+            one, two = (np.unique(np.concatenate([both, rng.integers(0, 2**63, (1800 - len(both)) // 2, np.uint64)])) for _ in range(2))
+            a, b = (np.frombuffer(simhash.signature(simhash.minwise(x)), np.uint8) for x in (one, two))
+            assert low <= (a == b).sum() < high, (s, simhash.similarity(one, two))
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.integers(0, 14), st.lists(st.integers(0, 30), min_size=1, max_size=10))
 def test_allocation_is_a_pigeonhole(radius, sizes):
