@@ -183,14 +183,16 @@ class WordEncoder:
         return out
 
 
-def slices(batch: pa.RecordBatch, column: int, size: int = 12 << 20):
-    """A batch in runs of rows with about ``size`` bytes of text; a longer text is a run of its own."""
+def slices(batch: pa.RecordBatch, column: int, size: int = 4 << 20):
+    """A batch in runs of rows with about ``size`` bytes of text; a longer text is a run of its own. After each of them
+    Arrow gives back the memory that it holds for the next one, which would stay with every idle worker."""
     total = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False))
     at = 0
     while at < batch.num_rows:
         end = int(np.searchsorted(total, (total[at - 1] if at else 0) + size, side="right"))
         end = max(end, at + 1)
         yield batch.slice(at, end - at)
+        pa.default_memory_pool().release_unused()
         at = end
 
 
