@@ -39,10 +39,12 @@ def new_path(spark: SparkSession, name: str) -> str:
 def written(spark: SparkSession, df: DataFrame, name: str, codec: str = "zstd", narrow: bool = False) -> DataFrame:
     """Cut the lineage of ``df`` with a table in the shared folder, and read it back.
 
-    ``narrow``: rows of a few bytes, which are merged first, so that many tasks do not leave many tiny files.
+    ``narrow``: small rows, merged to partitions of a useful size and written by no more tasks than there are cores, or so
+    that wide shuffles do not leave many tiny files.
     """
     path = new_path(spark, name)
-    (df.hint("rebalance") if narrow else df).write.option("compression", codec).parquet(path)
+    few = max(spark.sparkContext.defaultParallelism, shuffle_width(spark) // 16)
+    (df.hint("rebalance").coalesce(few) if narrow else df).write.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._corpusloom_path = path
     return out

@@ -98,11 +98,11 @@ class LineIndex:
         self.tables.append(fresh)
         if self.refs is not None:
             return self._change(self.refs.unionByName(fresh), fresh.select("k1", "k2").distinct())
-        self.refs, self.shared = fresh, written(self.spark, shared_keys(fresh), "line-shared")
+        self.refs, self.shared = fresh, written(self.spark, shared_keys(fresh), "line-shared", narrow=True)
         self.tables.append(self.shared)
         self.size = self.shared.count()
         self.shards = max(1, -(-self.size // KEYS_PER_SHARD))
-        self.filters = written(self.spark, build_filters(self.shared, self.shards), "line-filters")
+        self.filters = written(self.spark, build_filters(self.shared, self.shards), "line-filters", narrow=True)
 
     def delete(self, doc_ids: DataFrame) -> None:
         """Take out the documents in ``doc_ids`` (column doc_id); their lines then belong to the next smallest document."""
@@ -124,7 +124,7 @@ class LineIndex:
         self.size += moves.agg(F.coalesce(F.sum("sign"), F.lit(0))).first()[0]
         if self.size > self.shards * KEYS_PER_SHARD:
             self.shards = 2 * -(-self.size // KEYS_PER_SHARD)
-            filters = written(self.spark, build_filters(shared, self.shards), "line-filters")
+            filters = written(self.spark, build_filters(shared, self.shards), "line-filters", narrow=True)
         else:
             filters = self._moved(moves, shared)
         forget(self.spark, self.filters, moves)
@@ -134,7 +134,7 @@ class LineIndex:
 
     def _compact(self) -> None:
         tables = self.tables
-        self.refs, self.shared = written(self.spark, self.refs, "line-refs", narrow=True), written(self.spark, self.shared, "line-shared")
+        self.refs, self.shared = written(self.spark, self.refs, "line-refs", narrow=True), written(self.spark, self.shared, "line-shared", narrow=True)
         self.tables = [self.refs, self.shared]
         forget(self.spark, *tables)
 
@@ -149,10 +149,10 @@ class LineIndex:
             return pd.DataFrame({"shard": [key[0]], "filter": [have.to_bytes() if fits else b""]})
 
         cells = moves.select(shard_of(self.shards), "k2", "sign").groupBy("shard").cogroup(self.filters.groupBy("shard"))
-        changed = written(self.spark, cells.applyInPandas(change, "shard int, filter binary"), "line-moved")
+        changed = written(self.spark, cells.applyInPandas(change, "shard int, filter binary"), "line-moved", narrow=True)
         full = changed.filter(F.length("filter") == 0).select("shard")
         anew = shared.select("k1", "k2", shard_of(self.shards)).join(full, "shard", "left_semi")
-        out = written(self.spark, changed.filter(F.length("filter") > 0).unionByName(build_filters(anew, self.shards)), "line-filters")
+        out = written(self.spark, changed.filter(F.length("filter") > 0).unionByName(build_filters(anew, self.shards)), "line-filters", narrow=True)
         forget(self.spark, changed)
         return out
 

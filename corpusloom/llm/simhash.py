@@ -429,7 +429,7 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, words: in
             yield record_batch(schema, [batch.column(0), [x.tobytes() for x in sets]]).filter(pa.array(mine, pa.bool_()))
 
     drawn = rows.mapInArrow(draw, "node long, set binary").groupBy("node").agg(F.max("set").alias("set"))
-    return written(docs.sparkSession, drawn, "sets")
+    return written(docs.sparkSession, drawn, "sets", narrow=True)
 
 
 def judged(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -539,11 +539,11 @@ def similar_groups(spark: SparkSession, docs: DataFrame, nodes: DataFrame, near:
     in_doubt = pairs.filter("NOT clear")
     sets = shingle_sets(docs, nodes, cells.select("node").unionByName(in_doubt.select(F.col("a").alias("node"))).unionByName(in_doubt.select(F.col("b").alias("node"))), words, key, text)
     found = written(spark, judged(pairs, sets, least).unionByName(band_links(spark, cells, sets, least)), "verified", narrow=True)
-    roots = written(spark, components(spark, found.unionByName(tied)), "roots")
+    roots = written(spark, components(spark, found.unionByName(tied)), "roots", narrow=True)
     if not cells.filter("blocks > 1").isEmpty():
         more = written(spark, band_links(spark, cells, sets, least, roots), "verified", narrow=True)
         if not more.isEmpty():
-            roots = written(spark, components(spark, found.unionByName(more).unionByName(tied)), "roots")
+            roots = written(spark, components(spark, found.unionByName(more).unionByName(tied)), "roots", narrow=True)
     forget(spark, pairs, cells, sets)
     return roots
 
@@ -578,14 +578,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 4, radius
     tied = ties(known.select("doc_id", "node"))
     held = [F.first(c).alias(c) for c in ("size", "sig", "bands")] if sets else []
     source = prints.filter("doc_id IS NOT NULL") if sets else known
-    nodes = written(spark, source.groupBy("node").agg(F.min("fp").alias("fp"), F.min("doc_id").alias("first"), *held), "nodes")
+    nodes = written(spark, source.groupBy("node").agg(F.min("fp").alias("fp"), F.min("doc_id").alias("first"), *held), "nodes", narrow=True)
     plan = choose(nodes, radius)
     width = tasks_for(spark, nodes.count() * sum(ball(m.bit_count(), t) + 1 for m, t in plan), CELL_ROWS)
     found = written(spark, links(nodes, plan, radius, width, cell), "links", narrow=True)
     if sets:
         roots = similar_groups(spark, docs, nodes, found, tied, words, least, block, key, text)
     else:
-        roots = written(spark, components(spark, found.unionByName(tied)), "roots")
+        roots = written(spark, components(spark, found.unionByName(tied)), "roots", narrow=True)
     id_of = F.when(F.col("doc_id").isNotNull(), F.col("component_id")) if sets else F.col("component_id")
     out = rows.join(named(nodes, roots), "node", "left").select("doc_id", "fp", id_of.alias("component_id"))
     forget(spark, found)
