@@ -1,22 +1,25 @@
 """Personal data by weak supervision, in DataFrame expressions only.
 
 Four base kinds (email, ip, card, phone) are found by pattern and check; they always stay. Further candidates (long
-mixed tokens, national phone numbers, identity numbers) get votes from labelers of three sorts: patterns of the token's
-shape, gazetteers of known prefixes and number ranges, and the words before it. Votes are counted by their combination;
-expectation-maximisation over these counts estimates how reliable each labeler is, and so how likely each combination
-is personal. A logistic classifier is then fitted on the candidates' features against these likelihoods, and its linear
-form is applied as a column expression. What reaches the driver is one row for each combination of votes and features:
-a few hundred numbers at most, whatever the size of the table.
-
-Positions are code points. They come from the pieces between matches, whose lengths are summed in blocks, so a text with
-very many matches costs little more than linear time. All patterns are linear: runs are possessive, and a run is only
-entered at its start or right after a match.
+mixed tokens, national phone numbers, identity numbers, bank accounts with right check digits, street addresses, names) get votes from labelers of
+three sorts: patterns of the span's shape, gazetteers and number ranges, and the words before it. Votes are counted by
+their combination; expectation-maximisation over these counts estimates how reliable each labeler is, and so how likely
+each combination is personal. A logistic classifier is then fitted to these likelihoods on features that no labeler sees:
+length, shares of digits and capitals, variety of characters, what stands right before and after, place in the line. Its
+linear form is applied as a column expression and decides. What reaches the driver is one row for each combination of
+votes and features; features have a few values each, so their number is bounded whatever the size of the table.
+
+Positions are code points. They come from the pieces between matches, whose lengths are summed in blocks, and candidates
+are held against base spans by running maxima over both in order; so a text with very many matches costs little more
+than linear time. All patterns are linear: runs are possessive, and a run is only entered at its start or right after a
+match.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,27 +33,55 @@ BASE = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 IP_PART = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
-CANDIDATE = r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])|\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9-])|[A-Za-z0-9][A-Za-z0-9_/+-]{14,}+"
-#: Gazetteers: prefixes of issued keys, and cue words by kind.
+#: Gazetteers. Prefixes of issued keys, cue words by kind, kinds of streets, titles, first names, countries.
 KEY_PREFIXES = "AKIA|ASIA|AIza|gh[pousr]_|glpat-|sk-|pk_|xox[abp]-|eyJ"
-CUES = {"secret": "pass(?:word|wd|phrase)?|pwd|token|secret|key|auth|bearer|credential", "phone": "tel|phone|call|fax|mobile|cell|dial", "id": "ssn|social|passport|identity|taxpayer|tin|id"}
+CUES = {
+    "secret": "pass(?:word|wd|phrase)?|pwd|token|secret|key|auth|bearer|credential",
+    "phone": "tel|phone|call|fax|mobile|cell|dial",
+    "id": "ssn|social|passport|identity|taxpayer|tin|id",
+    "iban": "iban|account|acct|bank|konto|cuenta|compte|transfer",
+    "street": "address|live|lives|lived|living|resides|at|to|adresse|mail",
+    "name": "name|dear|contact|by|from|signed|regards|sincerely|patient|client|with",
+}
+STREETS = "Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Drive|Dr|Boulevard|Blvd|Court|Ct|Square|Terrace|Highway"
+TITLES = "Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Señor|Señora"
+FIRST_NAMES = "James|Mary|John|Patricia|Robert|Jennifer|Michael|Linda|David|Elizabeth|William|Barbara|Richard|Susan|Joseph|Jessica|Thomas|Sarah|Charles|Karen|Daniel|Nancy|Matthew|Lisa|Anthony|Margaret|Paul|Anna|Peter|Maria|Hans|Jürgen|Sabine|Pierre|Marie|Jean|Carlos|Juan|José|Carmen"
+COUNTRIES = "AD|AE|AT|BE|BG|CH|CY|CZ|DE|DK|EE|ES|FI|FR|GB|GR|HR|HU|IE|IL|IS|IT|LI|LT|LU|LV|MC|MT|NL|NO|PL|PT|RO|SA|SE|SI|SK|SM|TR"
+#: Patterns of candidates, by kind; of secrets there is no pattern but a long run of their characters.
+SHAPES = {
+    "id": r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
+    "phone": r"\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9-])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "street": rf"(?<![0-9.])[0-9]{{1,5}} (?:[A-Z][a-z]{{1,20}} ){{1,3}}(?:{STREETS})(?![a-z])",
+    "name": rf"(?<!\p{{L}})(?:(?:{TITLES})\.? [A-Z]\p{{Ll}}{{1,20}}|(?:{FIRST_NAMES}) [A-Z]\p{{Ll}}{{1,20}})(?!\p{{L}})",
+}
+CANDIDATE = "|".join(SHAPES.values()) + "|[A-Za-z0-9][A-Za-z0-9_/+-]{14,}+"
 LABELERS = ("shape", "issued", "cue", "mixed", "plain")
-KINDS = ("email", "ip", "card", "phone", "id", "secret")
+KINDS = ("email", "ip", "card", "phone", "id", "secret", "iban", "street", "name")
+#: Features and how many values each of them has, from 0.
+FEATURES = {"size": 4, "digits": 4, "capitals": 3, "variety": 4, "before": 4, "after": 4, "assigned": 2, "first": 2}
 BLOCK = 256
 CONTEXT = 24
 
 
-def running_sum(values: Column) -> Column:
-    """Prefix sums of an array of ints: in blocks of BLOCK, then block by block."""
-    zero = F.struct(F.lit(0).alias("s"), F.expr("cast(array() as array<int>)").alias("a"))
-    inner = lambda part: F.aggregate(part, zero, lambda acc, x: F.struct((acc["s"] + x).alias("s"), F.concat(acc["a"], F.array(acc["s"] + x)).alias("a")))["a"]
+def running(values: Column, kind: str, zero: Column, join) -> Column:
+    """The running ``join`` (associative) of an array of ``kind``: in blocks of BLOCK, then block by block."""
+    none = F.expr(f"cast(array() as array<{kind}>)")
+    start = F.struct(zero.alias("s"), none.alias("a"))
+    inner = lambda part: F.aggregate(part, start, lambda acc, x: F.struct(join(acc["s"], x).alias("s"), F.concat(acc["a"], F.array(join(acc["s"], x))).alias("a")))["a"]
     blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / BLOCK).cast("int")), lambda j: inner(F.slice(values, j * BLOCK + 1, F.lit(BLOCK))))
-    joined = F.aggregate(blocks, F.struct(F.lit(0).alias("s"), F.expr("cast(array() as array<array<int>>)").alias("a")), lambda acc, b: F.struct((acc["s"] + F.element_at(b, -1)).alias("s"), F.concat(acc["a"], F.array(F.transform(b, lambda x: x + acc["s"]))).alias("a")))["a"]
-    return F.when(F.size(values) == 0, F.expr("cast(array() as array<int>)")).when(F.size(values) <= BLOCK, inner(values)).otherwise(F.flatten(joined))
+    begin = F.struct(zero.alias("s"), F.expr(f"cast(array() as array<array<{kind}>>)").alias("a"))
+    joined = F.aggregate(blocks, begin, lambda acc, b: F.struct(join(acc["s"], F.element_at(b, -1)).alias("s"), F.concat(acc["a"], F.array(F.transform(b, lambda x: join(acc["s"], x)))).alias("a")))["a"]
+    return F.when(F.size(values) == 0, none).when(F.size(values) <= BLOCK, inner(values)).otherwise(F.flatten(joined))
+
+
+def running_sum(values: Column) -> Column:
+    return running(values, "int", F.lit(0), lambda x, y: x + y)
 
 
 def located(df: DataFrame, name: str, pattern: str, text: str = "_text") -> DataFrame:
-    """Add ``name``: array of (start, end, body, left) of all matches; left is the end of the text before a match."""
+    """Add ``name``: array of (start, end, body, left, right) of all matches; left is the end of the text between a match
+    and the one before it, right the beginning of that after it."""
     none = F.expr("cast(array() as array<string>)")
     some = F.col(text).rlike(pattern)
     df = df.withColumn("_m", F.when(some, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(none))
@@ -58,7 +89,7 @@ def located(df: DataFrame, name: str, pattern: str, text: str = "_text") -> Data
     n = F.size("_m")
     gaps = F.zip_with(F.transform(F.slice("_p", F.lit(1), n), F.length), F.concat(F.array(F.lit(0)), F.transform(F.slice("_m", F.lit(1), F.greatest(n - 1, F.lit(0))), F.length)), lambda p, m: p + m)
     df = df.withColumn("_s", F.when(n > 0, running_sum(gaps)).otherwise(F.expr("cast(array() as array<int>)")))
-    spans = F.transform(F.arrays_zip(F.col("_s").alias("s"), F.col("_m").alias("m"), F.slice("_p", F.lit(1), n).alias("p")), lambda z: F.struct(z["s"].alias("start"), (z["s"] + F.length(z["m"])).alias("end"), z["m"].alias("body"), F.substring(z["p"], -CONTEXT, CONTEXT).alias("left")))
+    spans = F.transform(F.arrays_zip(F.col("_s").alias("s"), F.col("_m").alias("m"), F.slice("_p", F.lit(1), n).alias("p"), F.slice("_p", F.lit(2), n).alias("q")), lambda z: F.struct(z["s"].alias("start"), (z["s"] + F.length(z["m"])).alias("end"), z["m"].alias("body"), F.substring(z["p"], -CONTEXT, CONTEXT).alias("left"), F.substring(z["q"], 1, 1).alias("right")))
     return df.withColumn(name, spans).drop("_m", "_p", "_s")
 
 
@@ -83,21 +114,54 @@ def is_fine(kind: str, body: Column) -> Column:
     return F.lit(True)
 
 
-def judged(c: Column) -> Column:
-    """Kind, votes (1 personal, 0 not, -1 silent) and features of a candidate (start, end, body, left)."""
+def valid_iban(body: Column) -> Column:
+    """Country, and the check digits: moved to the end, with letters as two digits from ten, the number is 1 modulo 97."""
+    plain = F.replace(body, F.lit(" "), F.lit(""))
+    moved = F.concat(F.substring(plain, 5, 64), F.substring(plain, 1, 4))
+    rest = F.aggregate(F.split(moved, ""), F.lit(0), lambda acc, c: F.when(c == "", acc).when(c.rlike("[0-9]"), (acc * 10 + c.cast("int")) % 97).otherwise((acc * 100 + F.ascii(c) - 55) % 97))
+    return plain.rlike(f"^(?:{COUNTRIES})") & (rest == 1)
+
+
+def kind_of(body: Column) -> Column:
+    """The first kind whose pattern the whole candidate has; else a secret."""
+    out, whole = None, lambda kind: body.rlike(f"^(?:{SHAPES[kind]})$")
+    for kind in SHAPES:
+        out = F.when(whole(kind), kind) if out is None else out.when(whole(kind), kind)
+    return out.otherwise("secret")
+
+
+def by_kind(kind: Column, other: Column, **votes: Column) -> Column:
+    """The vote of the candidate's kind, ``other`` for kinds without one."""
+    for k, vote in votes.items():
+        other = F.when(kind == k, vote).otherwise(other)
+    return other
+
+
+def judged(c: Column, kind: Column) -> Column:
+    """Kind, place, votes (1 personal, 0 not, -1 silent) and features of a candidate (start, end, body, left, right)."""
     body, left = c["body"], F.lower(c["left"])
-    kind = F.when(body.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), "id").when(body.rlike(r"^\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}$"), "phone").otherwise("secret")
-    number = digits(body)
-    share = F.length(number) / F.length(body)
-    shape = F.when(body.rlike("^(?:[0-9a-f]{16,}|[A-Z0-9]{16,}|[A-Za-z0-9_-]{32,})$") & body.rlike("[0-9]") & body.rlike("[A-Za-z]"), 1).when(kind != "secret", 1).otherwise(0)
-    issued = F.when(kind == "secret", F.when(body.rlike(f"^(?:{KEY_PREFIXES})"), 1).otherwise(-1)).when(kind == "phone", F.when(number.rlike("^[2-9][0-9]{2}[2-9]"), 1).otherwise(0)).otherwise(F.when(number.rlike("^(?:000|666|9)"), 0).otherwise(1))
-    cue = F.when(kind == "secret", left.rlike(rf"(?:{CUES['secret']})[^a-z0-9]*$")).when(kind == "phone", left.rlike(rf"(?:{CUES['phone']})[^a-z0-9]*$")).otherwise(left.rlike(rf"(?:{CUES['id']})[^a-z0-9]*$"))
-    mixed = F.when(kind == "secret", F.when(share.between(0.15, 0.9) & (F.size(F.array_distinct(F.split(body, ""))) >= 9), 1).otherwise(0)).otherwise(-1)
-    plain = F.when(body.rlike("[/+_-].*[/+_-].*[/+_-]") | left.rlike("[/.=]$") & ~left.rlike(f"(?:{CUES['secret']})") | ~body.rlike("[0-9]"), 0).otherwise(-1)
-    size = F.when(F.length(body) < 18, 0).when(F.length(body) < 32, 1).otherwise(2)
+    number, length = digits(body), F.length(body)
+    share = F.length(number) / length
+    vote = lambda c: F.when(c, 1).otherwise(0)
+    shape = vote(body.rlike("^(?:[0-9a-f]{16,}|[A-Z0-9]{16,}|[A-Za-z0-9_-]{32,})$") & body.rlike("[0-9]") & body.rlike("[A-Za-z]"))
+    key = F.when(body.rlike(f"^(?:{KEY_PREFIXES})"), 1).otherwise(-1)
+    cue = F.lit(False)
+    for k, words in CUES.items():
+        cue = F.when(kind == k, left.rlike(rf"(?:^|[^a-z])(?:{words})[^a-z0-9]*$") if k != "secret" else left.rlike(rf"(?:{words})[^a-z0-9]*$")).otherwise(cue)
+    mixed = F.when(kind == "secret", vote(share.between(0.15, 0.9) & (F.size(F.array_distinct(F.split(body, ""))) >= 9))).otherwise(-1)
+    plain = F.when(kind == "name", -1).when(body.rlike("[/+_-].*[/+_-].*[/+_-]") | left.rlike("[/.=]$") & ~left.rlike(f"(?:{CUES['secret']})") | ~body.rlike("[0-9]"), 0).otherwise(-1)
+    step = lambda x, *cuts: sum((F.when(x >= v, 1).otherwise(0) for v in cuts), F.lit(0)).cast("int")
+    beside = lambda x: F.when(x.isNull() | x.rlike(r"^[\s]?$"), 0).when(x.rlike("[\"'`=:]"), 1).when(x.rlike("[/.@_-]"), 2).otherwise(3)
+    facts = {
+        "size": step(length, 18, 32, 48), "digits": step(share, 0.15, 0.5, 0.9), "capitals": step(F.length(F.regexp_replace(body, "[^A-Z]", "")) / length, 0.01, 0.5),
+        "variety": step(F.size(F.array_distinct(F.split(body, ""))) / length, 0.3, 0.5, 0.7), "before": beside(F.substring(c["left"], -1, 1)), "after": beside(c["right"]),
+        "assigned": vote(left.rlike("[=:]\\s*[\"']?$")), "first": vote((c["start"] == 0) | left.rlike("\\n\\s*$")),
+    }
     return F.struct(
-        kind.alias("kind"), c["start"].alias("start"), c["end"].alias("end"), shape.alias("shape"), issued.alias("issued"),
-        F.when(cue, 1).otherwise(-1).alias("cue"), mixed.alias("mixed"), plain.alias("plain"), size.alias("size"),
+        kind.alias("kind"), c["start"].alias("start"), c["end"].alias("end"),
+        by_kind(kind, shape, id=F.lit(1), phone=F.lit(1), iban=F.lit(1), street=F.lit(1), name=F.lit(-1)).alias("shape"),
+        by_kind(kind, key, phone=vote(number.rlike("^[2-9][0-9]{2}[2-9]")), id=vote(~number.rlike("^(?:000|666|9)")), iban=F.lit(1), street=F.lit(1), name=F.lit(1)).alias("issued"),
+        F.when(cue, 1).otherwise(-1).alias("cue"), mixed.alias("mixed"), plain.alias("plain"), *[facts[f].alias(f) for f in FEATURES],
     )
 
 
@@ -110,16 +174,28 @@ def count_of(kind: str, spans: str = "base") -> Column:
     return F.size(F.filter(spans, lambda c: c["kind"] == kind)).cast("long")
 
 
+def apart_from(spans: Column, base: Column) -> Column:
+    """Those of ``spans`` (start, end, ...) that no base span touches: none before them reaches in, none begins in them."""
+    event = lambda c, own: F.struct(c["start"].alias("start"), c["end"].alias("end"), own.alias("own"))
+    rows = F.array_sort(F.concat(F.transform(base, lambda c: event(c, F.lit(-1))), F.transform(spans, lambda c, i: event(c, i))))
+    reach = running(F.transform(rows, lambda e: F.when(e["own"] < 0, e["end"]).otherwise(-1)), "int", F.lit(-1), lambda x, y: F.greatest(x, y))
+    last = 2**31 - 1
+    ahead = F.reverse(running(F.transform(F.reverse(rows), lambda e: F.when(e["own"] < 0, e["start"]).otherwise(last)), "int", F.lit(last), lambda x, y: F.least(x, y)))
+    free = F.filter(F.arrays_zip(rows.alias("e"), reach.alias("r"), ahead.alias("s")), lambda z: (z["e"]["own"] >= 0) & (z["r"] <= z["e"]["start"]) & (z["s"] >= z["e"]["end"]))
+    return F.when((F.size(spans) == 0) | (F.size(base) == 0), spans).otherwise(F.transform(free, lambda z: F.get(spans, z["e"]["own"])))
+
+
 def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, base (kind, start, end), more (judged candidates that touch no base span) for every row."""
     df = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     for kind, pattern in BASE.items():
         df = located(df, f"_{kind}", pattern)
     df = located(df, "_more", CANDIDATE)
-    base = F.concat(*[kept_spans(kind) for kind in BASE])
-    df = df.withColumn("base", base)
-    apart = F.filter("_more", lambda c: c["body"].rlike("[0-9]") & ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    return df.withColumn("_apart", apart).select("doc_id", "base", F.transform("_apart", judged).alias("more"))
+    df = df.withColumn("base", F.concat(*[kept_spans(kind) for kind in BASE]))
+    kinds = F.transform(F.filter("_more", lambda c: c["body"].rlike("[0-9]| ")), lambda c: F.struct(*[c[f].alias(f) for f in ("start", "end", "body", "left", "right")], kind_of(c["body"]).alias("kind")))
+    fine = F.filter("_kinds", lambda c: (c["kind"] != "iban") | valid_iban(c["body"]))  # like a card without its check digit
+    df = df.withColumn("_kinds", kinds).withColumn("_kinds", fine).withColumn("_apart", apart_from(F.col("_kinds"), F.col("base")))
+    return df.select("doc_id", "base", F.transform("_apart", lambda c: judged(c, c["kind"])).alias("more"))
 
 
 def reliabilities(rows: list[tuple[tuple[int, ...], int]], rounds: int = 50) -> list[float]:
@@ -153,46 +229,55 @@ def reliabilities(rows: list[tuple[tuple[int, ...], int]], rounds: int = 50) ->
 
 
 def features(row: dict) -> list[float]:
-    """One number for each fact; silent votes are facts of their own."""
-    return [1.0, *[float(row["kind"] == k) for k in ("id", "phone")], *[float(row[x] == 1) for x in LABELERS], *[float(row[x] == 0) for x in LABELERS], *[float(row["size"] == s) for s in (1, 2)]]
+    """One number for each value of each feature but the first, and for each kind but the first."""
+    kinds = [float(row["kind"] == k) for k in KINDS[1:]]
+    return [1.0, *kinds, *[float(row[f] == v) for f, n in FEATURES.items() for v in range(1, n)]]
 
 
-def fit(rows: list[tuple[list[float], float, int]], rounds: int = 400, rate: float = 0.5, ridge: float = 1e-3) -> list[float]:
-    """Logistic regression by gradient descent on expected labels; rows are (features, likelihood, count)."""
-    total, w = sum(c for *_, c in rows), [0.0] * len(rows[0][0])
+def fit(rows: list[tuple[list[float], float, int]], rounds: int = 30, ridge: float = 0.1) -> list[float]:
+    """Logistic regression on expected labels by Newton's method; rows are (features, likelihood, count)."""
+    x, y, n = (np.array([r[i] for r in rows], float) for i in range(3))
+    w = np.zeros(x.shape[1])
     for _ in range(rounds):
-        grad = [ridge * v for v in w]
-        for x, y, c in rows:
-            p = 1 / (1 + math.exp(-max(-30.0, min(30.0, sum(a * b for a, b in zip(w, x))))))
-            for j, v in enumerate(x):
-                grad[j] += (p - y) * v * c / total
-        w = [a - rate * g for a, g in zip(w, grad)]
-    return w
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x * (n * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (n * (y - p)) - ridge * w)
+        w += step * min(1.0, 4.0 / max(1e-9, float(np.abs(step).max())))
+    return w.tolist()
 
 
 def linear(w: list[float], c: Column) -> Column:
     """The classifier's logit of a judged candidate as an expression."""
-    facts = [F.lit(True), *[c["kind"] == k for k in ("id", "phone")], *[c[x] == 1 for x in LABELERS], *[c[x] == 0 for x in LABELERS], *[c["size"] == s for s in (1, 2)]]
+    facts = [F.lit(True), *[c["kind"] == k for k in KINDS[1:]], *[c[f] == v for f, n in FEATURES.items() for v in range(1, n)]]
     out = F.lit(0.0)
     for v, fact in zip(w, facts):
         out = out + F.when(fact, v).otherwise(0.0)
     return out
 
 
+def likelihoods(counts: list[dict]) -> list[float]:
+    """How likely each combination of votes and features is personal, by its votes alone."""
+    votes: dict[tuple[int, ...], int] = {}
+    for r in counts:
+        key = tuple(r[x] for x in LABELERS)
+        votes[key] = votes.get(key, 0) + r["count"]
+    belief = dict(zip(votes, reliabilities(list(votes.items()))))
+    return [belief[tuple(r[x] for x in LABELERS)] for r in counts]
+
+
 def find_pii(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, base and spans (arrays of kind, start, end by start, then kind) for every row of ``docs``.
 
-    Null and empty texts have no spans. Rows that repeat are handled each on its own. Extra spans touch no base span.
-    Without candidates nothing is added.
+    Null and empty texts have no spans. Rows that repeat and rows with a null key are handled each on its own. Very long
+    texts are searched whole, in about linear time. Extra spans touch no base span; without candidates nothing is added.
+    Other columns of ``docs`` are ignored, whatever their names.
     """
     found = written(spark, candidates(docs, key, text), "pii")
-    facts = ["kind", *LABELERS, "size"]
+    facts = ["kind", *LABELERS, *FEATURES]
     counts = [r.asDict() for r in found.select(F.explode("more").alias("c")).select(*[F.col(f"c.{f}") for f in facts]).groupBy(*facts).count().collect()]  # combinations of facts
     counts.sort(key=lambda r: tuple(str(r[f]) for f in facts))
     more = F.col("more")
     if counts:
-        belief = reliabilities([(tuple(r[x] for x in LABELERS), r["count"]) for r in counts])
-        w = fit([(features(r), b, r["count"]) for r, b in zip(counts, belief)])
+        w = fit([(features(r), b, r["count"]) for r, b in zip(counts, likelihoods(counts))])
         more = F.filter("more", lambda c: linear(w, c) >= 0)
     added = F.transform(more, lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end")))
     return found.select("doc_id", in_order(F.col("base")).alias("base"), in_order(F.concat("base", added)).alias("spans"))

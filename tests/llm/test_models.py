@@ -1,8 +1,11 @@
 import hashlib
 import re
+import time
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from corpus_pipeline import language_id
@@ -49,6 +52,81 @@ def test_added_spans(spark):
     assert all(got[i] == "secret:15:47" for i in range(40)) and all(got[100 + i] == "" for i in range(40)) and all(got[200 + i] == "phone:5:19" for i in range(20))
 
 
+def planted(i):
+    """(kind, text, span) of a planted case; kind None: nothing personal."""
+    rng = np.random.default_rng(i)
+    digit = lambda n: "".join(map(str, rng.integers(0, 10, n)))
+    bban = digit(18)
+    check = 98 - int(bban + "131400") % 97  # D and E are 13 and 14
+    cases = [
+        ("secret", "the token = \"{}\" was", hashlib.sha1(str(i).encode()).hexdigest()),
+        ("iban", "pay to account {} today", f"DE{check:02d}{bban}"),
+        (None, "order number {} has", f"DE{(check + 40) % 97:02d}{bban}"),
+        ("street", "she lives at {} since then", f"{1 + i} North Harbour {('Street', 'Road', 'Avenue')[i % 3]}"),
+        ("name", "signed by {}, who", f"{('Mr', 'Mrs', 'Dr.')[i % 3]} {('Miller', 'Okafor', 'Tanaka')[i % 3]}"),
+        ("id", "his ssn {} is", f"{digit(1).replace('9', '1').replace('0', '2')}23-45-{digit(4)}"),
+        ("phone", "call ({}) or", f"{2 + i % 8}15-555-{digit(4)}"),
+        (None, "see https://example.org/{} for it", f"a-page/of-many-words/and-more-{i}"),
+        (None, "the words {} follow", "ordinary-hyphenated-compound-words"),
+    ]
+    kind, text, body = cases[i % len(cases)]
+    return kind, f"{EN} {text.format(body)} {EN}", (f"{kind}:{len(EN) + 1 + text.index('{')}:{len(EN) + 1 + text.index('{') + len(body)}")
+
+
+def test_recall_of_planted_kinds(spark):
+    """At least nine of ten planted cases of every kind, at most one of ten of those that only look like one."""
+    rows = [planted(i) for i in range(450)]
+    df = spark.createDataFrame([(i, t) for i, (_, t, _) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r.spans.split(",") for r in pii.find_pii(spark, df).select("doc_id", pii.joined(F.col("spans")).alias("spans")).collect()}
+    for kind in ("secret", "iban", "street", "name", "id", "phone"):
+        mine = [i for i, r in enumerate(rows) if r[0] == kind]
+        loose = lambda i: any(s.split(":")[0] == kind and abs(int(s.split(":")[1]) - int(rows[i][2].split(":")[1])) <= 1 for s in got[i] if s)  # noqa: B023, E731
+        assert sum(map(loose, mine)) >= 0.9 * len(mine), kind
+    clean = [i for i, r in enumerate(rows) if r[0] is None]
+    assert sum(got[i] != [""] for i in clean) <= 0.1 * len(clean)
+
+
+def test_many_spans_in_one_text(spark):
+    """A text of a megabyte with a base span or a candidate at every few characters, in seconds, and the same as brute force."""
+    unit, n = "a@b.c x 415-555-1234 ", 50_000
+    df = spark.createDataFrame([(0, unit * n), (1, unit * 3)], "doc_id long, text string")
+    start = time.perf_counter()
+    got = {r.doc_id: r for r in pii.find_pii(spark, df).collect()}
+    assert time.perf_counter() - start < 60
+    assert len(got[0].base) == n and len(got[0].spans) in (n, 2 * n) and got[0].base[-1].start == len(unit) * (n - 1)
+    assert [(s.kind, s.start) for s in got[0].spans[: len(got[1].spans)]] == [(s.kind, s.start) for s in got[1].spans]
+
+
+@settings(max_examples=12, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 60), st.integers(1, 9)), max_size=12), st.lists(st.tuples(st.integers(0, 60), st.integers(1, 9)), max_size=12), st.sampled_from([2, 256]))
+def test_overlaps_against_brute_force(spark, some, base, block):
+    old, pii.BLOCK = pii.BLOCK, block
+    some = sorted({a: (a, a + n) for a, n in some}.values())
+    base = sorted((a, a + n) for a, n in base)
+    df = spark.createDataFrame([(some, base)], "s array<struct<start:int,end:int>>, b array<struct<start:int,end:int>>")
+    got = df.select(pii.apart_from(F.col("s"), F.col("b")).alias("x")).first().x
+    pii.BLOCK = old
+    assert sorted(tuple(x) for x in got) == [c for c in some if not any(b[0] < c[1] and c[0] < b[1] for b in base)]
+
+
+def test_reliabilities_against_plain_em():
+    """The same estimates as EM over single candidates, one by one instead of by counts."""
+    rows = [((1, 1, -1), 13), ((0, 0, 0), 20), ((1, 0, -1), 4), ((0, 1, 0), 5), ((-1, -1, -1), 3)]
+    single = [(v, 1) for v, n in rows for _ in range(n)]
+    by_count, one_by_one = pii.reliabilities(rows), pii.reliabilities(single)
+    assert one_by_one == pytest.approx([b for b, (_, n) in zip(by_count, rows) for _ in range(n)])
+
+
+def test_fit_against_gradient_descent():
+    rng = np.random.default_rng(1)
+    x = np.concatenate([np.ones((40, 1)), rng.integers(0, 2, (40, 3))], 1)
+    y, n = rng.uniform(0.1, 0.9, 40), rng.integers(1, 9, 40)
+    w, got = np.zeros(4), pii.fit(list(zip(x.tolist(), y.tolist(), n.tolist())))
+    for _ in range(20_000):
+        w -= 0.005 * (x.T @ (n * (1 / (1 + np.exp(-x @ w)) - y)) + 0.1 * w)
+    assert got == pytest.approx(w.tolist(), abs=1e-3)
+
+
 def test_pii_of_awkward_rows(spark):
     df = awkward(spark)
     out = pii.find_pii(spark, df)
