@@ -34,6 +34,19 @@ def nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
 
 
+#: What compatibility composition leaves alone: ASCII, letters of Latin-1 and of the Arabic block, without marks.
+SETTLED = r"^[\x{00}-\x{9F}\x{C0}-\x{FF}\x{060C}-\x{064A}\x{0660}-\x{066F}\x{0671}-\x{0674}\x{0679}-\x{06D3}]*$"
+
+
+def composed(df: DataFrame, *columns: str) -> DataFrame:
+    """``df`` with these text columns in NFKC. Rows that it cannot change, nearly all, stay in the JVM."""
+    settled = F.lit(True)
+    for c in columns:
+        settled = settled & F.coalesce(F.col(c), F.lit("")).rlike(SETTLED)
+    changed = df.filter(~settled).withColumns({c: nfkc(c) for c in columns})
+    return df.filter(settled).unionByName(changed.select(df.columns))
+
+
 def hashed_encoder(dim: int = 64) -> Callable:
     """A bag of hashed words with unit length: stands in for a neural encoder."""
 

@@ -35,7 +35,7 @@ def filled(*columns: Column) -> Column:
 def normalize(c: Column, profile: str = "core") -> Column:
     """Retrieval form of a text. ``core`` keeps the marks ؟ ، ؛ glued to words, ``ui`` takes them for blanks.
 
-    NFKC is a separate step (:func:`corpusloom.functions.models.nfkc`): Spark has no function for it.
+    NFKC comes before it, as a step on tables (:func:`corpusloom.functions.models.composed`): Spark has no function for it.
     """
     low = F.lower(F.coalesce(c, F.lit("")))
     arabic = F.regexp_replace(F.translate(low, ALEF_FROM, ALEF_TO), DIACRITICS, "")

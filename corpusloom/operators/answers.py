@@ -12,12 +12,13 @@ NOT_CHAT = ["embedding", "whisper", "tts", "dall-e", "moderation", "davinci-002"
 
 
 def parsed_answer(raw: Column) -> Column:
-    """answer, citations, warnings of a JSON object; any other text is the answer itself, with a warning."""
+    """answer, citations, warnings of a JSON object; any other text is the answer itself, with a warning. An object
+    without an answer is its own answer, without one."""
     fine = F.try_parse_json(raw).isNotNull() & F.trim(raw).startswith("{")
     read = F.from_json(raw, ANSWER)
     none = F.expr("cast(array() as array<struct<id:string,source_id:string>>)")
     return F.struct(
-        F.when(fine, F.coalesce(read["answer"], F.lit(""))).otherwise(raw).alias("answer"),
+        F.when(fine, F.coalesce(read["answer"], raw)).otherwise(raw).alias("answer"),
         F.when(fine, F.coalesce(read["citations"], none)).otherwise(none).alias("citations"),
         F.when(fine, F.coalesce(read["warnings"], F.expr("cast(array() as array<string>)"))).otherwise(F.array(F.lit(NOT_JSON))).alias("warnings"),
     )
@@ -51,6 +52,11 @@ def chat_models(models: DataFrame, name: str = "id", needs: str | None = None, c
     return (out.filter(F.array_contains(capabilities, needs)) if needs else out).orderBy(name)
 
 
+def remaining_models(live: DataFrame, shown: DataFrame, name: str = "id", matched: str = "matched") -> DataFrame:
+    """The live models that no preferred one was matched with, sorted by name."""
+    return live.select(name).distinct().join(shown.select(F.col(matched).alias(name)), name, "left_anti").orderBy(name)
+
+
 def preferred_models(preferred: DataFrame, live: DataFrame, name: str = "id") -> DataFrame:
     """preferred id -> matched: the live model of that name, else the first one that begins with it. Both lists are short."""
     pairs = preferred.select(F.col(name).alias("wanted")).join(live.select(F.col(name).alias("found")), F.col("found").startswith(F.col("wanted")), "left")

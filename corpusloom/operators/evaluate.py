@@ -35,7 +35,7 @@ def per_query(hits: DataFrame, relevant: DataFrame, query: str = "qid", key: str
 def summary(scores: DataFrame) -> DataFrame:
     """One row of means over queries; 0 without queries."""
     names = {"rr": "mrr", **{f"recall_at_{k}": f"recall_at_{k}" for k in CUTS}, **{f"hit_at_{k}": f"hit_rate_at_{k}" for k in CUTS}}
-    return scores.agg(*[F.round(F.coalesce(F.avg(a), F.lit(0.0)), 6).alias(b) for a, b in names.items()])
+    return scores.agg(*[F.bround(F.coalesce(F.avg(a), F.lit(0.0)), 6).alias(b) for a, b in names.items()])
 
 
 def gate(metrics: DataFrame, floors: dict[str, float], tolerance: float = 0.01) -> DataFrame:
@@ -52,4 +52,12 @@ def gate(metrics: DataFrame, floors: dict[str, float], tolerance: float = 0.01)
 def latency(rows: DataFrame, group: str, ms: str) -> DataFrame:
     """Mean, 95th percentile and throughput (1000 / mean) of each group."""
     mean = F.avg(ms)
-    return rows.groupBy(group).agg(F.round(mean, 6).alias("mean_ms"), F.round(F.percentile(ms, 0.95), 6).alias("p95_ms"), F.round(1000 / mean, 6).alias("per_second"))
+    return rows.groupBy(group).agg(F.bround(mean, 6).alias("mean_ms"), F.bround(F.percentile(ms, 0.95), 6).alias("p95_ms"), F.bround(1000 / mean, 6).alias("per_second"))
+
+
+def latency_breakdown(rows: DataFrame, stage: str, ms: str) -> DataFrame:
+    """Mean milliseconds of each stage, and its share of the time of all stages; a row each, and one named end_to_end."""
+    each = rows.groupBy(F.col(stage).alias("stage")).agg(F.sum(ms).alias("total"), F.avg(ms).alias("mean"))
+    whole = each.agg(F.sum("total").alias("total"), F.sum("mean").alias("mean")).select(F.lit("end_to_end").alias("stage"), "total", "mean")
+    everything = whole.select("total").scalar()
+    return each.unionByName(whole).select("stage", F.bround("mean", 6).alias("mean_ms"), F.bround(F.col("total") / everything, 6).alias("share"))

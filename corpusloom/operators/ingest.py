@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.errors import InvalidDocument
+from corpusloom.operators.keeping import kept
 from corpusloom.functions.text import digest, strip
 
+#: The columns a corpus has to have.
 REQUIRED = ["document_id", "jurisdiction", "law_id", "law_name", "article_id", "raw_text", "normalized_text", "embedding_text"]
 
 
@@ -39,6 +40,12 @@ def require_valid(docs: DataFrame, order: str = "idx", **options) -> DataFrame:
     return docs
 
 
+def missing_by(docs: DataFrame, columns: list[str], group: str | None = None) -> DataFrame:
+    """Rows in which each of ``columns`` is null or blank, of all or of each value of ``group`` (a law, a jurisdiction)."""
+    rows = docs.groupBy(group) if group else docs.groupBy()
+    return rows.agg(F.count("*").alias("n_documents"), *[F.count_if(blank(F.col(c))).alias(f"missing_{c}") for c in columns])
+
+
 def profile_by(docs: DataFrame, group: str, text: str, key: str) -> DataFrame:
     """Counts per group: rows, empty texts, distinct ids, texts with replacement characters."""
     return docs.groupBy(group).agg(
@@ -62,9 +69,9 @@ def dedup_exact(docs: DataFrame, content: str, key: str) -> DataFrame:
 
 
 def ordered_digest(docs: DataFrame, order: str, part: Column, separator: str = "|", length: int | None = None) -> Column | DataFrame:
-    """One row: SHA-256 over the parts of all rows in order.
+    """One row: SHA-256 over the parts of all rows in order, for tables whose parts fit one task (short ids: millions).
 
-    The order of a whole table is one string by definition; tables that do not fit one task use :func:`tree_digest`.
+    The order of a whole table is one string by definition; tables beyond that use :func:`tree_digest`.
     """
     rows = docs.select(F.struct(F.col(order), part.alias("p")).alias("s"))
     text = F.array_join(F.transform(F.sort_array(F.collect_list("s")), lambda s: s["p"]), separator)
@@ -73,10 +80,16 @@ def ordered_digest(docs: DataFrame, order: str, part: Column, separator: str = "
 
 
 def tree_digest(docs: DataFrame, order: str, part: Column, fan: int = 4096) -> DataFrame:
-    """One row: a two-level digest, for tables of any size: hash of the hashes of runs of ``fan`` positions."""
-    run = docs.select(F.floor(F.col(order) / fan).alias("run"), F.struct(F.col(order), part.alias("p")).alias("s"))
-    leaves = run.groupBy("run").agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list("s")), lambda s: s["p"]), "|"), 256).alias("h"))
-    return leaves.agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("run", "h"))), lambda s: s["h"]), "|"), 256).alias("corpus_hash"))
+    """One row: a digest for tables of any size. Hashes of runs of ``fan`` positions, then, as long as the largest position
+    leaves more than ``fan`` of them, hashes of runs of hashes; last the hash of what is left. A task sees ``fan`` at a time."""
+    merged = lambda row: F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(row)), lambda s: s["p"]), "|"), 256).alias("p")
+    rows = docs.select(F.floor(F.col(order) / fan).alias("run"), F.struct(F.col(order), part.alias("p")).alias("s"))
+    level = rows.groupBy("run").agg(merged("s"))
+    runs = (docs.agg(F.max(order)).first()[0] or 0) // fan + 1
+    while runs > fan:
+        level = level.select(F.floor(F.col("run") / fan).alias("up"), F.struct("run", "p").alias("s")).groupBy("up").agg(merged("s")).withColumnRenamed("up", "run")
+        runs = -(-runs // fan)
+    return level.agg(merged(F.struct("run", "p")).alias("corpus_hash"))
 
 
 def numbered(docs: DataFrame, order: str) -> DataFrame:
@@ -84,7 +97,7 @@ def numbered(docs: DataFrame, order: str) -> DataFrame:
     spark = docs.sparkSession
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # kept, so that both readers see the same ranges
-    ranged = docs.repartitionByRange(width, order).withColumn("_part", F.spark_partition_id()).persist(StorageLevel.MEMORY_AND_DISK)
+    ranged = kept(docs.repartitionByRange(width, order).withColumn("_part", F.spark_partition_id()), "numbered")
     before = ranged.groupBy("_part").count()
     w = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     start = before.select("_part", F.coalesce(F.sum("count").over(w), F.lit(0)).alias("_start"))  # a row a partition

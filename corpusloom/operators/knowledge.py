@@ -52,6 +52,16 @@ def current_version(spark: SparkSession, root: str) -> str:
     return spark.read.json(f"{root}/current").first()["version_id"]
 
 
+def save_artifact(df: DataFrame, root: str, version_id: str, name: str) -> None:
+    """A table of one version (vectors, a cache, postings) beside its manifest."""
+    df.write.mode("errorifexists").parquet(f"{root}/artifacts/{name}/version_id={version_id}")
+
+
+def read_artifact(spark: SparkSession, root: str, name: str, version_id: str | None = None) -> DataFrame:
+    """That table of a version, by default of the current one: after a roll-back, readers get the older tables."""
+    return spark.read.parquet(f"{root}/artifacts/{name}/version_id={version_id or current_version(spark, root)}")
+
+
 def cache_misses(docs: DataFrame, cache: DataFrame, text: str, key: str) -> DataFrame:
     """key, doc_hash of the texts whose hash is not in the cache, once a hash."""
     hashed = docs.groupBy(digest(F.col(text)).alias("doc_hash")).agg(F.min(key).alias(key))

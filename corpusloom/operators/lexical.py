@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.operators.keeping import kept
+
 K1, B = 1.5, 0.75
 
 
@@ -19,8 +20,9 @@ class LexicalIndex:
     lengths: DataFrame
 
     def kept(self) -> LexicalIndex:
-        """The same with postings kept in memory or on the executors' disks, for the two times a search reads them."""
-        return LexicalIndex(self.postings.persist(StorageLevel.MEMORY_AND_DISK), self.lengths)
+        """The same with postings kept in memory or on the executors' disks, for the two times a search reads them, until
+        the next search keeps its own."""
+        return LexicalIndex(kept(self.postings, "postings"), self.lengths)
 
     def stats(self) -> DataFrame:
         return self.lengths.agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))

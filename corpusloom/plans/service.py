@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.functions.models import Backend, ExtractiveBackend, generated, hashed_encoder, overlap_score
+from corpusloom.functions.models import Backend, ExtractiveBackend, generated, composed, hashed_encoder, overlap_score
 from corpusloom.functions.text import has_injection, lexical_text, pair_text, tokens
 from corpusloom.operators.answers import parsed_answer
 from corpusloom.operators.dense import dense_topk
@@ -35,9 +35,9 @@ class Service:
     def retrieve(self, queries: DataFrame, top_k: int | None = None) -> DataFrame:
         """qid, query, rank, idx, scores and the document's columns for the top_k hits of every query."""
         p, top_k = self.params, top_k or self.params.final_k
-        asked = self.accepted(queries).withColumn("words", tokens(F.col("query"), p.profile))
+        asked = composed(self.accepted(queries), "query").withColumn("words", tokens(F.col("query"), p.profile))
         words = tokens(lexical_text(F.col("law_name"), F.col("text")), p.profile)
-        index = build_index(self.docs, "idx", words, only=asked.select(F.explode("words").alias("term")))
+        index = build_index(composed(self.docs, "law_name", "text"), "idx", words, only=asked.select(F.explode("words").alias("term")))
         scores = bm25_scores(index, asked, k1=p.k1, b=p.b)
         lexical = padded_top(scores, asked, index.lengths, p.bm25_candidates) if self.pad_zero else top(scores, p.bm25_candidates)
         dense = dense_topk(asked.select("qid", self.encoder("query").alias("vec")), self.vectors, p.dense_candidates)

@@ -74,26 +74,37 @@ def parse_dotenv(text: str) -> dict[str, str]:
 
 
 def parse_flat_yaml(text: str) -> dict:
-    """``name: value`` lines of any depth; values as JSON where they read as JSON. Nested names are joined by dots."""
+    """``name: value`` lines of any depth, and lists of ``- value`` lines below a name. Values are JSON where they read as
+    JSON. Nested names are joined by dots; names inside a list's entries are not read."""
     out, path = {}, []
     for line in text.splitlines():
         body = line.split(" #")[0].rstrip()
-        name, sign, value = body.strip().partition(":")
-        if not sign or body.lstrip().startswith(("#", "-")):
+        bare, depth = body.strip(), len(body) - len(body.lstrip())
+        if not bare or bare.startswith("#"):
+            continue
+        if bare.startswith("- "):
+            above = [p[1] for p in path if p[0] <= depth]
+            if above:
+                out.setdefault(".".join(above), []).append(scalar(bare[2:]))
+            continue
+        name, sign, value = bare.partition(":")
+        if not sign:
             continue
-        depth = len(body) - len(body.lstrip())
         path = [p for p in path if p[0] < depth]
         if value.strip():
-            try:
-                read = json.loads(value)
-            except ValueError:
-                read = value.strip().strip("'\"")
-            out[".".join([*[p[1] for p in path], name])] = read
+            out[".".join([*[p[1] for p in path], name])] = scalar(value)
         else:
             path.append((depth, name))
     return out
 
 
+def scalar(value: str):
+    try:
+        return json.loads(value)
+    except ValueError:
+        return value.strip().strip("'\"")
+
+
 def settings(defaults: dict, yaml_text: str = "", dotenv_text: str = "", env: dict | None = None) -> dict:
     """Defaults, then the YAML file, then .env, then the environment; a later one wins. Kinds follow the defaults."""
     out = dict(defaults)

@@ -74,3 +74,18 @@ def test_service(spark, reranked):
     assert {r.qid for r in service.retrieve(queries).collect()} == {1, 3}
     found = {r.qid: r for r in service.answer(queries).collect()}
     assert found[3].warnings == ["possible prompt injection"] and found[1].n_sources > 0 and not found[1].warnings
+
+
+def test_compatibility_forms_are_found(spark):
+    """Presentation forms, full-width digits and letters split into letter and mark match their usual forms."""
+    rows = [(0, "0", "law", "1", "المادة 12 عقوبة"), (1, "1", "law", "2", "\ufe8e\ufedf\ufee4\ufe8e\ufea9\ufe93 \uff11\uff12"), (2, "2", "law", "3", "cafe\u0301 ﬁne"), (3, "3", "law", "4", "nothing")]
+    docs = spark.createDataFrame(rows, "idx long, document_id string, law_name string, article_id string, text string")
+    asked = spark.createDataFrame([(1, "12"), (2, "café"), (3, "fine")], "qid long, query string")
+    hits = Service(docs).retrieve(asked).filter("bm25_score > 0").collect()
+    assert {(h.qid, h.idx) for h in hits} == {(1, 0), (1, 1), (2, 2), (3, 2)}
+
+
+def test_json_without_an_answer_is_its_own(spark):
+    df = spark.createDataFrame([('{"citations": []}',), ('{"answer": "x"}',), ("plain",)], "raw string")
+    got = [tuple(r) for r in df.select(answers.parsed_answer(F.col("raw")).alias("a")).select("a.answer", F.size("a.warnings")).collect()]
+    assert got == [('{"citations": []}', 0), ("x", 0), ("plain", 1)]

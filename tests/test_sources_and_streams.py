@@ -1,3 +1,4 @@
+import hashlib
 import json
 
 import pytest
@@ -5,6 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.models import hashed_encoder
 from corpusloom.operators import ingest, knowledge
+from corpusloom.operators.keeping import kept, let_go
 from corpusloom.sources import files
 from corpusloom.streaming.ingest import ingest_stream
 from corpusloom.streaming.limits import limited, limited_stream, step
@@ -30,6 +32,42 @@ def test_settings():
     assert got == {"top_k": 7, "alpha": 0.25, "on": True}
 
 
+def test_lists_in_yaml():
+    got = files.parse_flat_yaml("paths:\n  corpora:\n    - a.json\n    - 'b.json'  # second\n  depth: 2\ncuts:\n- 1\n- 3\n# end\nname: x: y\n")
+    assert got == {"paths.corpora": ["a.json", "b.json"], "paths.depth": 2, "cuts": [1, 3], "name": "x: y"}
+
+
+def test_rolled_back_artifacts(spark, tmp_path):
+    root = str(tmp_path)
+    for i in (1, 2):
+        knowledge.save_version(spark, knowledge.KnowledgeVersion(f"v{i}", "h", i, "m"), root)
+        knowledge.save_artifact(spark.createDataFrame([(i,)], "x long"), root, f"v{i}", "vectors")
+    for current in ("v2", "v1"):
+        knowledge.make_current(spark, root, current)
+        assert [r.x for r in knowledge.read_artifact(spark, root, "vectors").collect()] == [int(current[1])]
+    assert knowledge.read_artifact(spark, root, "vectors", "v2").first().x == 2
+
+
+def test_digest_of_several_levels(spark):
+    docs = spark.range(100).withColumnRenamed("id", "n")
+    part = F.col("n").cast("string")
+    level = [hashlib.sha256("|".join(map(str, range(a, min(a + 4, 100)))).encode()).hexdigest() for a in range(0, 100, 4)]
+    while len(level) > 4:
+        level = [hashlib.sha256("|".join(level[a : a + 4]).encode()).hexdigest() for a in range(0, len(level), 4)]
+    want = hashlib.sha256("|".join(level).encode()).hexdigest()
+    assert ingest.tree_digest(docs, "n", part, fan=4).first().corpus_hash == want
+    assert ingest.tree_digest(docs.limit(0), "n", part).count() == 1
+
+
+def test_kept_tables_let_the_last_one_go(spark):
+    first = kept(spark.range(5), "test")
+    assert first.count() == 5 and first.is_cached
+    second = kept(spark.range(6), "test")
+    assert not first.is_cached and second.is_cached and first.count() == 5
+    let_go("test")
+    assert not second.is_cached
+
+
 def test_versions(spark, tmp_path):
     root = str(tmp_path)
     for i in (1, 2):
