@@ -51,11 +51,12 @@ COUNTRIES = "AD|AE|AT|BE|BG|CH|CY|CZ|DE|DK|EE|ES|FI|FR|GB|GR|HR|HU|IE|IL|IS|IT|L
 SHAPES = {
     "id": r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "phone": r"\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9-])",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "street": rf"(?<![0-9.])[0-9]{{1,5}} (?:[A-Z][a-z]{{1,20}} ){{1,3}}(?:{STREETS})(?![a-z])",
-    "name": rf"(?<!\p{{L}})(?:(?:{TITLES})\.? [A-Z]\p{{Ll}}{{1,20}}|(?:{FIRST_NAMES}) [A-Z]\p{{Ll}}{{1,20}})(?!\p{{L}})",
+    "iban": r"(?=[A-Z]{2}[0-9]{2})(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "street": rf"(?=[0-9])(?<![0-9.])[0-9]{{1,5}} (?:[A-Z][a-z]{{1,20}} ){{1,3}}(?:{STREETS})(?![a-z])",
+    "name": rf"(?=[A-Z])(?<!\p{{L}})(?:(?:{TITLES})\.? [A-Z]\p{{Ll}}{{1,20}}|(?:{FIRST_NAMES}) [A-Z]\p{{Ll}}{{1,20}})(?!\p{{L}})",
 }
-CANDIDATE = "|".join(SHAPES.values()) + "|[A-Za-z0-9][A-Za-z0-9_/+-]{14,}+"
+#: A long run is entered at the start of a word, or where the last match ends, and nowhere else.
+CANDIDATE = "(?=[A-Za-z0-9(])(?:" + "|".join(SHAPES.values()) + r"|(?:\G|(?<![A-Za-z0-9]))[A-Za-z0-9][A-Za-z0-9_/+-]{14,}+)"
 LABELERS = ("shape", "issued", "cue", "mixed", "plain")
 KINDS = ("email", "ip", "card", "phone", "id", "secret", "iban", "street", "name")
 #: Features and how many values each of them has, from 0.
