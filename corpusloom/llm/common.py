@@ -43,7 +43,7 @@ def written(spark: SparkSession, df: DataFrame, name: str, codec: str = "zstd",
     that wide shuffles do not leave many tiny files.
     """
     path = new_path(spark, name)
-    few = max(spark.sparkContext.defaultParallelism, shuffle_width(spark) // 16)
+    few = max(spark.sparkContext.defaultParallelism, shuffle_width(spark) // 8)
     (df.hint("rebalance").coalesce(few) if narrow else df).write.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._corpusloom_path = path

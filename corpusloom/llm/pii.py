@@ -89,9 +89,10 @@ def located(df: DataFrame, name: str, pattern: str, text: str = "_text") -> Data
     df = df.withColumn("_p", F.when(F.size("_m") > 0, F.split(text, pattern, -1)).otherwise(none))
     n = F.size("_m")
     gaps = F.zip_with(F.transform(F.slice("_p", F.lit(1), n), F.length), F.concat(F.array(F.lit(0)), F.transform(F.slice("_m", F.lit(1), F.greatest(n - 1, F.lit(0))), F.length)), lambda p, m: p + m)
-    df = df.withColumn("_s", F.when(n > 0, running_sum(gaps)).otherwise(F.expr("cast(array() as array<int>)")))
+    df = df.withColumn("_g", F.when(n > 0, gaps).otherwise(F.expr("cast(array() as array<int>)")))
+    df = df.withColumn("_s", F.when(n > 0, running_sum(F.col("_g"))).otherwise(F.expr("cast(array() as array<int>)")))
     spans = F.transform(F.arrays_zip(F.col("_s").alias("s"), F.col("_m").alias("m"), F.slice("_p", F.lit(1), n).alias("p"), F.slice("_p", F.lit(2), n).alias("q")), lambda z: F.struct(z["s"].alias("start"), (z["s"] + F.length(z["m"])).alias("end"), z["m"].alias("body"), F.substring(z["p"], -CONTEXT, CONTEXT).alias("left"), F.substring(z["q"], 1, 1).alias("right")))
-    return df.withColumn(name, spans).drop("_m", "_p", "_s")
+    return df.withColumn(name, spans).drop("_m", "_p", "_g", "_s")
 
 
 def digits(body: Column) -> Column:
@@ -175,15 +176,22 @@ def count_of(kind: str, spans: str = "base") -> Column:
     return F.size(F.filter(spans, lambda c: c["kind"] == kind)).cast("long")
 
 
-def apart_from(spans: Column, base: Column) -> Column:
-    """Those of ``spans`` (start, end, ...) that no base span touches: none before them reaches in, none begins in them."""
-    event = lambda c, own: F.struct(c["start"].alias("start"), c["end"].alias("end"), own.alias("own"))
-    rows = F.array_sort(F.concat(F.transform(base, lambda c: event(c, F.lit(-1))), F.transform(spans, lambda c, i: event(c, i))))
-    reach = running(F.transform(rows, lambda e: F.when(e["own"] < 0, e["end"]).otherwise(-1)), "int", F.lit(-1), lambda x, y: F.greatest(x, y))
-    last = 2**31 - 1
-    ahead = F.reverse(running(F.transform(F.reverse(rows), lambda e: F.when(e["own"] < 0, e["start"]).otherwise(last)), "int", F.lit(last), lambda x, y: F.least(x, y)))
-    free = F.filter(F.arrays_zip(rows.alias("e"), reach.alias("r"), ahead.alias("s")), lambda z: (z["e"]["own"] >= 0) & (z["r"] <= z["e"]["start"]) & (z["s"] >= z["e"]["end"]))
-    return F.when((F.size(spans) == 0) | (F.size(base) == 0), spans).otherwise(F.transform(free, lambda z: F.get(spans, z["e"]["own"])))
+def apart_from(df: DataFrame, spans: str, base: str, out: str) -> DataFrame:
+    """Add ``out``: those of the array ``spans`` (structs with start and end) that no span of ``base`` touches: none before
+    them reaches in, none begins in them. Each step is a column of its own, since what a lambda refers to is otherwise
+    made anew for each element."""
+    kind = df.schema[spans].dataType.elementType.simpleString()
+    event = lambda c, own, payload: F.struct(c["start"].alias("start"), c["end"].alias("end"), F.lit(own).alias("own"), payload.alias("c"))
+    last, none = 2**31 - 1, F.lit(None).cast(kind)
+    both = F.concat(F.transform(base, lambda c: event(c, False, none)), F.transform(spans, lambda c: event(c, True, c)))
+    df = df.withColumn("_rows", F.when((F.size(spans) > 0) & (F.size(base) > 0), F.array_sort(both)).otherwise(F.slice(both, 1, 0)))
+    df = df.withColumn("_ends", F.transform("_rows", lambda e: F.when(e["own"], -1).otherwise(e["end"])))
+    df = df.withColumn("_starts", F.transform(F.reverse("_rows"), lambda e: F.when(e["own"], last).otherwise(e["start"])))
+    df = df.withColumn("_reach", running(F.col("_ends"), "int", F.lit(-1), lambda x, y: F.greatest(x, y)))
+    df = df.withColumn("_ahead", F.reverse(running(F.col("_starts"), "int", F.lit(last), lambda x, y: F.least(x, y))))
+    free = F.filter(F.arrays_zip("_rows", "_reach", "_ahead"), lambda z: z["_rows"]["own"] & (z["_reach"] <= z["_rows"]["start"]) & (z["_ahead"] >= z["_rows"]["end"]))
+    kept = F.when((F.size(spans) == 0) | (F.size(base) == 0), F.col(spans)).otherwise(F.transform(free, lambda z: z["_rows"]["c"]))
+    return df.withColumn(out, kept).drop("_rows", "_ends", "_starts", "_reach", "_ahead")
 
 
 def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -195,7 +203,8 @@ def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     df = df.withColumn("base", F.concat(*[kept_spans(kind) for kind in BASE]))
     kinds = F.transform(F.filter("_more", lambda c: c["body"].rlike("[0-9]| ")), lambda c: F.struct(*[c[f].alias(f) for f in ("start", "end", "body", "left", "right")], kind_of(c["body"]).alias("kind")))
     fine = F.filter("_kinds", lambda c: (c["kind"] != "iban") | valid_iban(c["body"]))  # like a card without its check digit
-    df = df.withColumn("_kinds", kinds).withColumn("_kinds", fine).withColumn("_apart", apart_from(F.col("_kinds"), F.col("base")))
+    df = df.withColumn("_kinds", kinds).withColumn("_kinds", fine)
+    df = apart_from(df, "_kinds", "base", "_apart")
     return df.select("doc_id", "base", F.transform("_apart", lambda c: judged(c, c["kind"])).alias("more"))
 
 

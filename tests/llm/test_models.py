@@ -104,7 +104,7 @@ def test_overlaps_against_brute_force(spark, some, base, block):
     some = sorted({a: (a, a + n) for a, n in some}.values())
     base = sorted((a, a + n) for a, n in base)
     df = spark.createDataFrame([(some, base)], "s array<struct<start:int,end:int>>, b array<struct<start:int,end:int>>")
-    got = df.select(pii.apart_from(F.col("s"), F.col("b")).alias("x")).first().x
+    got = pii.apart_from(df, "s", "b", "x").first().x
     pii.BLOCK = old
     assert sorted(tuple(x) for x in got) == [c for c in some if not any(b[0] < c[1] and c[0] < b[1] for b in base)]
 
