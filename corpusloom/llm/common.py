@@ -7,7 +7,9 @@ import shutil
 import tempfile
 import uuid
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,6 +69,16 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def cut_by_bytes(batch: pa.RecordBatch, column: int, amount: int):
+    """Consecutive pieces of ``batch`` with about ``amount`` bytes of a binary column each; a longer value is in a piece of
+    its own, or with a few short ones before it."""
+    share = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False).astype(np.int64)) // amount
+    borders = [0, *(np.flatnonzero(np.diff(share)) + 1).tolist(), batch.num_rows]
+    for at, stop in zip(borders, borders[1:]):
+        if at < stop:
+            yield batch.slice(at, stop - at)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

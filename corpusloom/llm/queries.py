@@ -11,6 +11,7 @@ from corpusloom.llm.decontaminate import contamination
 from corpusloom.llm.encoding import default_path
 from corpusloom.llm.line_dedup import LineIndex, strip_shared_lines
 from corpusloom.llm.packing import pack_documents
+from corpusloom.llm.periods import longest_run, periodic_runs
 from corpusloom.llm.pii import BASE, count_of, find_pii, joined
 from corpusloom.llm.sharding import shard_by_bytes
 from corpusloom.llm.simhash import near_duplicates
@@ -100,6 +101,60 @@ def op10_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFr
     return out.select("doc_id", F.lit(True).alias("contaminated"), F.array_join(F.transform("items", lambda i: i.cast("string")), ",").alias("items"))
 
 
+def planted_periods(docs: DataFrame) -> DataFrame:
+    """doc_id, text: of every tenth document by hash the words from a place on repeat, with a period of a few parts of them."""
+    h = crc_of("doc_id")
+    g = F.floor(h / 10)
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+
+    def repeat(w):
+        n = F.size(w)
+        a = (g % n).cast("int")
+        p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+        tail = F.flatten(F.array_repeat(F.slice(w, a + 1, p), F.ceil((n - a) / p).cast("int")))
+        return F.array_join(F.concat(F.slice(w, F.lit(1), a), F.slice(tail, F.lit(1), n - a)), " ")
+
+    text = F.when((h % 10 == 0) & (F.size(words) > 0), F.transform(F.array(words), repeat)[0]).otherwise(F.col("text"))
+    return docs.select("doc_id", text.alias("text"))
+
+
+def op13_harmonic_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = periodic_runs(spark, planted_periods(read_documents(spark, sf_dir)), exponent=4, least=6)
+    line = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n")))
+    rows = out.select("doc_id", F.size("runs").cast("long").alias("n_runs"), longest_run().alias("r"), F.sha2(F.array_join(line, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    return rows.select("doc_id", "n_runs", "r.start", "r.length", "r.period", F.floor(1000 * F.col("r.length") / F.col("r.period")).alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+#: CRC-32 of a decimal number, bit by bit: DuckDB has no such function.
+CRC_SQL = """xor(list_reduce(list_transform(range(-1, 8 * len(CAST(doc_id AS VARCHAR))), lambda k:
+  CASE WHEN k < 0 THEN 4294967295 WHEN k % 8 = 0 THEN CAST(ascii(CAST(doc_id AS VARCHAR)[k // 8 + 1]) AS BIGINT) ELSE 0 END),
+  lambda c, b: CASE WHEN xor(c, b) & 1 = 1 THEN xor(xor(c, b) >> 1, 3988292384) ELSE xor(c, b) >> 1 END), 4294967295)"""
+
+
+OP13_SQL = rf"""
+WITH hashed AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w,
+         {CRC_SQL} AS h FROM documents),
+parts AS (SELECT *, h // 10 AS g, len(w) AS n FROM hashed),
+placed AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN g % n END AS a FROM parts),
+words AS MATERIALIZED (
+  SELECT doc_id, n, CASE WHEN a IS NULL THEN w ELSE list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END]) END AS w
+  FROM placed),
+flat AS MATERIALIZED (SELECT doc_id, n, unnest(range(n)) AS i, unnest(w) AS word FROM words),
+pairs AS (SELECT x.doc_id, x.i, y.i - x.i AS p FROM flat x JOIN flat y ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+islands AS (SELECT doc_id, p, i, i - row_number() OVER (PARTITION BY doc_id, p ORDER BY i) AS island FROM pairs),
+stretches AS (SELECT doc_id, p, min(i) AS s, max(i) + 1 + p AS e FROM islands GROUP BY doc_id, p, island),
+runs AS MATERIALIZED (SELECT doc_id, s, e, min(p) AS p FROM stretches WHERE e - s >= greatest(6, 4 * p) GROUP BY doc_id, s, e),
+listed AS (SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || (e - s) || ',' || p || chr(10), '' ORDER BY s, p) AS lines FROM runs GROUP BY doc_id),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY e - s DESC, s, p) AS k FROM runs) WHERE k = 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s + p, e)) AS i FROM runs),
+kept AS (SELECT f.doc_id, string_agg(f.word, ' ' ORDER BY f.i) AS t FROM flat f ANTI JOIN gone g ON g.doc_id = f.doc_id AND g.i = f.i GROUP BY 1)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, b.s AS start, b.e - b.s AS length, b.p AS period, 1000 * (b.e - b.s) // b.p AS exponent_milli,
+       sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(t, '')) AS collapsed_sha256
+FROM documents d LEFT JOIN listed USING (doc_id) LEFT JOIN best b USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
 def queries() -> dict:
     return {
         "op1_histogram_sort_sharding": op1_histogram_sort_sharding,
@@ -112,8 +167,9 @@ def queries() -> dict:
         "op8_uniform_threshold_topk": op8_uniform_threshold_topk,
         "op9_rans_token_files": op9_rans_token_files,
         "op10_spaced_seed_decontamination": op10_spaced_seed_decontamination,
+        "op13_harmonic_periods": op13_harmonic_periods,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": OP2_SQL, "op8_uniform_threshold_topk": OP8_SQL}
+    return {"op2_line_dedup": OP2_SQL, "op8_uniform_threshold_topk": OP8_SQL, "op13_harmonic_periods": OP13_SQL}
