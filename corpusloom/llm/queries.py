@@ -10,6 +10,7 @@ from corpusloom.llm.common import read_documents
 from corpusloom.llm.decontaminate import contamination
 from corpusloom.llm.encoding import default_path
 from corpusloom.llm.line_dedup import LineIndex, strip_shared_lines
+from corpusloom.llm.merkle import checked, leaf_digest, merkle_manifest
 from corpusloom.llm.packing import pack_documents
 from corpusloom.llm.periods import longest_run, periodic_runs
 from corpusloom.llm.pii import BASE, count_of, find_pii, joined
@@ -101,6 +102,66 @@ def op10_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFr
     return out.select("doc_id", F.lit(True).alias("contaminated"), F.array_join(F.transform("items", lambda i: i.cast("string")), ",").alias("items"))
 
 
+#: CRC-32 of a decimal number, bit by bit: DuckDB has no such function.
+CRC_SQL = """xor(list_reduce(list_transform(range(-1, 8 * len(CAST(doc_id AS VARCHAR))), lambda k:
+  CASE WHEN k < 0 THEN 4294967295 WHEN k % 8 = 0 THEN CAST(ascii(CAST(doc_id AS VARCHAR)[k // 8 + 1]) AS BIGINT) ELSE 0 END),
+  lambda c, b: CASE WHEN xor(c, b) & 1 = 1 THEN xor(xor(c, b) >> 1, 3988292384) ELSE xor(c, b) >> 1 END), 4294967295)"""
+
+
+def op11_merkle_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every second row by hash is tampered with: line ends go from its text."""
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    text = F.when(crc_of("doc_id") % 2 == 0, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    docs = read_documents(spark, sf_dir).withColumn("held", leaf_digest(*[text if f == "text" else F.col(f) for f in fields]))
+    manifest = merkle_manifest(spark, docs, fields=fields, keep=["held"])
+    out = checked(manifest, "held", ["doc_id", "leaf", "subroot", "root"])
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def leaf_sql(text: str) -> str:
+    part = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen(CAST({0} AS VARCHAR)) || ':' || {0} END"
+    return f"sha256({' || '.join(part.format(x) for x in ('doc_id', 'source', 'lang', 'n_chars', text))})"
+
+
+OP11_SQL = f"""
+WITH RECURSIVE docs AS MATERIALIZED (
+  SELECT *, {leaf_sql('text')} AS leaf, {leaf_sql('tampered')} AS held,
+         dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS s, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i,
+         count(*) OVER (PARTITION BY source) AS n
+  FROM (SELECT doc_id, source, lang, n_chars, text, CASE WHEN {CRC_SQL} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS tampered FROM documents)),
+low AS (
+  SELECT s, 0 AS level, i, leaf AS h, n FROM docs
+  UNION ALL
+  SELECT s, level + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), (n + 2) // 3 FROM low WHERE n > 1 GROUP BY s, level, i // 3, n),
+subroots AS MATERIALIZED (SELECT s, h AS subroot FROM low WHERE n = 1),
+high AS (
+  SELECT 0 AS level, s AS i, subroot AS h, (SELECT count(*) FROM subroots) AS n FROM subroots
+  UNION ALL
+  SELECT level + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), (n + 2) // 3 FROM high WHERE n > 1 GROUP BY level, i // 3, n),
+nodes AS MATERIALIZED (
+  SELECT s AS tree, level, i, h, n FROM low UNION ALL SELECT -1, level, i, h, n FROM high),
+siblings AS (
+  SELECT d.doc_id, 0 AS part, k.level, k.i, k.h FROM docs d JOIN nodes k ON k.tree = d.s AND k.n > 1
+    AND k.i // 3 = d.i // CAST(3 ** (k.level + 1) AS BIGINT) AND k.i <> d.i // CAST(3 ** k.level AS BIGINT)
+  UNION ALL
+  SELECT d.doc_id, 1, k.level, k.i, k.h FROM docs d JOIN nodes k ON k.tree = -1 AND k.n > 1
+    AND k.i // 3 = d.s // CAST(3 ** (k.level + 1) AS BIGINT) AND k.i <> d.s // CAST(3 ** k.level AS BIGINT)),
+proofs AS (SELECT doc_id, sha256(string_agg(h, '' ORDER BY part, level, i)) AS proof_sha256 FROM siblings GROUP BY 1),
+folded AS (
+  SELECT doc_id, s, s AS tree, 0 AS level, i, held AS h, n FROM docs
+  UNION ALL
+  SELECT f.doc_id, f.s, CASE WHEN f.n = 1 THEN -1 ELSE f.tree END, CASE WHEN f.n = 1 THEN 0 ELSE f.level + 1 END,
+         CASE WHEN f.n = 1 THEN f.s ELSE f.i // 3 END,
+         CASE WHEN f.n = 1 THEN any_value(f.h) ELSE sha256(string_agg(CASE WHEN k.i = f.i THEN f.h ELSE k.h END, '' ORDER BY k.i)) END,
+         CASE WHEN f.n = 1 THEN (SELECT count(*) FROM subroots) ELSE (f.n + 2) // 3 END
+  FROM folded f JOIN nodes k ON k.tree = f.tree AND k.level = f.level AND k.i // 3 = f.i // 3
+  WHERE f.n > 1 OR f.tree >= 0 GROUP BY f.doc_id, f.s, f.tree, f.level, f.i, f.n)
+SELECT d.doc_id, d.leaf, r.subroot, t.h AS root, coalesce(p.proof_sha256, sha256('')) AS proof_sha256, f.h AS folded_root, f.h = t.h AS verified
+FROM docs d JOIN subroots r USING (s) JOIN (SELECT h FROM high WHERE n = 1) t ON true LEFT JOIN proofs p USING (doc_id)
+JOIN (SELECT doc_id, h FROM folded WHERE tree = -1 AND n = 1) f USING (doc_id)
+"""
+
+
 def planted_periods(docs: DataFrame) -> DataFrame:
     """doc_id, text: of every tenth document by hash the words from a place on repeat, with a period of a few parts of them."""
     h = crc_of("doc_id")
@@ -125,12 +186,6 @@ def op13_harmonic_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_runs", "r.start", "r.length", "r.period", F.floor(1000 * F.col("r.length") / F.col("r.period")).alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
 
 
-#: CRC-32 of a decimal number, bit by bit: DuckDB has no such function.
-CRC_SQL = """xor(list_reduce(list_transform(range(-1, 8 * len(CAST(doc_id AS VARCHAR))), lambda k:
-  CASE WHEN k < 0 THEN 4294967295 WHEN k % 8 = 0 THEN CAST(ascii(CAST(doc_id AS VARCHAR)[k // 8 + 1]) AS BIGINT) ELSE 0 END),
-  lambda c, b: CASE WHEN xor(c, b) & 1 = 1 THEN xor(xor(c, b) >> 1, 3988292384) ELSE xor(c, b) >> 1 END), 4294967295)"""
-
-
 OP13_SQL = rf"""
 WITH hashed AS (
   SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w,
@@ -167,9 +222,10 @@ def queries() -> dict:
         "op8_uniform_threshold_topk": op8_uniform_threshold_topk,
         "op9_rans_token_files": op9_rans_token_files,
         "op10_spaced_seed_decontamination": op10_spaced_seed_decontamination,
+        "op11_merkle_forest": op11_merkle_forest,
         "op13_harmonic_periods": op13_harmonic_periods,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": OP2_SQL, "op8_uniform_threshold_topk": OP8_SQL, "op13_harmonic_periods": OP13_SQL}
+    return {"op2_line_dedup": OP2_SQL, "op8_uniform_threshold_topk": OP8_SQL, "op11_merkle_forest": OP11_SQL, "op13_harmonic_periods": OP13_SQL}
