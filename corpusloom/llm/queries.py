@@ -16,6 +16,7 @@ from corpusloom.llm.periods import longest_run, periodic_runs
 from corpusloom.llm.pii import BASE, count_of, find_pii, joined
 from corpusloom.llm.sharding import shard_by_bytes
 from corpusloom.llm.simhash import near_duplicates
+from corpusloom.llm.substrings import remove_repeats
 from corpusloom.llm.token_files import token_files
 from corpusloom.llm.topk import top_k
 
@@ -162,6 +163,28 @@ JOIN (SELECT doc_id, h FROM folded WHERE tree = -1 AND n = 1) f USING (doc_id)
 """
 
 
+def op12_seed_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = remove_repeats(spark, read_documents(spark, sf_dir), window=20)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP12_SQL = r"""
+WITH words AS MATERIALIZED (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+windows AS MATERIALIZED (
+  SELECT doc_id, unnest(range(greatest(len(w) - 19, 0))) AS i,
+         unnest(list_transform(range(greatest(len(w) - 19, 0)), lambda j: sha256(array_to_string(w[j + 1:j + 20], ' ')))) AS k FROM words),
+firsts AS (SELECT k, min(struct_pack(doc_id := doc_id, i := i)) AS f FROM windows GROUP BY k HAVING count(*) > 1),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS i FROM windows JOIN firsts USING (k) WHERE struct_pack(doc_id := doc_id, i := i) > f),
+lost AS (SELECT doc_id, list(i) AS g FROM gone GROUP BY 1),
+flat AS (SELECT doc_id, unnest(range(len(w))) AS i, unnest(w) AS word FROM words),
+kept AS (SELECT f.doc_id, string_agg(f.word, ' ' ORDER BY f.i) AS t FROM flat f ANTI JOIN gone g ON g.doc_id = f.doc_id AND g.i = f.i GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(g), 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM words LEFT JOIN lost USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
 def planted_periods(docs: DataFrame) -> DataFrame:
     """doc_id, text: of every tenth document by hash the words from a place on repeat, with a period of a few parts of them."""
     h = crc_of("doc_id")
@@ -223,9 +246,10 @@ def queries() -> dict:
         "op9_rans_token_files": op9_rans_token_files,
         "op10_spaced_seed_decontamination": op10_spaced_seed_decontamination,
         "op11_merkle_forest": op11_merkle_forest,
+        "op12_seed_extend": op12_seed_extend,
         "op13_harmonic_periods": op13_harmonic_periods,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": OP2_SQL, "op8_uniform_threshold_topk": OP8_SQL, "op11_merkle_forest": OP11_SQL, "op13_harmonic_periods": OP13_SQL}
+    return {"op2_line_dedup": OP2_SQL, "op8_uniform_threshold_topk": OP8_SQL, "op11_merkle_forest": OP11_SQL, "op12_seed_extend": OP12_SQL, "op13_harmonic_periods": OP13_SQL}
