@@ -72,7 +72,7 @@ def small_batches(df: DataFrame) -> DataFrame:
 def cut_by_bytes(batch: pa.RecordBatch, column: int, amount: int):
     """Consecutive pieces of ``batch`` with about ``amount`` bytes of a binary column each; a longer value is in a piece of
     its own, or with a few short ones before it."""
-    share = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False).astype(np.int64)) // amount
+    share = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)) // amount
     borders = [0, *(np.flatnonzero(np.diff(share)) + 1).tolist(), batch.num_rows]
     for at, stop in zip(borders, borders[1:]):
         if at < stop:

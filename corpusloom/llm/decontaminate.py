@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import check_kept, forget, free_name, small_batches, written
+from corpusloom.llm.common import check_kept, cut_by_bytes, forget, free_name, small_batches, written
 
 
 #: Positions that count, of windows of up to 9 words.
@@ -28,6 +28,10 @@ MASKS = ("11111", "110111", "1101011", "111001001")
 FEW_MASKS = ("1111", "11011", "10111", "11101")
 SPAN, SIMILARITY = 13, 0.8
 BLOCK_SEEDS, PASSES = 1 << 20, 4
+#: Places compared, or hits expanded, at once.
+CELLS = 1 << 18
+#: Bytes of text looked at together.
+TEXT_BYTES = 1 << 21
 MIX = np.uint64(0x9E3779B97F4A7C15)
 MARKS = bytes(range(0x21, 0x30)) + bytes(range(0x3A, 0x41)) + bytes(range(0x5B, 0x61)) + bytes(range(0x7B, 0x7F))
 BLANKED = bytes.maketrans(MARKS, b" " * len(MARKS))
@@ -46,26 +50,41 @@ def masks_of(words: int) -> tuple[str, ...]:
     return ("1" * words,) if words < 5 else FEW_MASKS if words < 7 else MASKS
 
 
+def seeds_of(ids: np.ndarray, mask: str, salt: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, start) of every seed of one mask in a row of word numbers; 0 is a word that cannot match, and spoils its seeds."""
+    n, at = len(ids) - len(mask) + 1, places(mask)
+    if n <= 0:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    fine = ids[at[0] : at[0] + n] > 0
+    for p in at[1:]:
+        fine &= ids[p : p + n] > 0
+    start = np.flatnonzero(fine)
+    h = np.full(len(start), salt, np.uint64)
+    for p in at:
+        h = (h ^ ids[start + p].astype(np.uint64)) * MIX
+        h ^= h >> np.uint64(29)
+    return h, start
+
+
 def seeds(ids: np.ndarray, masks=None) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, start) of every seed in a row of word numbers; 0 is a word that cannot match, and spoils its seeds."""
-    out_h, out_at = [], []
-    for k, mask in enumerate(masks or MASKS):
-        n = len(ids) - len(mask) + 1
-        if n <= 0:
-            continue
-        at = places(mask)
-        fine = ids[at[0] : at[0] + n] > 0
-        for p in at[1:]:
-            fine &= ids[p : p + n] > 0
-        start = np.flatnonzero(fine)
-        h = np.full(len(start), k + 1, np.uint64)
-        for p in at:
-            h = (h ^ ids[start + p].astype(np.uint64)) * MIX
-            h ^= h >> np.uint64(29)
-        out_h.append(h)
-        out_at.append(start)
-    none = np.empty(0, np.int64)
-    return (np.concatenate(out_h), np.concatenate(out_at)) if out_h else (none.astype(np.uint64), none)
+    """(hash, start) of every seed of all ``masks``."""
+    found = [seeds_of(ids, mask, k + 1) for k, mask in enumerate(masks or MASKS)]
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+
+def some_stretch_agrees(doc: np.ndarray, item: np.ndarray, diagonals: np.ndarray, need: int, least: float) -> bool:
+    """Whether on one of the diagonals a stretch of ``need`` words, within both, has ``least`` that agree. Diagonals are taken
+    in blocks of CELLS places, and the first match ends it."""
+    spots, rows = np.arange(len(item)), max(1, CELLS // len(item))
+    for first in range(0, len(diagonals), rows):
+        at = diagonals[first : first + rows, None] + spots
+        same = (doc[np.clip(at, 0, len(doc) - 1)] == item) & (at >= 0) & (at < len(doc))
+        sums = np.zeros((len(at), len(item) + 1), np.int32)
+        np.cumsum(same, 1, out=sums[:, 1:])
+        begin = at[:, : len(item) - need + 1]
+        if ((sums[:, need:] - sums[:, :-need] >= least) & (begin >= 0) & (begin + need <= len(doc))).any():
+            return True
+    return False
 
 
 class Benchmark:
@@ -77,10 +96,15 @@ class Benchmark:
         self.words = [np.array([self.vocabulary[w] for w in ws], np.int64) for _, ws in items]
         found = [(*seeds(w, masks_of(len(w))), i) for i, w in enumerate(self.words) if len(w)]
         h = np.concatenate([f[0] for f in found]) if found else np.empty(0, np.uint64)
-        order = np.argsort(h, kind="stable")
-        self.hash = h[order]
-        self.start = np.concatenate([f[1] for f in found])[order] if found else np.empty(0, np.int64)
-        self.item = np.repeat([f[2] for f in found], [len(f[0]) for f in found])[order] if found else np.empty(0, np.int64)
+        start = np.concatenate([f[1] for f in found]) if found else np.empty(0, np.int64)
+        item = np.repeat([f[2] for f in found], [len(f[0]) for f in found]) if found else np.empty(0, np.int64)
+        order = np.lexsort((start, item, h))
+        h, self.start, item = h[order], start[order], item[order]
+        # entries of one hash and one item, and the groups of a hash
+        new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (item[1:] != item[:-1])])) if len(h) else np.empty(0, np.int64)
+        self.group_item, self.group_entry, self.group_size = item[new], new, np.diff(np.append(new, len(h)))
+        self.hash, self.first_group = np.unique(h[new], return_index=True)
+        self.groups = np.diff(np.append(self.first_group, len(new)))
         self.masks = sorted({masks_of(len(w)) for w in self.words if len(w)})
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
@@ -88,30 +112,69 @@ class Benchmark:
         return np.array([get(w, 0) for w in words], np.int64)
 
     def matches(self, flat: np.ndarray, ends: np.ndarray, span: int, similarity: float) -> set[tuple[int, int]]:
-        """(document, item) pairs; ``flat`` holds all documents' word numbers with one 0 after each."""
-        found = [seeds(flat, masks) for masks in self.masks]
-        h, at = (np.concatenate([f[i] for f in found]) for i in (0, 1))
-        lo, hi = np.searchsorted(self.hash, h, "left"), np.searchsorted(self.hash, h, "right")
-        hit = np.flatnonzero(hi > lo)
-        count = hi[hit] - lo[hit]
-        entry = np.repeat(lo[hit] - (np.cumsum(count) - count), count) + np.arange(count.sum())
-        spot = np.repeat(at[hit], count)
-        doc = np.searchsorted(ends, spot, side="right")
-        item, diagonal = self.item[entry], spot - self.start[entry]
-        starts = np.concatenate([[0], ends[:-1]])
+        """(document, item) pairs; ``flat`` holds all documents' word numbers with one 0 after each.
+
+        A document and an item that repeat themselves hit each other far more often than they have diagonals. Such a pair's
+        diagonals are compared as they are; those of other pairs are their hits', expanded in blocks of CELLS. So the work
+        for a pair is bounded by its diagonals, and memory by a block.
+        """
         out: set[tuple[int, int]] = set()
-        for d, i, g in np.unique(np.stack([doc, item, diagonal], 1), axis=0).tolist():
-            if (d, i) in out:
-                continue
-            w = self.words[i]
-            a, b = max(g, int(starts[d])), min(g + len(w), int(ends[d]) - 1)
-            need = min(span, len(w))
-            if b - a >= need:
-                same = np.concatenate([[0], np.cumsum(flat[a:b] == w[a - g : b - g])])
-                if (same[need:] - same[:-need]).max() >= similarity * need - 1e-9:
-                    out.add((d, i))
+        if not len(self.hash):
+            return out
+        starts = np.concatenate([[0], ends[:-1]])
+        size = ends - 1 - starts
+        lengths = np.array([len(w) for w in self.words])
+        for masks in self.masks:
+            for k, mask in enumerate(masks):
+                self._hits_of(flat, starts, ends, size, lengths, mask, k + 1, span, similarity, out)
         return out
 
+    def _hits_of(self, flat, starts, ends, size, lengths, mask, salt, span, similarity, out) -> None:
+        h, at = seeds_of(flat, mask, salt)
+        place = np.minimum(np.searchsorted(self.hash, h), len(self.hash) - 1)
+        hit = np.flatnonzero(self.hash[place] == h)
+        if not len(hit):
+            return
+        spot, place = at[hit], place[hit]
+        del h, at, hit
+        doc = np.searchsorted(ends, spot, side="right")
+        order = np.lexsort((spot, place, doc))
+        spot, place, doc = spot[order], place[order], doc[order]
+        # places of one seed in one document, each paired with the groups of that seed
+        new = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (doc[1:] != doc[:-1])]))
+        times, n = np.diff(np.append(new, len(spot))), self.groups[place[new]]
+        row = np.repeat(np.arange(len(new)), n)
+        group = self.first_group[place[new]][row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        pair_doc, pair_item = doc[new][row], self.group_item[group]
+        weight = times[row] * self.group_size[group]
+        pair = pair_doc * len(self.words) + pair_item
+        known, of = np.unique(pair, return_inverse=True)
+        total = np.bincount(of, weights=weight)
+        d, i = known // len(self.words), known % len(self.words)
+        heavy = total > size[d] + lengths[i]
+        def try_all(d, i, diagonals):
+            need = min(span, int(lengths[i]))
+            if (d, i) not in out and size[d] >= need and some_stretch_agrees(flat[starts[d] : starts[d] + size[d]], self.words[i], diagonals, need, similarity * need - 1e-9):
+                out.add((d, i))
+
+        for x, y in zip(d[heavy].tolist(), i[heavy].tolist()):
+            need = min(span, int(lengths[y]))
+            try_all(x, y, np.arange(need - lengths[y], size[x] - need + 1))
+        rows = np.flatnonzero(~heavy[of])
+        if not len(rows):
+            return
+        share = np.cumsum(weight[rows]) // CELLS
+        for some in np.split(rows, np.flatnonzero(np.diff(share)) + 1):
+            e = np.repeat(some, weight[some])
+            nth = np.arange(len(e)) - np.repeat(np.cumsum(weight[some]) - weight[some], weight[some])
+            g = group[e]
+            diagonal = spot[new[row[e]] + nth // self.group_size[g]] - self.start[self.group_entry[g] + nth % self.group_size[g]]
+            known = np.unique(np.stack([pair_doc[e], pair_item[e], diagonal], 1), axis=0)
+            cuts = np.flatnonzero(np.concatenate([[True], (known[1:, :2] != known[:-1, :2]).any(1), [True]])).tolist()
+            for low, high in zip(cuts, cuts[1:]):
+                d, i, _ = known[low].tolist()
+                try_all(d, i, known[low:high, 2] - starts[d])
+
 
 def benchmark_blocks(benchmark: DataFrame, item: str, text: str, limit: int):
     """Blocks of items with at most ``limit`` seeds (one item more at most), read one after another."""
@@ -162,9 +225,8 @@ def one_pass(docs: DataFrame, read: str, sent, span: int, similarity: float) ->
     def scan(batches):
         bench = Benchmark(sent.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                some = batch.slice(at, 512)
-                names = some.schema.names
+            names = batch.schema.names
+            for some in cut_by_bytes(batch, names.index(read), TEXT_BYTES):
                 rows = [bench.numbers(words_of(t)) for t in some.column(names.index(read)).to_pylist()]
                 length = np.array([len(r) + 1 for r in rows], np.int64)
                 ends = np.cumsum(length)

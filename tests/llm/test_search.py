@@ -1,3 +1,7 @@
+import random
+import time
+import tracemalloc
+
 import numpy as np
 import pytest
 import xxhash
@@ -294,6 +298,34 @@ def test_contamination_against_brute_force(spark, monkeypatch):
     assert items_of(spark, docs, bench, limit=1) == got
 
 
+def numbered(bench, text):
+    ids = bench.numbers(words_of(text))
+    return np.append(ids, 0), np.array([len(ids) + 1])
+
+
+def test_repeated_words_stay_cheap():
+    """Every seed of the text hits every place of the item: work follows the diagonals, and memory a block of them."""
+    bench = Benchmark([(1, [b"a"] * 2000), (2, [b"a"] * 5 + [b"b%d" % i for i in range(30)]), (3, [b"c", b"d"] * 700)])
+    tracemalloc.start()
+    begin = time.perf_counter()
+    found = bench.matches(*numbered(bench, "a " * 300_000 + "c d " * 30_000), 13, 0.8)
+    took, peak = time.perf_counter() - begin, tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == {(0, 0), (0, 2)} and took < 60 and peak < 300e6
+
+
+def test_repetitive_texts_against_brute_force():
+    rng = random.Random(5)
+    for _ in range(60):
+        items = [(i, [rng.choice([b"a", b"b", b"c"][: rng.choice([1, 2, 3])]) for _ in range(rng.choice([3, 6, 13, 20, 40]))]) for i in range(4)]
+        bench = Benchmark(items)
+        texts = [" ".join(rng.choice("abx"[: rng.choice([1, 2, 3])]) for _ in range(rng.randint(0, 60))) for _ in range(5)]
+        rows = [bench.numbers(words_of(t)) for t in texts]
+        flat, ends = np.concatenate([np.append(r, 0) for r in rows]), np.cumsum([len(r) + 1 for r in rows])
+        want = {(d, k) for d, t in enumerate(texts) for k, (_, w) in enumerate(items) if brute_contains(t, b" ".join(w).decode())}
+        assert bench.matches(flat, ends, 13, 0.8) == want
+
+
 def test_kept_columns_of_contamination(spark):
     df = awkward(spark)
     bench = spark.createDataFrame([(5, EN)], "item_id long, text string")
