@@ -34,7 +34,7 @@ BASE = {
 }
 IP_PART = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 #: Gazetteers. Prefixes of issued keys, cue words by kind, kinds of streets, titles, first names, countries.
-KEY_PREFIXES = "AKIA|ASIA|AIza|gh[pousr]_|glpat-|sk-|pk_|xox[abp]-|eyJ"
+KEY_PREFIXES = "AKIA|ASIA|AIza|gh[pousr]_|github_pat_|glpat-|sk-|sk_|pk_|rk_|xox[abprs]-|eyJ|ya29|npm_|pypi-|SG|hf_|dop_v1_|shpat_|key-|whsec_"
 CUES = {
     "secret": "pass(?:word|wd|phrase)?|pwd|token|secret|key|auth|bearer|credential",
     "phone": "tel|phone|call|fax|mobile|cell|dial",
@@ -43,9 +43,14 @@ CUES = {
     "street": "address|live|lives|lived|living|resides|at|to|adresse|mail",
     "name": "name|dear|contact|by|from|signed|regards|sincerely|patient|client|with",
 }
-STREETS = "Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Drive|Dr|Boulevard|Blvd|Court|Ct|Square|Terrace|Highway"
-TITLES = "Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Señor|Señora"
-FIRST_NAMES = "James|Mary|John|Patricia|Robert|Jennifer|Michael|Linda|David|Elizabeth|William|Barbara|Richard|Susan|Joseph|Jessica|Thomas|Sarah|Charles|Karen|Daniel|Nancy|Matthew|Lisa|Anthony|Margaret|Paul|Anna|Peter|Maria|Hans|Jürgen|Sabine|Pierre|Marie|Jean|Carlos|Juan|José|Carmen"
+STREETS = "Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Drive|Dr|Boulevard|Blvd|Court|Ct|Square|Sq|Terrace|Highway|Hwy|Way|Place|Pl|Parkway|Pkwy|Circle|Crescent|Close|Alley|Row|Trail|Gardens"
+TITLES = "Mr|Mrs|Ms|Miss|Mx|Dr|Prof|Sir|Dame|Rev|Herr|Frau|Monsieur|Madame|Mme|Mlle|Señor|Señora|Señorita|Signor|Signora|Don|Doña"
+FIRST_NAMES = (
+    "James|Mary|John|Patricia|Robert|Jennifer|Michael|Linda|David|Elizabeth|William|Barbara|Richard|Susan|Joseph|Jessica|Thomas|Sarah|Charles|Karen|Daniel|Nancy|Matthew|Lisa|Anthony|Margaret|Mark|Sandra|Steven|Ashley"
+    "|Andrew|Emily|Joshua|Donna|Kenneth|Michelle|Kevin|Carol|Brian|Amanda|George|Melissa|Timothy|Deborah|Edward|Stephanie|Jason|Rebecca|Jeffrey|Laura|Ryan|Helen|Jacob|Sharon|Nicholas|Cynthia|Eric|Kathleen|Jonathan|Amy"
+    "|Paul|Anna|Peter|Maria|Hans|Jürgen|Sabine|Klaus|Ursula|Wolfgang|Monika|Stefan|Petra|Andreas|Claudia|Matthias|Heike|Pierre|Marie|Jean|Isabelle|François|Nathalie|Philippe|Céline|Laurent|Sophie|Olivier|Camille"
+    "|Carlos|Juan|José|Carmen|Luis|Ana|Miguel|Lucía|Antonio|Pilar|Javier|Marta|Francesco|Giulia|Giovanni|Chiara|Mohammed|Fatima|Ahmed|Aisha|Omar|Layla|Ali|Yusuf|Priya|Rahul|Wei|Yuki|Hiroshi|Olga|Ivan|Natalia|Dmitri"
+)
 COUNTRIES = "AD|AE|AT|BE|BG|CH|CY|CZ|DE|DK|EE|ES|FI|FR|GB|GR|HR|HU|IE|IL|IS|IT|LI|LT|LU|LV|MC|MT|NL|NO|PL|PT|RO|SA|SE|SI|SK|SM|TR"
 #: Patterns of candidates, by kind; of secrets there is no pattern but a long run of their characters.
 SHAPES = {
@@ -57,6 +62,10 @@ SHAPES = {
 }
 #: A long run is entered at the start of a word, or where the last match ends, and nowhere else.
 CANDIDATE = "(?=[A-Za-z0-9(])(?:" + "|".join(SHAPES.values()) + r"|(?:\G|(?<![A-Za-z0-9]))[A-Za-z0-9][A-Za-z0-9_/+-]{14,}+)"
+#: Weight of the prior on a labeler's rates, as a share of all candidates of a kind.
+PRIOR = 0.005
+#: What the counts of a fit add up to.
+SCALE = 1000.0
 LABELERS = ("shape", "issued", "cue", "mixed", "plain")
 KINDS = ("email", "ip", "card", "phone", "id", "secret", "iban", "street", "name")
 #: Features and how many values each of them has, from 0.
@@ -208,34 +217,43 @@ def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     return df.select("doc_id", "base", F.transform("_apart", lambda c: judged(c, c["kind"])).alias("more"))
 
 
-def reliabilities(rows: list[tuple[tuple[int, ...], int]], rounds: int = 50) -> list[float]:
-    """EM for independent labelers with a hidden truth: P(personal) for each row's votes. Counts weigh the rows.
+def estimated(rows: list[tuple[tuple[int, ...], int]], rounds: int = 200) -> tuple[list[float], list[dict], list[dict]]:
+    """EM for independent labelers with a hidden truth: (P(personal) for each row's votes, each labeler's rates of its three
+    outcomes among personal candidates, and among others). Counts weigh the rows.
 
-    Starts from the share of positive votes. Every rate has a weak prior on better than chance.
+    Silence is an outcome like a vote: a labeler that says yes or nothing is worth as much as one that says yes or no. Each
+    rate has a prior, worth PRIOR of all candidates: as silent as the labeler is on the whole, and right in four of five
+    votes. So only shares of combinations matter, not how many candidates there are. Beliefs start from the share of
+    positive votes.
     """
-    n = len(rows[0][0])
+    total = sum(c for _, c in rows)
+    labelers = range(len(rows[0][0]))
+    share = [{v: sum(c for votes, c in rows if votes[j] == v) / total for v in (-1, 0, 1)} for j in labelers]
+    guess = lambda j, good: {-1: share[j][-1], 1: (1 - share[j][-1]) * good, 0: (1 - share[j][-1]) * (1 - good)}
     belief = []
     for votes, _ in rows:
         cast = [v for v in votes if v >= 0]
         belief.append((sum(cast) + 0.5) / (len(cast) + 1) if cast else 0.5)
+    rates = []
     for _ in range(rounds):
-        total = sum(c for _, c in rows)
-        prior = (sum(b * c for b, (_, c) in zip(belief, rows)) + 1) / (total + 2)
-        hit, alarm = [], []
-        for j in range(n):
-            yes = sum(b * c for b, (v, c) in zip(belief, rows) if v[j] >= 0)
-            no = sum((1 - b) * c for b, (v, c) in zip(belief, rows) if v[j] >= 0)
-            hit.append((sum(b * c for b, (v, c) in zip(belief, rows) if v[j] == 1) + 8) / (yes + 10))
-            alarm.append((sum((1 - b) * c for b, (v, c) in zip(belief, rows) if v[j] == 1) + 2) / (no + 10))
+        prior = (sum(b * c for b, (_, c) in zip(belief, rows)) / total + PRIOR) / (1 + 2 * PRIOR)
+        rates = []
+        for good, weights in ((0.8, belief), (0.2, [1 - b for b in belief])):
+            held = sum(w * c for w, (_, c) in zip(weights, rows)) / total
+            rates.append([{v: (sum(w * c for w, (votes, c) in zip(weights, rows) if votes[j] == v) / total + PRIOR * p) / (held + PRIOR) for v, p in guess(j, good).items()} for j in labelers])
         new = []
         for votes, _ in rows:
             z = math.log(prior / (1 - prior))
-            for v, h, a in zip(votes, hit, alarm):
-                if v >= 0:
-                    z += math.log(h / a) if v else math.log((1 - h) / (1 - a))
+            for j, v in enumerate(votes):
+                yes, no = rates[0][j][v], rates[1][j][v]
+                if yes > 0 and no > 0:
+                    z += math.log(yes / no)
             new.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
+        done = max(abs(x - y) for x, y in zip(belief, new)) < 1e-9
         belief = new
-    return belief
+        if done:
+            break
+    return belief, rates[0], rates[1]
 
 
 def features(row: dict) -> list[float]:
@@ -245,8 +263,10 @@ def features(row: dict) -> list[float]:
 
 
 def fit(rows: list[tuple[list[float], float, int]], rounds: int = 30, ridge: float = 0.1) -> list[float]:
-    """Logistic regression on expected labels by Newton's method; rows are (features, likelihood, count)."""
+    """Logistic regression on expected labels by Newton's method; rows are (features, likelihood, count). Counts are scaled to
+    SCALE together, so that the ridge weighs alike in small and large tables."""
     x, y, n = (np.array([r[i] for r in rows], float) for i in range(3))
+    n = n * (SCALE / n.sum())
     w = np.zeros(x.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -265,13 +285,19 @@ def linear(w: list[float], c: Column) -> Column:
 
 
 def likelihoods(counts: list[dict]) -> list[float]:
-    """How likely each combination of votes and features is personal, by its votes alone."""
-    votes: dict[tuple[int, ...], int] = {}
+    """How likely each combination of votes and features is personal, by its votes alone, estimated kind by kind."""
+    votes: dict[str, dict[tuple[int, ...], int]] = {}
     for r in counts:
+        of = votes.setdefault(r["kind"], {})
         key = tuple(r[x] for x in LABELERS)
-        votes[key] = votes.get(key, 0) + r["count"]
-    belief = dict(zip(votes, reliabilities(list(votes.items()))))
-    return [belief[tuple(r[x] for x in LABELERS)] for r in counts]
+        of[key] = of.get(key, 0) + r["count"]
+    belief = {kind: dict(zip(of, estimated(list(of.items()))[0])) for kind, of in votes.items()}
+    return [belief[r["kind"]][tuple(r[x] for x in LABELERS)] for r in counts]
+
+
+def learned(counts: list[dict]) -> list[float]:
+    """The classifier's weights from counted combinations of kind, votes and features."""
+    return fit([(features(r), b, r["count"]) for r, b in zip(counts, likelihoods(counts))])
 
 
 def find_pii(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -287,7 +313,7 @@ def find_pii(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: st
     counts.sort(key=lambda r: tuple(str(r[f]) for f in facts))
     more = F.col("more")
     if counts:
-        w = fit([(features(r), b, r["count"]) for r, b in zip(counts, likelihoods(counts))])
+        w = learned(counts)
         more = F.filter("more", lambda c: linear(w, c) >= 0)
     added = F.transform(more, lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end")))
     return found.select("doc_id", in_order(F.col("base")).alias("base"), in_order(F.concat("base", added)).alias("spans"))

@@ -1,4 +1,6 @@
 import hashlib
+import itertools
+import math
 import re
 import time
 
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 from corpus_pipeline import language_id
 from corpusloom.llm import classifiers, pii
 from corpusloom.llm.bytecnn import WIDTHS, WINDOW, ByteCnn, windows_of
+from corpusloom.llm.common import written
 from tests.llm.helpers import DE, EN, SCHEMA, awkward, empty
 
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
@@ -86,6 +89,33 @@ def test_recall_of_planted_kinds(spark):
     assert sum(got[i] != [""] for i in clean) <= 0.1 * len(clean)
 
 
+@pytest.mark.parametrize("n", [1e4, 1e7])
+def test_labelers_with_known_rates(n):
+    """Silent labelers too: what a vote is worth is found, and found alike, in small and large tables."""
+    yes = [{1: 0.8, 0: 0.2}, {1: 0.3, -1: 0.7}, {1: 0.6, -1: 0.4}, {1: 0.85, 0: 0.15}, {0: 0.02, -1: 0.98}]
+    no = [{1: 0.2, 0: 0.8}, {1: 0.01, -1: 0.99}, {1: 0.03, -1: 0.97}, {1: 0.25, 0: 0.75}, {0: 0.5, -1: 0.5}]
+    rows = []
+    for votes in itertools.product(*[sorted(y) for y in yes]):
+        p, q = (math.prod(r[v] for r, v in zip(rates, votes)) for rates in (yes, no))
+        count = round(n * (0.3 * p + 0.7 * q))
+        if count:
+            rows.append((votes, count))
+    _, got, other = pii.estimated(rows)
+    for j, v in enumerate([1, 1, 1, 1, 0]):
+        assert got[j][v] / other[j][v] == pytest.approx(yes[j][v] / no[j][v], rel=0.2), j
+
+
+def test_decisions_do_not_depend_on_the_size_of_the_table(spark):
+    rows = [planted(i) for i in range(450)]
+    df = spark.createDataFrame([(i, t) for i, (_, t, _) in enumerate(rows)], "doc_id long, text string")
+    facts = ["kind", *pii.LABELERS, *pii.FEATURES]
+    found = written(spark, pii.candidates(df), "pii").select(F.explode("more").alias("c")).select(*[F.col(f"c.{f}") for f in facts])
+    counts = [r.asDict() for r in found.groupBy(*facts).count().collect()]
+    many = [r | {"count": 10_000 * r["count"]} for r in counts]
+    decide = lambda w: [sum(a * b for a, b in zip(w, pii.features(r))) >= 0 for r in counts]
+    assert decide(pii.learned(counts)) == decide(pii.learned(many)) and 0 < sum(decide(pii.learned(counts))) < len(counts)
+
+
 def test_many_spans_in_one_text(spark):
     """A text of a megabyte with a base span or a candidate at every few characters, in seconds, and the same as brute force."""
     unit, n = "a@b.c x 415-555-1234 ", 50_000
@@ -113,7 +143,7 @@ def test_reliabilities_against_plain_em():
     """The same estimates as EM over single candidates, one by one instead of by counts."""
     rows = [((1, 1, -1), 13), ((0, 0, 0), 20), ((1, 0, -1), 4), ((0, 1, 0), 5), ((-1, -1, -1), 3)]
     single = [(v, 1) for v, n in rows for _ in range(n)]
-    by_count, one_by_one = pii.reliabilities(rows), pii.reliabilities(single)
+    by_count, one_by_one = pii.estimated(rows)[0], pii.estimated(single)[0]
     assert one_by_one == pytest.approx([b for b, (_, n) in zip(by_count, rows) for _ in range(n)])
 
 
@@ -122,8 +152,9 @@ def test_fit_against_gradient_descent():
     x = np.concatenate([np.ones((40, 1)), rng.integers(0, 2, (40, 3))], 1)
     y, n = rng.uniform(0.1, 0.9, 40), rng.integers(1, 9, 40)
     w, got = np.zeros(4), pii.fit(list(zip(x.tolist(), y.tolist(), n.tolist())))
+    n = n * (pii.SCALE / n.sum())
     for _ in range(20_000):
-        w -= 0.005 * (x.T @ (n * (1 / (1 + np.exp(-x @ w)) - y)) + 0.1 * w)
+        w -= 0.001 * (x.T @ (n * (1 / (1 + np.exp(-x @ w)) - y)) + 0.1 * w)
     assert got == pytest.approx(w.tolist(), abs=1e-3)
 
 
@@ -136,7 +167,7 @@ def test_pii_of_awkward_rows(spark):
 
 def test_reliabilities():
     rows = [((1, 1, -1), 40), ((0, 0, 0), 60), ((1, 0, -1), 5), ((0, 1, 0), 5)]
-    belief = pii.reliabilities(rows)
+    belief = pii.estimated(rows)[0]
     assert belief[0] > 0.9 and belief[1] < 0.1
 
 
