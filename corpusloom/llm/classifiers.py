@@ -1,21 +1,22 @@
 """Language identification and text quality with the byte network of :mod:`bytecnn`.
 
-Both learn on the driver from a bounded sample of labelled rows: those with the smallest hash of their id, TRAIN_ROWS at
-most, and in that order as many as have TRAIN_BYTES of text together. Every window of a sampled text is learned from,
-and every window of every text is scored.
+Both learn on the driver from a bounded sample of labelled rows, drawn label by label: of each label those with the smallest
+hash of their id, as many as an equal share of TRAIN_ROWS allows, and more where other labels have fewer. If their texts
+have more than TRAIN_BYTES together, windows are drawn from the longest ones: as many as leave every text the same
+part of the bytes, evenly over the whole text. Every window of every text is scored.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.bytecnn import WINDOW, ByteCnn, windows_of
 from corpusloom.llm.common import check_kept, forget, free_name, small_batches, utf8, written
 
-#: Bounds of the sample: labelled rows, and bytes of their texts.
+#: Bounds of the sample: labelled rows (and labels), and bytes of what is learned of their texts.
 TRAIN_ROWS, TRAIN_BYTES = 2000, 8 << 20
 OVERLAP = 64
 ROWS = 64
@@ -30,28 +31,57 @@ def has_letter(text: str | None) -> bool:
     return bool(text) and any(map(str.isalpha, text))
 
 
+def even_shares(sizes: list[int], total: int) -> int:
+    """The largest bound for which sizes cut to it add up to ``total`` at most; the largest size if all of them fit."""
+    left, held = len(sizes), 0
+    for n in sorted(sizes):
+        if held + n * left > total:
+            return (total - held) // left
+        held, left = held + n, left - 1
+    return max(sizes, default=0)
+
+
+def drawn_rows(labelled: DataFrame) -> DataFrame:
+    """TRAIN_ROWS of the rows (id, label) at most: equal shares of all labels, and more of those that have more if others
+    have fewer. Of more labels than TRAIN_ROWS the most frequent ones take part."""
+    rows = labelled.distinct()
+    counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(TRAIN_ROWS).collect()}
+    most = even_shares(list(counts.values()), TRAIN_ROWS)
+    spare = TRAIN_ROWS - sum(min(n, most) for n in counts.values())
+    quota = {}
+    for label in sorted((x for x, n in counts.items() if n > most), key=str):  # what does not divide evenly
+        quota[label], spare = (most + 1, spare - 1) if spare > 0 else (most, 0)
+    order = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")
+    ranked = rows.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= most + 1)  # limited before the shuffle
+    bound = rows.sparkSession.createDataFrame([(x, quota.get(x, most)) for x in counts], f"label {labelled.schema['label'].dataType.simpleString()}, quota int")
+    return ranked.join(F.broadcast(bound), "label").filter("nth <= quota").select("id", "label")
+
+
 def sample(docs: DataFrame, labelled: DataFrame, key: str, text: str, stride: int) -> list[tuple]:
-    """[(label, windows)] of the bounded sample of ``labelled`` (id, label): all windows of each text.
+    """[(label, windows)] of the bounded sample of ``labelled`` (id, label).
 
-    An id that repeats is drawn once a label, with the smallest of its texts.
+    An id that repeats is drawn once a label, with the smallest of its texts. What reaches the driver has TRAIN_ROWS rows and
+    about TRAIN_BYTES at most, and a window a text at least, however long single texts are.
     """
-    some = labelled.distinct().orderBy(F.xxhash64("id"), "id", "label").limit(TRAIN_ROWS)
-    rows = small_batches(docs).select(F.col(key).alias("id"), utf8(text).alias("text")).join(F.broadcast(some), "id")
+    if labelled.isEmpty():
+        return []
+    rows = small_batches(docs).select(F.col(key).alias("id"), utf8(text).alias("text")).join(F.broadcast(drawn_rows(labelled)), "id")
     drawn = written(docs.sparkSession, rows.groupBy("id", F.col("label").cast("string").alias("label")).agg(F.min("text").alias("text")), "sample", narrow=True)
-    sizes = drawn.select(F.xxhash64("id").alias("h"), "id", "label", F.octet_length("text").alias("n")).collect()
-    held, last = 0, None
-    for last in sorted(sizes):
-        held += last["n"]
-        if held > TRAIN_BYTES:
-            break
-    found = []
-    if last:
-        ranked = drawn.withColumn("h", F.xxhash64("id"))
-        order, cut = (F.struct(*[f(c).cast(ranked.schema[c].dataType).alias(c) for c in ("h", "id", "label")]) for f in (F.col, lambda c: F.lit(last[c])))
-        first = ranked.filter(order <= cut) if held > TRAIN_BYTES else ranked
-        found = sorted((r["label"], bytes(r["text"])) for r in first.collect())
+    bound = even_shares([r[0] for r in drawn.select(F.octet_length("text")).collect()], TRAIN_BYTES)
+
+    def cut(batches):
+        for batch in batches:
+            parts = []
+            for raw in batch.column(1).to_pylist():
+                w = windows_of([raw], stride)[0]
+                if len(raw) > bound:
+                    w = w[np.unique(np.linspace(0, len(w) - 1, max(1, bound // stride)).astype(np.int64))]
+                parts.append(w.tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(parts, pa.binary())], names=["label", "windows"])
+
+    found = sorted((r["label"], bytes(r["windows"])) for r in drawn.select("label", "text").mapInArrow(cut, "label string, windows binary").collect())
     forget(docs.sparkSession, drawn)
-    return [(label, windows_of([raw], stride)[0]) for label, raw in found]
+    return [(label, np.frombuffer(w, np.uint8).reshape(-1, WINDOW)) for label, w in found]
 
 
 def train(rows: list[tuple], names: list[str], epochs: int) -> ByteCnn:

@@ -3,6 +3,7 @@ import itertools
 import math
 import re
 import time
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -242,7 +243,7 @@ def test_letters():
     assert [classifiers.has_letter(t) for t in ("", None, "½ ² ① ٣ 12 _", "٣ا", "ª", "12a", "你")] == [False, False, False, True, True, True, True]
 
 
-def test_samples_are_whole_texts_within_bounds(spark, monkeypatch):
+def test_samples_are_within_bounds(spark, monkeypatch):
     rows = [(i, "x" * (100 * i), "en") for i in range(1, 60)] + [(7, "repeated", "en")] * 50
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     labelled = df.select(F.col("doc_id").alias("id"), F.col("lang").alias("label"))
@@ -250,9 +251,40 @@ def test_samples_are_whole_texts_within_bounds(spark, monkeypatch):
     assert sorted(len(w) for _, w in drawn) == sorted(max(1, -(-(100 * i if i != 7 else 8) // WINDOW)) for i in range(1, 60))
     monkeypatch.setattr(classifiers, "TRAIN_BYTES", 40_000)
     fewer = classifiers.sample(df, labelled, "doc_id", "text", WINDOW)
-    assert 0 < len(fewer) < 59 and {w.tobytes() for _, w in fewer} <= {w.tobytes() for _, w in drawn}
+    assert len(fewer) == 59 and sum(len(w) for _, w in fewer) * WINDOW < 40_000 + 59 * WINDOW
     monkeypatch.setattr(classifiers, "TRAIN_ROWS", 5)
-    assert 0 < len(classifiers.sample(df, labelled, "doc_id", "text", WINDOW)) <= 5
+    assert len(classifiers.sample(df, labelled, "doc_id", "text", WINDOW)) == 5
+    assert classifiers.sample(df, labelled.limit(0), "doc_id", "text", WINDOW) == []
+
+
+def test_samples_are_drawn_by_label(spark, monkeypatch):
+    """A label of four rows among twenty thousand takes part; so does every one of more labels than fit evenly."""
+    rows = [(i, f"t{i}", "zz" if i % 5000 == 7 else "aa") for i in range(20_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    count = lambda n: Counter(x for x, _ in classifiers.sample(n, n.select(F.col("doc_id").alias("id"), F.col("lang").alias("label")), "doc_id", "text", WINDOW))
+    assert count(df) == {"zz": 4, "aa": classifiers.TRAIN_ROWS - 4}
+    monkeypatch.setattr(classifiers, "TRAIN_ROWS", 10)
+    assert count(df.withColumn("lang", F.concat(F.lit("l"), (F.col("doc_id") % 3).cast("string")))) == {"l0": 4, "l1": 3, "l2": 3}
+    assert sum(count(df.withColumn("lang", (F.col("doc_id") % 40).cast("string"))).values()) == 10
+
+
+def test_one_long_text_leaves_room_for_others(spark):
+    """A text of 14 MB, the first in the order of the draw: its windows are spread over all of it, and all others are learned."""
+    rng = np.random.default_rng(6)
+    rows = [(i, " ".join(rng.choice(EN.split(), 40)) if i % 2 else " ".join(rng.choice(DE.split(), 40)), i % 2) for i in range(300)]
+    first = spark.createDataFrame([(i,) for i in range(300)], "id long").orderBy(F.xxhash64("id"), "id").first()[0]
+    rows[first] = (first, (rows[first][1] + " ") * (14_000_000 // len(rows[first][1])), first % 2)
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, quality int")
+    drawn = classifiers.sample(docs, labels.select(F.col("doc_id").alias("id"), F.col("quality").alias("label")), "doc_id", "text", WINDOW)
+    assert len(drawn) == 300 and sum(w.size for _, w in drawn) < classifiers.TRAIN_BYTES + 300 * WINDOW
+    model = classifiers.learn_quality(docs, labels, F.lit(True))
+    got = classifiers.score_quality(spark, docs, model).join(labels, "doc_id").toPandas()
+    assert ((got.score >= 0.5) == (got.quality == 1)).mean() > 0.95
+
+
+def test_even_shares():
+    assert [classifiers.even_shares(*x) for x in (([], 5), ([3, 4], 10), ([3, 4, 100], 13), ([9, 9, 9], 10), ([1, 20, 20], 21))] == [0, 4, 6, 3, 10]
 
 
 def test_kept_columns_of_language(spark):
