@@ -6,8 +6,9 @@ and rows between candidate boundaries on all partitions, and narrows the interva
 that really lie in it, until the bytes below the splitter are within tolerance. Then the rows are exchanged once.
 
 Equal texts are neighbours in this order, so they share a shard unless a splitter falls between them; a hot text with
-a third of all rows is split like any other stretch. Shards are cut into sub-ranges whose exact row counts are known,
-so that slots come from many small windows and not from one task per shard.
+a third of all rows is split like any other stretch. Shards are cut into pieces of equal row counts, found the same way, so
+that slots come from many small windows and not from one task per shard; a shard of very many rows without text has as
+many pieces as its rows ask for.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from corpusloom.llm.common import record_batch, tasks_for, written
 KEY_BYTES = 24
 SPACE = 1 << (8 * KEY_BYTES)
 SIGN = np.uint64(1 << 63)
-#: Rows that one task numbers at most, about.
+#: Rows of a piece, which one window numbers.
 PIECE_ROWS = 1 << 22
 GAPS = pa.schema([("gap", pa.int64()), ("size", pa.int64()), ("rows", pa.int64()), ("low", pa.binary()), ("high", pa.binary())])
 PLACED = "doc_id long, size long, text_crc32 long, _h long, _id long, _row long"
@@ -75,47 +76,57 @@ def count_between(keyed: DataFrame, bounds: list[int]) -> list[tuple[int, int, i
     return out
 
 
-def find_splitters(keyed: DataFrame, shards: int, pieces: int, tolerance: float, probes: int = 24) -> tuple[list[int], list[int]]:
-    """(boundaries, exact rows below each) of shards * pieces ranges with near-equal bytes.
+def find_boundaries(keyed: DataFrame, goals: list[float], allowed: float, by: int, probes: int = 24) -> list[tuple[int, int]]:
+    """(boundary, exact rows below it) for each of ``goals``, ascending: so many bytes (``by`` 0) or rows (1) below it.
 
-    The shards - 1 boundaries between shards get ``tolerance`` (a share of a shard's bytes); those between pieces of a
-    shard only serve parallelism and get half a piece. An interval with one row left is settled exactly.
+    A boundary is settled when it is ``allowed`` from its goal at most, or when one row or key is left between its bounds.
     """
-    total, first = shards * pieces, None
-    known: dict[int, tuple[int, int]] = {0: (0, 0)}
-    wanted = {b: (0, SPACE - 1) for b in range(1, total)}
+    known: dict[int, int] = {0: 0}
+    wanted = {b: (0, SPACE - 1) for b in range(len(goals))}
     found: dict[int, int] = {}
-    size = 0
-    while wanted or first is None:
-        tries = {min(SPACE - 1, lo + (hi - lo) * (i + 1) // (probes + 1)) for lo, hi in set(wanted.values()) for i in range(probes)} | {b for pair in wanted.values() for b in pair}
-        if first is None:
-            tries |= {SPACE * i // (4 * total) for i in range(1, 4 * total)}
-        bounds = sorted(b for b in tries if b > 0)
+    tries = {SPACE * i // (4 * len(goals) + 4) for i in range(1, 4 * len(goals) + 4)}
+    while wanted:
+        tries |= {min(SPACE - 1, lo + (hi - lo) * (i + 1) // (probes + 1)) for lo, hi in set(wanted.values()) for i in range(probes)} | {b for pair in wanted.values() for b in pair}
+        bounds, tries = sorted(b for b in tries if b > 0), set()
         gaps = count_between(keyed, bounds)
-        if first is None:
-            first, size = True, sum(g[0] for g in gaps)
-        below = np.cumsum([g[0] for g in gaps])[:-1].tolist()
-        rows = np.cumsum([g[1] for g in gaps])[:-1].tolist()
-        known.update({b: (below[i], rows[i]) for i, b in enumerate(bounds)})
+        below = np.cumsum([g[by] for g in gaps])
+        below, total = below[:-1].tolist(), int(below[-1])
+        known.update(zip(bounds, np.cumsum([g[1] for g in gaps])[:-1].tolist()))
         for b in list(wanted):
-            goal = size * b / total
-            allowed = tolerance * size / shards if b % pieces == 0 else 0.5 * size / total
-            i = bisect_right(below, goal) - 1  # the last boundary with at most the goal below it
+            i = bisect_right(below, goals[b]) - 1  # the last boundary with at most the goal below it
             left = (bounds[i], below[i]) if i >= 0 else (0, 0)
-            right = (bounds[i + 1], below[i + 1]) if i + 1 < len(bounds) else (SPACE - 1, size)
-            near = min((left, right), key=lambda x: abs(x[1] - goal))
+            right = (bounds[i + 1], below[i + 1]) if i + 1 < len(bounds) else (SPACE - 1, total)
+            near = min((left, right), key=lambda x: abs(x[1] - goals[b]))  # noqa: B023
             _, inside, low, high = gaps[i + 1]
-            if abs(near[1] - goal) <= allowed or inside <= 1 or low == high:
-                if near[0] == SPACE - 1 and near[0] not in known:
-                    near = left
-                found[b] = near[0]
+            if abs(near[1] - goals[b]) <= allowed or inside <= 1 or low == high:
+                found[b] = (left if near[0] == SPACE - 1 and near[0] not in known else near)[0]
                 del wanted[b]
             else:
                 wanted[b] = (low, min(SPACE - 1, high))
-    cuts = [found[b] for b in range(1, total)]
-    for i in range(1, len(cuts)):
-        cuts[i] = max(cuts[i], cuts[i - 1])
-    return cuts, [known[c][1] for c in cuts]
+    cuts = np.maximum.accumulate([found[b] for b in range(len(goals))]).tolist() if goals else []
+    return [(c, known[c]) for c in cuts]
+
+
+def ranges_of(spark: SparkSession, keyed: DataFrame, shards: int, tolerance: float) -> tuple[list[int], np.ndarray, np.ndarray]:
+    """(boundaries, shard of each range, exact rows of its shard before it): shards near-equal in bytes, cut into pieces of
+    near-equal rows."""
+    size, rows = keyed.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
+    narrow = keyed.select("_h", "_id", "_row", "size")
+    edges = find_boundaries(narrow, [size * b / shards for b in range(1, shards)], tolerance * size / shards, 0)
+    below = [0, *[r for _, r in edges], rows]
+    piece = -(-rows // tasks_for(spark, rows, PIECE_ROWS)) or 1
+    goals, owner = [], []
+    for s in range(shards):
+        here = below[s + 1] - below[s]
+        pieces = max(1, -(-here // piece))
+        goals += [below[s] + here * k / pieces for k in range(1, pieces)]
+        owner += [s] * (pieces - 1)
+    cuts = find_boundaries(narrow, goals, piece / 4, 1)
+    # a piece's boundary lies in its shard: rows below it are between those below the shard's own boundaries
+    all_cuts = sorted([(c, s + 1, r) for s, (c, r) in enumerate(edges)] + [(c, s, r) for s, (c, r) in zip(owner, cuts)], key=lambda x: (x[0], x[1]))
+    shard = np.array([0, *[s for _, s, _ in all_cuts]], np.int64)
+    base = np.array([0, *[r for _, _, r in all_cuts]], np.int64) - np.array(below, np.int64)[shard]
+    return [c for c, _, _ in all_cuts], shard, base
 
 
 def shard_by_bytes(spark: SparkSession, docs: DataFrame, shards: int = 8, key: str = "doc_id", text: str = "text", tolerance: float = 0.002) -> DataFrame:
@@ -136,23 +147,20 @@ def shard_by_bytes(spark: SparkSession, docs: DataFrame, shards: int = 8, key: s
         F.monotonically_increasing_id().alias("_row"),
     )
     keyed = written(spark, narrow, "shard-keys", narrow=True)
-    pieces = max(1, -(-tasks_for(spark, keyed.count(), PIECE_ROWS) // shards))
-    cuts, rows_below = find_splitters(keyed.select("_h", "_id", "_row", "size"), shards, pieces, tolerance)
+    cuts, shard, base = ranges_of(spark, keyed, shards, tolerance)
     probes = _pack(cuts)
-    base = np.array([0, *rows_below], dtype=np.int64)
-    base = base - base[(np.arange(len(base)) // pieces) * pieces]
 
     def place(batches):  # ids pass through untouched, null or not
         for batch in batches:
             at = np.searchsorted(probes, _keys(batch), side="right").astype(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at), pa.array(base[at])], names=[*batch.schema.names, "_range", "_base"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at), pa.array(base[at]), pa.array(shard[at])], names=[*batch.schema.names, "_range", "_base", "_shard"])
 
-    placed = keyed.mapInArrow(place, f"{PLACED}, _range long, _base long")
+    placed = keyed.mapInArrow(place, f"{PLACED}, _range long, _base long, _shard long")
     order = Window.partitionBy("_range").orderBy("_h", "_id", "_row")
-    dealt = placed.repartition(shards * pieces, "_range")
+    dealt = placed.repartition(len(cuts) + 1, "_range")
     return dealt.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"),
-        F.floor(F.col("_range") / pieces).cast("int").alias("shard"),
+        F.col("_shard").cast("int").alias("shard"),
         (F.col("_base") + F.row_number().over(order) - 1).alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
     )

@@ -40,6 +40,24 @@ def test_hot_text_is_split_and_shards_are_even(spark):
     assert same.groupby("shard").size().tolist() == [8] * 8
 
 
+def test_rows_without_text_are_cut_by_rows(spark, monkeypatch):
+    """Nine of ten texts are null: the shard that holds them is cut into pieces of PIECE_ROWS rows, about."""
+    from corpusloom.llm import sharding
+
+    monkeypatch.setattr(sharding, "PIECE_ROWS", 1000)
+    df = spark.range(30_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 10 == 0, F.repeat(F.lit("word "), 200)).alias("text"))
+    out = shard_by_bytes(spark, df, shards=4)
+    got = out.toPandas()
+    total = got.groupby("shard")["size"].sum()
+    assert len(total) == 4 and total.max() - total.min() < 0.01 * total.mean() + 1100
+    for _, g in got.groupby("shard"):
+        assert sorted(g.slot) == list(range(len(g)))
+    keyed = df.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("_h"), F.col("doc_id").alias("_id"), F.lit(0).cast("long").alias("_row"), F.coalesce(F.octet_length("text") + 1, F.lit(1)).cast("long").alias("size"))
+    cuts, shard, _ = sharding.ranges_of(spark, keyed, 4, 0.002)
+    rows = [g[1] for g in sharding.count_between(keyed, cuts)]
+    assert max(rows) < 2000 and sum(rows) == 30_000 and (np.diff(shard) >= 0).all() and set(shard) == {0, 1, 2, 3}
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.lists(st.integers(-(2**63), 2**63 - 1), unique=True, max_size=300))
 def test_cuckoo_filter(items):
