@@ -8,7 +8,9 @@ State, all written as tables in the shared folder:
 
 ``insert`` and ``delete`` write what changes: new refs or deleted ids, the keys these touch and their new counts, and
 the filters with the keys taken in or out whose count crossed two. So deleting documents gives their lines back to
-the documents that remain. Refs and counts are read through the changes, and written anew after ``COMPACT`` of them.
+the documents that remain. Refs and counts are read through the changes, and written anew after ``COMPACT`` of them. Tables
+are never changed in place, and those of earlier states stay until ``vacuum``: a plan made before a change gives the
+rows of its own state whenever it runs.
 
 The number of shards follows the number of shared keys, so a filter stays small, and nothing is sent to all tasks: refs
 meet the filter of their shard in a cogroup, a shard with many refs in several cells of bounded size, each with a copy of
@@ -91,6 +93,7 @@ class LineIndex:
         self.filters: DataFrame | None = None
         self.shards, self.size, self.changes = 1, 0, 0
         self.tables: list[DataFrame] = []  # what refs and shared are read from
+        self.retired: list[DataFrame] = []  # what only plans of earlier states read
 
     def insert(self, docs: DataFrame) -> None:
         """Take in the rows of ``docs``. Rows with a null id are left out."""
@@ -127,16 +130,27 @@ class LineIndex:
             filters = written(self.spark, build_filters(shared, self.shards), "line-filters", narrow=True)
         else:
             filters = self._moved(moves, shared)
-        forget(self.spark, self.filters, moves)
+        forget(self.spark, moves)
+        self.retired.append(self.filters)
         self.refs, self.shared, self.filters, self.changes = refs, shared, filters, self.changes + 1
         if self.changes % COMPACT == 0:
             self._compact()
 
     def _compact(self) -> None:
-        tables = self.tables
+        self.retired += self.tables
         self.refs, self.shared = written(self.spark, self.refs, "line-refs", narrow=True), written(self.spark, self.shared, "line-shared", narrow=True)
         self.tables = [self.refs, self.shared]
-        forget(self.spark, *tables)
+
+    def vacuum(self) -> None:
+        """Delete the tables of earlier states; to be called when no plan made before the last change is still to run."""
+        forget(self.spark, *self.retired)
+        self.retired = []
+
+    def close(self) -> None:
+        """Delete all tables. No plan made from this index can run afterwards, and it takes no more changes."""
+        self.vacuum()
+        forget(self.spark, *self.tables, *([self.filters] if self.filters is not None else []))
+        self.tables, self.refs, self.shared, self.filters = [], None, None, None
 
     def _moved(self, moves: DataFrame, shared: DataFrame) -> DataFrame:
         """Filters after deletions (sign -1) and insertions (sign 1); a shard that gets too full is built anew."""

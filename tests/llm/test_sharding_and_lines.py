@@ -221,3 +221,25 @@ def test_shards_against_brute_force(spark):
     assert sum(sizes) == total and max(abs(x - total / 5) for x in sizes) <= 2 * (0.002 * total / 5 + max(len(t) + 1 for _, t in rows))
     for s in range(5):
         assert [g[1] for g in got if g[0] == s] == list(range(sum(g[0] == s for g in got)))
+
+
+def test_plans_outlive_changes(spark, monkeypatch):
+    """A result asked for before a deletion, an insertion and a compaction gives what it was; after vacuum the new ones stay."""
+    from corpusloom.llm import line_dedup
+
+    monkeypatch.setattr(line_dedup, "COMPACT", 2)
+    rows = [(1, "a shared line of text\none"), (2, "a shared line of text\ntwo"), (3, "a shared line of text")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    index = LineIndex(spark)
+    index.insert(df)
+    before, want = strip_shared_lines(index, df), brute(rows)
+    index.delete(df.filter("doc_id = 1").select("doc_id"))
+    index.insert(spark.createDataFrame([(4, "a shared line of text\nfour")], "doc_id long, text string"))
+    index.delete(df.filter("doc_id = 2").select("doc_id"))
+    assert {r.doc_id: (r.n_lines, r.n_dropped, hashlib.sha256(bytes(r.kept)).hexdigest()) for r in before.collect()} == want
+    assert index.retired
+    index.vacuum()
+    rest = spark.createDataFrame([rows[2], (4, "a shared line of text\nfour")], "doc_id long, text string")
+    assert result(spark, index, rest) == brute([(r.doc_id, r.text) for r in rest.collect()])
+    index.close()
+    assert not index.tables and index.refs is None
