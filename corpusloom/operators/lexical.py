@@ -12,20 +12,32 @@ from corpusloom.operators.keeping import kept
 K1, B = 1.5, 0.75
 
 
+#: Stands for a document itself among its terms, so that one pass over the texts gives postings and lengths; no token is empty.
+MARK = ""
+
+
 @dataclass
 class LexicalIndex:
-    """postings (idx, term, tf, dl), lengths (idx, dl): written or cached by the caller if used more than once."""
+    """``table`` (idx, term, tf, dl): postings, and a row with term MARK for every document. Written or kept by the caller if
+    used more than once."""
+
+    table: DataFrame
 
-    postings: DataFrame
-    lengths: DataFrame
+    @property
+    def postings(self) -> DataFrame:
+        return self.table.filter(F.col("term") != MARK)
+
+    @property
+    def lengths(self) -> DataFrame:
+        return self.table.filter(F.col("term") == MARK).select("idx", "dl")
 
     def kept(self) -> LexicalIndex:
-        """The same with postings kept in memory or on the executors' disks, for the two times a search reads them, until
-        the next search keeps its own."""
-        return LexicalIndex(kept(self.postings, "postings"), self.lengths)
+        """The same, kept in memory or on the executors' disks for the times a search reads it, until the next search keeps
+        its own."""
+        return LexicalIndex(kept(self.table, "postings"))
 
     def stats(self) -> DataFrame:
-        return self.lengths.agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
+        return corpus_stats(self.lengths)
 
     def terms(self) -> DataFrame:
         """term, df, idf; the idf is positive for every df."""
@@ -34,6 +46,11 @@ class LexicalIndex:
         return df.withColumn("idf", idf(n, F.col("df")))
 
 
+def corpus_stats(lengths: DataFrame) -> DataFrame:
+    """One row: n, avgdl of documents with lengths ``dl``."""
+    return lengths.agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
+
+
 def idf(n: Column, df: Column) -> Column:
     return F.log(1 + (n - df + 0.5) / (df + 0.5))
 
@@ -46,12 +63,12 @@ def spread(docs: DataFrame) -> DataFrame:
 
 def build_index(docs: DataFrame, key: str, words: Column, only: DataFrame | None = None) -> LexicalIndex:
     """Index ``words`` (an array column) of each row. ``only`` (column term) keeps just the terms that will be asked."""
-    cut = docs.select(F.col(key).alias("idx"), words.alias("words"))
-    lengths = cut.select("idx", F.size("words").alias("dl"))
-    rows = cut.select("idx", F.size("words").alias("dl"), F.explode("words").alias("term"))
+    cut = docs.select(F.col(key).alias("idx"), F.coalesce(words, F.expr("cast(array() as array<string>)")).alias("words"))
+    rows = cut.select("idx", F.size("words").alias("dl"), F.explode(F.concat("words", F.array(F.lit(MARK)))).alias("term"))
     if only is not None:
-        rows = rows.join(only.select("term").distinct(), "term", "left_semi")
-    return LexicalIndex(rows.groupBy("idx", "dl", "term").agg(F.count("*").alias("tf")), lengths)
+        mark = docs.sparkSession.range(1).select(F.lit(MARK).alias("term"))
+        rows = rows.join(only.select("term").distinct().unionByName(mark), "term", "left_semi")
+    return LexicalIndex(rows.groupBy("idx", "dl", "term").agg(F.count("*").alias("tf")))
 
 
 def vocabulary(docs: DataFrame, words: Column) -> DataFrame:
@@ -61,12 +78,21 @@ def vocabulary(docs: DataFrame, words: Column) -> DataFrame:
     return df.withColumn("idf", idf(n, F.col("df")))
 
 
+def impact(avgdl: Column, k1: float, b: float) -> Column:
+    """What a term adds to a document's score, but for its idf."""
+    return F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
+
+
+def weighted_terms(index: LexicalIndex, queries: DataFrame, query: str, words: str) -> DataFrame:
+    """query, term, df, idf of the terms of each query that the index knows. Repeated query terms count once."""
+    return queries.select(query, F.explode(F.array_distinct(words)).alias("term")).join(index.terms(), "term")
+
+
 def bm25_scores(index: LexicalIndex, queries: DataFrame, query: str = "qid", words: str = "words", k1: float = K1, b: float = B) -> DataFrame:
     """query, idx, score of all documents that share a term with a query. Repeated query terms count once."""
-    asked = queries.select(query, F.explode(F.array_distinct(words)).alias("term"))
     avgdl = index.stats().select("avgdl").scalar()
-    weighted = asked.join(index.terms(), "term")
-    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
+    weighted = weighted_terms(index, queries, query, words)
+    part = F.col("idf") * impact(avgdl, k1, b)
     return index.postings.join(weighted, "term").groupBy(query, "idx").agg(F.round(F.sum(part), 6).alias("score"))
 
 

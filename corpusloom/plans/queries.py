@@ -9,9 +9,10 @@ from corpusloom.functions import text as T
 from corpusloom.functions.models import ExtractiveBackend, generated, overlap_score
 from corpusloom.functions.vectors import unit
 from corpusloom.operators import answers, evaluate, evidence, fusion, ingest, knowledge
+from corpusloom.operators.blockmax import blockmax_topk
 from corpusloom.operators.chunking import chunked
 from corpusloom.operators.dense import dense_topk
-from corpusloom.operators.lexical import bm25_scores, build_index, padded_top, spread, top, vocabulary
+from corpusloom.operators.lexical import bm25_scores, build_index, corpus_stats, padded_top, spread, top, vocabulary
 from corpusloom.plans.evaluation import evaluation_run
 from corpusloom.plans.service import Service
 from corpusloom.streaming.limits import limited
@@ -105,10 +106,9 @@ def asked(spark, sf):
 
 
 def lexical(spark, sf):
-    """(index of the asked terms, queries, scores)."""
+    """(index of the asked terms, queries)."""
     q = asked(spark, sf)
-    index = build_index(texts(spark, sf), "doc_id", T.tokens(F.col("text")), only=q.select(F.explode("words").alias("term"))).kept()
-    return index, q, bm25_scores(index, q)
+    return build_index(texts(spark, sf), "doc_id", T.tokens(F.col("text")), only=q.select(F.explode("words").alias("term"))).kept(), q
 
 
 def long_rank(df: DataFrame) -> DataFrame:
@@ -116,10 +116,10 @@ def long_rank(df: DataFrame) -> DataFrame:
 
 
 def hybrid_pool(spark, sf):
-    _, q, scores = lexical(spark, sf)
+    index, q = lexical(spark, sf)
     vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("idx"), F.col("embedding").alias("vec"))
     mine = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid")).join(vectors.withColumnRenamed("idx", "qid"), "qid")
-    return fusion.hybrid_union(dense_topk(mine, vectors, 6), top(scores, 10), 12, key="idx"), q
+    return fusion.hybrid_union(dense_topk(mine, vectors, 6), blockmax_topk(index, q, 10), 12, key="idx"), q
 
 
 def reranked(spark, sf, pool, q):
@@ -306,20 +306,26 @@ def a2_doc_freq(spark, sf):
 
 @query("a4_corpus_stats", f"WITH {DOCS} SELECT count(*) AS n, round(avg(len(t)), 6) AS avgdl FROM docs")
 def a4_corpus_stats(spark, sf):
-    return build_index(texts(spark, sf), "doc_id", T.tokens(F.col("text"))).stats().select("n", F.round("avgdl", 6).alias("avgdl"))
+    return corpus_stats(words_of_docs(spark, sf).select(F.size("words").alias("dl"))).select("n", F.round("avgdl", 6).alias("avgdl"))
 
 
 @query("a6_bm25_top10", f"WITH {BM25} SELECT qid, idx, score, rank FROM best")
 def a6_bm25_top10(spark, sf):
-    return long_rank(top(lexical(spark, sf)[2], 10))
+    return long_rank(top(bm25_scores(*lexical(spark, sf)), 10))
+
+
+@query("a6_bm25_blockmax", f"WITH {BM25} SELECT qid, idx, score, rank FROM best")
+def a6_bm25_blockmax(spark, sf):
+    """The same hits without a row for every match."""
+    return long_rank(blockmax_topk(*lexical(spark, sf), 10))
 
 
 @query("a6_bm25_padded", f"""WITH {BM25}, every AS (SELECT q.qid, d.doc_id AS idx, coalesce(s.score, 0) AS score FROM q JOIN docs d ON len(q.t) > 0
 LEFT JOIN (SELECT * FROM scores WHERE score >= 12) s ON s.qid = q.qid AND s.idx = d.doc_id)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, idx) AS rank FROM every) WHERE rank <= 10""")
 def a6_bm25_padded(spark, sf):
-    index, q, scores = lexical(spark, sf)
-    return long_rank(padded_top(scores.filter("score >= 12"), q, index.lengths, 10))
+    index, q = lexical(spark, sf)
+    return long_rank(padded_top(bm25_scores(index, q).filter("score >= 12"), q, index.lengths, 10))
 
 
 @query("t2_dense_topk", f"WITH {DENSE} SELECT * FROM dense")

@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from corpusloom.functions.models import Backend, ExtractiveBackend, generated, composed, hashed_encoder, overlap_score
 from corpusloom.functions.text import has_injection, lexical_text, pair_text, tokens
 from corpusloom.operators.answers import parsed_answer
+from corpusloom.operators.blockmax import blockmax_topk
 from corpusloom.operators.dense import dense_topk
 from corpusloom.operators.evidence import citation_warnings, grounded_context, select_evidence
 from corpusloom.operators.fusion import fused, hybrid_union, unfused
-from corpusloom.operators.lexical import bm25_scores, build_index, padded_top, top
+from corpusloom.operators.lexical import build_index, padded_top
 from corpusloom.plans.params import Params
 
 
@@ -37,9 +38,10 @@ class Service:
         p, top_k = self.params, top_k or self.params.final_k
         asked = composed(self.accepted(queries), "query").withColumn("words", tokens(F.col("query"), p.profile))
         words = tokens(lexical_text(F.col("law_name"), F.col("text")), p.profile)
-        index = build_index(composed(self.docs, "law_name", "text"), "idx", words, only=asked.select(F.explode("words").alias("term")))
-        scores = bm25_scores(index, asked, k1=p.k1, b=p.b)
-        lexical = padded_top(scores, asked, index.lengths, p.bm25_candidates) if self.pad_zero else top(scores, p.bm25_candidates)
+        index = build_index(composed(self.docs, "law_name", "text"), "idx", words, only=asked.select(F.explode("words").alias("term"))).kept()
+        lexical = blockmax_topk(index, asked, p.bm25_candidates, k1=p.k1, b=p.b)
+        if self.pad_zero:
+            lexical = padded_top(lexical.drop("rank"), asked, index.lengths, p.bm25_candidates)
         dense = dense_topk(asked.select("qid", self.encoder("query").alias("vec")), self.vectors, p.dense_candidates)
         pool = hybrid_union(dense, lexical, p.rerank_candidates, key="idx")
         pool = pool.join(asked.select("qid", "query", "words"), "qid").join(self.docs, "idx")

@@ -1,9 +1,11 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.operators import answers, evaluate, evidence, fusion
+from corpusloom.operators.blockmax import blockmax_hits, blockmax_topk
 from corpusloom.operators.dense import dense_topk
 from corpusloom.operators.lexical import bm25_scores, build_index, padded_top, top
 from corpusloom.plans.params import TEST
@@ -89,3 +91,51 @@ def test_json_without_an_answer_is_its_own(spark):
     df = spark.createDataFrame([('{"citations": []}',), ('{"answer": "x"}',), ("plain",)], "raw string")
     got = [tuple(r) for r in df.select(answers.parsed_answer(F.col("raw")).alias("a")).select("a.answer", F.size("a.warnings")).collect()]
     assert got == [('{"citations": []}', 0), ("x", 0), ("plain", 1)]
+
+
+def zipf_rows(n, words, seed):
+    rng = np.random.default_rng(seed)
+    return [(i, [f"w{int(min(x, 400))}" for x in rng.zipf(1.3, int(rng.integers(0, words)))]) for i in range(n)]
+
+
+@pytest.mark.parametrize("block,documents", [(4, 300), (16, 5000), (1, 64)])
+def test_blockmax_gives_the_same_hits(spark, block, documents):
+    docs = spark.createDataFrame([*zipf_rows(900, 60, 1), (5000, None)], "idx long, words array<string>")
+    queries = spark.createDataFrame([*zipf_rows(40, 12, 2), (77, ["nothing"]), (78, []), (79, None)], "qid long, words array<string>")
+    index = build_index(docs, "idx", F.col("words"), only=queries.select(F.explode("words").alias("term"))).kept()
+    assert index.lengths.count() == 901 and index.stats().first().n == 901
+    for k in (1, 10):
+        want = {(r.qid, r["rank"], r.idx, r.score) for r in top(bm25_scores(index, queries), k).collect()}
+        got = blockmax_topk(index, queries, k, block=block, documents=documents).collect()
+        assert {(r.qid, r["rank"], r.idx, r.score) for r in got} == want and len(got) == len(want)
+
+
+def test_blockmax_skips_blocks(spark, small):
+    """Over the benchmark's passages, few of the documents that share a term with a query are scored."""
+    from corpusloom.functions.text import tokens
+
+    docs = spark.read.parquet(f"{small.replace('sf0.001', 'sf0.01')}/documents.parquet").select(F.col("doc_id").alias("idx"), tokens(F.col("text")).alias("words"))
+    queries = spark.read.parquet(f"{small}/benchmark.parquet").select(F.col("item_id").alias("qid"), tokens(F.col("text")).alias("words"))
+    index = build_index(docs, "idx", F.col("words"), only=queries.select(F.explode("words").alias("term"))).kept()
+    pairs = bm25_scores(index, queries).count()
+    hits = blockmax_hits(index, queries, 3, block=4, documents=1 << 14)
+    scored = hits.groupBy("qid", F.spark_partition_id().alias("cell")).agg(F.max("scored").alias("n")).agg(F.sum("n")).first()[0]
+    assert scored < 0.5 * pairs
+
+
+def test_grid_plan_does_not_grow(spark):
+    """One exchange a side and no broadcast, whatever the number of queries; every vector is scanned once."""
+    vectors = spark.range(3000).select(F.col("id").alias("idx"), F.array(*[F.sin(F.col("id") * (j + 1)) for j in range(6)]).alias("vec"))
+    plans = []
+    for n in (3, 2000):
+        asked = vectors.filter(F.col("idx") < n).withColumnRenamed("idx", "qid")
+        out = dense_topk(asked, vectors, 4, block=128, rows=512)
+        plans.append(out._jdf.queryExecution().executedPlan().toString().count("Exchange"))
+        got = {(r.qid, r["rank"]): (r.idx, r.score) for r in out.collect()}
+        assert len(got) == 4 * n
+        x = np.array([r.vec for r in vectors.orderBy("idx").collect()])
+        for q in (0, n - 1):
+            scores = np.round(x @ x[q], 6)
+            best = sorted(range(len(x)), key=lambda i: (-scores[i], i))[:4]
+            assert [got[q, r] for r in range(1, 5)] == [(i, pytest.approx(scores[i], abs=1e-6)) for i in best]
+    assert plans[0] == plans[1]
