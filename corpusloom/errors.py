@@ -17,6 +17,10 @@ class UnknownVersion(CorpusError, ValueError):
     """A version of the knowledge base that was never saved."""
 
 
+class CommitConflict(CorpusError, RuntimeError):
+    """Another writer committed first."""
+
+
 class RetrievalError(CorpusError, RuntimeError):
     """Retrieval, dense or lexical or their fusion, that cannot be done."""
 

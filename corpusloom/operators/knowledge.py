@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.errors import UnknownVersion
 from corpusloom.functions.text import digest
+from corpusloom.sources.commits import CommitLog
 
 MANIFEST = "version_id string, dataset_hash string, document_count long, embedding_model string, embedding_model_hash string, reranker_model string, index_type string, embedding_cache_path string, created_at double"
 
@@ -45,11 +46,15 @@ def make_current(spark: SparkSession, root: str, version_id: str) -> None:
     """Roll back or forward: the pointer moves, no version is deleted or copied."""
     if list_versions(spark, root).filter(F.col("version_id") == version_id).isEmpty():
         raise UnknownVersion(f"no version {version_id!r}")
-    spark.createDataFrame([(version_id,)], "version_id string").coalesce(1).write.mode("overwrite").json(f"{root}/current")
+    CommitLog(spark, f"{root}/current").update(lambda version, state: {"version_id": version_id})
 
 
 def current_version(spark: SparkSession, root: str) -> str:
-    return spark.read.json(f"{root}/current").first()["version_id"]
+    """The version the last whole commit of the pointer names; while another one is being written, the one before it."""
+    state = CommitLog(spark, f"{root}/current").latest()[1]
+    if not state:
+        raise UnknownVersion(f"no version of {root!r} was made current")
+    return state["version_id"]
 
 
 def save_artifact(df: DataFrame, root: str, version_id: str, name: str) -> None:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,9 +19,12 @@ MARK = ""
 @dataclass
 class LexicalIndex:
     """``table`` (idx, term, tf, dl): postings, and a row with term MARK for every document. Written or kept by the caller if
-    used more than once."""
+    used more than once. Counts that are known already (documents, mean length, df by term) are not counted again."""
 
     table: DataFrame
+    documents: int | None = None
+    mean_length: float | None = None
+    frequencies: DataFrame | None = None
 
     @property
     def postings(self) -> DataFrame:
@@ -34,14 +37,16 @@ class LexicalIndex:
     def kept(self) -> LexicalIndex:
         """The same, kept in memory or on the executors' disks for the times a search reads it, until the next search keeps
         its own."""
-        return LexicalIndex(kept(self.table, "postings"))
+        return replace(self, table=kept(self.table, "postings"))
 
     def stats(self) -> DataFrame:
+        if self.documents is not None:
+            return self.table.sparkSession.range(1).select(F.lit(self.documents).cast("long").alias("n"), F.lit(self.mean_length).cast("double").alias("avgdl"))
         return corpus_stats(self.lengths)
 
     def terms(self) -> DataFrame:
         """term, df, idf; the idf is positive for every df."""
-        df = self.postings.groupBy("term").agg(F.count("*").alias("df"))
+        df = self.postings.groupBy("term").agg(F.count("*").alias("df")) if self.frequencies is None else self.frequencies
         n = self.stats().select("n").scalar()
         return df.withColumn("idf", idf(n, F.col("df")))
 

@@ -13,8 +13,10 @@ from corpusloom.operators.blockmax import blockmax_topk
 from corpusloom.operators.chunking import chunked
 from corpusloom.operators.dense import dense_topk
 from corpusloom.operators.lexical import bm25_scores, build_index, corpus_stats, padded_top, spread, top, vocabulary
+from corpusloom.operators.segments import SegmentedCorpus
 from corpusloom.plans.evaluation import evaluation_run
 from corpusloom.plans.service import Service
+from corpusloom.sources.folders import shared_folder
 from corpusloom.streaming.limits import limited
 
 QUERIES: dict = {}
@@ -320,6 +322,23 @@ def a6_bm25_blockmax(spark, sf):
     return long_rank(blockmax_topk(*lexical(spark, sf), 10))
 
 
+CHANGED = BM25.replace(DOCS, f"""docs AS MATERIALIZED (SELECT doc_id, {tok_sql('text')} AS t FROM (
+  SELECT doc_id, CASE WHEN doc_id % 7 = 2 THEN source || ' ' || text ELSE text END AS text FROM documents WHERE doc_id % 5 <> 1 OR doc_id % 7 = 2))""")
+
+
+@query("x4_index_after_changes", f"WITH {CHANGED} SELECT qid, idx, score, rank FROM best")
+def x4_index_after_changes(spark, sf):
+    """A corpus that takes in documents in parts, loses some, and gets some again with another text; then BM25 over it."""
+    docs = texts_and_sources(spark, sf).withColumnRenamed("doc_id", "idx")
+    corpus = SegmentedCorpus(spark, shared_folder(spark, "corpus"), T.tokens(F.col("text")), fan=4)
+    for part in range(3):
+        corpus.ingest(docs.filter(F.col("idx") % 3 == part))
+    corpus.delete(docs.filter("idx % 5 = 1").select("idx"))
+    corpus.ingest(docs.filter("idx % 7 = 2").withColumn("text", F.concat_ws(" ", "source", "text")))
+    q = asked(spark, sf)
+    return long_rank(blockmax_topk(corpus.lexical(q.select(F.explode("words").alias("term"))).kept(), q, 10))
+
+
 @query("a6_bm25_padded", f"""WITH {BM25}, every AS (SELECT q.qid, d.doc_id AS idx, coalesce(s.score, 0) AS score FROM q JOIN docs d ON len(q.t) > 0
 LEFT JOIN (SELECT * FROM scores WHERE score >= 12) s ON s.qid = q.qid AND s.idx = d.doc_id)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, idx) AS rank FROM every) WHERE rank <= 10""")

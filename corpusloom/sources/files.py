@@ -8,7 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.errors import MissingReport
+from corpusloom.errors import MissingReport, SettingsError
 
 CORPUS = "document_id string, jurisdiction string, law_id string, law_name string, article_id string, raw_text string, normalized_text string, embedding_text string, version_id string, source string"
 SAMPLE = [(str(i), "sample", "law-1", "Sample Act", str(i), t, t, t, None, "sample") for i, t in enumerate(["Everyone may read the law.", "A contract binds its parties.", "Costs follow the event."], 1)]
@@ -113,5 +113,8 @@ def settings(defaults: dict, yaml_text: str = "", dotenv_text: str = "", env: di
         for name, default in defaults.items():
             found = next((layer[k] for k in (name, name.upper(), *[k for k in layer if k.endswith(f".{name}")]) if k in layer), None)
             if found is not None:
-                out[name] = str(found).lower() in ("1", "true", "yes") if isinstance(default, bool) else type(default)(found) if default is not None else found
+                try:
+                    out[name] = str(found).lower() in ("1", "true", "yes") if isinstance(default, bool) else type(default)(found) if default is not None else found
+                except (TypeError, ValueError) as e:
+                    raise SettingsError(f"{name}: {found!r} is no {type(default).__name__}") from e
     return out
