@@ -9,14 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.errors import MissingReport, SettingsError
+from corpusloom.sources.json_arrays import read_json_array
 
 CORPUS = "document_id string, jurisdiction string, law_id string, law_name string, article_id string, raw_text string, normalized_text string, embedding_text string, version_id string, source string"
 SAMPLE = [(str(i), "sample", "law-1", "Sample Act", str(i), t, t, t, None, "sample") for i, t in enumerate(["Everyone may read the law.", "A contract binds its parties.", "Costs follow the event."], 1)]
 
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON file that holds one array of documents."""
-    return spark.read.schema(CORPUS).option("multiLine", True).json(path)
+    """A JSON file that holds one array of documents, read in byte ranges."""
+    return read_json_array(spark, path, CORPUS)
 
 
 def exists(spark: SparkSession, path: str) -> bool:
