@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import eval_query
+from corpusloom.operators.quantiles import exact_quantile
 
 CUTS = (1, 3, 5, 10)
 #: Fixed floors: the lexical index on self-retrieval, and the protected hybrid run.
@@ -50,9 +51,12 @@ def gate(metrics: DataFrame, floors: dict[str, float], tolerance: float = 0.01)
 
 
 def latency(rows: DataFrame, group: str, ms: str) -> DataFrame:
-    """Mean, 95th percentile and throughput (1000 / mean) of each group."""
+    """Mean, 95th percentile and throughput (1000 / mean) of each group, of any size."""
     mean = F.avg(ms)
-    return rows.groupBy(group).agg(F.bround(mean, 6).alias("mean_ms"), F.bround(F.percentile(ms, 0.95), 6).alias("p95_ms"), F.bround(1000 / mean, 6).alias("per_second"))
+    means = rows.groupBy(F.col(group).alias("g")).agg(F.bround(mean, 6).alias("mean_ms"), F.bround(1000 / mean, 6).alias("per_second"))
+    p95 = exact_quantile(rows, group, ms, 0.95)
+    joined = means.alias("m").join(p95.alias("q"), F.col("m.g").eqNullSafe(F.col(f"q.{group}")))
+    return joined.select(F.col("m.g").alias(group), "mean_ms", F.bround("quantile", 6).alias("p95_ms"), "per_second")
 
 
 def latency_breakdown(rows: DataFrame, stage: str, ms: str) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from hashlib import sha256
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,15 +71,25 @@ def dedup_exact(docs: DataFrame, content: str, key: str) -> DataFrame:
     return first
 
 
-def ordered_digest(docs: DataFrame, order: str, part: Column, separator: str = "|", length: int | None = None) -> Column | DataFrame:
-    """One row: SHA-256 over the parts of all rows in order, for tables whose parts fit one task (short ids: millions).
+def ordered_digest(docs: DataFrame, order: str, part: Column, separator: str = "|", length: int | None = None) -> DataFrame:
+    """One row: SHA-256 over the parts of all rows in order, parts of equal order by themselves; null parts are left out.
 
-    The order of a whole table is one string by definition; tables beyond that use :func:`tree_digest`.
+    A digest of one string is made by one task, by definition. It reads the parts in order from a sort that spills, and
+    holds a batch of them at a time, so memory does not grow; tables beyond an hour of that use :func:`tree_digest`.
     """
-    rows = docs.select(F.struct(F.col(order), part.alias("p")).alias("s"))
-    text = F.array_join(F.transform(F.sort_array(F.collect_list("s")), lambda s: s["p"]), separator)
-    whole = F.sha2(text, 256)
-    return rows.agg((F.substring(whole, 1, length) if length else whole).alias("corpus_hash"))
+
+    def stream(batches):
+        h, first = sha256(), True
+        for batch in batches:
+            parts = [p for p in batch.column(0).to_pylist() if p is not None]
+            if parts:
+                h.update((("" if first else separator) + separator.join(parts)).encode())
+                first = False
+        yield pa.RecordBatch.from_arrays([pa.array([h.hexdigest()])], names=["h"])
+
+    rows = docs.select(F.col(order).alias("o"), part.cast("string").alias("p")).repartition(1).sortWithinPartitions("o", "p")
+    whole = F.coalesce(F.max("h"), F.lit(sha256().hexdigest()))
+    return rows.select("p").mapInArrow(stream, "h string").agg((F.substring(whole, 1, length) if length else whole).alias("corpus_hash"))
 
 
 def tree_digest(docs: DataFrame, order: str, part: Column, fan: int = 4096) -> DataFrame:
