@@ -18,6 +18,7 @@ from corpusloom.plans.evaluation import evaluation_run
 from corpusloom.plans.service import Service
 from corpusloom.sources.folders import shared_folder
 from corpusloom.streaming.limits import limited
+from corpusloom.streaming.windows import limited_by_windows
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -516,6 +517,12 @@ def r1_rate_limit(spark, sf):
     return limited(table(spark, sf, "events"), "user_id", "ts", "event_id", 86_400, 2)
 
 
+@query("r1_rate_limit_windows", LIMIT_SQL)
+def r1_rate_limit_windows(spark, sf):
+    """The same by window openings, for keys of any size."""
+    return limited_by_windows(table(spark, sf, "events"), "user_id", "ts", "event_id", 86_400, 2)
+
+
 @query("r3_chat_history", "SELECT conv_id, count(*) AS n_turns, string_agg(role || ': ' || text, e'\\n' ORDER BY turn, role, text) AS history FROM conversations GROUP BY 1")
 def r3_chat_history(spark, sf):
     return answers.chat_history(table(spark, sf, "conversations"))
