@@ -13,12 +13,14 @@ equality join or a minimum, combined before it is shuffled, and hot anchors are
 
 Windows found in a row that repeat the same place are one maximal repeat.
 
-Words are hashed to 64 bits. Windows count as equal if their anchors' hashes and the hashes of the whole reach, two
+Words are hashed to 64 bits by sums over their bytes, many words at once. Windows count as equal if their anchors' hashes and the hashes of the whole reach, two
 independent ones of 64 bits, are equal.
 """
 
 from __future__ import annotations
 
+from functools import cached_property
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -27,10 +29,12 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import check_kept, cut_by_bytes, forget, free_name, record_batch, small_batches, utf8, written
 
-#: Words of a window and of an anchor; bytes of text handled at once; words remembered with their hashes.
-WINDOW, ANCHOR, TEXT_BYTES, REMEMBERED = 20, 8, 1 << 20, 1 << 18
-BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+#: Words of a window and of an anchor; bytes of text handled at once, and hashed at once; bytes of a long word.
+WINDOW, ANCHOR, TEXT_BYTES, BLOCK_BYTES, LONG_WORD = 20, 8, 1 << 20, 1 << 20, 256
+#: Odd bases: of bytes in words, of words in anchors, of words in what these answer for.
+BASES = (0xA0761D6478BD642F, 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 ONE = np.uint64(1)
+BLANK = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -39,45 +43,91 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
+OF_BYTE = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASES[2]))
+
+
+class Powers:
+    """Powers of an odd base modulo 2^64, and of its inverse, as many as were asked for."""
+
+    def __init__(self, base: int):
+        self.bases = (base, pow(base, -1, 1 << 64))
+        self.known = [np.ones(1, np.uint64)] * 2
+
+    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.known[0]) < n:
+            self.known = []
+            for base in self.bases:
+                row = np.full(n, base, np.uint64)
+                row[0] = ONE
+                self.known.append(np.cumprod(row))
+        return self.known[0][:n], self.known[1][:n]
 
 
 class Sums:
     """Hashes of any stretch of words by prefix sums of words' hashes times powers of an odd base, modulo 2^64."""
 
-    def __init__(self, h: np.ndarray, base: int):
-        power = np.full(len(h) + 1, base, np.uint64)
-        back = np.full(len(h) + 1, pow(base, -1, 1 << 64), np.uint64)
-        power[0] = back[0] = ONE
-        self.back = np.cumprod(back)
-        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * np.cumprod(power)[:-1])])
+    def __init__(self, h: np.ndarray, powers: Powers):
+        power, self.back = powers.upto(len(h) + 1)
+        self.sums = np.zeros(len(h) + 1, np.uint64)
+        np.cumsum(h * power[:-1], out=self.sums[1:])
 
     def of(self, start: np.ndarray, length) -> np.ndarray:
         return mixed((self.sums[start + length] - self.sums[start]) * self.back[start])
 
+    def all(self, length: int) -> np.ndarray:
+        """Hashes of all stretches of ``length`` words."""
+        n = len(self.sums) - length
+        return mixed((self.sums[length:] - self.sums[:n]) * self.back[:n])
+
+
+class Hasher:
+    """64-bit hashes of words, many at once, from sums over their bytes; words of more than LONG_WORD bytes one by one. Holds
+    the powers of all bases."""
+
+    def __init__(self):
+        self.bytes, *self.powers = (Powers(b) for b in BASES)
+
+    def of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(words a text, hashes of all words one after another); ASCII white space divides words."""
+        raw = np.frombuffer(b"\n".join(texts), np.uint8)
+        first, hashes, at = [], [], 0
+        while at < len(raw):
+            stop = min(at + BLOCK_BYTES, len(raw))
+            while stop < len(raw) and not BLANK[raw[stop]]:  # a block ends between words
+                ahead = BLANK[raw[stop : stop + 4096]]
+                stop += int(ahead.argmax()) if ahead.any() else len(ahead)
+            some = raw[at:stop]
+            edge = np.diff(np.concatenate([[True], BLANK[some], [True]]).astype(np.int8))
+            begin, end = np.flatnonzero(edge < 0), np.flatnonzero(edge > 0)
+            power, back = self.bytes.upto(len(some) + 1)
+            sums = np.zeros(len(some) + 1, np.uint64)
+            np.cumsum(OF_BYTE[some] * power[:-1], out=sums[1:])
+            h = mixed((sums[end] - sums[begin]) * back[begin] + (end - begin).astype(np.uint64))
+            for i in np.flatnonzero(end - begin > LONG_WORD).tolist():
+                h[i] = xxhash.xxh3_64_intdigest(some[begin[i] : end[i]].tobytes())
+            first.append(begin + at)
+            hashes.append(h)
+            at = stop
+        ends = np.cumsum([len(t) + 1 for t in texts])
+        count = np.searchsorted(np.concatenate(first), ends) if first else np.zeros(len(texts), np.int64)
+        return np.diff(count, prepend=0), np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
+
 
 class Words:
     """Texts cut into words, one text after another; ``anchors`` are the places of anchors, each with its reach."""
 
-    def __init__(self, texts: list[bytes], window: int, anchor: int, known: WordHashes):
-        words = [t.split() for t in texts]
-        self.window, self.anchor = window, anchor
-        self.length = np.array([len(w) for w in words], np.int64)
+    def __init__(self, texts: list[bytes], window: int, anchor: int, hasher: Hasher):
+        self.window, self.anchor, self.hasher = window, anchor, hasher
+        self.length, self.h = hasher.of(texts)
         self.start = np.cumsum(self.length) - self.length
-        h = np.fromiter((known[w] for ws in words for w in ws), np.uint64, int(self.length.sum()))
-        self.seed, self.whole = Sums(h, BASES[0]), Sums(mixed(h ^ np.uint64(BASES[1])), BASES[1])
+        h, self.seed = self.h, Sums(self.h, hasher.powers[0])
         ends = np.repeat(self.start + self.length, self.length)
         first = np.flatnonzero(np.arange(len(h)) + window <= ends)  # where windows begin
         if not len(first):
             self.place = self.low = self.high = self.hash = np.empty(0, np.int64)
             self.doc = self.place
             return
-        g = self.seed.of(np.arange(len(h) - anchor + 1), anchor)
+        g = self.seed.all(anchor)
         least, w, m = np.arange(len(g)), 1, window - anchor + 1
         while 2 * w <= m:
             a, b = least[:-w], least[w:]
@@ -92,6 +142,11 @@ class Words:
         self.hash = g[self.place].view(np.int64)
         self.doc = np.searchsorted(self.start + self.length, self.place, "right")
 
+    @cached_property
+    def whole(self) -> Sums:
+        """Sums of a second hash of each word, for what anchors answer for."""
+        return Sums(mixed(self.h ^ np.uint64(BASES[2])), self.hasher.powers[1])
+
     def reach(self, some: np.ndarray) -> np.ndarray:
         """Hash of all the words an anchor answers for."""
         start = self.place[some] - self.high[some]
@@ -102,10 +157,10 @@ def scanned(docs: DataFrame, window: int, anchor: int, schema: pa.Schema, kinds:
     """``rows(batch, words)`` of each piece of ``docs``, whose last column holds the texts."""
 
     def scan(batches):
-        known = WordHashes()
+        hasher = Hasher()
         for batch in batches:
             for some in cut_by_bytes(batch, batch.num_columns - 1, TEXT_BYTES):
-                yield record_batch(schema, rows(some, Words(some.column(some.num_columns - 1).to_pylist(), window, anchor, known)))
+                yield record_batch(schema, rows(some, Words(some.column(some.num_columns - 1).to_pylist(), window, anchor, hasher)))
 
     return small_batches(docs).mapInArrow(scan, kinds)
 
@@ -177,6 +232,13 @@ def windows_of_first(texts: DataFrame, reps: DataFrame, window: int, anchor: int
     return scanned(texts.join(reps, "doc").select("doc", "row", "list", "text"), window, anchor, WINDOWS_ARROW, WINDOWS, rows)
 
 
+def finished(spark: SparkSession, table: DataFrame) -> DataFrame:
+    """``table``, written by now. Spark deletes the shuffle files of plans that the driver's JVM has collected; texts go through
+    three shuffles here, which need not lie on the disks together, so the JVM is asked to collect."""
+    spark._jvm.System.gc()
+    return table
+
+
 def repeated_windows(spark: SparkSession, docs: DataFrame, key: str, text: str, window: int, anchor: int) -> DataFrame:
     """(doc, row, first, last, from_doc, from_first): windows from ``first`` to ``last`` of a document whose words also begin
     earlier, and where; ``row`` is a hash of the text, which tells rows that repeat an id apart."""
@@ -184,8 +246,8 @@ def repeated_windows(spark: SparkSession, docs: DataFrame, key: str, text: str,
     narrow = texts.select("doc", "text")
     again = anchor_counts(narrow, window, anchor).filter("n > 1").select("a")
     shared = anchors_by_document(narrow, window, anchor).join(again, "a").groupBy("doc").agg(F.collect_list("a").alias("list"))
-    shared = written(spark, shared, "substring-shared", narrow=True)
-    seen = written(spark, occurrences(texts, shared, window, anchor), "substring-seen", narrow=True)
+    shared = finished(spark, written(spark, shared, "substring-shared", narrow=True))
+    seen = finished(spark, written(spark, occurrences(texts, shared, window, anchor), "substring-seen", narrow=True))
     forget(spark, shared)
 
     own = F.struct("doc", "row", "place")
@@ -196,7 +258,7 @@ def repeated_windows(spark: SparkSession, docs: DataFrame, key: str, text: str,
     several = classes.groupBy("a").agg(F.count("*").alias("n")).filter("n > 1").select("a")
     reps = classes.drop("n").join(several, "a").select("f.doc", F.struct(F.col("f.row").alias("row"), F.col("f.place").alias("place"), F.col("low").cast("long").alias("low"), F.col("high").cast("long").alias("high")).alias("r"))
     reps = written(spark, reps.groupBy("doc").agg(F.collect_list("r").alias("list")), "substring-reps", narrow=True)
-    windows = written(spark, windows_of_first(texts, reps, window, anchor), "substring-windows", narrow=True)
+    windows = finished(spark, written(spark, windows_of_first(texts, reps, window, anchor), "substring-windows", narrow=True))
     forget(spark, reps)
     own = F.struct("doc", "row", "first")
     firsts = windows.groupBy("a", "o", "c").agg(F.min(own).alias("f"), F.count("*").alias("n")).filter("n > 1").drop("n")
@@ -204,7 +266,7 @@ def repeated_windows(spark: SparkSession, docs: DataFrame, key: str, text: str,
     partly = partly.select("doc", "row", "first", F.col("first").alias("last"), F.col("f.doc").alias("from_doc"), F.col("f.first").alias("from_first"))
     out = written(spark, covered.unionByName(partly), "substring-repeats", narrow=True)
     forget(spark, seen, classes, windows)
-    return out
+    return finished(spark, out)
 
 
 def maximal(first: np.ndarray, last: np.ndarray, doc: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:

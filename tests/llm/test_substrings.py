@@ -1,9 +1,12 @@
 import random
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from corpusloom.llm.substrings import WordHashes, Words, remove_repeats
+from corpusloom.llm import substrings
+from corpusloom.llm.substrings import Hasher, Words, remove_repeats
 from tests.llm.helpers import EN, awkward, empty
 
 SCHEMA = "doc_id long, text string"
@@ -57,14 +60,26 @@ def test_against_brute_force(spark, window, anchor):
     check_repeats(rows, out, window)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.sampled_from([b"a", b"ab", b"ba", b"\xc3\xa9", b"x" * 300, b" ", b"\n\t", b"\x0b", b"\x1c", b"\xc2\xa0"]), max_size=25).map(b"".join), max_size=6), st.sampled_from([1, 5, 1 << 20]))
+def test_hashes_of_words(texts, block):
+    """As many words as split() gives, equal hashes for equal words wherever they stand, others for others."""
+    old, substrings.BLOCK_BYTES = substrings.BLOCK_BYTES, block
+    length, h = Hasher().of(texts)
+    substrings.BLOCK_BYTES = old
+    words = [w for t in texts for w in t.split()]
+    assert length.tolist() == [len(t.split()) for t in texts] and len(h) == len(words)
+    assert len(set(h.tolist())) == len(set(words)) == len(set(zip(h.tolist(), words)))
+
+
 def test_anchors_depend_on_their_window_alone():
     rng = random.Random(3)
     words = [rng.choice("abcd").encode() for _ in range(400)]
-    whole = Words([b" ".join(words)], 7, 3, WordHashes())
+    whole = Words([b" ".join(words)], 7, 3, Hasher())
     of = {p - o: p for p, lo, hi in zip(whole.place.tolist(), whole.low.tolist(), whole.high.tolist()) for o in range(lo, hi + 1)}
     assert sorted(of) == list(range(394))
     for at in range(394):
-        own = Words([b"q " + b" ".join(words[at : at + 7])], 7, 3, WordHashes())
+        own = Words([b"q " + b" ".join(words[at : at + 7])], 7, 3, Hasher())
         assert of[at] - at in {p - 1 for p, lo, hi in zip(own.place.tolist(), own.low.tolist(), own.high.tolist()) if lo <= p - 1 <= hi}
 
 
