@@ -1,7 +1,7 @@
 """Language identification and text quality with the byte network of :mod:`bytecnn`.
 
-Both learn on the driver from a bounded sample of labelled rows, drawn label by label: of each label those with the smallest
-hash of their id, as many as an equal share of TRAIN_ROWS allows, and more where other labels have fewer. If their texts
+Both learn on the driver from a bounded sample of labelled rows, those with the smallest hashes of their ids: three quarters of
+TRAIN_ROWS as labels come, a quarter label by label, so that rare labels take part. If their texts
 have more than TRAIN_BYTES together, windows are drawn from the longest ones: as many as leave every text the same
 part of the bytes, evenly over the whole text. Every window of every text is scored.
 """
@@ -42,19 +42,22 @@ def even_shares(sizes: list[int], total: int) -> int:
 
 
 def drawn_rows(labelled: DataFrame) -> DataFrame:
-    """TRAIN_ROWS of the rows (id, label) at most: equal shares of all labels, and more of those that have more if others
-    have fewer. Of more labels than TRAIN_ROWS the most frequent ones take part."""
-    rows = labelled.distinct()
-    counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(TRAIN_ROWS).collect()}
-    most = even_shares(list(counts.values()), TRAIN_ROWS)
-    spare = TRAIN_ROWS - sum(min(n, most) for n in counts.values())
+    """TRAIN_ROWS of the rows (id, label) at most. A quarter is drawn in equal shares of all labels, and more of those that have
+    more if others have fewer (of more labels than a quarter has rows the most frequent ones); the rest as they come."""
+    rows, quarter = labelled.distinct(), -(-TRAIN_ROWS // 4)
+    counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(quarter).collect()}
+    most = even_shares(list(counts.values()), quarter)
+    spare = quarter - sum(min(n, most) for n in counts.values())
     quota = {}
     for label in sorted((x for x, n in counts.items() if n > most), key=str):  # what does not divide evenly
         quota[label], spare = (most + 1, spare - 1) if spare > 0 else (most, 0)
     order = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")
     ranked = rows.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= most + 1)  # limited before the shuffle
     bound = rows.sparkSession.createDataFrame([(x, quota.get(x, most)) for x in counts], f"label {labelled.schema['label'].dataType.simpleString()}, quota int")
-    return ranked.join(F.broadcast(bound), "label").filter("nth <= quota").select("id", "label")
+    shares = ranked.join(F.broadcast(bound), "label").filter("nth <= quota").select("id", "label")
+    order = [F.xxhash64("id"), "id", "label"]
+    both = shares.withColumn("late", F.lit(0)).unionByName(rows.orderBy(*order).limit(TRAIN_ROWS).withColumn("late", F.lit(1)))
+    return both.groupBy("id", "label").agg(F.min("late").alias("late")).orderBy("late", *order).limit(TRAIN_ROWS).select("id", "label")
 
 
 def sample(docs: DataFrame, labelled: DataFrame, key: str, text: str, stride: int) -> list[tuple]:

@@ -262,10 +262,12 @@ def test_samples_are_drawn_by_label(spark, monkeypatch):
     rows = [(i, f"t{i}", "zz" if i % 5000 == 7 else "aa") for i in range(20_000)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     count = lambda n: Counter(x for x, _ in classifiers.sample(n, n.select(F.col("doc_id").alias("id"), F.col("lang").alias("label")), "doc_id", "text", WINDOW))
-    assert count(df) == {"zz": 4, "aa": classifiers.TRAIN_ROWS - 4}
-    monkeypatch.setattr(classifiers, "TRAIN_ROWS", 10)
-    assert count(df.withColumn("lang", F.concat(F.lit("l"), (F.col("doc_id") % 3).cast("string")))) == {"l0": 4, "l1": 3, "l2": 3}
-    assert sum(count(df.withColumn("lang", (F.col("doc_id") % 40).cast("string"))).values()) == 10
+    got = count(df)
+    assert got["zz"] == 4 and sum(got.values()) == classifiers.TRAIN_ROWS
+    monkeypatch.setattr(classifiers, "TRAIN_ROWS", 40)
+    got = count(df.withColumn("lang", F.concat(F.lit("l"), (F.col("doc_id") % 10).cast("string"))))
+    assert len(got) == 10 and sum(got.values()) == 40
+    assert sum(count(df.withColumn("lang", (F.col("doc_id") % 400).cast("string"))).values()) == 40
 
 
 def test_one_long_text_leaves_room_for_others(spark):
