@@ -211,7 +211,10 @@ def p12_pair_text(spark, sf):
     return table(spark, sf, "documents").select("doc_id", T.pair_text(F.col("source"), F.col("text")).alias("pair_text"))
 
 
-@query("p18_strip_thinking", f"SELECT page_id, {strip_sql(chr(39) + '<think>x</think> ' + chr(39) + ' || url')} AS cleaned FROM pages".replace("'<think>x</think> ' || url", "url"))
+THOUGHTS = r"regexp_replace('<think>one' || chr(10) || 'two</think> ' || url || '<THINK></think> ', '(?is)<think>.*?</think>', '', 'g')"
+
+
+@query("p18_strip_thinking", f"SELECT page_id, {strip_sql(THOUGHTS)} AS cleaned FROM pages")
 def p18_strip_thinking(spark, sf):
     raw = F.concat(F.lit("<think>one\ntwo</think> "), F.col("url"), F.lit("<THINK></think> "))
     return table(spark, sf, "pages").select("page_id", T.strip_thinking(raw).alias("cleaned"))
@@ -285,7 +288,14 @@ def v12_chat_models(spark, sf):
     return answers.chat_models(table(spark, sf, "events").select(F.col("event_type").alias("id")).distinct().unionByName(more))
 
 
-@query("g1_article_chunks")
+ARTICLE = r"(?:ال)?مادة[\s\p{Z}]*(?:رقم[\s\p{Z}]*)?"
+
+
+@query("g1_article_chunks", rf"""WITH raw AS (SELECT doc_id, 'ديباجة المادة 1 ' || text || chr(10) || 'المادة رقم 2 ' || source AS r FROM documents),
+spans AS (SELECT doc_id, unnest(list_filter(list_transform(string_split(regexp_replace(r, '({ARTICLE}\p{{Nd}}+)', chr(1) || '\1', 'g'), chr(1))[2:], lambda s: {strip_sql('s')}), lambda s: s <> '')) AS s FROM raw),
+cut AS (SELECT doc_id, s, unnest(range(0, CAST(ceil(length(s) / 2000.0) AS BIGINT))) AS i FROM spans)
+SELECT doc_id, regexp_extract(s, '^{ARTICLE}(\p{{Nd}}+)', 1) AS article_id, CAST(i AS INTEGER) AS chunk_index, CAST(ceil(length(s) / 2000.0) AS INTEGER) AS chunk_count,
+  {strip_sql('substr(s, i * 2000 + 1, 2000)')} AS text FROM cut""")
 def g1_article_chunks(spark, sf):
     docs = table(spark, sf, "documents").withColumn("raw", F.concat(F.lit("ديباجة المادة 1 "), F.col("text"), F.lit("\nالمادة رقم 2 "), F.col("source")))
     return chunked(docs, "doc_id", "raw")
@@ -354,12 +364,11 @@ def t2_dense_topk(spark, sf):
     return long_rank(dense_topk(vectors.filter("idx % 50 = 0").withColumnRenamed("idx", "qid"), vectors, 10))
 
 
-@query("x1_unit_vectors", "SELECT vec_id, round(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 4) > 0 AS has_length, 1.0::DOUBLE AS length FROM embeddings")
+@query("x1_unit_vectors", """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), n AS (SELECT *, sqrt(list_inner_product(e, e)) AS n FROM v)
+SELECT vec_id, unnest(range(len(e))) AS place, unnest(list_transform(e, lambda x: round(CAST(CASE WHEN n > 0 THEN x / n ELSE x END AS FLOAT)::DOUBLE, 4) + 0.0)) AS component FROM n""")
 def x1_unit_vectors(spark, sf):
-    from corpusloom.functions.vectors import inner_product
-
-    v = table(spark, sf, "embeddings").select("vec_id", unit(F.col("embedding")).alias("v"))
-    return v.select("vec_id", (inner_product(F.col("v"), F.col("v")) > 0).alias("has_length"), F.round(F.sqrt(inner_product(F.col("v"), F.col("v"))), 4).alias("length"))
+    rows = table(spark, sf, "embeddings").select("vec_id", F.posexplode(unit(F.col("embedding"))).alias("place", "component"))
+    return rows.select("vec_id", F.col("place").cast("long").alias("place"), (F.round(F.col("component").cast("double"), 4) + 0.0).alias("component"))
 
 
 @query("j5_hybrid_union", f"WITH {POOL} SELECT qid, idx, dense_score, bm25_score, pool_rank FROM pool")
