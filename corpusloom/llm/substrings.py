@@ -239,10 +239,15 @@ def finished(spark: SparkSession, table: DataFrame) -> DataFrame:
     return table
 
 
+def row_of(text: str):
+    """40 bits that tell texts of one id apart."""
+    return F.shiftrightunsigned(F.xxhash64(utf8(text)), 24)
+
+
 def repeated_windows(spark: SparkSession, docs: DataFrame, key: str, text: str, window: int, anchor: int) -> DataFrame:
     """(doc, row, first, last, from_doc, from_first): windows from ``first`` to ``last`` of a document whose words also begin
-    earlier, and where; ``row`` is a hash of the text, which tells rows that repeat an id apart."""
-    texts = docs.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc"), F.xxhash64(utf8(text)).alias("row"), utf8(text).alias("text"))
+    earlier, and where; ``row`` is :func:`row_of` the text. Tables are deleted as soon as nothing reads them."""
+    texts = docs.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc"), row_of(text).alias("row"), utf8(text).alias("text"))
     narrow = texts.select("doc", "text")
     again = anchor_counts(narrow, window, anchor).filter("n > 1").select("a")
     shared = anchors_by_document(narrow, window, anchor).join(again, "a").groupBy("doc").agg(F.collect_list("a").alias("list"))
@@ -251,22 +256,25 @@ def repeated_windows(spark: SparkSession, docs: DataFrame, key: str, text: str,
     forget(spark, shared)
 
     own = F.struct("doc", "row", "place")
-    classes = written(spark, seen.groupBy("a", "c", "low", "high").agg(F.min(own).alias("f"), F.count("*").alias("n")), "substring-classes", narrow=True)
+    classes = finished(spark, written(spark, seen.groupBy("a", "c", "low", "high").agg(F.min(own).alias("f"), F.count("*").alias("n")), "substring-classes", narrow=True))
     members = seen.join(classes.filter("n > 1").drop("n"), ["a", "c", "low", "high"]).filter(own > F.col("f"))
     covered = members.select("doc", "row", (F.col("place") - F.col("high")).alias("first"), (F.col("place") - F.col("low")).alias("last"), F.col("f.doc").alias("from_doc"), (F.col("f.place") - F.col("high")).alias("from_first"))
+    covered = finished(spark, written(spark, covered, "substring-covered", narrow=True))
+    forget(spark, seen)
 
     several = classes.groupBy("a").agg(F.count("*").alias("n")).filter("n > 1").select("a")
     reps = classes.drop("n").join(several, "a").select("f.doc", F.struct(F.col("f.row").alias("row"), F.col("f.place").alias("place"), F.col("low").cast("long").alias("low"), F.col("high").cast("long").alias("high")).alias("r"))
-    reps = written(spark, reps.groupBy("doc").agg(F.collect_list("r").alias("list")), "substring-reps", narrow=True)
+    reps = finished(spark, written(spark, reps.groupBy("doc").agg(F.collect_list("r").alias("list")), "substring-reps", narrow=True))
+    forget(spark, classes)
     windows = finished(spark, written(spark, windows_of_first(texts, reps, window, anchor), "substring-windows", narrow=True))
     forget(spark, reps)
     own = F.struct("doc", "row", "first")
     firsts = windows.groupBy("a", "o", "c").agg(F.min(own).alias("f"), F.count("*").alias("n")).filter("n > 1").drop("n")
     partly = windows.join(firsts, ["a", "o", "c"]).filter(own > F.col("f"))
     partly = partly.select("doc", "row", "first", F.col("first").alias("last"), F.col("f.doc").alias("from_doc"), F.col("f.first").alias("from_first"))
-    out = written(spark, covered.unionByName(partly), "substring-repeats", narrow=True)
-    forget(spark, seen, classes, windows)
-    return finished(spark, out)
+    partly = finished(spark, written(spark, partly, "substring-partly", narrow=True))
+    forget(spark, windows)
+    return covered.unionByName(partly)
 
 
 def maximal(first: np.ndarray, last: np.ndarray, doc: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
@@ -300,7 +308,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, key: str = "doc_id", te
     found = repeated_windows(spark, docs, key, text, window, anchor)
     ident, row, ranges, read = (free_name(n, [key, *keep]) for n in ("_doc", "_row", "_ranges", "_text"))
     gone = found.groupBy(F.col("doc").alias(ident)).agg(F.collect_list(F.struct("row", "first", "last", "from_doc", "from_first")).alias(ranges))
-    cut = small_batches(docs).select(key, *keep, F.col(key).cast("long").alias(ident), F.xxhash64(utf8(text)).alias(row), utf8(text).alias(read))
+    cut = small_batches(docs).select(key, *keep, F.col(key).cast("long").alias(ident), row_of(text).alias(row), utf8(text).alias(read))
     none = F.lit(None).cast(gone.schema[ranges].dataType)
     known = cut.filter(F.col(ident).isNotNull()).join(gone, ident, "left").select(key, *keep, row, ranges, read)
     rows = known.unionByName(cut.filter(F.col(ident).isNull()).select(key, *keep, row, none.alias(ranges), read))
