@@ -33,12 +33,17 @@ def test_finds_every_passage(spark, duck, small):
 def test_stages_on_awkward_rows(spark, tmp_path):
     bench = spark.createDataFrame([(1, "only a benchmark passage that no document holds at all here")], "item_id long, text string")
     bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    long = [(30, "same " * 60_000, "en"), (31, "a " * 90_000 + EN, None), (32, " ".join(f"word{i % 997}x{i % 61}" for i in range(40_000)), "en")]
+    df = awkward(spark).unionByName(spark.createDataFrame(long, "doc_id long, text string, lang string"), allowMissingColumns=True)
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        df = awkward(spark)
         out = stage(spark, df, str(tmp_path))
         assert out.columns == corpus_pipeline.COLUMNS, name
         assert 0 < out.count() <= df.count(), name
         assert stage(spark, empty(spark), str(tmp_path)).count() == 0, name
+    packed = corpus_pipeline.packing(spark, df, str(tmp_path)).toPandas()
+    assert set(packed.doc_id.dropna()) == {r.doc_id for r in df.collect() if r.doc_id is not None} and packed.doc_id.isna().sum() == 1
+    filled = packed.groupby("sequence_id").length.sum()
+    assert filled.max() <= 1024 and (packed[packed.doc_id == 12].groupby("doc_id").size() == 2).all()
     assert corpus_pipeline.packing(spark, empty(spark), str(tmp_path)).count() == 0
 
 
