@@ -22,7 +22,7 @@ def answers(index, queries):
     return {(r.qid, r["rank"], r.idx, r.score) for r in top(bm25_scores(index, queries), 5).collect()}
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1])
 def test_any_order_of_changes_answers_like_a_fresh_index(spark, tmp_path, seed):
     rng = random.Random(seed)
     corpus, model = SegmentedCorpus(spark, f"file://{tmp_path}/c", WORDS(), fan=2), {}

@@ -17,7 +17,7 @@ def brute(rows, window, limit):
     return out
 
 
-@pytest.mark.parametrize("window,limit,span", [(10, 3, 300), (60, 2, 2000), (1, 1, 60), (100, 5, 150)])
+@pytest.mark.parametrize("window,limit,span", [(10, 3, 300), (60, 2, 2000), (1, 1, 60)])
 def test_same_as_row_by_row(spark, window, limit, span):
     rng = random.Random(span)
     rows = [(rng.choice(["a", "b", "hot", "hot", "hot", None]), rng.randint(0, span) + rng.choice([0, 0, 5 * span]), t) for t in range(600)]
