@@ -4,6 +4,7 @@ Postings and the weighted terms of queries meet on a grid of cells. A cell's doc
 similar length, and for each term and block the largest impact is known. The sum of these over a query's terms bounds the
 score of every document of a block. A query takes the blocks in order of their bounds, keeps its k best documents, and
 stops at the first block whose bound is below the k-th score; the documents of other blocks are never scored.
+With a cell as one block (``block=None``) every document that shares a term is scored, and still only k leave the cell.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ BLOCK, FIRST, DOCUMENTS, QUERIES = 16, 4, 1 << 14, 1024
 class Postings:
     """A cell's postings by term and block, with the largest impact of each."""
 
-    def __init__(self, held: pa.Table, block: int):
+    def __init__(self, held: pa.Table, block: int | None):
         terms = held["term"].combine_chunks().dictionary_encode()
         self.vocabulary = terms.dictionary
         term, idx, dl = terms.indices.to_numpy().astype(np.int64), held["idx"].to_numpy(), held["dl"].to_numpy()
@@ -32,6 +33,7 @@ class Postings:
         by_length = np.lexsort((self.ids, dl[first]))
         self.ids, place = self.ids[by_length], np.empty(len(by_length), np.int64)
         place[by_length] = np.arange(len(by_length))
+        block = min(block or len(self.ids), len(self.ids))
         self.block, self.blocks = block, -(-len(self.ids) // block)
         place = place[at]
         order = np.lexsort((place, term))
@@ -82,7 +84,7 @@ def stretches(low: np.ndarray, high: np.ndarray) -> np.ndarray:
 
 
 def blockmax_hits(
-    index: LexicalIndex, queries: DataFrame, k: int, query: str = "qid", words: str = "words", k1: float = K1, b: float = B, block: int = BLOCK, documents: int = DOCUMENTS
+    index: LexicalIndex, queries: DataFrame, k: int, query: str = "qid", words: str = "words", k1: float = K1, b: float = B, block: int | None = BLOCK, documents: int = DOCUMENTS
 ) -> DataFrame:
     """query, idx, score, scored: each cell's k best of every query, and how many documents the cell scored for it."""
 

@@ -139,3 +139,16 @@ def test_grid_plan_does_not_grow(spark):
             best = sorted(range(len(x)), key=lambda i: (-scores[i], i))[:4]
             assert [got[q, r] for r in range(1, 5)] == [(i, pytest.approx(scores[i], abs=1e-6)) for i in best]
     assert plans[0] == plans[1]
+
+
+def test_whole_cells_as_blocks_score_everything(spark):
+    """The same hits as all scores sorted, and no scores leave a cell but its k best."""
+    docs = spark.createDataFrame(zipf_rows(700, 40, 3), "idx long, words array<string>")
+    queries = spark.createDataFrame(zipf_rows(30, 10, 4), "qid long, words array<string>")
+    index = build_index(docs, "idx", F.col("words"), only=queries.select(F.explode("words").alias("term"))).kept()
+    scores = bm25_scores(index, queries)
+    want = {(r.qid, r["rank"], r.idx, r.score) for r in top(scores, 5).collect()}
+    hits = blockmax_hits(index, queries, 5, block=None, documents=300)
+    assert {(r.qid, r["rank"], r.idx, r.score) for r in top(hits, 5).collect()} == want
+    cells = hits.groupBy("qid", F.spark_partition_id().alias("cell")).agg(F.sum("scored") / F.count("*"), F.max("scored").alias("n"))
+    assert hits.count() < scores.count() and cells.agg(F.sum("n")).first()[0] <= scores.count()
