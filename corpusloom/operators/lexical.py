@@ -110,12 +110,11 @@ def top(scores: DataFrame, k: int, query: str = "qid", order: tuple = ("idx",))
 def padded_top(scores: DataFrame, queries: DataFrame, lengths: DataFrame, k: int, query: str = "qid", words: str = "words") -> DataFrame:
     """Exactly k rows a query with words: documents without a score fill up with 0 in order of their position.
 
-    Among the first k + m positions at least k have no score when m do, and m < k for a query that needs filling; so the
-    2 k smallest positions are enough, and nothing is paired with the whole table. A query without words has no rows.
+    Among the first k + m positions at least k have no score when m do, and m <= k for the k best; so the 2 k smallest
+    positions are enough, and nothing is paired with the whole table. They are added to every query, and a document
+    that has a score keeps it, so ``scores`` are made once. A query without words has no rows.
     """
-    best = top(scores, k, query)
-    short = queries.filter(F.size(words) > 0).select(query).join(best.groupBy(query).agg(F.count("*").alias("have")), query, "left")
-    short = short.select(query, F.coalesce("have", F.lit(0)).alias("have")).filter(F.col("have") < k)
+    best = top(scores, k, query).select(query, "idx", "score")
     first = lengths.select("idx").orderBy("idx").limit(2 * k).agg(F.sort_array(F.collect_list("idx")).alias("ids"))
-    fill = short.select(query, F.explode(first.select("ids").scalar()).alias("idx")).join(best.select(query, "idx"), [query, "idx"], "left_anti")
-    return top(best.select(query, "idx", "score").unionByName(fill.select(query, "idx", F.lit(0.0).alias("score"))), k, query)
+    fill = queries.filter(F.size(words) > 0).select(query, F.explode(first.select("ids").scalar()).alias("idx"), F.lit(0.0).alias("score"))
+    return top(best.unionByName(fill).groupBy(query, "idx").agg(F.max("score").alias("score")), k, query)

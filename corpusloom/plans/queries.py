@@ -12,7 +12,7 @@ from corpusloom.operators import answers, evaluate, evidence, fusion, ingest, kn
 from corpusloom.operators.blockmax import blockmax_topk
 from corpusloom.operators.chunking import chunked
 from corpusloom.operators.dense import dense_topk
-from corpusloom.operators.lexical import bm25_scores, build_index, corpus_stats, padded_top, spread, top, vocabulary
+from corpusloom.operators.lexical import build_index, corpus_stats, padded_top, spread, vocabulary
 from corpusloom.operators.segments import SegmentedCorpus
 from corpusloom.plans.evaluation import evaluation_run
 from corpusloom.plans.service import Service
@@ -356,7 +356,7 @@ LEFT JOIN (SELECT * FROM scores WHERE score >= 12) s ON s.qid = q.qid AND s.idx
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, idx) AS rank FROM every) WHERE rank <= 10""")
 def a6_bm25_padded(spark, sf):
     index, q = lexical(spark, sf)
-    return long_rank(padded_top(bm25_scores(index, q).filter("score >= 12"), q, index.lengths, 10))
+    return long_rank(padded_top(blockmax_topk(index, q, 10).filter("score >= 12"), q, index.lengths, 10))
 
 
 @query("t2_dense_topk", f"WITH {DENSE} SELECT * FROM dense")

@@ -152,3 +152,20 @@ def test_whole_cells_as_blocks_score_everything(spark):
     assert {(r.qid, r["rank"], r.idx, r.score) for r in top(hits, 5).collect()} == want
     cells = hits.groupBy("qid", F.spark_partition_id().alias("cell")).agg(F.sum("scored") / F.count("*"), F.max("scored").alias("n"))
     assert hits.count() < scores.count() and cells.agg(F.sum("n")).first()[0] <= scores.count()
+
+
+def test_padding_makes_scores_once(spark):
+    """The plan reads the scores in one place, however many queries have to be filled."""
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    scores = spark.createDataFrame([(1, 7, 2.0), (1, 1, 1.0), (2, 5, 3.0)], "qid long, idx long, score double").mapInArrow(count, "qid long, idx long, score double")
+    queries = spark.createDataFrame([(1, ["a"]), (2, ["b"]), (3, ["c"]), (4, [])], "qid long, words array<string>")
+    lengths = spark.range(9).select(F.col("id").alias("idx"))
+    got = [(r.qid, r.idx, r.score) for r in padded_top(scores, queries, lengths, 3).orderBy("qid", "rank").collect()]
+    assert got == [(1, 7, 2.0), (1, 1, 1.0), (1, 0, 0.0), (2, 5, 3.0), (2, 0, 0.0), (2, 1, 0.0), (3, 0, 0.0), (3, 1, 0.0), (3, 2, 0.0)]
+    assert made.value == 3
