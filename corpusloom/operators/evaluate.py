@@ -23,9 +23,31 @@ def eval_set(docs: DataFrame, size: int, seed: int, key: str = "document_id", te
 def per_query(hits: DataFrame, relevant: DataFrame, query: str = "qid", key: str = "idx") -> DataFrame:
     """query, rr, recall_at_k, hit_at_k for every query of ``relevant`` (query, key), also those without hits."""
     truth = relevant.select(query, key).distinct()
-    total = truth.groupBy(query).agg(F.count(key).alias("n_relevant"))
+    return _measures(hits.join(truth, [query, key]), truth.groupBy(query).agg(F.count(key).alias("n_relevant")), query, key)
+
+
+def per_query_by_label(hits: DataFrame, queries: DataFrame, items: DataFrame, query: str = "qid", key: str = "idx", label: str = "label") -> DataFrame:
+    """:func:`per_query` where all items (key, label) that share a label with a query (query, label) are relevant.
+
+    No row is made for a query and its item: items are counted by the set of their labels, queries take the sums of the sets
+    that meet theirs, and only hits are looked up.
+    """
+
+    def sets(df, name, out):
+        return df.filter(F.col(label).isNotNull()).groupBy(name).agg(F.array_sort(F.collect_set(label)).alias(out))
+
+    mine, held = sets(queries, query, "_asked"), sets(items, key, "_held")
+    counts = held.groupBy("_held").agg(F.count(key).alias("n"))
+    wanted = mine.select("_asked").distinct().withColumn("_label", F.explode("_asked"))
+    meet = wanted.join(counts.withColumn("_label", F.explode("_held")), "_label").select("_asked", "_held", "n").distinct()
+    total = mine.join(meet.groupBy("_asked").agg(F.sum("n").alias("n_relevant")), "_asked").select(query, "n_relevant")
+    good = hits.select(query, key, "rank").join(mine, query).join(held, key).filter(F.arrays_overlap("_asked", "_held"))
+    return _measures(good, total, query, key)
+
+
+def _measures(relevant: DataFrame, total: DataFrame, query: str, key: str) -> DataFrame:
     # a document found twice counts once, at its best rank
-    good = hits.join(truth, [query, key]).groupBy(query, key).agg(F.min("rank").alias("rank"))
+    good = relevant.groupBy(query, key).agg(F.min("rank").alias("rank"))
     found = good.groupBy(query).agg(F.min("rank").alias("first"), *[F.count_if(F.col("rank") <= k).alias(f"in_{k}") for k in CUTS])
     rows = total.join(found, query, "left")
     recall = [F.when(F.col("n_relevant") > 0, F.coalesce(F.col(f"in_{k}"), F.lit(0)) / F.col("n_relevant")).otherwise(0.0).alias(f"recall_at_{k}") for k in CUTS]

@@ -447,8 +447,7 @@ MEANS = ", ".join(["round_even(coalesce(avg(rr), 0), 6) AS mrr", *[f"round_even(
 def dense_scores(spark, sf):
     vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("idx"), F.col("embedding").alias("vec"), "label")
     mine = vectors.filter("idx % 50 = 0").withColumnRenamed("idx", "qid")
-    relevant = mine.select("qid", "label").join(vectors.select("idx", "label"), "label").select("qid", "idx")
-    return evaluate.per_query(dense_topk(mine, vectors, 10), relevant)
+    return evaluate.per_query_by_label(dense_topk(mine, vectors, 10), mine, vectors)
 
 
 @query("a7_mrr", f"WITH {EVAL} SELECT qid, round(rr, 6) AS rr FROM pq")

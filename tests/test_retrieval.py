@@ -169,3 +169,29 @@ def test_padding_makes_scores_once(spark):
     got = [(r.qid, r.idx, r.score) for r in padded_top(scores, queries, lengths, 3).orderBy("qid", "rank").collect()]
     assert got == [(1, 7, 2.0), (1, 1, 1.0), (1, 0, 0.0), (2, 5, 3.0), (2, 0, 0.0), (2, 1, 0.0), (3, 0, 0.0), (3, 1, 0.0), (3, 2, 0.0)]
     assert made.value == 3
+
+
+def test_measures_by_label_need_no_pairs(spark):
+    """The same as with all pairs of a label, also for ids of several labels or none, and a shuffle that does not hold the pairs."""
+    rng = np.random.default_rng(5)
+    items = spark.createDataFrame([(int(i), int(x) if x < 4 else None) for i, x in zip(rng.integers(0, 400, 600), rng.integers(0, 5, 600))], "idx long, label int")
+    asked = spark.createDataFrame([(int(i), int(x) if x < 5 else None) for i, x in zip(rng.integers(0, 30, 40), rng.integers(0, 6, 40))], "qid long, label int")
+    hits = spark.createDataFrame([(q, int(i), r) for q in range(30) for r, i in enumerate(rng.integers(0, 400, 10), 1)], "qid long, idx long, rank int")
+    want = evaluate.per_query(hits, asked.join(items, "label"))
+    got = evaluate.per_query_by_label(hits, asked, items)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.columns == want.columns
+
+    many = spark.range(4000).select(F.col("id").alias("idx"), (F.col("id") % 2).alias("label"))
+    rows = evaluate.per_query_by_label(hits, many.withColumnRenamed("idx", "qid"), many)
+    rows.collect()
+    plan, most = [rows._jdf.queryExecution().executedPlan()], 0
+    while plan:
+        p = plan.pop()
+        if p.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            plan.append(p.executedPlan())
+        elif p.getClass().getSimpleName().endswith("QueryStageExec"):
+            plan.append(p.plan())
+        if p.metrics().contains("numOutputRows"):
+            most = max(most, p.metrics().apply("numOutputRows").value())
+        plan += [p.children().apply(i) for i in range(p.children().length())]
+    assert 0 < most < 20_000  # the pairs are 8,000,000
