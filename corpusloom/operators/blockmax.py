@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from corpusloom.operators.grid import on_grid
 from corpusloom.operators.lexical import K1, B, LexicalIndex, impact, top, weighted_terms
 
-#: Documents of a block; blocks first taken, doubled each time; documents and queries of a cell, about.
-BLOCK, FIRST, DOCUMENTS, QUERIES = 16, 4, 1 << 14, 1024
+#: Documents of a block; blocks first taken, doubled each time; documents, postings and queries of a cell, about.
+BLOCK, FIRST, DOCUMENTS, POSTINGS, QUERIES = 16, 4, 1 << 14, 1 << 18, 1024
 
 
 class Postings:
@@ -106,8 +106,9 @@ def blockmax_hits(
 
     weighted = weighted_terms(index, queries, query, words).select(F.col(query).cast("long").alias("q"), "term", "idf")
     rows = index.postings.select(F.col("idx").cast("long").alias("idx"), "dl", "term", impact(index.stats().select("avgdl").scalar(), k1, b).alias("impact"))
-    sizes = (queries.count(), index.lengths.count())
-    return on_grid(weighted, rows, "q", "idx", search, f"`{query}` long, idx long, score double, scored long", QUERIES, documents, sizes)
+    n, posts = index.sizes()
+    each = max(1, min(documents, n * POSTINGS // max(1, posts)))  # a cell's memory is that of its postings
+    return on_grid(weighted, rows, "q", "idx", search, f"`{query}` long, idx long, score double, scored long", QUERIES, each, (queries.count(), n))
 
 
 def blockmax_topk(index: LexicalIndex, queries: DataFrame, k: int, query: str = "qid", words: str = "words", **options) -> DataFrame:

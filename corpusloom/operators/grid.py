@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Queries and searched rows of a cell, about.
-QUERIES, ROWS = 4096, 1 << 16
+QUERIES, ROWS = 4096, 1 << 14
 
 
 def parts_of(df: DataFrame, count: int, each: int, least: int = 1) -> int:

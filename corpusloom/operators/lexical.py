@@ -39,6 +39,11 @@ class LexicalIndex:
         its own."""
         return replace(self, table=kept(self.table, "postings"))
 
+    def sizes(self) -> tuple[int, int]:
+        """Numbers of documents and of postings in ``table``, by one pass over its terms."""
+        rows = self.table.agg(F.count_if(F.col("term") == MARK).alias("n"), F.count_if(F.col("term") != MARK).alias("m")).first()
+        return rows["n"], rows["m"]
+
     def stats(self) -> DataFrame:
         if self.documents is not None:
             return self.table.sparkSession.range(1).select(F.lit(self.documents).cast("long").alias("n"), F.lit(self.mean_length).cast("double").alias("avgdl"))

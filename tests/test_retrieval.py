@@ -195,3 +195,17 @@ def test_measures_by_label_need_no_pairs(spark):
             most = max(most, p.metrics().apply("numOutputRows").value())
         plan += [p.children().apply(i) for i in range(p.children().length())]
     assert 0 < most < 20_000  # the pairs are 8,000,000
+
+
+def test_cells_are_bounded_by_postings(spark, monkeypatch):
+    """Long documents make cells of fewer documents."""
+    from corpusloom.operators import blockmax
+
+    docs = spark.range(600).select(F.col("id").alias("idx"), F.transform(F.sequence(F.lit(0), F.lit(99)), lambda i: F.concat(F.lit("w"), i.cast("string"))).alias("words"))
+    queries = spark.createDataFrame([(1, [f"w{i}" for i in range(100)])], "qid long, words array<string>")
+    index, cells = build_index(docs, "idx", F.col("words")).kept(), []
+    real = blockmax.on_grid
+    monkeypatch.setattr(blockmax, "on_grid", lambda *a: cells.append(a[-2]) or real(*a))
+    monkeypatch.setattr(blockmax, "POSTINGS", 5000, raising=False)
+    assert index.sizes() == (600, 60_000)
+    assert [r.idx for r in blockmax_topk(index, queries, 3).orderBy("rank").collect()] == [0, 1, 2] and cells == [50]
