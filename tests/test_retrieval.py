@@ -209,3 +209,19 @@ def test_cells_are_bounded_by_postings(spark, monkeypatch):
     monkeypatch.setattr(blockmax, "POSTINGS", 5000, raising=False)
     assert index.sizes() == (600, 60_000)
     assert [r.idx for r in blockmax_topk(index, queries, 3).orderBy("rank").collect()] == [0, 1, 2] and cells == [50]
+
+
+def test_evaluation_reads_texts_twice(spark):
+    """Once for the evaluation set and once for the index."""
+    from corpusloom.plans.evaluation import evaluation_run
+
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    docs = spark.createDataFrame([(i, f"the words of document {i} are number {i * i}. more") for i in range(50)], "doc_id long, text string").mapInArrow(count, "doc_id long, text string")
+    assert evaluation_run(docs, 10, 1).filter("metric = 'mrr'").first().measured == 1.0
+    assert read.value <= 100
