@@ -12,6 +12,7 @@ from corpusloom.operators import answers, evaluate, evidence, fusion, ingest, kn
 from corpusloom.operators.blockmax import blockmax_topk
 from corpusloom.operators.chunking import chunked
 from corpusloom.operators.dense import dense_topk
+from corpusloom.operators.keeping import kept
 from corpusloom.operators.lexical import build_index, corpus_stats, padded_top, spread, vocabulary
 from corpusloom.operators.segments import SegmentedCorpus
 from corpusloom.plans.evaluation import evaluation_run
@@ -136,9 +137,9 @@ def fused_hits(spark, sf):
     return fusion.fused(reranked(spark, sf, pool, q), 5, key="idx").drop("words")
 
 
-def evidence_rows(spark, sf):
+def evidence_rows(spark, sf, hits=None):
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("idx"), "text", F.col("source").alias("law_name"), F.col("lang").alias("article_id"), F.col("doc_id").cast("string").alias("document_id"))
-    return evidence.select_evidence(fused_hits(spark, sf).join(docs, "idx"), 14_000, 0.1)
+    return evidence.select_evidence((fused_hits(spark, sf) if hits is None else hits).join(docs, "idx"), 14_000, 0.1)
 
 
 @query("p1_normalize", f"SELECT doc_id, {norm_sql('text')} AS normalized FROM documents")
@@ -432,8 +433,9 @@ SELECT c.qid, position, 'Citation id=''' || source_id || ''' not found in eviden
 ANTI JOIN evid e ON e.qid = c.qid AND e.document_id = c.source_id""")
 def j7_citation_warnings(spark, sf):
     sid = F.when(F.col("rank") % 2 == 0, F.concat(F.lit("x"), F.col("idx").cast("string"))).otherwise(F.col("idx").cast("string"))
-    cited = fused_hits(spark, sf).select("qid", F.col("rank").cast("long").alias("position"), sid.alias("source_id"))
-    return evidence.citation_warnings(cited, evidence_rows(spark, sf))
+    hits = kept(fused_hits(spark, sf), "hits")  # five rows a query, both cited and looked up
+    cited = hits.select("qid", F.col("rank").cast("long").alias("position"), sid.alias("source_id"))
+    return evidence.citation_warnings(cited, evidence_rows(spark, sf, hits))
 
 
 LABELLED = "rel AS (SELECT d.vec_id AS qid, e.vec_id AS idx FROM embeddings d JOIN embeddings e USING (label) WHERE d.vec_id % 50 = 0)"

@@ -225,3 +225,12 @@ def test_evaluation_reads_texts_twice(spark):
     docs = spark.createDataFrame([(i, f"the words of document {i} are number {i * i}. more") for i in range(50)], "doc_id long, text string").mapInArrow(count, "doc_id long, text string")
     assert evaluation_run(docs, 10, 1).filter("metric = 'mrr'").first().measured == 1.0
     assert read.value <= 100
+
+
+def test_citations_and_evidence_share_their_hits(spark, small, monkeypatch):
+    from corpusloom.plans import queries
+
+    calls, real = [], queries.fused_hits
+    monkeypatch.setattr(queries, "fused_hits", lambda *a: calls.append(1) or real(*a))
+    queries.j7_citation_warnings(spark, small)
+    assert len(calls) == 1
