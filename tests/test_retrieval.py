@@ -234,3 +234,15 @@ def test_citations_and_evidence_share_their_hits(spark, small, monkeypatch):
     monkeypatch.setattr(queries, "fused_hits", lambda *a: calls.append(1) or real(*a))
     queries.j7_citation_warnings(spark, small)
     assert len(calls) == 1
+
+
+def test_law_and_article_steps_skip_what_they_cannot_change(spark):
+    from corpusloom.functions.text import lexical_text, tokens
+
+    rows = [("law", " a text\n"), ("  ", "\tx "), (None, None), (" l ", "  "), ("ق", "القانون والقانون ال ab")]
+    df = spark.createDataFrame(rows, "law string, text string")
+    one = lexical_text(F.col("law"), F.col("text"))
+    assert [r[0] for r in df.select(one).collect()] == ["law law a text", "x", "", "l l", "ق ق القانون والقانون ال ab"]
+    assert df.select(tokens(F.col("text"), "ui")).collect()[4][0] == ["قانون", "والقانون", "ال", "ab"]
+    assert not str(one._jc).startswith("regexp_replace")  # the text is stripped before it is joined, not again after
+    assert "contains" in str(tokens(F.col("text"), "ui")._jc)
